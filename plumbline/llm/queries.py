@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import packing, quality, simhash, toxicity
+from plumbline.llm import packing, quality, sentencepiece_codec, sharding, simhash, toxicity
 from plumbline.llm.common import crc_fold, table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded, and decoded again; digests of both."""
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at 4 or fewer differing bits of a fingerprint of four-word shingles."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
@@ -36,11 +41,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels"))).drop("quality_p")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7 of nearly equal bytes, equal texts together."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
