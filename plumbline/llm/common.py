@@ -74,3 +74,24 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def crc_fold(doc_id, modulus: int):
     """crc32 of the decimal doc_id, modulo the number of folds."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
+
+
+def draw(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], max_chars: int, fold: tuple[int, int] | None = None) -> dict[int, list]:
+    """Texts of at most most[value] documents for each label value, the first by hash of the id: rows (h, doc_id, t).
+
+    Ids are drawn first, over narrow columns; only the drawn ids (bounded by `most`) are broadcast to fetch texts, so no
+    text is shuffled.  `fold` = (modulus, remainder that is left out).  Null labels and null texts are not drawn.
+    """
+    ids = docs.where("text IS NOT NULL").select("doc_id").distinct()
+    pairs = ids.join(labels.where(F.col(label).isin(list(most))).select("doc_id", F.col(label).alias("__y")).distinct(), "doc_id")
+    if fold:
+        pairs = pairs.where(crc_fold("doc_id", fold[0]) != fold[1])
+    picked = None
+    for value, limit in most.items():
+        part = pairs.where(F.col("__y") == value).select(F.xxhash64("doc_id").alias("h"), "doc_id", "__y").orderBy("h", "doc_id").limit(limit)
+        picked = part if picked is None else picked.unionByName(part)
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, max_chars).alias("t")).join(F.broadcast(picked), "doc_id").collect()
+    found: dict[int, list] = {value: [] for value in most}
+    for r in sorted(rows, key=lambda r: (r["h"], str(r["doc_id"]), r["t"])):
+        found[r["__y"]].append(r)
+    return found

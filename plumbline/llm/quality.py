@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import texts
+from plumbline.llm.common import draw, texts
 
 BITS = 16
 SIZE = 1 << BITS
@@ -152,13 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: i
     Both bounds hold for the sample of the fit only.  Null labels and null texts are not drawn.  A document labelled
     twice is drawn for each of its labels.
     """
-    pairs = docs.where("text IS NOT NULL").join(labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").alias("__q")).distinct(), "doc_id")
-    drawn = [
-        pairs.where(F.col("__q") == q).select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, max_chars).alias("t")).orderBy("h", "doc_id", "t").limit(max_rows).collect()
-        for q in (0, 1)
-    ]
+    drawn = draw(docs, labels, "quality", {0: max_rows, 1: max_rows}, max_chars)
     # interleave by hash so that the rows held back for calibration hold both labels
-    rows = sorted([(r.h, r.doc_id, q, r.t) for q, part in enumerate(drawn) for r in part], key=lambda r: (r[0], str(r[1]), r[2]))
+    rows = sorted([(r["h"], str(r["doc_id"]), q, r["t"]) for q, part in drawn.items() for r in part])
     return fit([r[3].encode() for r in rows], np.array([r[2] for r in rows], np.float64))
 
 
