@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import packing, quality, sentencepiece_codec, sharding, simhash, toxicity
+from plumbline.llm import ann, langid, packing, quality, sentencepiece_codec, sharding, simhash, toxicity
 from plumbline.llm.common import crc_fold, table
 
 
@@ -23,6 +23,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; learned where crc32(doc_id) modulo 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs, fold=(4, 2))).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels are read only where crc32(doc_id) modulo 5 is not 0."""
     docs = table(spark, sf_dir, "documents")
@@ -46,13 +52,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_sharding": op9_sharding,
+    "op10_permutation_index": op10_permutation_index,
 }
 
 ORACLE_SQL: dict[str, str] = {}
