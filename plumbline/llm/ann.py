@@ -51,28 +51,45 @@ def post(order: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return starts.astype(np.int32), (by // prefix).astype(np.int32), (by % prefix).astype(np.int16)
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, q_order: np.ndarray, x: np.ndarray, ids: np.ndarray, files: tuple, k: int, share: float, least: int):
-    """Rows (query id, id, distance): the k nearest of the reranked candidates of each query in this block."""
+def copies(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different vectors, starts, ids): the ids of vector i, ascending, are ids[starts[i]:starts[i + 1]]."""
+    different, which = np.unique(x, axis=0, return_inverse=True)
+    by = np.lexsort((ids, which.ravel()))
+    return different, np.concatenate(([0], np.cumsum(np.bincount(which.ravel(), minlength=len(different))))), ids[by]
+
+
+def search_block(q: np.ndarray, q_ids: np.ndarray, q_order: np.ndarray, x: np.ndarray, owner: tuple[np.ndarray, np.ndarray], files: tuple, k: int, share: float, least: int):
+    """Rows (query id, id, distance): the k nearest of the reranked candidates of each query in this block.
+
+    Candidates are different vectors, so that a vector with many copies cannot crowd out others; the ids of a vector come
+    back by `owner` = (starts, ids), of which the first k + 1 can matter.
+    """
     starts, rows, ranks = files
+    begin, ids = owner
     prefix = q_order.shape[1]
     out_q, out_id, out_d = [], [], []
     ranks = ranks.astype(np.int32)
     # what a shared pivot saves, of the footrule distance of two orders without a shared one
     at = np.arange(prefix)
     save = 2 * prefix - at[:, None] - at[None, :] - np.abs(at[:, None] - at[None, :])
-    want = min(len(ids), max(least, int(np.ceil(share * len(ids)))) + 1)  # one more, as the query may be among them
+    want = min(len(x), max(least, int(np.ceil(share * len(x)))) + 1)  # one more, as the query may be among them
     for i in range(len(q)):
-        saved = np.zeros(len(ids), np.int32)
+        saved = np.zeros(len(x), np.int32)
         for place, p in enumerate(q_order[i].tolist()):
             a, b = starts[p], starts[p + 1]
             saved[rows[a:b]] += save[place][ranks[a:b]]
         cut_at = np.partition(saved, len(saved) - want)[len(saved) - want]
         near = np.flatnonzero(saved >= cut_at)
-        near = near[ids[near] != q_ids[i]]
         d = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-        best = np.lexsort((ids[near], d))[:k]
+        if len(near) > k + 1:  # vectors beyond the (k + 1)-th distance cannot matter
+            reach = d <= np.partition(d, k)[k]
+            near, d = near[reach], d[reach]
+        lists = [ids[begin[v] : min(begin[v + 1], begin[v] + k + 1)] for v in near]
+        d, found = np.repeat(d, [len(v) for v in lists]), np.concatenate(lists)
+        d, found = d[found != q_ids[i]], found[found != q_ids[i]]
+        best = np.lexsort((found, d))[:k]
         out_q.append(np.full(len(best), q_ids[i]))
-        out_id.append(ids[near[best]])
+        out_id.append(found[best])
         out_d.append(d[best])
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_d)
 
@@ -104,14 +121,15 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     def index(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         ids, x = pack(t)
+        x, begin, ids = copies(ids, x)
         starts, posted, ranks = post(orders(x, pivot, prefix), len(pivot))
-        return pa.table({"block": pa.array([block], pa.int64()), "ids": [ids.tobytes()], "x": [x.tobytes()], "starts": [starts.tobytes()], "posted": [posted.tobytes()], "ranks": [ranks.tobytes()]})
+        return pa.table({"block": pa.array([block], pa.int64()), "begin": [begin.astype(np.int64).tobytes()], "ids": [ids.tobytes()], "x": [x.tobytes()], "starts": [starts.tobytes()], "posted": [posted.tobytes()], "ranks": [ranks.tobytes()]})
 
     def ask(t: pa.Table) -> pa.Table:
         ids, x = pack(t)
         return pa.table({"q_ids": [ids.tobytes()], "q": [x.tobytes()], "q_order": [orders(x, pivot, prefix).tobytes()]})
 
-    table = cut(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInArrow(index, "block long, ids binary, x binary, starts binary, posted binary, ranks binary"))
+    table = cut(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInArrow(index, "block long, begin binary, ids binary, x binary, starts binary, posted binary, ranks binary"))
     asked = rows.where(F.col("id") % every == 0)
     parts = max(1, -(-n // every // QUERY_ROWS))
     queries = cut(asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts))).groupBy("part").applyInArrow(ask, "q_ids binary, q binary, q_order binary"))
@@ -123,7 +141,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
             for r in b.to_pylist():
                 got = search_block(
                     np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_order"], np.int16).reshape(-1, prefix),
-                    np.frombuffer(r["x"]).reshape(-1, dim), np.frombuffer(r["ids"], np.int64), (np.frombuffer(r["starts"], np.int32), np.frombuffer(r["posted"], np.int32), np.frombuffer(r["ranks"], np.int16)), k, share, least,
+                    np.frombuffer(r["x"]).reshape(-1, dim), (np.frombuffer(r["begin"], np.int64), np.frombuffer(r["ids"], np.int64)), (np.frombuffer(r["starts"], np.int32), np.frombuffer(r["posted"], np.int32), np.frombuffer(r["ranks"], np.int16)), k, share, least,
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "vec_id", "score"])
 
