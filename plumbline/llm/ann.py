@@ -6,8 +6,8 @@ distance of the two orders (a pivot that is missing counts as rank `prefix`); th
 included, are reranked by exact Euclidean distance.
 
 Index rows lie in hash blocks of about `block_rows`, each one table row with its inverted files; queries lie in blocks
-too, and each pair of blocks is one bounded piece of work that returns k rows a query.  Pivots are a bounded sample
-(`pivots` rows, drawn by hash of the id).
+too, and each pair of blocks is one bounded piece of work that returns k rows a query.  Pivots are chosen from a bounded
+sample (SAMPLE rows, drawn by hash of the id).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut
 
-PIVOTS, PREFIX = 256, 128
+PIVOTS, PREFIX, SAMPLE = 256, 128, 2048
 #: Share of a block that is reranked, and the least number of rows.
 SHARE, LEAST = 0.1, 64
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
@@ -36,6 +36,22 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     return good.where(F.size("v") == (size["n"] if size else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
+def spread(sample: np.ndarray, pivots: int) -> np.ndarray:
+    """At most `pivots` rows of the sample, in its order: first those that keep half the median distance from all taken
+    before, so that copies and tight clusters do not use up the pivots; then, if these are few, other different rows."""
+    sample = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]
+    some = sample[:512]
+    typical = np.median(np.sqrt(np.maximum(0, (some * some).sum(1)[:, None] + (some * some).sum(1)[None] - 2 * some @ some.T))[np.triu_indices(len(some), 1)]) if len(some) > 1 else 0.0
+    apart = np.full(len(sample), np.inf)
+    taken = []
+    for i in range(len(sample)):
+        if len(taken) < pivots and apart[i] > typical / 2:
+            taken.append(i)
+            apart = np.minimum(apart, np.sqrt(((sample - sample[i]) ** 2).sum(1)))
+    rest = [i for i in range(len(sample)) if i not in set(taken)]
+    return sample[taken + rest[: pivots - len(taken)]]
+
+
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Nearest pivots of each row, nearest first, ties by pivot number."""
     d = (x * x).sum(1)[:, None] - 2 * (x @ pivots.T) + (pivots * pivots).sum(1)[None]
@@ -105,9 +121,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    # different vectors only: copies of one vector would waste pivots
-    sample = rows.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
-    pivot = np.array([r["v"] for r in sample])
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    pivot = spread(np.array([r["v"] for r in sample]), pivots)
     prefix = min(prefix, len(pivot))
     blocks, dim = max(1, -(-n // BLOCK_ROWS)), pivot.shape[1]
 
