@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, langid, packing, quality, sentencepiece_codec, sharding, simhash, toxicity
+from plumbline.llm import ann, html_extract, langid, packing, quality, sentencepiece_codec, sharding, simhash, toxicity
 from plumbline.llm.common import crc_fold, table
 
 
@@ -36,6 +36,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(docs, model).select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens, neighbours on the Hilbert curve together."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=2048, end_id=1)
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_html_extraction": op5_html_extraction,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_sharding": op9_sharding,
