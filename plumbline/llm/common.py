@@ -65,6 +65,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote and that nothing reads any more."""
+    for path in df.inputFiles()[:1]:
+        _remove(df.sparkSession, path.rsplit("/", 1)[0])
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty, without a round trip over Python strings."""
     col = batch.column(batch.schema.get_field_index(column))

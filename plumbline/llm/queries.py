@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, html_extract, langid, packing, quality, sentencepiece_codec, sharding, simhash, toxicity
+from plumbline.llm import ann, html_extract, langid, packing, ppm, quality, sentencepiece_codec, sharding, simhash, toxicity
 from plumbline.llm.common import crc_fold, table
 
 
@@ -52,6 +52,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels"))).drop("quality_p")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and PPM score of every document; learned where crc32(doc_id) modulo 7 is not 2."""
+    return ppm.score_documents(table(spark, sf_dir, "documents"), fold=(7, 2))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 of nearly equal bytes, equal texts together."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extraction": op5_html_extraction,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
     "op10_permutation_index": op10_permutation_index,
 }
