@@ -1,0 +1,78 @@
+"""Hypothesis tests as Column expressions over sufficient statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from plumbline.functions.special import binomial_tail, t_two_sided
+
+#: Share of the arithmetic ceiling within which a Grubbs statistic counts as having reached it.
+CEILING_TOLERANCE = 1e-12
+
+
+def leave_one_out(n: Column, total: Column, square: Column, x: Column) -> tuple[Column, Column]:
+    """(mean, sample sd) of a group without one of its values, from count, sum and sum of squares."""
+    m = n - 1
+    mean = (total - x) / m
+    var = (square - x * x - (total - x) * mean) / (m - 1)
+    return mean, F.sqrt(F.greatest(var, F.lit(0.0)))
+
+
+def grubbs(n: Column, g: Column) -> Column:
+    """struct(p, ceiling, degenerate, low_power) of a two-sided Grubbs statistic for the largest deviation of n values."""
+    limit = (n - 1) * (n - 1) / n
+    room = limit - g * g
+    degenerate = room <= CEILING_TOLERANCE * limit
+    t = F.sqrt(g * g * (n - 2) / F.when(~degenerate, room))
+    p = F.when(degenerate, F.when(n >= 6, 1e-6).otherwise(0.05)).otherwise(F.least(F.lit(1.0), n * t_two_sided(t, n - 2)))
+    return F.struct(p.alias("p"), ((n - 1) / F.sqrt(n)).alias("ceiling"), degenerate.alias("degenerate"), (n < 6).alias("low_power"))
+
+
+def last_point(latest: Column, n: Column, mean: Column, sd: Column) -> Column:
+    """struct(t, p) of a new value against n earlier ones; null where the history is flat."""
+    t = (latest - mean) / F.when(sd > 0, sd * F.sqrt(1 + 1 / n))
+    return F.struct(t.alias("t"), t_two_sided(t, n - 1).alias("p"))
+
+
+def persistence(hits: Column, periods: Column, members: Column) -> Column:
+    """p of holding an extreme rank `hits` times in `periods` among `members`; 1 up to the expected number."""
+    p0 = 1 / members.cast("double")
+    return F.when((periods < 4) | (members < 2), None).when(hits <= periods * p0, 1.0).otherwise(binomial_tail(hits, periods, p0))
+
+
+def welch(n1: Column, s1: Column, q1: Column, n2: Column, s2: Column, q2: Column) -> Column:
+    """struct(t, df, p, mean1, mean2, effect) from count, sum and sum of squares of two groups; null if untestable."""
+    m1, m2 = s1 / n1, s2 / n2
+    v1, v2 = F.greatest((q1 - s1 * m1) / (n1 - 1), F.lit(0.0)), F.greatest((q2 - s2 * m2) / (n2 - 1), F.lit(0.0))
+    e1, e2 = v1 / n1, v2 / n2
+    se = F.when((n1 > 1) & (n2 > 1) & (e1 + e2 > 0), e1 + e2)
+    t = (m1 - m2) / F.sqrt(se)
+    df = se * se / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1))
+    pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
+    return F.when(se.isNotNull(), F.struct(t.alias("t"), df.alias("df"), t_two_sided(t, df).alias("p"), m1.alias("mean1"), m2.alias("mean2"), ((m1 - m2) / F.when(pooled > 0, pooled)).alias("effect")))
+
+
+def correlation(n: Column, r: Column) -> Column:
+    """struct(t, p, low, high): test and 95 % Fisher interval of a correlation of n pairs (interval from n > 3)."""
+    t = r * F.sqrt((n - 2) / F.when(r * r < 1, 1 - r * r))
+    z, half = F.atanh(F.when(F.abs(r) < 1, r)), 1.959963984540054 / F.sqrt(F.when(n > 3, n - 3))
+    p = F.when(n < 3, None).when(r * r >= 1, 0.0).otherwise(t_two_sided(t, n - 2))
+    return F.struct(t.alias("t"), p.alias("p"), F.tanh(z - half).alias("low"), F.tanh(z + half).alias("high"))
+
+
+def benjamini_hochberg(df: DataFrame, p: str = "p", q: str = "q", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds q-values over the rows with a p.  One task sorts them: they are tests, bounded by the cells of one period."""
+    tested = df.where(F.col(p).isNotNull())
+    rank = F.row_number().over(Window.orderBy(p, *ties))
+    after = Window.orderBy("__rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ranked = tested.withColumn("__rank", rank).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    out = ranked.withColumn(q, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__rank")).over(after))).drop("__rank", "__n")
+    return out.unionByName(df.where(F.col(p).isNull()).withColumn(q, F.lit(None).cast("double")))
+
+
+def average_rank(value: str, by: list[str]) -> Column:
+    """Rank of a value within `by`, ties sharing the mean of their ranks."""
+    w = Window.partitionBy(*by).orderBy(value)
+    same = Window.partitionBy(*by, value)
+    return F.rank().over(w) + (F.count("*").over(same) - 1) / 2
