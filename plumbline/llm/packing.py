@@ -13,6 +13,7 @@ offsets by a join on a unique row id.
 from __future__ import annotations
 
 import os
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -27,7 +28,7 @@ from plumbline.llm.common import cut, texts
 DIMS, BITS = 4, 10
 _SCALE = 1 << 20
 #: Words kept in each worker's cache; once full it stays as it is (frequent words come early), and other words are encoded anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PARTS = 800_000, 600_000
 _LETTERS = regex.compile(r"[^\p{L}\p{N}']+|\p{L}+")
 
 
@@ -47,7 +48,7 @@ class WordTokenizer:
         self._parts: dict[str, bytes] = {}
 
     def _plain(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch(parts, add_special_tokens=False)]
 
     def _split(self, word: str) -> list[str]:
         """Parts that encode on their own; only plain ASCII words are split, others may compose under NFC."""
@@ -62,7 +63,7 @@ class WordTokenizer:
         fresh = dict(zip(new, self._plain(new), strict=True)) if new else {}
         known = self._parts
         found = {w: b"".join([fresh[p] if p in fresh else known[p] for p in parts]) for w, parts in split.items()}
-        if len(known) < CACHE_WORDS:
+        if len(known) < CACHE_PARTS:
             known.update(fresh)
         if len(self._words) < CACHE_WORDS:
             self._words.update(found)
