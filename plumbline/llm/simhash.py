@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     fps = cut(fingerprints(docs, text, words, seed, (id_col,)))
     distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    edges = link_forest(distinct, distinct.count(), distance, 4096 if distance < 5 else 16384)
+    edges = link_forest(distinct, distinct.count(), distance, 4096 if distance < 5 else 65536)
     parts = connected_components(edges)
     # only fingerprints with a link have a component; the smallest id of a component is found over fingerprints
     member = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("class"))
