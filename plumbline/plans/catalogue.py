@@ -29,11 +29,13 @@ KEY_SQL = {
 M = KEY_SQL["month"]
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, on_sales: bool = True):
+    """Register a query; `sql` goes on after the common table `sales` unless it stands alone."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = f"WITH {SALES_SQL}{sql}" if sql.lstrip().startswith((",", "SELECT")) else sql
+            ORACLE_SQL[f.__name__] = f"WITH {SALES_SQL}{sql}" if on_sales else sql
         return f
 
     return add
@@ -162,11 +164,10 @@ def latest_period(spark, sf_dir):
     return lookup.latest_period(sales_cells(spark, sf_dir, (), grains=("week",)), "week")
 
 
-EVENT_KEYS = {g: k.replace("day", "CAST(ts AS DATE)") for g, k in {"day": "strftime(day, '%Y')", **KEY_SQL}.items()}
 _EVENT_GRAINS = " UNION ALL ".join(f"SELECT '{g}' AS grain, count(DISTINCT {KEY_SQL[g]}) AS periods FROM (SELECT CAST(ts AS DATE) AS day FROM events WHERE value IS NOT NULL)" for g in GRAINS)
 
 
-@query(f"SELECT * FROM ({_EVENT_GRAINS}) WHERE periods >= 3".replace("SELECT *", "/**/SELECT *", 1))
+@query(f"SELECT * FROM ({_EVENT_GRAINS}) WHERE periods >= 3", on_sales=False)
 def usable_grains(spark, sf_dir):
     """Grains of the events with three periods or more."""
     return lookup.usable_grains(cube.build_cells(tables.events(spark, sf_dir), "day", tables.EVENT_DIMS, ["value"]))
@@ -205,8 +206,8 @@ def cell_count(spark, sf_dir):
     return cube.count_cells(sales_cells(spark, sf_dir))
 
 
-@query("""/**/SELECT * FROM (SELECT 'c_mktsegment' AS name, count(*) AS rows, count(c_mktsegment) AS non_null, count(DISTINCT c_mktsegment) AS "unique", 0 AS numbers FROM customer
-UNION ALL SELECT 'c_acctbal', count(*), count(c_acctbal), count(DISTINCT c_acctbal), count(c_acctbal) FROM customer)""")
+@query("""SELECT * FROM (SELECT 'c_mktsegment' AS name, count(*) AS rows, count(c_mktsegment) AS non_null, count(DISTINCT c_mktsegment) AS "unique", 0 AS numbers FROM customer
+UNION ALL SELECT 'c_acctbal', count(*), count(c_acctbal), count(DISTINCT c_acctbal), count(c_acctbal) FROM customer)""", on_sales=False)
 def profile_counts(spark, sf_dir):
     """Counts behind the role rules, for two columns of customer."""
     stats = profile.column_statistics(tables.read(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal"))
@@ -258,7 +259,7 @@ def grubbs_g(spark, sf_dir):
     return d.agg(F.count("*").alias("members"), F.round(F.max("d") / F.max("s"), 8).alias("g"))
 
 
-@query(f", {NATION_SQL}, t AS (SELECT count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM b) SELECT label, round((v - (s - v) / (n - 1)) / sqrt((q - v * v - (s - v) * (s - v) / (n - 1)) / (n - 2)), 5) AS d FROM b, t")
+@query(f", {NATION_SQL}, t AS (SELECT count(*) AS k, sum(v) AS s, sum(v * v) AS q FROM b) SELECT label, round((v - (s - v) / (k - 1)) / sqrt((q - v * v - (s - v) * (s - v) / (k - 1)) / (k - 2)), 5) AS d FROM b, t")
 def cohens_d(spark, sf_dir):
     """Distance of each nation from all others in their sds."""
     w = Window.partitionBy(F.lit(0))
@@ -322,7 +323,7 @@ VECTOR_SQL = f"v AS (SELECT n_name, sum(price) AS x, sum(quantity) AS y FROM sal
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
-    c = lookup.one_way(sales_cells(spark, sf_dir, ("n_name",), ("price", "quantity")).drop("measure_").where("dim_b IS NULL"), "n_name", "price", "month")
+    c = lookup.one_way(sales_cells(spark, sf_dir, ("n_name",), ("price", "quantity")), "n_name", "price", "month")
     q = lookup.one_way(sales_cells(spark, sf_dir, ("n_name",), ("quantity",)), "n_name", "quantity", "month")
     return c.where(F.col("period") == MONTH).select("val_a", F.col("sum").alias("x")).join(q.where(F.col("period") == MONTH).select("val_a", F.col("sum").alias("y")), "val_a")
 
@@ -340,7 +341,7 @@ def spearman_rho(spark, sf_dir):
     return v.select(tests.average_rank("x", ["o"]).alias("a"), tests.average_rank("y", ["o"]).alias("b")).agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 8).alias("rho"))
 
 
-@query("/**/SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) AS b, CAST(o_orderdate AS DATE) AS c, CAST(o_orderdate AS DATE) AS d, CAST(NULL AS DATE) AS e FROM orders")
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) AS b, CAST(o_orderdate AS DATE) AS c, CAST(o_orderdate AS DATE) AS d, CAST(NULL AS DATE) AS e FROM orders", on_sales=False)
 def date_shapes(spark, sf_dir):
     """Order dates written in four shapes and read back; one string is no date."""
     d = F.col("o_orderdate").cast("date")
@@ -355,10 +356,10 @@ def events_by_day(spark, sf_dir):
     return c.where("dim_a IS NOT NULL").select("period", F.col("val_a").alias("label"), "n", F.round("sum", 2).alias("value"))
 
 
-@query(", d AS (SELECT k AS df FROM (SELECT unnest([2, 4, 6, 10, 30]) AS k)), g AS (SELECT df, x / 4.0 AS t FROM d, range(1, 13) r(x)), s AS (SELECT df, t, cos(atan(t / sqrt(df))) AS c, sin(atan(t / sqrt(df))) AS n FROM g), f AS (SELECT df, t, c, n, unnest(range(0, df // 2)) AS j FROM s) SELECT df, t, round(1 - any_value(n) * sum(exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4.0)) * c ** (2 * j)), 9) AS p FROM f GROUP BY df, t".replace(", d AS", "/**/WITH d AS", 1))
+@query("WITH d AS (SELECT k AS df FROM (SELECT unnest([2, 4, 6, 10, 30]) AS k)), g AS (SELECT df, x / 4.0 AS t FROM d, range(1, 13) r(x)), s AS (SELECT df, t, cos(atan(t / sqrt(df))) AS c, sin(atan(t / sqrt(df))) AS n FROM g), f AS (SELECT df, t, c, n, unnest(range(0, df // 2)) AS j FROM s) SELECT df, t, round(1 - any_value(n) * sum(exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4.0)) * c ** (2 * j)), 9) AS p FROM f GROUP BY df, t", on_sales=False)
 def t_pvalue(spark, sf_dir):
     """Two-sided p of Student's t over a grid of even degrees of freedom, where a closed form exists."""
-    g = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in (2, 4, 6, 10, 30)])).alias("df"), F.sequence(F.lit(1), F.lit(12)).alias("s")).select("df", (F.explode("s") / 4.0).alias("t"))
+    g = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in (2, 4, 6, 10, 30)])).alias("df"), F.sequence(F.lit(1), F.lit(12)).alias("s")).select("df", F.explode("s").alias("x")).select("df", (F.col("x") / 4.0).alias("t"))
     return g.select("df", "t", F.round(special.t_two_sided(F.col("t"), F.col("df")), 9).alias("p"))
 
 
