@@ -24,7 +24,7 @@ def log_gamma(x: Column) -> Column:
 
 
 def _fraction(a: Column, b: Column, x: Column) -> Column:
-    """Continued fraction of the incomplete beta function, by the modified Lentz method, as a fold over half steps."""
+    """1 + d1/(1 + d2/(1 + ...)), whose inverse is the continued fraction of the incomplete beta function, by the modified Lentz method, as a fold over half steps."""
     guard = lambda v: F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
 
     def step(s: Column, k: Column) -> Column:
@@ -35,8 +35,7 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
         low, high = 1 / guard(1 + d * s["d"]), guard(1 + d / s["c"])
         return F.struct((s["f"] * low * high).alias("f"), high.alias("c"), low.alias("d"))
 
-    # c starts so large that the first step leaves it at 1
-    start = F.struct(F.lit(1.0).alias("f"), F.lit(1e300).alias("c"), F.lit(0.0).alias("d"))
+    start = F.struct(F.lit(1.0).alias("f"), F.lit(1.0).alias("c"), F.lit(0.0).alias("d"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(FRACTION_STEPS)), start, step, lambda s: s["f"])
 
 
@@ -46,7 +45,7 @@ def incomplete_beta(a: Column, b: Column, x: Column, rest: Column | None = None)
     direct = x < (a + 1) / (a + b + 2)
     p, q, u = F.when(direct, a).otherwise(b), F.when(direct, b).otherwise(a), F.when(direct, x).otherwise(y)
     front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(y))
-    part = front * _fraction(p, q, u) / p
+    part = front / (_fraction(p, q, u) * p)
     return F.when(x <= 0, 0.0).when(y <= 0, 1.0).otherwise(F.when(direct, part).otherwise(1 - part))
 
 
