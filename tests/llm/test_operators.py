@@ -77,7 +77,7 @@ def test_simhash_of_odd_documents(spark):
 
 def test_quality_counts():
     m = quality.measure("a b c a b c x\nfoo #\nfoo #\n \n".encode())
-    assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == (11, 17, 2, 1, 6)
+    assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == (11, 15, 2, 1, 6)
     assert quality.measure(b"").base_failed
     rng = random.Random(5)
     for _ in range(200):
