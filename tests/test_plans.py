@@ -39,3 +39,23 @@ def test_narration_guard():
     assert narration.narrate(card, writer=lambda x: "West fell 12% to $1.2M")["source"] == "writer"
     assert narration.narrate(card, writer=lambda x: "West lost 47,000")["source"] == "template"
     assert narration.narrate(card, writer=lambda x: 1 / 0)["text"] == card["summary"]
+
+
+def test_notes(spark):
+    from datetime import date
+
+    from plumbline.plans import notes
+
+    assert notes.extract_dates("on 2024-03-05, in Q3 2024 and March 2023") == [(date(2024, 3, 5),) * 2, (date(2024, 7, 1), date(2024, 9, 30)), (date(2023, 3, 1), date(2023, 3, 31))]
+    text = "# Incidents\n- 2024-03-05: warehouse fire in West\n- February 2024 strike\n- 2019-01-01 old\n- West is large\n"
+    hits = notes.retrieve(notes.index_notes(spark, text, ["West"]), "2024-03", "month", ["West"]).collect()
+    assert [h["id"] for h in hits] == [0, 1, 3]
+
+
+def test_brief(spark):
+    from plumbline.plans import brief
+
+    df = spark.createDataFrame([(f"2024-{1 + i % 9:02d}-01", "ab"[i % 2], float(i)) for i in range(90)], "day string, side string, revenue double")
+    p = profile(df)
+    b = brief.build_brief(p, build_cells(df, p.time, p.dim_names(), p.measure_names()))
+    assert any("too few" in g["text"] for g in b["gotchas"]) and "revenue" in brief.to_markdown(b)
