@@ -11,6 +11,11 @@ FRACTION_STEPS = 200
 _TINY = 1e-300
 
 
+def let(f, **values: Column) -> Column:
+    """f of named values, each computed once: they become fields of a lambda variable instead of being repeated in the plan."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), F.lit(0))
+
+
 def log_gamma(x: Column) -> Column:
     """ln of the gamma function for x > 0: Stirling's series at x + 10, shifted back by the product."""
     z = x + 10.0
@@ -42,18 +47,26 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
 def incomplete_beta(a: Column, b: Column, x: Column, rest: Column | None = None) -> Column:
     """Regularised I_x(a, b); `rest` is 1 - x where it is known more exactly."""
     y = 1 - x if rest is None else rest
-    direct = x < (a + 1) / (a + b + 2)
-    p, q, u = F.when(direct, a).otherwise(b), F.when(direct, b).otherwise(a), F.when(direct, x).otherwise(y)
-    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(y))
-    part = front / (_fraction(p, q, u) * p)
-    return F.when(x <= 0, 0.0).when(y <= 0, 1.0).otherwise(F.when(direct, part).otherwise(1 - part))
+
+    def inside(v: Column) -> Column:
+        direct = v["x"] < (v["a"] + 1) / (v["a"] + v["b"] + 2)
+        front = F.exp(log_gamma(v["a"] + v["b"]) - log_gamma(v["a"]) - log_gamma(v["b"]) + v["a"] * F.log(v["x"]) + v["b"] * F.log(v["y"]))
+        pick = lambda one, other: F.when(direct, v[one]).otherwise(v[other])
+        part = let(lambda w: w["front"] / (_fraction(w["p"], w["q"], w["u"]) * w["p"]), p=pick("a", "b"), q=pick("b", "a"), u=pick("x", "y"), front=front)
+        return F.when(v["x"] <= 0, 0.0).when(v["y"] <= 0, 1.0).otherwise(F.when(direct, part).otherwise(1 - part))
+
+    return let(inside, a=a, b=b, x=x, y=y)
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
     """Two-sided p of Student's t.  Infinite or undefined t: 0; no degrees of freedom: null."""
-    square, n = t * t, df.cast("double")
-    p = incomplete_beta(n / 2, F.lit(0.5), n / (n + square), square / (n + square))
-    return F.when(~(n > 0), None).when(F.isnan(t) | (F.abs(t) == float("inf")), 0.0).when(t == 0, 1.0).otherwise(F.least(F.lit(1.0), p))
+
+    def inside(v: Column) -> Column:
+        square, n = v["t"] * v["t"], v["n"]
+        p = incomplete_beta(n / 2, F.lit(0.5), n / (n + square), square / (n + square))
+        return F.when(~(n > 0), None).when(F.isnan(v["t"]) | (F.abs(v["t"]) == float("inf")), 0.0).when(v["t"] == 0, 1.0).otherwise(F.least(F.lit(1.0), p))
+
+    return let(inside, t=t, n=df.cast("double"))
 
 
 def t_cdf(t: Column, df: Column) -> Column:
