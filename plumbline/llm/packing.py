@@ -28,7 +28,7 @@ from plumbline.llm.common import cut, texts
 DIMS, BITS = 4, 10
 _SCALE = 1 << 20
 #: Words kept in each worker's cache; once full it stays as it is (frequent words come early), and other words are encoded anew.
-CACHE_WORDS, CACHE_PARTS = 800_000, 600_000
+CACHE_WORDS, CACHE_PARTS = 900_000, 700_000
 _LETTERS = regex.compile(r"[^\p{L}\p{N}']+|\p{L}+")
 
 
@@ -133,13 +133,13 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, narrow: bool) -> D
 
     def run(batches):
         encode, at = tokenizer(path).encode, TaskContext.get().partitionId() << 36
-        vectors = hashed_vectors(1 << 16)
+        vectors = hashed_vectors(1 << 16).astype(np.float64)
         tail = np.array([end_id], "<u4").tobytes()
         for big in batches:
             for start in range(0, big.num_rows, 256):
                 b = big.slice(start, 256)
                 ids = [np.frombuffer(encode(t) + tail, "<u4") for t in texts(b)]
-                mean = np.array([vectors[x & 0xFFFF].mean(0, dtype=np.float64) for x in ids]).reshape(-1, DIMS)
+                mean = np.array([np.ones(len(x)) @ vectors[x & 0xFFFF] / len(x) for x in ids]).reshape(-1, DIMS)
                 fixed = np.rint(mean * _SCALE).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(at, at + len(ids))), b.column(0), pa.array([x.astype(width).tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())] + [pa.array(fixed[:, i]) for i in range(DIMS)],
