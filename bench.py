@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from plumbline.plans import catalogue
 
-HEADLINE = ("breakdown", "trend", "contribution", "cells_month", "cells_pair", "profile_counts", "percentiles", "welch_t", "discover_candidates")
+HEADLINE = ("breakdown", "trend", "contribution", "cells_month", "cells_pair", "profile_counts", "percentiles", "welch_t")
 
 
 def main() -> None:
