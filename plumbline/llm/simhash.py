@@ -204,7 +204,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
-    """The documents that are the first of their near-duplicate component, all columns kept; no id: the row stays."""
-    found = near_duplicates(docs, "doc_id", "text", words, distance)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep["__keep"]), "left_semi")
+    """The first row of each near-duplicate component, by doc_id (nulls last) and then by place; all columns kept.
+
+    Rows are told apart by a number of their own, so rows with no id or a repeated id take part like any other.
+    """
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return _first_rows(rows, near_duplicates(rows, "__row", "text", words, distance))
+
+
+def _first_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of `rows` for each component_id of found (__row, component_id)."""
+    ranked = rows.select("__row", "doc_id").join(found.select("__row", "component_id"), "__row")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first"))
+    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*[c for c in rows.columns if c != "__row"])

@@ -42,6 +42,14 @@ def test_simhash(docs, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_keeps_one_row_a_component(spark):
+    text = lambda seed: " ".join(f"w{seed}x{i * i % 97}" for i in range(80))
+    rows = [(None, text(1), 0), (5, text(2), 1), (5, text(2), 2), (5, text(3), 3), (7, text(3), 4), (None, text(2), 5), (None, text(4), 6), (None, text(4), 7)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, place int")).collect()
+    assert sorted(r.text for r in kept) == sorted(text(k) for k in (1, 2, 3, 4))
+    assert {r.doc_id for r in kept if r.text in (text(2), text(3))} == {5}
+
+
 def test_packing_covers_each_id_once(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs, path, max_tokens=64).collect()
