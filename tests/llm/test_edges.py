@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns with clashing names."""
 
+import random
+
 import public_tokenizers
 import pytest
 
@@ -50,6 +52,38 @@ def test_deduplicate_keeps_one_row_a_component(spark):
     assert {r.doc_id for r in kept if r.text in (text(2), text(3))} == {5}
 
 
+def test_verified_copies_are_those_of_jaccard(spark, docs, empty):
+    rng = random.Random(9)
+    rows, words = [], []
+    for k in range(40):
+        words.append([f"w{rng.randrange(3000)}" for _ in range(200)])
+        rows.append((3 * k, " ".join(words[k])))
+        for i, changes in ((1, 3), (2, 9)):  # Jaccard about 0.85 and about 0.6
+            w = list(words[k])
+            for at in range(changes):
+                w[10 + at * (180 // changes)] = f"new{k}x{at}"
+            rows.append((3 * k + i, " ".join(w)))
+    grams = {i: set(zip(*[t.split()[n:] for n in range(5)], strict=False)) for i, t in rows}
+    want = {frozenset((i, j)) for i in grams for j in grams if i < j and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
+    assert len(want) == 40
+    df = spark.createDataFrame(rows, "__row long, text string")
+    part = {r["__row"]: r.component_id for r in simhash.verified_copies(df).collect()}
+    got = {frozenset((i, j)) for i in part for j in part if i < j and part[i] == part[j]}
+    assert got <= want and len(got) >= 38
+    kept = simhash.deduplicate_verified(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "6", "7", "8", "None"]
+    assert simhash.deduplicate_verified(empty).count() == 0
+
+
+def test_large_groups_of_near_copies_are_cut_into_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 20)
+    base = " ".join(f"w{i}" for i in range(150))
+    df = spark.range(90).selectExpr("id AS __row", f"CASE WHEN id < 70 THEN concat('{base} end', id) ELSE concat_ws(' ', transform(sequence(1, 100), x -> concat('o', id, 'x', x))) END AS text")
+    part = {r["__row"]: r.component_id for r in simhash.verified_copies(df).collect()}
+    assert [part[i] for i in range(90)] == [0] * 70 + list(range(70, 90))
+
+
 def test_packing_covers_each_id_once(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs, path, max_tokens=64).collect()
