@@ -7,7 +7,7 @@ import uuid
 import weakref
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space and the five ASCII controls tab to carriage return.
@@ -82,11 +82,12 @@ def crc_fold(doc_id, modulus: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
-def draw(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], max_chars: int, fold: tuple[int, int] | None = None) -> dict[int, list]:
+def draw(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], max_total: int, fold: tuple[int, int] | None = None) -> dict[int, list]:
     """Texts of at most most[value] documents for each label value, the first by hash of the id: rows (h, doc_id, t).
 
     Ids are drawn first, over narrow columns; only the drawn ids (bounded by `most`) are broadcast to fetch texts, so no
-    text is shuffled.  `fold` = (modulus, remainder that is left out).  Null labels and null texts are not drawn.
+    text but theirs is shuffled.  Texts are whole: a label is drawn until its texts hold `max_total` characters, and the text that
+    reaches the bound is the last.  `fold` = (modulus, remainder that is left out).  Null labels and null texts are not drawn.
     """
     ids = docs.where("text IS NOT NULL").select("doc_id").distinct()
     pairs = ids.join(labels.where(F.col(label).isin(list(most))).select("doc_id", F.col(label).alias("__y")).distinct(), "doc_id")
@@ -96,7 +97,9 @@ def draw(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], m
     for value, limit in most.items():
         part = pairs.where(F.col("__y") == value).select(F.xxhash64("doc_id").alias("h"), "doc_id", "__y").orderBy("h", "doc_id").limit(limit)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, max_chars).alias("t")).join(F.broadcast(picked), "doc_id").collect()
+    before = Window.partitionBy("__y").orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
+    held = docs.where("text IS NOT NULL").select("doc_id", F.col("text").alias("t")).join(F.broadcast(picked), "doc_id")
+    rows = held.withColumn("__before", F.sum(F.length("t")).over(before)).where(F.coalesce("__before", F.lit(0)) < max_total).drop("__before").collect()
     found: dict[int, list] = {value: [] for value in most}
     for r in sorted(rows, key=lambda r: (r["h"], str(r["doc_id"]), r["t"])):
         found[r["__y"]].append(r)

@@ -166,13 +166,13 @@ def fit(texts_by_language: dict[str, list[str]], epochs: int = 10, batch: int =
     return net
 
 
-def train(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), max_docs: int = 400, max_chars: int = 20_000) -> Network:
-    """Fit on at most `max_docs` documents of each language, leaving out the fold (modulus, remainder)."""
+def train(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), max_docs: int = 400, max_total: int = 30_000_000) -> Network:
+    """Fit on at most `max_docs` whole documents of each language (fewer once they hold `max_total` characters), leaving out the fold (modulus, remainder)."""
     named = docs.where("lang IS NOT NULL")
     languages = [r["lang"] for r in named.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
         return fit({})
-    drawn = draw(docs, named.select("doc_id", "lang"), "lang", dict.fromkeys(languages, max_docs), max_chars, fold)
+    drawn = draw(docs, named.select("doc_id", "lang"), "lang", dict.fromkeys(languages, max_docs), max_total, fold)
     return fit({k: [r["t"] for r in v] for k, v in drawn.items()})
 
 

@@ -146,13 +146,13 @@ def fit(raws: list[bytes], good: np.ndarray, steps: int = 80, rate: float = 1.0,
     return Model(w[:SIZE].astype(np.float32), w[SIZE:].astype(np.float32), float(a), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int = 20_000) -> Model:
-    """Fit on at most `max_rows` labelled documents of each label, each read up to `max_chars` characters.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_total: int = 30_000_000) -> Model:
+    """Fit on at most `max_rows` labelled whole documents of each label, or fewer once they hold `max_total` characters.
 
     Both bounds hold for the sample of the fit only.  Null labels and null texts are not drawn.  A document labelled
     twice is drawn for each of its labels.
     """
-    drawn = draw(docs, labels, "quality", {0: max_rows, 1: max_rows}, max_chars)
+    drawn = draw(docs, labels, "quality", {0: max_rows, 1: max_rows}, max_total)
     # interleave by hash so that the rows held back for calibration hold both labels
     rows = sorted([(r["h"], str(r["doc_id"]), q, r["t"]) for q, part in drawn.items() for r in part])
     return fit([r[3].encode() for r in rows], np.array([r[2] for r in rows], np.float64))

@@ -267,9 +267,9 @@ def fit(toxic: list[str], clean: list[str], least: float = 0.8, odds: float | No
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int | None = 5, max_toxic: int = 1500, max_clean: int = 3000, max_chars: int = 20_000) -> Model:
-    """Fit on a bounded sample of labelled documents whose crc32(doc_id) modulo `fold` is not 0 (None: all labelled)."""
-    drawn = draw(docs, labels, "toxic", {1: max_toxic, 0: max_clean}, max_chars, (fold, 0) if fold else None)
+def train(docs: DataFrame, labels: DataFrame, fold: int | None = 5, max_toxic: int = 1500, max_clean: int = 3000, max_total: int = 30_000_000) -> Model:
+    """Fit on a bounded sample of whole labelled documents whose crc32(doc_id) modulo `fold` is not 0 (None: all labelled)."""
+    drawn = draw(docs, labels, "toxic", {1: max_toxic, 0: max_clean}, max_total, (fold, 0) if fold else None)
     # the odds over all labelled documents; the sample holds fewer clean ones
     known = labels.where("toxic IN (0, 1)")
     sizes = {r["toxic"]: r["n"] for r in (known.where(crc_fold("doc_id", fold) != 0) if fold else known).groupBy("toxic").agg(F.count("*").alias("n")).collect()}

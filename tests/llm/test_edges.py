@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 
 from plumbline.llm import ann, html_extract, langid, packing, ppm, quality, sharding, simhash, toxicity
+from plumbline.llm.common import draw
 from plumbline.llm.sentencepiece_codec import digests, encode
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, size long, score double, hub string"
@@ -36,6 +37,15 @@ def test_row_by_row_operators(spark, docs, empty):
     assert lang[3] == lang[4] == lang[5] == "und" and lang[1] == "en"
 
 
+def test_drawn_texts_are_whole(spark):
+    late = "word " * 5000 + "moron"
+    docs = spark.createDataFrame([(i, late) for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    drawn = draw(docs, labels, "toxic", {1: 9, 0: 9}, 1_000_000)
+    assert [r["t"] for r in drawn[1]] == [r["t"] for r in drawn[0]] == [late] * 2
+    assert [r["t"] for r in draw(docs, labels, "toxic", {1: 9, 0: 9}, 10)[1]] == [late]
+
+
 def test_simhash(docs, empty):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == docs.count()
