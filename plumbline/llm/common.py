@@ -19,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a session without one (tests) gets its own under /tmp."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    A local session without that setting gets a folder under /tmp; a cluster without it is an error, since executors
+    would write where the others cannot read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "/tmp/checkpoints/plumbline"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -71,6 +77,28 @@ def forget(df: DataFrame) -> None:
         _remove(df.sparkSession, path.rsplit("/", 1)[0])
 
 
+#: Keys that hold more than 1 / HEAVY of the rows of a lookup are answered by broadcast: fewer than HEAVY of them exist.
+HEAVY, HEAVY_LEAST = 1024, 32
+
+
+def heavy_keys(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The keys with more than n / HEAVY (and HEAVY_LEAST) of the n rows: fewer than HEAVY rows, whatever n."""
+    return rows.groupBy(key).count().where(F.col("count") > max(HEAVY_LEAST, n / HEAVY)).select(key)
+
+
+def lookup(rows: DataFrame, key: str, values: DataFrame, heavy: DataFrame, spread: str) -> DataFrame:
+    """rows left joined with values (key and others; one row a key), so that no frequent key meets in one task.
+
+    The values of `heavy` keys (see heavy_keys) are broadcast; their rows are dealt by `spread`, a column of rows.
+    """
+    wanted = [c for c in values.columns if c != key]
+    few = values.join(F.broadcast(heavy), key).select(F.col(key), F.lit(True).alias("__heavy"), *[F.col(c).alias(f"__few_{c}") for c in wanted])
+    marked = rows.join(F.broadcast(few), key, "left").withColumn("__deal", F.when(F.col("__heavy"), F.pmod(F.xxhash64(spread), F.lit(HEAVY)) + 1).otherwise(0))
+    rest = values.select(key, F.lit(0).cast("long").alias("__deal"), *[F.col(c).alias(f"__own_{c}") for c in wanted])
+    joined = marked.join(rest, [key, "__deal"], "left")
+    return joined.select(*rows.columns, *[F.when(F.col("__heavy"), F.col(f"__few_{c}")).otherwise(F.col(f"__own_{c}")).alias(c) for c in wanted])
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty, without a round trip over Python strings."""
     col = batch.column(batch.schema.get_field_index(column))

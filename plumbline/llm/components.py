@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, forget, heavy_keys, lookup
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) edges -> (node, component), component being the smallest node reachable.
 
-    Each round replaces every edge (u, v) by one from v to the smallest vertex it touches (hook) and then follows
-    parents once more (jump), so the number of rounds grows with the logarithm of the longest chain.  Both steps are
-    hash aggregates with map-side minima: a hub of any degree costs one row per task, and no neighbour list is built.
-    Isolated vertices are not vertices of the edge table and get no row.  Null ends are dropped, loops are harmless.
+    Each round gives every vertex the smallest label next to it, passes that on to the vertex that is its present label
+    (hook), and then follows labels once more (jump), so the number of rounds grows with the logarithm of the longest
+    chain.  The minima are hash aggregates with map-side partials.  The joins that could meet a hub (all edges of one
+    vertex) or a hot label (all vertices of one component) answer such keys by broadcast, of fewer than 1,024 rows.
+    Isolated vertices are not vertices of the edge table and get no row.  Null ends are dropped; repeated edges and loops
+    are harmless; an empty table gives no rows; other columns take no part.
     Raises if the labels still move after `rounds` rounds.
     """
     both = edges.where("u IS NOT NULL AND v IS NOT NULL").select("u", "v")
     both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    hubs = cut(heavy_keys(both, "v", both.count()))
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label")))
+    n = labels.count()
     for _ in range(rounds):
-        near = (
-            both.join(labels.withColumnRenamed("node", "v"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        # hooking: a vertex, and also the vertex that is its present label, take the smallest label next to them
-        hooked = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        roots = hooked.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("root_low"))
-        step = hooked.join(roots, hooked.label == roots.root, "left").select(
-            "node", F.col("label").alias("was"), F.least("low", F.coalesce("root_low", "low")).alias("label")
-        )
-        step = cut(step)
-        jump = step.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
-        new = step.join(jump, step.label == jump["at"], "left").select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label"))
-        new = cut(new)
+        near = lookup(both, "v", labels.withColumnRenamed("node", "v"), hubs, "u").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        hooked = cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
+        roots = hooked.groupBy("label").agg(F.min("low").alias("root_low"))
+        step = lookup(hooked, "label", roots, heavy_keys(hooked, "label", n), "node")
+        step = cut(step.select("node", F.col("label").alias("was"), F.least("low", "root_low").alias("label")))
+        beyond = step.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        new = lookup(step, "label", beyond, heavy_keys(step, "label", n), "node")
+        new = cut(new.select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")))
         moved = new.where("was <> label").limit(1).count()
+        for done in (labels, hooked, step):
+            forget(done)
         labels = new.select("node", "label")
         if not moved:
+            forget(both), forget(hubs)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components still changing after {rounds} rounds")

@@ -1,13 +1,15 @@
 """SimHash near-duplicate detection by segment-popcount embedding.
 
-A 64-bit fingerprint is cut into 32 two-bit segments and mapped to its 32 bit counts (each 0, 1 or 2).  The Manhattan
-distance of two such vectors never exceeds the Hamming distance of the fingerprints, so it prunes without losing links:
+A 64-bit fingerprint is cut into 32 two-bit segments and mapped to its 32 bit counts (each 0, 1 or 2), held in unary
+(00, 01, 11), so that the Manhattan distance of two vectors is the bit count of their xor.  It never exceeds the Hamming
+distance of the fingerprints, so it prunes without losing links:
 
 * grid: the segments form `b` blocks.  A pair at Manhattan distance <= d touches at most d blocks, so it agrees on the
   counts of at least b - d of them; every choice of b - d blocks is one grid, and its counts are the cell.  A pair within
   reach meets in a cell of at least one grid.
-* range: inside a cell, rows are ordered by total bit count and only rows whose totals differ by <= d are compared.
-* verify: what is left is compared exactly by xor and bit count.
+* range: inside a cell, rows are ordered by total bit count, only rows whose totals differ by <= d meet, and of those
+  only pairs at Manhattan distance <= d go on.
+* verify: what is left is compared exactly by Hamming distance.
 
 Equal fingerprints collapse to one row before the grid, so groups of copies of any size cost one vertex.  A cell with
 more than `block_rows` rows is cut into chunks, and each pair of chunks is one bounded task.  A task returns a spanning
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, texts
+from plumbline.llm.common import cut, forget, heavy_keys, lookup, texts
 from plumbline.llm.components import connected_components
 
 SEGMENTS = 32
@@ -70,13 +72,15 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 5, seed: int
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
-    """Bit counts of the two-bit segments, packed two bits each, as in the usual parallel bit count."""
+    """Bit counts of the two-bit segments in unary: the low bit of a segment says one or more, the high bit two."""
     x = fps.view(np.uint64)
-    return x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    low = np.uint64(0x5555555555555555)
+    high_bits, low_bits = (x >> np.uint64(1)) & low, x & low
+    return (high_bits | low_bits) | ((high_bits & low_bits) << np.uint64(1))
 
 
 def grids(blocks: int, distance: int) -> list[np.ndarray]:
-    """Masks over the packed counts, one for each choice of blocks - distance blocks."""
+    """Masks over the counts, one for each choice of blocks - distance blocks."""
     edge = [round(i * SEGMENTS / blocks) for i in range(blocks + 1)]
     part = [sum(3 << (2 * s) for s in range(edge[i], edge[i + 1])) for i in range(blocks)]
     return [np.uint64(sum(part[i] for i in pick)) for pick in combinations(range(blocks), blocks - distance)]
@@ -107,12 +111,14 @@ def forest(fps_a: np.ndarray, fps_b: np.ndarray, distance: int, band: int = 1 <<
     a, b, sa, sb = fps_a[oa].view(np.uint64), fps_b[ob].view(np.uint64), ones_a[oa], ones_b[ob]
     lo, hi = np.searchsorted(sb, sa - distance, "left"), np.searchsorted(sb, sa + distance, "right")
     shift = 0 if same else len(fps_a)
+    counts_a, counts_b = segment_counts(a), segment_counts(b)
     us, vs = [], []
     step = max(1, band // max(1, len(b)))
     for i in range(0, len(a), step):
         j0, j1 = int(lo[i : i + step].min()), int(hi[i : i + step].max())
-        near = np.bitwise_count(a[i : i + step, None] ^ b[None, j0:j1]) <= distance
-        for x, y in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
+        x, y = np.nonzero(np.bitwise_count(counts_a[i : i + step, None] ^ counts_b[None, j0:j1]) <= distance)
+        near = np.bitwise_count(a[i + x] ^ b[j0 + y]) <= distance
+        for x, y in zip(x[near].tolist(), y[near].tolist(), strict=True):
             u, v = int(oa[i + x]), int(ob[j0 + y]) + shift
             if u == v or (same and u > v):
                 continue
@@ -192,15 +198,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     fps = cut(fingerprints(docs, text, words, seed, (id_col,)))
     distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    edges = link_forest(distinct, distinct.count(), distance, 4096 if distance < 5 else 65536)
+    n = distinct.count()
+    edges = link_forest(distinct, n, distance, 4096 if distance < 5 else 65536)
     parts = connected_components(edges)
     # only fingerprints with a link have a component; the smallest id of a component is found over fingerprints
-    member = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("class"))
-    named = member.groupBy("class").agg(F.min("least_id").alias("component_id"))
-    moved = member.join(named, "class").where("component_id <> least_id OR least_id IS NULL").select("fp", "component_id")
-    lone = fps.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    label = lone.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(label, "fp").select(id_col, "fp", "component_id")
+    linked = cut(distinct.join(parts, distinct.fp == parts.node).select("fp", "least_id", F.col("component").alias("class")))
+    named = linked.groupBy("class").agg(F.min("least_id").alias("component_id"))
+    moved = lookup(linked, "class", named, heavy_keys(linked, "class", n), "fp").select("fp", "component_id")
+    label = cut(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
+    forget(parts), forget(linked), forget(distinct)
+    return lookup(fps, "fp", label, heavy_keys(fps, "fp", fps.count()), id_col)
 
 
 def deduplicate(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
@@ -401,6 +408,7 @@ def verified_copies(rows: DataFrame, words: int = 5, least: float = 0.8, seed: i
     distinct = cut(prints.groupBy("copy").agg(F.min_by(F.struct("__row", "prints"), "__row").alias("least")).select("copy", F.col("least.__row").alias("node"), F.col("least.prints").alias("prints")))
     groups = connected_components(candidate_forest(distinct))
     members = cut(rows.select(F.col("__row").alias("node"), "text").join(groups, "node").select("component", "node", "text"))
+    forget(groups)
 
     def links(batches):
         for t in _groups(batches, 3):
@@ -412,8 +420,10 @@ def verified_copies(rows: DataFrame, words: int = 5, least: float = 0.8, seed: i
     keys = ["component", "p", "q"]
     paired = _pairs_of_chunks(members, ["component"], "node", GROUP_ROWS).select(*keys, "node", "text")
     true = connected_components(paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(links, "u long, v long"))
-    named = distinct.join(true, "node", "left").select("copy", F.coalesce("component", "node").alias("component_id"))
-    return prints.select("__row", "copy").join(named, "copy").select("__row", "component_id")
+    named = cut(distinct.join(true, "node", "left").select("copy", F.coalesce("component", "node").alias("component_id")))
+    forget(members), forget(true), forget(distinct)
+    found = prints.select("__row", "copy")
+    return lookup(found, "copy", named, heavy_keys(found, "copy", found.count()), "__row").select("__row", "component_id")
 
 
 def deduplicate_verified(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
