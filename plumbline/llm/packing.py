@@ -5,27 +5,30 @@ mean and spread over all documents, cut to `BITS` bits, and turned into a Hilber
 that key and laid end to end; the line is cut every `max_tokens` tokens.  Neighbours on the curve so share sequences, and
 only the last sequence is not full.
 
-The line is built without a global window: token arrays are written once, light rows (key, id, length) are range-sorted
-and summed inside each partition, one total per partition goes through the driver, and the token arrays meet their
-offsets by a join on a unique row id.
+The line is built without a global window.  Light rows (key, row, length) are range-sorted, and each range gives its first
+row and its number of tokens; so the driver learns where each range begins on the line (one row a range, and a range holds
+about RANGE_BYTES of ids).  Then the token arrays are dealt by range, sorted, and cut while the place on the line is counted.
+Token arrays are written once and shuffled once, at every size.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
+from bisect import bisect_right
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, texts
 
 DIMS, BITS = 4, 10
+RANGE_BYTES = 32 << 20
 _SCALE = 1 << 20
 #: Words kept in each worker's cache; once full it stays as it is (frequent words come early), and other words are encoded anew.
 CACHE_WORDS, CACHE_PARTS = 900_000, 700_000
@@ -150,70 +153,91 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, narrow: bool) -> D
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def curve_keys(light: DataFrame) -> DataFrame:
-    """Adds `key`: standardised coordinates, squashed to the unit interval, cut to BITS bits, on the Hilbert curve."""
+def curve(light: DataFrame):
+    """Function of fixed-point coordinates (n, DIMS) to keys: standardised by mean and spread over all documents, squashed to
+    the unit interval, cut to BITS bits, on the Hilbert curve."""
     whole = "decimal(38,0)"
     sums = light.agg(F.count("*").alias("rows"), *[F.sum(F.col(f"c{i}").cast(whole)).alias(f"s{i}") for i in range(DIMS)], *[F.sum(F.col(f"c{i}").cast(whole) * F.col(f"c{i}").cast("decimal(20,0)")).alias(f"q{i}") for i in range(DIMS)]).first()
     rows = max(1, sums["rows"])
     mean = np.array([float(sums[f"s{i}"] or 0) / rows for i in range(DIMS)])
     spread = np.sqrt(np.maximum(np.array([float(sums[f"q{i}"] or 0) / rows for i in range(DIMS)]) - mean**2, 1.0))
 
-    def run(batches):
-        for b in batches:
-            x = np.array([b.column(i + 3).to_numpy(zero_copy_only=False) for i in range(DIMS)], np.float64).T
-            unit = 1 / (1 + np.exp(-1.7 * np.clip((x - mean) / spread, -8, 8)))
-            key = hilbert_key(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(key)], names=["row", "doc_id", "n", "key"])
+    def keys(columns: list[pa.Array]) -> np.ndarray:
+        x = np.array([c.to_numpy(zero_copy_only=False) for c in columns], np.float64).T
+        unit = 1 / (1 + np.exp(-1.7 * np.clip((x - mean) / spread, -8, 8)))
+        return hilbert_key(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
-    cols = light.select("row", "doc_id", "n", *[f"c{i}" for i in range(DIMS)])
-    return cols.mapInArrow(run, f"row long, doc_id {light.schema['doc_id'].dataType.simpleString()}, n long, key long")
+    return keys
 
 
-def line_offsets(keyed: DataFrame) -> DataFrame:
-    """(row, begin): where each document begins on the line of all tokens, in the order (key, doc_id, row)."""
+def ranges(light: DataFrame, keys, count: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """First (key, row) of each of about `count` ranges of all documents in the order (key, row), and where it begins on the line."""
 
-    def run(batches):
-        part, total = TaskContext.get().partitionId(), 0
+    def place(batches):
         for b in batches:
-            n = b.column(1).to_numpy(zero_copy_only=False)
-            ends = total + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column(0), pa.array(ends - n), pa.array(ends)], names=["part", "row", "local", "ends"])
-            total = int(ends[-1]) if len(ends) else total
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys([b.column(i + 2) for i in range(DIMS)]))], names=["row", "n", "key"])
 
-    order = ["key", "doc_id", "row"]
-    placed = cut(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n").mapInArrow(run, "part int, row long, local long, ends long"))
-    totals = placed.groupBy("part").agg(F.max("ends").alias("total"))  # one row a partition: the number of partitions bounds it
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    return placed.join(F.broadcast(before), "part").select("row", (F.col("before") + F.col("local")).alias("begin"))
+    def total(batches):
+        first, tokens = None, 0
+        for b in batches:
+            if b.num_rows:
+                first = first or (b.column(0)[0].as_py(), b.column(1)[0].as_py())
+                tokens += int(b.column(2).to_numpy(zero_copy_only=False).sum())
+        if first:
+            yield pa.RecordBatch.from_pylist([{"key": first[0], "row": first[1], "n": tokens}])
+
+    keyed = light.select("row", "n", *[f"c{i}" for i in range(DIMS)]).mapInArrow(place, "row long, n long, key long")
+    found = keyed.select("key", "row", "n").repartitionByRange(count, "key", "row").sortWithinPartitions("key", "row").mapInArrow(total, "key long, row long, n long")
+    firsts, begins, at = [], [], 0
+    for r in sorted(found.collect()):  # one row a range
+        firsts.append((r["key"], r["row"]))
+        begins.append(at)
+        at += r["n"]
+    return firsts, begins
 
 
 def pack(docs: DataFrame, path: str, max_tokens: int = 2048, end_id: int = 1, narrow: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text counts as empty: only the end id.  Repeated ids are packed once for each row.  An empty table gives no rows.
-    A document longer than a sequence is cut where the sequence ends; each id lies in exactly one piece.  Columns of
-    `docs` other than doc_id and text take no part.  `narrow` stores ids in 16 bits and needs a vocabulary below 65,536.
+    A document longer than a sequence is cut where the sequence ends; each id lies in exactly one piece.  Documents of
+    equal key lie in the order of the table.  Columns of `docs` other than doc_id and text take no part.  `narrow` stores
+    ids in 16 bits and needs a vocabulary below 65,536.
     """
     encoded = cut(encode_documents(docs, path, end_id, narrow))
-    begins = line_offsets(cut(curve_keys(encoded)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    keys = curve(encoded)
     width = "<u2" if narrow else "<u4"
+    tokens = int(encoded.agg(F.sum("n")).first()[0] or 0)
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens * np.dtype(width).itemsize // RANGE_BYTES)
+    firsts, begins = ranges(encoded, keys, parts)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
+    def deal(batches):
+        for b in batches:
+            key, rows = keys([b.column(i + 3) for i in range(DIMS)]), b.column(0).to_pylist()
+            part = [bisect_right(firsts, at) - 1 for at in zip(key.tolist(), rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(key), b.column(0), b.column(1), b.column(2)], names=["part", "key", "row", "doc_id", "ids"])
+
+    def pieces(batches):
+        part, g = None, 0
         for b in batches:
-            begin, out = b.column(2).to_numpy(zero_copy_only=False), []
+            out = []
             which: list[int] = []
-            for k, (raw, g) in enumerate(zip(b.column(1).to_pylist(), begin.tolist(), strict=True)):
+            for k, (now, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if now != part:
+                    part, g = now, begins[now]
                 ids = np.frombuffer(raw, width).astype("<u4")
                 at = 0
                 while at < len(ids):
-                    room = max_tokens - (g + at) % max_tokens
-                    piece = ids[at : at + room]
-                    out.append((at, len(piece), crc32(piece.tobytes()), len(ids), (g + at) // max_tokens, (g + at) % max_tokens))
+                    piece = ids[at : at + max_tokens - g % max_tokens]
+                    out.append((at, len(piece), crc32(piece.tobytes()), len(ids), g // max_tokens, g % max_tokens))
                     which.append(k)
                     at += len(piece)
+                    g += len(piece)
             cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int32()))] + [pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(which, pa.int32()))] + [pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    joined = encoded.select("row", "doc_id", "ids").join(begins, "row").select("doc_id", "ids", "begin")
-    return joined.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = encoded.select("row", "doc_id", "ids", *[f"c{i}" for i in range(DIMS)]).mapInArrow(deal, f"part int, key long, row long, doc_id {kind}, ids binary")
+    line = dealt.repartition(parts, "part").sortWithinPartitions("part", "key", "row").select("part", "doc_id", "ids")
+    return line.mapInArrow(pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
