@@ -1,46 +1,51 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-The model is a trie of byte contexts up to five bytes, with the counts of the bytes that follow.  A byte unseen in a
-context escapes to the next shorter one (escape mass: the number of different bytes seen, method C), and bytes of the
-longer context are excluded there.  Below the empty context all remaining byte values are equally likely.
-
-All counts come from the whole training corpus.  A context stays in the trie if it occurs at least `theta` times, theta
-being the smallest power of two for which the trie holds at most MAX_ENTRIES (context, byte) pairs: so the broadcast model
-has a fixed size bound at any input, and a kept context's shorter contexts are always kept too.
-
-The unigram base needs the corpus count of every word of a document.  Documents are gathered in blocks of bounded bytes;
-each block asks once for each of its words, one window over the word sums the counts of all blocks, and the answers go back
-to the block.  No vocabulary is broadcast, and a word occurs at most once a block, however frequent it is.
+The model is a trie of byte contexts up to five symbols, with the counts of the symbols that follow: the 256 byte values
+and an end mark.  A symbol unseen in a context escapes to the next shorter one (escape mass: the number of different
+symbols seen, method C), and symbols of the longer context are excluded there.  Below the empty context all remaining
+symbols are equally likely.  Places before a text hold a mark of their own.
+
+The trie is a table: (order, context and symbol, count), with one row a context beside it, and it keeps every context of the
+whole training corpus.  It is never gathered: documents lie in blocks of bounded bytes, each block asks once for each of
+its different grams (context and symbol), joins find the probability of every different gram of the corpus once, and the
+answers go back to the blocks.  The score of a document is the sum over its grams.
+
+The unigram base works alike: a block asks once for each of its words.  A gram or word occurs at most once a block, however
+frequent it is.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import crc_fold, cut, forget, texts
 
 ORDER = 5
-TAG = 8 * (ORDER + 1)
-MAX_ENTRIES = 3_000_000
-BLOCK_BYTES = 32 << 20
+#: Symbols are 0 to 255 for bytes, then the end of a text and the places before it; BITS hold one.
+END, BEFORE, BITS = 256, 257, 9
+SYMBOLS = 257
+BLOCK_BYTES = 16 << 20
 _PART = 1 << 22
 _EMPTY = np.int64(-1)
 
 
-def gram_keys(raw: bytes) -> np.ndarray:
-    """For each byte of a text and its end mark (zero): the ORDER + 1 bytes that end there, as one number; zeros stand before."""
-    b = np.frombuffer(b"\0" * ORDER + raw + b"\0", np.uint8)
-    key = np.zeros(len(b) - ORDER, np.int64)
-    for i in range(ORDER + 1):
-        key = (key << 8) | b[i : len(b) - ORDER + i]
-    return key
+def gram_keys(raw: bytes, size: int = 1 << 20):
+    """For each byte of a text and its end, the ORDER + 1 symbols that end there, as one number; in stretches of `size`."""
+    padded = np.empty(len(raw) + ORDER + 1, np.int64)
+    padded[:ORDER], padded[ORDER:-1], padded[-1] = BEFORE, np.frombuffer(raw, np.uint8), END
+    for at in range(0, len(raw) + 1, size):
+        part = padded[at : at + size + ORDER]
+        key = np.zeros(len(part) - ORDER, np.int64)
+        for i in range(ORDER + 1):
+            key = (key << BITS) | part[i : len(part) - ORDER + i]
+        yield key
 
 
 class Table:
@@ -79,178 +84,166 @@ class Table:
         return out
 
 
-def _tag(keys: np.ndarray, order: int) -> np.ndarray:
-    return keys | np.int64(order << TAG)
-
-
-@dataclass
-class Trie:
-    """Entries (order, context and byte -> count) of kept contexts, ready for scoring; logarithms to base 10.
-
-    `entries` holds sorted keys of all orders, tagged by order, and `counts` their counts.
-    """
-
-    entries: np.ndarray
-    counts: np.ndarray
-
-    def prepare(self) -> Trie:
-        order, key = self.entries >> TAG, self.entries & ((1 << TAG) - 1)
-        context = _tag(key >> 8, 0) | order << TAG
-        self.contexts, of, seen = np.unique(context, return_inverse=True, return_counts=True)
-        total = np.bincount(of, self.counts, minlength=len(self.contexts))
-        self.entry_table, self.context_table = Table(self.entries), Table(self.contexts)
-        # what the next shorter context loses by exclusion
-        c_order, c_key = self.contexts >> TAG, self.contexts & ((1 << TAG) - 1)
-        up = np.flatnonzero(order > 0)
-        shorter = _tag(key[up] & ((np.int64(1) << (8 * order[up])) - 1), 0) | (order[up] - 1) << TAG
-        lost = np.bincount(of[up], self.counts[self.entry_table.find(shorter)], minlength=len(self.contexts))
-        has = np.flatnonzero(c_order > 0)
-        suffix = self.context_table.find(_tag(c_key[has] & ((np.int64(1) << (8 * (c_order[has] - 1))) - 1), 0) | (c_order[has] - 1) << TAG)
-        rest_total, rest_seen = np.zeros(len(self.contexts)), np.zeros(len(self.contexts))
-        rest_total[has], rest_seen[has] = total[suffix] - lost[has], seen[suffix] - seen[has]
-        with np.errstate(divide="ignore"):
-            self.log_count = np.log10(self.counts.astype(np.float64))
-            self.log_full = self.log_count - np.log10(total + seen)[of]
-            self.escape = np.log10(seen / (total + seen))
-            mass = rest_total + rest_seen
-            self.rest_mass = np.log10(np.maximum(mass, 1e-300))
-            # a context with nothing left passes on at no cost
-            self.rest_escape = np.where(mass > 0, np.log10(np.maximum(rest_seen, 1e-300) / np.maximum(mass, 1e-300)), 0.0)
-        zero = self.context_table.find(np.array([0], np.int64))[0]
-        self.floor = -np.log10(max(1, 256 - (int(seen[zero]) if zero >= 0 else 0)))
-        return self
-
-    def log10(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte after the others."""
-        out = np.zeros(len(key))
-        left = np.arange(len(key))
-        came = np.full(len(key), -1, np.int64)  # the longer context escaped from
-        for k in range(ORDER, -1, -1):
-            own = key[left] & ((np.int64(1) << (8 * (k + 1))) - 1)
-            hit = self.entry_table.find(_tag(own, k))
-            got = hit >= 0
-            at, entry, by = left[got], hit[got], came[left[got]]
-            out[at] += np.where(by >= 0, self.log_count[entry] - self.rest_mass[by], self.log_full[entry])
-            left = left[~got]
-            if not len(left):
-                return out
-            context = self.context_table.find(_tag(own[~got] >> 8, k))
-            known = context >= 0
-            by = came[left]
-            out[left] += np.where(by >= 0, self.rest_escape[by], np.where(known, self.escape[context], 0.0))
-            came[left] = np.where(known, context, -1)
-        out[left] += self.floor
-        return out
-
-    def score(self, raw: bytes) -> float:
-        return float(sum(self.log10(gram_keys_part).sum() for gram_keys_part in _parts(raw)))
-
-
-def _parts(raw: bytes, size: int = 1 << 17):
-    """gram_keys of a text in stretches."""
-    padded = b"\0" * ORDER + raw + b"\0"
-    for at in range(0, len(raw) + 1, size):
-        b = np.frombuffer(padded[at : at + size + ORDER], np.uint8)
-        key = np.zeros(len(b) - ORDER, np.int64)
-        for i in range(ORDER + 1):
-            key = (key << 8) | b[i : len(b) - ORDER + i]
-        yield key
-
-
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return keys, np.bincount(which, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def gather(blocks: DataFrame) -> DataFrame:
-    """Counts of a task: (word, block, n) of each block and word, n over training texts; (key, n) of grams of training texts."""
+def _by_block(batches, begin, add, end):
+    """Runs begin() for each run of equal blocks (column 0), add(held, text) for its rows, and yields end(block)."""
+    block = None
+    for b in batches:
+        for name, held, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b, "text"), strict=True):
+            if name != block:
+                if block is not None:
+                    yield from end(block)
+                begin()
+                block = name
+            add(held, raw.lower())
+    if block is not None:
+        yield from end(block)
+
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """(word, block, n) for each different word of each block, n its count in training texts."""
 
     def run(batches):
         words: Counter = Counter()
         held_words: set[bytes] = set()
-        block = None
-        buffer: list[np.ndarray] = []
-        size = 0
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def word_rows():
+        def begin():
+            words.clear(), held_words.clear()
+
+        def add(held, low):
+            if held:
+                held_words.update(low.split())
+            else:
+                words.update(low.split())
+
+        def end(block):
             names = list(words) + [w for w in held_words if w not in words]
             counts = list(words.values()) + [0] * (len(names) - len(words))
             for at in range(0, len(names), 100_000):
                 part = names[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), block)), pa.nulls(len(part), pa.int64()), pa.array(counts[at : at + 100_000], pa.int64())], names=["word", "block", "key", "n"])
-
-        def squeeze():
-            nonlocal size, buffer, grams
-            if buffer:
-                grams.append(np.unique(np.concatenate(buffer), return_counts=True))
-                buffer, size = [], 0
-                if len(grams) > 7:
-                    grams = [_merge(grams)]
-
-        for b in batches:
-            for name, held, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b, "text"), strict=True):
-                if name != block:
-                    if block is not None:
-                        yield from word_rows()
-                    words, held_words, block = Counter(), set(), name
-                low = raw.lower()
-                if held:
-                    held_words.update(low.split())
-                    continue
-                words.update(low.split())
-                buffer.append(gram_keys(low))
-                size += len(low)
-                if size > _PART:
-                    squeeze()
-        if block is not None:
-            yield from word_rows()
-        squeeze()
-        if grams:
-            keys, counts = _merge(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), block)), pa.array(counts[at : at + 100_000], pa.int64())], names=["word", "block", "n"])
+
+        yield from _by_block(batches, begin, add, end)
+
+    return blocks.select("block", "held", "text").mapInArrow(run, "word binary, block long, n long")
+
+
+def block_grams(blocks: DataFrame) -> DataFrame:
+    """(key, block, n) for each different gram of each block, n its count in training texts."""
+
+    def run(batches):
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
+        buffers: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        sizes = {True: 0, False: 0}
+
+        def squeeze(held):
+            if buffers[held]:
+                keys, n = np.unique(np.concatenate(buffers[held]), return_counts=True)
+                counted.append((keys, np.zeros(len(keys), np.int64) if held else n))
+                buffers[held], sizes[held] = [], 0
+                if len(counted) > 7:
+                    counted[:] = [_merge(counted)]
+
+        def begin():
+            counted.clear()
+
+        def add(held, low):
+            held = bool(held)
+            for keys in gram_keys(low):
+                buffers[held].append(keys)
+                sizes[held] += len(keys)
+                if sizes[held] > _PART:
+                    squeeze(held)
+
+        def end(block):
+            squeeze(True), squeeze(False)
+            keys, n = _merge(counted)
             for at in range(0, len(keys), 100_000):
-                n = len(keys[at : at + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(keys[at : at + n]), pa.array(counts[at : at + n])], names=["word", "block", "key", "n"])
+                part = keys[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), block)), pa.array(n[at : at + 100_000])], names=["key", "block", "n"])
+
+        yield from _by_block(batches, begin, add, end)
+
+    return blocks.select("block", "held", "text").mapInArrow(run, "key long, block long, n long")
+
+
+def _last(key: str | Column, symbols: int) -> Column:
+    """The last so many symbols of a gram."""
+    return (F.col(key) if isinstance(key, str) else key).bitwiseAND(F.lit((1 << (BITS * symbols)) - 1))
 
-    return blocks.select("block", "held", "text").mapInArrow(run, "word binary, block long, key long, n long")
 
+def trie(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model of gram counts (key, n > 0): entries (k, key, n) and contexts (k, context, total, seen, rest_total, rest_seen).
 
-def learn(grams: DataFrame) -> Trie:
-    """The trie of the gram counts (key, n)."""
-    mask = lambda bits: F.lit((1 << bits) - 1)
-    entries = None
+    An entry of order k holds k symbols of context and the one that follows.  `rest` of a context is what the next shorter
+    one holds besides the symbols seen here.  No context is left out.
+    """
+    parts = [grams.groupBy(_last("key", k + 1).alias("key")).agg(F.sum("n").alias("n")).select(F.lit(k).alias("k"), "key", "n") for k in range(ORDER)]
+    entries = grams.select(F.lit(ORDER).alias("k"), "key", "n")
+    for part in parts:
+        entries = entries.unionByName(part)
+    entries = cut(entries)
+    shorter = entries.where(F.col("k") < ORDER).select((F.col("k") + 1).alias("k"), F.col("key").alias("end"), F.col("n").alias("end_n"))
+    ends = F.expr(f"key & (shiftleft(1L, {BITS} * k) - 1)")
+    # a shorter entry is the end of at most as many longer ones as there are symbols, so these joins have no hot keys
+    linked = entries.withColumn("end", F.when(F.col("k") > 0, ends)).join(shorter, ["k", "end"], "left")
+    contexts = cut(linked.groupBy("k", F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("seen"), F.sum("end_n").alias("lost")))
+    outer = contexts.where(F.col("k") < ORDER).select((F.col("k") + 1).alias("k"), F.col("context").alias("end"), F.col("total").alias("end_total"), F.col("seen").alias("end_seen"))
+    ends = F.expr(f"context & (shiftleft(1L, {BITS} * (k - 1)) - 1)")
+    whole = contexts.withColumn("end", F.when(F.col("k") > 0, ends)).join(outer, ["k", "end"], "left")
+    done = cut(whole.select("k", "context", "total", "seen", (F.col("end_total") - F.col("lost")).alias("rest_total"), (F.col("end_seen") - F.col("seen")).alias("rest_seen")))
+    forget(contexts)
+    return entries, done
+
+
+def probabilities(grams: DataFrame, entries: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(key, n) -> (key, value): log10 of the probability of each gram's last symbol after the others."""
+    full = F.log10("n") - F.log10(F.col("total") + F.col("seen"))
+    longest = contexts.where(F.col("k") == ORDER).select("context", "total", "seen")
+    known = grams.where("n > 0").withColumn("context", F.shiftright("key", BITS)).join(longest, "context").select("key", full.alias("value"))
+
+    new = cut(grams.where("n = 0").select("key"))
+    rows = None
+    for k in range(ORDER + 1):
+        entry = entries.where(F.col("k") == k).select(F.col("key").alias("end"), "n")
+        context = contexts.where(F.col("k") == k).drop("k")
+        # order 1 has at most 258 * 258 entries, and order 2 as many contexts
+        entry, context = (F.broadcast(entry) if k <= 1 else entry), (F.broadcast(context) if k <= 2 else context)
+        part = new.withColumn("end", _last("key", k + 1)).join(entry, "end", "left").withColumn("context", F.shiftright("end", BITS)).join(context, "context", "left")
+        part = part.select("key", F.lit(k).alias("k"), "n", "total", "seen", "rest_total", "rest_seen")
+        rows = part if rows is None else rows.unionByName(part)
+    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    wide = rows.groupBy("key").agg(
+        F.coalesce(F.max(F.when(F.col("n").isNotNull(), F.col("k"))), F.lit(-1)).alias("found"),
+        F.coalesce(F.max(F.when(F.col("total").isNotNull(), F.col("k"))), F.lit(-1)).alias("top"),
+        *[at(k, c).alias(f"{c}{k}") for k in range(ORDER + 1) for c in ("n", "total", "seen", "rest_total", "rest_seen")],
+    )
+    col = lambda c, k: F.col(f"{c}{k}")
+    value = F.lit(0.0)
     for k in range(ORDER + 1):
-        part = grams.groupBy((F.col("key").bitwiseAND(mask(8 * (k + 1)))).alias("entry")).agg(F.sum("n").alias("n")).withColumn("k", F.lit(k))
-        entries = part if entries is None else entries.unionByName(part)
-    entries = cut(entries.withColumn("context", F.shiftright("entry", 8)))
-    contexts = cut(entries.groupBy("k", "context").agg(F.sum("n").alias("total"), F.count("*").alias("seen")))
-    # entries by the magnitude of their context's total: at most 64 rows
-    sizes = {r["m"]: r["seen"] for r in contexts.where("k > 0").groupBy(F.floor(F.log2("total")).alias("m")).agg(F.sum("seen").alias("seen")).collect()}
-    m = max([0, *(sizes or [0])]) + 1
-    held = 0
-    while m and held + sizes.get(m - 1, 0) <= MAX_ENTRIES - 256:
-        m -= 1
-        held += sizes.get(m, 0)
-    kept = contexts.where((F.col("k") == 0) | (F.col("total") >= F.lit(1 << m)))
-    rows = entries.join(kept.select("k", "context"), ["k", "context"], "left_semi").select(F.col("entry").bitwiseOR(F.shiftleft(F.col("k").cast("long"), TAG)).alias("entry"), "n").toArrow()
-    e, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("entry", "n"))
-    by = np.argsort(e)
-    forget(entries), forget(contexts)
-    return Trie(e[by], n[by])
-
-
-_tries: dict[int, Trie] = {}
+        mass = col("rest_total", k) + col("rest_seen", k)
+        # the longest known context gives its symbol, or escapes; shorter ones do without the symbols of the longer
+        value += F.when((F.col("top") == k) & (F.col("found") == k), F.log10(col("n", k)) - F.log10(col("total", k) + col("seen", k))).when((F.col("top") == k), F.log10(col("seen", k) / (col("total", k) + col("seen", k)))).otherwise(0.0)
+        if k:  # what context k leaves of the next shorter one; a context that leaves nothing passes on at no cost
+            value += F.when((F.col("top") >= k) & (F.col("found") == k - 1), F.log10(col("n", k - 1)) - F.log10(mass)).when((F.col("top") >= k) & (F.col("found") < k - 1) & (mass > 0), F.log10(col("rest_seen", k) / mass)).otherwise(0.0)
+    value += F.when(F.col("found") < 0, -F.log10(F.greatest(F.lit(1), SYMBOLS - F.coalesce(col("seen", 0), F.lit(0))))).otherwise(0.0)
+    return known.unionByName(wide.select("key", value.alias("value")))
 
 
 def score_documents(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
-    Null text counts as empty: one token, the end.  The model reads A-Z as a-z, like the base.  Without training documents
-    every word is unknown and every byte equally likely.  Repeated rows count and are scored each; an empty table gives no
-    rows; columns other than doc_id and text take no part.
+    Null text counts as empty: one token, the end.  The model reads A-Z as a-z, like the base.  A row without id is not held
+    out.  Without training documents every word is unknown and every symbol equally likely.  Repeated rows count and are
+    scored each; a text longer than a block is a block of its own; an empty table gives no rows; columns other than doc_id
+    and text take no part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", (crc_fold("doc_id", fold[0]) == fold[1]).alias("held"), "text")
+    source = docs.select("doc_id", F.coalesce(crc_fold("doc_id", fold[0]) == fold[1], F.lit(False)).alias("held"), "text")
 
     def number(batches):
         part, n, size = TaskContext.get().partitionId() << 32, 0, 0
@@ -266,38 +259,46 @@ def score_documents(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *b.columns], names=["block", "doc_id", "held", "text"])
 
     blocks = cut(source.mapInArrow(number, f"block long, doc_id {kind}, held boolean, text string"))
-    counts = cut(gather(blocks))
-    grams = cut(counts.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")))
-    trie = learn(grams)
-    forget(grams)
-    words = counts.where("word IS NOT NULL").select("word", "block", "n")
-    over = Window.partitionBy("word").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    answers = cut(words.withColumn("c", F.sum("n").over(over)).withColumn("first", F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1).select("block", "word", "c", "first"))
+    asked = cut(block_grams(blocks))
+    grams = cut(asked.groupBy("key").agg(F.sum("n").alias("n")))
+    entries, contexts = trie(grams.where("n > 0"))
+    values = cut(probabilities(grams, entries, contexts))
+    for done in (grams, entries, contexts):
+        forget(done)
+
+    # both sides of the join read the same columns, so that one shuffle by word serves both
+    words = block_words(blocks).repartition("word")
+    counts = words.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("home"))
+    answers = cut(words.join(counts, "word").select("block", "word", "c", (F.col("block") == F.col("home")).alias("first")))
     whole = answers.where("first").agg(F.sum("c").alias("tokens"), F.sum((F.col("c") > 0).cast("long")).alias("kinds")).first()
-    forget(counts)
-    ends = blocks.where("NOT coalesce(held, false)").count()
+    ends = blocks.where("NOT held").count()
     tokens = int(whole["tokens"] or 0) + ends
     unit = float(np.log10(tokens + int(whole["kinds"] or 0) + (1 if ends else 0) + 1))
     end_value = float(np.log10(ends + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((trie.entries, trie.counts))
-    token = id(shared)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if token not in _tries:
-            _tries.clear()
-            _tries[token] = Trie(*shared.value).prepare()
-        model = _tries[token]
-        known = dict(zip(right.column("word").to_pylist(), np.log10(right.column("c").to_numpy() + 1.0).tolist(), strict=True))
+        of_word = right.column("word").is_valid()
+        said, told = right.filter(of_word), right.filter(pc.invert(of_word))
+        known = dict(zip(said.column("word").to_pylist(), said.column("value").to_pylist(), strict=True))
+        place, value = Table(told.column("key").to_numpy().astype(np.int64)), told.column("value").to_numpy()
         n, hits, base, total = [], [], [], []
-        for col in left.column("text").cast(pa.large_binary()).chunks:
-            for raw in col:
-                low = (raw.as_py() or b"").lower()
-                words = low.split()
-                x = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                n.append(len(words) + 1)
-                hits.append(int(np.count_nonzero(x)) + bool(ends))
-                base.append(float(x.sum()) + end_value - (len(words) + 1) * unit)
-                total.append(model.score(low))
+        for raw in texts_of(left):
+            low = raw.lower()
+            found = low.split()
+            x = np.fromiter(map(known.__getitem__, found), np.float64, len(found))
+            n.append(len(found) + 1)
+            hits.append(int(np.count_nonzero(x)) + bool(ends))
+            base.append(float(x.sum()) + end_value - (len(found) + 1) * unit)
+            total.append(float(sum(value[place.find(keys)].sum() for keys in gram_keys(low))))
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(hits, pa.int64()), "train_tokens": pa.array([tokens] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
 
-    return blocks.groupBy("block").cogroup(answers.select("block", "word", "c").groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def texts_of(t: pa.Table):
+        for col in t.column("text").cast(pa.large_binary()).chunks:
+            for raw in col:
+                yield raw.as_py() or b""
+
+    none = lambda kind: F.lit(None).cast(kind)
+    replies = answers.select("block", "word", none("long").alias("key"), F.log10(F.col("c") + 1.0).alias("value")).unionByName(
+        asked.select("block", "key").join(values, "key").select("block", none("binary").alias("word"), "key", "value")
+    )
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
