@@ -137,3 +137,36 @@ def test_pages(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'h' AS host", "1 AS part", "'t' AS text")
     assert sorted(r.text for r in html_extract.extract(df).collect()) == ["", "", "x", "x"]
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_propagation_joins_groups_within_quota(spark):
+    """Against brute force: cut links counted pair by pair, before and after."""
+    rng = random.Random(12)
+    nodes = [(n, rng.randrange(1, 5), rng.randrange(4)) for n in range(300)]
+    links = [(n, n // 3) for n in range(240)] + [(n, 1000 + n % 7) for n in range(0, 60, 3)]
+    of = {}
+    for n, hub in links:
+        of.setdefault(hub, []).append(n)
+
+    def cut_pairs(shard):
+        return sum(shard[a] != shard[b] for members in of.values() for i, a in enumerate(members) for b in members[:i])
+
+    df, edges = spark.createDataFrame(nodes, "node long, w long, shard int"), spark.createDataFrame(links, "node long, hub long")
+    quota = sum(w for _, w, _ in nodes) / 4 * 1.02
+    got = sharding.propagate(df, edges, 4, quota)
+    before, after = {n: s for n, _, s in nodes}, {r.node: r.shard for r in got.collect()}
+    found = [sharding.cut_edges(d, edges).first() for d in (df, got)]
+    assert [f.cut_links for f in found] == [cut_pairs(before), cut_pairs(after)] and found[0].links == sum(len(m) * (len(m) - 1) / 2 for m in of.values())
+    assert cut_pairs(after) < cut_pairs(before) / 4
+    loads = [[sum(w for n, w, _ in nodes if where[n] == s) for s in range(4)] for where in (before, after)]
+    assert all(b <= max(quota, a) + 10 for a, b in zip(*loads, strict=True))
+    assert all(after[n] == before[n] for n in range(240, 300))
+
+
+def test_equal_texts_share_a_shard(spark):
+    rows = [(i, f"text {i % 150} " + "x" * (i % 150) if i < 400 else f"alone {i} " + "y" * (i % 77)) for i in range(1000)] + [(None, None)] * 5
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    where = {r.doc_id: r.shard for r in got}
+    assert sum(len({where[i] for i in range(k, 400, 150)}) == 1 for k in range(150)) >= 140
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert max(sizes) < 1.01 * sum(sizes) / 8 and sum(r.doc_id is None for r in got) == 5

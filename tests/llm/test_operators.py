@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -25,10 +26,49 @@ def test_sentencepiece_equals_the_library():
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for t, d in zip(odd_texts(), codec.digests(odd_texts()), strict=True):
         ids = lib.encode(t)
-        assert d == (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)))
-        spans = codec.spans(t)
-        assert [s[0] for s in spans] == ids
-        assert all(a <= b for _, a, b in spans)
+        assert d[:3] == (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)))
+        check_spans(codec, t, ids, lambda part: part)
+
+
+def check_spans(codec: Codec, text: str, ids: list[int], normal) -> None:
+    """Spans run on without gaps (but for dropped spaces), and the bytes of a span normalise to its piece."""
+    raw, at = text.encode(), 0
+    spans = codec.spans(text)
+    assert [s[0] for s in spans] == ids
+    for i, (piece, begin, end) in enumerate(spans):
+        assert begin <= end and not normal(raw[at:begin].decode()).strip(" ▁")
+        at = max(at, end)
+        shown = codec._segmenter.id_to_piece(piece).replace("▁", " ")
+        shared = any(0 <= k < len(spans) and max(begin, spans[k][1]) < min(end, spans[k][2]) for k in (i - 1, i + 1))
+        if not codec.is_byte[piece] and piece != codec.unknown:
+            whole = normal(raw[begin:end].decode()).replace("▁", " ")
+            assert shown.strip(" ") in whole if shared else shown.strip(" ") == whole.strip(" ")
+    assert not normal(raw[at:].decode()).strip(" ▁")
+
+
+@pytest.mark.parametrize(("squeeze", "prefix", "suffix"), [(True, True, False), (False, True, False), (True, False, False), (True, True, True)])
+def test_sentencepiece_with_a_compiled_map(tmp_path, squeeze, prefix, suffix):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    rules, model = proto.ModelProto(), proto.ModelProto()
+    rules.ParseFromString(normaliser.serialized_model_proto())
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    spec = model.normalizer_spec
+    spec.name, spec.precompiled_charsmap = "nmt_nfkc", rules.normalizer_spec.precompiled_charsmap
+    spec.remove_extra_whitespaces, spec.add_dummy_prefix, model.trainer_spec.treat_whitespace_as_suffix = squeeze, prefix, suffix
+    path = tmp_path / "mapped.model"
+    path.write_bytes(model.SerializeToString())
+    lib, codec = sentencepiece.SentencePieceProcessor(model_file=str(path)), Codec(str(path))
+    assert codec.map.longest("ﬁx".encode(), 0) == (3, b"fi")
+    assert codec.map.longest("e\u0301x".encode(), 0) == (3, "é".encode())
+    rng = random.Random(3)
+    parts = ["ﬁ", "Ａ", "e\u0301", "é", "ｶﾞ", "㍿", " ", "  ", "\u3000", "\t", "\n", "a", "the ", "\u200b", "½", "漢", "😀", "\x01", "x", "Å", "가"]
+    for t in [*odd_texts(200), *["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(400)]]:
+        if not t.isascii() and "\0" in t:
+            continue
+        check_spans(codec, t, lib.encode(t), lambda part: codec.map.apply(part.encode())[0].tobytes().decode())
 
 
 def test_word_tokenizer_equals_the_library():
@@ -107,40 +147,65 @@ def test_language_network_learns_and_abstains():
     assert langid.fit({}).predict([b"abc"]) == [("und", 0.0)]
 
 
-def test_ppm_equals_brute_force_and_sums_to_one():
-    texts = [b"abracadabra", b"abra cadabra", b"", b"zzz"]
-    counts: dict[bytes, Counter] = {}
-    keys = np.concatenate([ppm.gram_keys(t) for t in texts])
-    entries: Counter = Counter()
-    for k in range(ppm.ORDER + 1):
-        for x in keys & ((1 << (8 * (k + 1))) - 1):
-            entries[int(x) | k << ppm.TAG] += 1
-    e = np.array(sorted(entries), np.int64)
-    trie = ppm.Trie(e, np.array([entries[int(x)] for x in e], np.int64)).prepare()
-    for t in texts:
-        p = b"\0" * ppm.ORDER + t + b"\0"
-        for i in range(ppm.ORDER, len(p)):
-            for k in range(ppm.ORDER + 1):
-                counts.setdefault(p[i - k : i], Counter())[p[i]] += 1
-
-    def brute(context: bytes, symbol: int) -> float:
+class BrutePpm:
+    """Prediction by partial matching over whole Python objects: symbols are bytes and "end", "before" fills the context."""
+
+    def __init__(self, texts: list[bytes], order: int = 5):
+        self.order, self.counts = order, {}
+        for t in texts:
+            p = ["before"] * order + list(t) + ["end"]
+            for i in range(order, len(p)):
+                for k in range(order + 1):
+                    self.counts.setdefault(tuple(p[i - k : i]), Counter())[p[i]] += 1
+
+    def log10(self, context: list, symbol) -> float:
         log, out = 0.0, set()
-        for k in range(ppm.ORDER, -1, -1):
-            seen = {s: n for s, n in counts.get(context[len(context) - k :], {}).items() if s not in out}
+        for k in range(self.order, -1, -1):
+            here = self.counts.get(tuple(context[len(context) - k :]), {})
+            seen = {s: n for s, n in here.items() if s not in out}
             if not seen:
                 continue
             total = sum(seen.values()) + len(seen)
             if symbol in seen:
                 return log + np.log10(seen[symbol] / total)
             log += np.log10(len(seen) / total)
-            out |= set(counts[context[len(context) - k :]])
-        return log - np.log10(256 - len(out))
+            out |= set(here)
+        return log - np.log10(257 - len(out))
+
+    def score(self, text: bytes) -> float:
+        p = ["before"] * self.order + list(text) + ["end"]
+        return sum(self.log10(p[i - self.order : i], p[i]) for i in range(self.order, len(p)))
+
+
+def test_brute_ppm_sums_to_one():
+    brute = BrutePpm([b"abracadabra", b"abra cadabra", b"", b"zzz"])
+    for context in (["before"] * 5, list(b"abrac"), list(b"qqqqq"), ["before", *b"abra"]):
+        assert sum(10 ** brute.log10(context, s) for s in [*range(256), "end"]) == pytest.approx(1)
+
+
+def test_ppm_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 400)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["ab", "ra", "cad", " ", "e\0", "Z", "é", "\n"]) for _ in range(rng.randrange(60))) for _ in range(60)] + [None, "", "\0", "entirely unseen 漢字"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = {i: crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
+    low = [(t or "").encode().lower() for t in texts]
+    brute = BrutePpm([low[i] for i in held if not held[i]])
+    words = Counter(w for i in held if not held[i] for w in [*low[i].split(), b"\n end"])
+    n, v = sum(words.values()), len(words)
+    rows = ppm.score_documents(docs).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts))) and any(held.values())
+    for r in rows:
+        tokens = [*low[r.doc_id].split(), b"\n end"]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(tokens), sum(w in words for w in tokens), n)
+        assert r.base_score == pytest.approx(sum(np.log10((words[w] + 1) / (n + v + 1)) for w in tokens))
+        assert r.score == pytest.approx(brute.score(low[r.doc_id])), r.doc_id
+
 
-    for context in (b"\0\0\0\0\0", b"abrac", b"qqqqq", b"\0abra"):
-        base = int.from_bytes(context, "big") << 8
-        got = trie.log10(np.array([base | s for s in range(256)], np.int64))
-        assert got == pytest.approx([brute(context, s) for s in range(256)])
-        assert (10**got).sum() == pytest.approx(1)
+def test_ppm_without_training_documents(spark):
+    held = next(i for i in range(100) if crc32(str(i).encode()) % 7 == 2)
+    r = ppm.score_documents(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).first()
+    assert r.score == pytest.approx(-3 * np.log10(257)) and r.n_known == r.train_tokens == 0 and r.base_score == 0
 
 
 def test_html_blocks_and_differencing():
@@ -148,11 +213,47 @@ def test_html_blocks_and_differencing():
     assert html_extract.blocks(page) == (True, ["T&1", "a b c", "two x"])
     assert html_extract.blocks("") == (False, [])
     assert html_extract.blocks("<script>var a='</p>'</script><p>x<p>y") == (False, ["x", "y"])
-    assert html_extract.difference(["m", "a", "f"], [["m", "b", "f"]]) == ["a"]
-    assert html_extract.difference(["m", "a"], [["m", "a"]]) == ["m", "a"]
+    assert html_extract.blocks("<article><p>See <a href='/x'>this</a> and <em>that</em>, <code>x</code>.</p>1 < 2 <span class=ad>no</span>yes</article>") == (True, ["See this and that, x.", "1 < 2 yes"])
+    assert html_extract.blocks('<p title="a>b">x</p><p title=it\'s>y</p><p title="open>z</p>') == (False, ["x", "y", "z"])
+    long, other = "the text of this page", "another page altogether"
+    assert html_extract.difference(["m", long, "f"], [["m", other, "f"]], []) == [long]
+    assert html_extract.difference(["m", long], [["m", long]], []) == ["m", long]
+    # copies and near copies are passed over, the next page decides
+    assert html_extract.difference(["m", long, "f"], [["m", long, "f"], ["m", long, "g"], ["m", other, "f"]], []) == [long]
     assert html_extract.shared_lines(list("abcde"), list("xbydz")).tolist() == [False, True, False, True, False]
 
 
+def test_shared_lines_are_a_longest_common_subsequence():
+    rng = random.Random(6)
+
+    def longest(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
+        common = [x for x, g in zip(a, html_extract.shared_lines(a, b), strict=True) if g]
+        rest = iter(b)
+        assert all(x in rest for x in common) and len(common) == longest(a, b)
+
+
+@pytest.mark.parametrize("page", ['<a href="' * 110_000, "<div>" * 200_000, "<div></span>" * 90_000, "<p>a<b>" * 150_000, "<svg/>" * 170_000, "<!-- " * 200_000, "<article><i>" + "</div><i>" * 100_000])
+def test_long_broken_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_extract.blocks(page)
+    assert time.perf_counter() - began < 8
+
+
+def test_copies_do_not_hide_the_template(spark):
+    page = lambda x: f"<body><p>Site</p><p>the text of page {x} in full</p><p>Imprint</p></body>"
+    rows = [(i, f"http://h.example/{i:03}", page("a" if i < 60 else i)) for i in range(70)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.text for r in html_extract.extract(df).collect()} == {f"the text of page {x} in full" for x in ["a", *range(60, 70)]}
+
+
 def test_pages_without_article_lose_shared_lines(spark):
     page = lambda x: f"<body><p>Site</p><p>{x}</p><p>Imprint</p></body>"
     rows = [(i, f"http://h.example/{i}", page(f"text {i}")) for i in range(6)] + [(9, None, None)]
