@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, forget, heavy_keys, lookup
 
 
+def star(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links with the same components: the greater end of each link, and its other partners, are linked to the least
+    partner of that end instead.  Links between equal pairs of nodes, as from many overlapping groups, collapse."""
+    low, high = np.minimum(u, v), np.maximum(u, v)
+    by = np.lexsort((low, high))
+    low, high = low[by], high[by]
+    first = np.append(True, high[1:] != high[:-1]) if len(high) else np.empty(0, bool)
+    least = low[first][np.cumsum(first) - 1]
+    pairs = np.unique(np.column_stack((np.concatenate((least, least)), np.concatenate((high, low)))), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return pairs[:, 0], pairs[:, 1]
+
+
+def thin(links: DataFrame) -> DataFrame:
+    """(u, v) links -> fewer ones with the same components; see star()."""
+
+    def run(batches):
+        for b in batches:
+            u, v = star(*(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    ends = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return ends.repartition("v").sortWithinPartitions("v", "u").mapInArrow(run, "u long, v long").distinct()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) edges -> (node, component), component being the smallest node reachable.
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import cut, forget, heavy_keys, lookup, texts
-from plumbline.llm.components import connected_components
+from plumbline.llm.components import connected_components, star, thin
 
 SEGMENTS = 32
 #: Chance that two random two-bit segments have equal counts: (1/4)^2 + (1/2)^2 + (1/4)^2.
@@ -187,7 +187,7 @@ def link_forest(distinct: DataFrame, rows: int, distance: int = 4, candidates: i
         return (two[:1], two[1:]) if near else (two[:0], two[:0])
 
     keys = ["grid", "cell", "p", "q"]
-    return paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(links, "u long, v long").distinct()
+    return thin(paired.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(links, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -354,11 +354,11 @@ def candidate_forest(distinct: DataFrame) -> DataFrame:
             u, v = near_in_block(a[at], b[at])
             us.append(rows[at, 3][u])
             vs.append(rows[at, 3][v])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+        u, v = star(np.concatenate(us), np.concatenate(vs))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     keys = ["cell", "p", "q"]
-    return paired.select(*keys, "node", "a", "b").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(links, "u long, v long").distinct()
+    return thin(paired.select(*keys, "node", "a", "b").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(links, "u long, v long"))
 
 
 def _pairs_of_chunks(rows: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:

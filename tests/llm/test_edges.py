@@ -170,3 +170,32 @@ def test_equal_texts_share_a_shard(spark):
     assert sum(len({where[i] for i in range(k, 400, 150)}) == 1 for k in range(150)) >= 140
     sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
     assert max(sizes) < 1.01 * sum(sizes) / 8 and sum(r.doc_id is None for r in got) == 5
+
+
+def test_thinned_links_have_the_same_components(spark):
+    import numpy as np
+
+    from plumbline.llm.components import connected_components, star
+
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(0, 400, 500), rng.integers(0, 400, 500)
+    u, v = np.append(u, np.full(300, 1000)), np.append(v, np.arange(1000, 1300))  # a hub
+
+    def parts(a, b):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        return {x: find(x) for x in root}
+
+    thin_u, thin_v = star(u, v)
+    want = parts(u, v)
+    assert {x: c for x, c in want.items() if x in set(thin_u.tolist()) | set(thin_v.tolist())} == parts(thin_u, thin_v)
+    edges = spark.createDataFrame([(int(a), int(b), "x", 1) for a, b in zip(u, v, strict=True)] + [(None, 5, "x", 1)], "u long, v long, label string, node int")
+    assert {r.node: r.component for r in connected_components(edges).collect()} == want

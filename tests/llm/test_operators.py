@@ -93,19 +93,53 @@ def test_simhash_grids_lose_no_link(spark):
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, 3, replace=False)) for b in base for _ in range(2)]
     fps = np.unique(np.concatenate([base, np.array(near, np.int64)]))
     links = simhash.link_forest(spark.createDataFrame([(int(f),) for f in fps], "fp long"), len(fps), 4).collect()
-    parent = {int(f): int(f) for f in fps}
+    u = fps.view(np.uint64)
+    want = [(int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(np.bitwise_count(u[:, None] ^ u[None]) <= 4), strict=True)]
+    assert groups(fps.tolist(), [(r.u, r.v) for r in links]) == groups(fps.tolist(), want)
+
+
+def groups(nodes: list[int], pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """The least node reachable from each node."""
+    parent = {n: n for n in nodes}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for r in links:
-        assert (r.u ^ r.v).bit_count() <= 4
-        parent[root(r.u)] = root(r.v)
-    u = fps.view(np.uint64)
-    for i, j in zip(*np.nonzero(np.bitwise_count(u[:, None] ^ u[None]) <= 4), strict=True):
-        assert root(int(fps[i])) == root(int(fps[j]))
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    """Fingerprints by their definition and links pair by pair, with the parameters of the query."""
+    import xxhash
+
+    rng = random.Random(21)
+    base = [[rng.choice("abcdefghijklm") * rng.randrange(1, 4) for _ in range(rng.choice([3, 8, 60, 200]))] for _ in range(40)]
+    texts = [None, "", " \n\t", "One", "one  TWO three"]
+    for words in base:
+        texts.append(" ".join(words))
+        texts.append("\n".join(words).upper())
+        for _ in range(3):
+            w = list(words)
+            w[rng.randrange(len(w))] = "zzz"
+            texts.append(" ".join(w))
+
+    def brute(text):
+        words = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split()
+        words = [w for w in words if w]
+        grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+    prints = [brute(t) for t in texts]
+    want = groups(list(range(len(texts))), [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    rows = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=4, distance=4).collect()
+    assert {r.doc_id: r.fp & ((1 << 64) - 1) for r in rows} == dict(enumerate(prints))
+    assert {r.doc_id: r.component_id for r in rows} == want and len(set(want.values())) < len(want) / 2
 
 
 def test_simhash_of_odd_documents(spark):
