@@ -44,15 +44,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 _written: list[tuple[weakref.ref, str]] = []
+_tables: list[tuple[weakref.ref, str]] = []
 
 
 @atexit.register
 def _sweep() -> None:
-    for ref, path in _written:
+    for ref, what in [*_written, *_tables]:
         spark = ref()
         try:
             if spark is not None and spark.sparkContext._jsc is not None:
-                _remove(spark, path)
+                _remove(spark, what) if "/" in what else spark.sql(f"DROP TABLE IF EXISTS {what}")
         except Exception:  # the JVM may have gone before the interpreter
             return
 
@@ -71,9 +72,25 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Like cut(), as a table of the warehouse in `parts` buckets of `key`: grouping by the key and joining on it need no
+    further shuffle of these rows."""
+    spark = df.sparkSession
+    name = f"plumbline_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").saveAsTable(name)
+    _tables.append((weakref.ref(spark), name))
+    return spark.table(name)
+
+
 def forget(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and that nothing reads any more."""
-    for path in df.inputFiles()[:1]:
+    """Delete the files of a table that cut() or cut_by() wrote and that nothing reads any more."""
+    files = df.inputFiles()[:1]
+    for ref, name in _tables:
+        if files and f"/{name}/" in files[0]:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+            _tables.remove((ref, name))
+            return
+    for path in files:
         _remove(df.sparkSession, path.rsplit("/", 1)[0])
 
 
@@ -94,7 +111,8 @@ def lookup(rows: DataFrame, key: str, values: DataFrame, heavy: DataFrame, sprea
     wanted = [c for c in values.columns if c != key]
     few = values.join(F.broadcast(heavy), key).select(F.col(key), F.lit(True).alias("__heavy"), *[F.col(c).alias(f"__few_{c}") for c in wanted])
     marked = rows.join(F.broadcast(few), key, "left").withColumn("__deal", F.when(F.col("__heavy"), F.pmod(F.xxhash64(spread), F.lit(HEAVY)) + 1).otherwise(0))
-    rest = values.select(key, F.lit(0).cast("long").alias("__deal"), *[F.col(c).alias(f"__own_{c}") for c in wanted])
+    # zero, but no constant: as one it would leave the join's keys, and the rows would be dealt by the key alone
+    rest = values.select(key, F.pmod(F.xxhash64(key), F.lit(1)).alias("__deal"), *[F.col(c).alias(f"__own_{c}") for c in wanted])
     joined = marked.join(rest, [key, "__deal"], "left")
     return joined.select(*rows.columns, *[F.when(F.col("__heavy"), F.col(f"__few_{c}")).otherwise(F.col(f"__own_{c}")).alias(c) for c in wanted])
 
