@@ -8,7 +8,8 @@ symbols are equally likely.  Places before a text hold a mark of their own.
 The trie is a table: (order, context and symbol, count), with one row a context beside it, and it keeps every context of the
 whole training corpus.  It is never gathered: documents lie in blocks of bounded bytes, each block asks once for each of
 its different grams (context and symbol), joins find the probability of every different gram of the corpus once, and the
-answers go back to the blocks.  The score of a document is the sum over its grams.
+answers go back to the blocks.  What is asked is kept in buckets of the gram (or word), so counting and answering shuffle it
+once.  The score of a document is the sum over its grams.
 
 The unigram base works alike: a block asks once for each of its words.  A gram or word occurs at most once a block, however
 frequent it is.
@@ -25,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import crc_fold, cut, forget, texts
+from plumbline.llm.common import crc_fold, cut, cut_by, forget, texts
 
 ORDER = 5
 #: Symbols are 0 to 255 for bytes, then the end of a text and the places before it; BITS hold one.
 END, BEFORE, BITS = 256, 257, 9
 SYMBOLS = 257
 BLOCK_BYTES = 16 << 20
-_PART = 1 << 22
+_PART = 1 << 21
 _EMPTY = np.int64(-1)
 
 
@@ -145,7 +146,7 @@ def block_grams(blocks: DataFrame) -> DataFrame:
                 keys, n = np.unique(np.concatenate(buffers[held]), return_counts=True)
                 counted.append((keys, np.zeros(len(keys), np.int64) if held else n))
                 buffers[held], sizes[held] = [], 0
-                if len(counted) > 7:
+                if len(counted) > 3:
                     counted[:] = [_merge(counted)]
 
         def begin():
@@ -259,19 +260,18 @@ def score_documents(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *b.columns], names=["block", "doc_id", "held", "text"])
 
     blocks = cut(source.mapInArrow(number, f"block long, doc_id {kind}, held boolean, text string"))
-    asked = cut(block_grams(blocks))
+    seen = blocks.agg(F.count_distinct("block").alias("blocks"), F.count(F.when(~F.col("held"), 1)).alias("ends")).first()
+    parts, ends = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), seen["blocks"]), seen["ends"]
+    asked = cut_by(block_grams(blocks), "key", parts)
     grams = cut(asked.groupBy("key").agg(F.sum("n").alias("n")))
     entries, contexts = trie(grams.where("n > 0"))
     values = cut(probabilities(grams, entries, contexts))
     for done in (grams, entries, contexts):
         forget(done)
 
-    # both sides of the join read the same columns, so that one shuffle by word serves both
-    words = block_words(blocks).repartition("word")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("home"))
-    answers = cut(words.join(counts, "word").select("block", "word", "c", (F.col("block") == F.col("home")).alias("first")))
-    whole = answers.where("first").agg(F.sum("c").alias("tokens"), F.sum((F.col("c") > 0).cast("long")).alias("kinds")).first()
-    ends = blocks.where("NOT held").count()
+    words = cut_by(block_words(blocks), "word", parts)
+    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
+    whole = counts.agg(F.sum("c").alias("tokens"), F.sum((F.col("c") > 0).cast("long")).alias("kinds")).first()
     tokens = int(whole["tokens"] or 0) + ends
     unit = float(np.log10(tokens + int(whole["kinds"] or 0) + (1 if ends else 0) + 1))
     end_value = float(np.log10(ends + 1))
@@ -279,7 +279,7 @@ def score_documents(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFram
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         of_word = right.column("word").is_valid()
         said, told = right.filter(of_word), right.filter(pc.invert(of_word))
-        known = dict(zip(said.column("word").to_pylist(), said.column("value").to_pylist(), strict=True))
+        known = dict(zip(said.column("word").to_pylist(), np.log10(said.column("value").to_numpy() + 1.0).tolist(), strict=True))
         place, value = Table(told.column("key").to_numpy().astype(np.int64)), told.column("value").to_numpy()
         n, hits, base, total = [], [], [], []
         for raw in texts_of(left):
@@ -298,7 +298,7 @@ def score_documents(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFram
                 yield raw.as_py() or b""
 
     none = lambda kind: F.lit(None).cast(kind)
-    replies = answers.select("block", "word", none("long").alias("key"), F.log10(F.col("c") + 1.0).alias("value")).unionByName(
+    replies = words.select("block", "word").join(counts, "word").select("block", "word", none("long").alias("key"), F.col("c").cast("double").alias("value")).unionByName(
         asked.select("block", "key").join(values, "key").select("block", none("binary").alias("word"), "key", "value")
     )
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
