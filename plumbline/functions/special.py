@@ -74,6 +74,23 @@ def t_cdf(t: Column, df: Column) -> Column:
     return F.when(t > 0, 1 - half).otherwise(half)
 
 
+def t_quantile(p: Column, df: Column, steps: int = 60) -> Column:
+    """Inverse of t_cdf by bisection on t / (1 + |t|), for 0 < p < 1."""
+
+    def inside(v: Column) -> Column:
+        def halve(s: Column, _: Column) -> Column:
+            mid = (s["low"] + s["high"]) / 2
+            t = mid / (1 - F.abs(mid))
+            below = let(lambda w: F.when(w["t"] > 0, 1 - w["half"]).otherwise(w["half"]) < v["p"], t=t, half=t_two_sided(t, v["n"]) / 2)
+            return let(lambda w: F.struct(F.when(w["below"], w["mid"]).otherwise(w["low"]).alias("low"), F.when(w["below"], w["high"]).otherwise(w["mid"]).alias("high")), below=below, mid=mid, low=s["low"], high=s["high"])
+
+        start = F.struct(F.lit(-1.0).alias("low"), F.lit(1.0).alias("high"))
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
+        return let(lambda w: w["at"] / (1 - F.abs(w["at"])), at=at)
+
+    return let(inside, p=p.cast("double"), n=df.cast("double"))
+
+
 def erf(x: Column) -> Column:
     """Abramowitz and Stegun 7.1.26, absolute error below 1.5e-7."""
     # The coefficients of formula 7.1.26.

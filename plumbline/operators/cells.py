@@ -33,7 +33,7 @@ def select_pairs(cardinality: dict[str, int], pair_cells: int = PAIR_CELLS, tota
 
 
 def build_cells(rows: DataFrame, time: str, dims: Sequence[str], measures: Sequence[str], pairs: Sequence[tuple[str, str]] = (), pair_grains: Sequence[str] = ("month",), grains: Sequence[str] = GRAINS) -> DataFrame:
-    """Cells of all grains.
+    """Cells of all grains, from one scan of the rows.
 
     Rows whose date does not parse or that hold no measure are left out; a null member is left out of its dimension but
     counts in totals.  Text measures are cast where they are finite numbers.
@@ -60,11 +60,18 @@ def build_cells(rows: DataFrame, time: str, dims: Sequence[str], measures: Seque
         "day", *[f"p_{g}" for g in coarse], F.get("used", F.lit(0)).alias("a"), F.get("used", F.lit(1)).alias("b"),
         F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"a_{i}").alias("c")) for i, m in enumerate(measures)])).alias("x"),
     ).select("day", *[f"p_{g}" for g in coarse], F.col("a.dim").alias("dim_a"), F.col("a.val").alias("val_a"), F.col("b.dim").alias("dim_b"), F.col("b.val").alias("val_b"), "x.measure", "x.c.*").where("n > 0")
-    one = long.where("day IS NOT NULL").withColumn("g", F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), period(F.col("day"), g).alias("period")) for g in grains]))).select("g.grain", "g.period", *KEYS[2:], "n", "sum", "sum_sq", "min", "max")
-    out = merge(one)
-    for g in coarse:
-        out = out.unionByName(long.where(f"p_{g} IS NOT NULL").select(F.lit(g).alias("grain"), F.col(f"p_{g}").alias("period"), *KEYS[2:], "n", "sum", "sum_sq", "min", "max"))
-    return out
+    own = F.array(*[F.struct(F.lit(g).alias("grain"), period(F.col("day"), g).alias("period")) for g in grains])
+    paired = F.array(*[F.struct(F.lit(g).alias("grain"), F.col(f"p_{g}").alias("period")) for g in coarse]) if coarse else own
+    places = F.filter(F.when(F.col("dim_b").isNull(), own).otherwise(paired), lambda g: g["period"].isNotNull())
+    return merge(long.withColumn("g", F.explode(places)).select("g.grain", "g.period", *KEYS[2:], "n", "sum", "sum_sq", "min", "max"))
+
+
+def dropped_rows(rows: DataFrame, time: str, measures: Sequence[str]) -> DataFrame:
+    """One row: rows, no_date (whose date does not parse) and no_measure (with a date, but without any number)."""
+    day = day_of(F.col(time), rows.schema[time].dataType.simpleString())
+    number = F.coalesce(*[F.when(~F.isnan(x := F.col(m).try_cast("double")) & (F.abs(x) < float("inf")), x) for m in measures])
+    count = lambda c: F.count(F.when(c, 1))
+    return rows.agg(F.count("*").alias("rows"), count(day.isNull()).alias("no_date"), count(day.isNotNull() & number.isNull()).alias("no_measure"))
 
 
 def merge(cells: DataFrame) -> DataFrame:

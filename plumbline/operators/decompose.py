@@ -10,15 +10,15 @@ from plumbline.operators import lookup
 CAVEAT = "A decomposition says which cells moved; it does not say why, nor what would have happened otherwise."
 
 
-def contribution(pairs: DataFrame, part: float = 0.8) -> DataFrame:
-    """(label, before, after) -> plus delta, share of the total change, pct_change, position, cells_to_part.
+def contribution(pairs: DataFrame, part: float = 0.8, by: list[str] | None = None) -> DataFrame:
+    """(label, before, after) -> within each of `by`, plus delta, share of the total change, pct_change, position, cells_to_part.
 
     cells_to_part: how many members, largest change first, until their shares add up to `part`; all if they never do.
     Where nothing changed in total, shares are 0 and cells_to_part is null.
     """
     d = pairs.withColumn("delta", F.col("after") - F.col("before"))
-    everything = Window.partitionBy(F.lit(0))
-    order = Window.orderBy(F.desc(F.abs("delta")), "label")
+    everything = Window.partitionBy(*(by or [F.lit(0)]))
+    order = everything.orderBy(F.desc(F.abs("delta")), "label")
     d = d.withColumn("share", F.coalesce(F.try_divide("delta", F.sum("delta").over(everything)), F.lit(0.0))).withColumn("pct_change", F.try_divide("delta", "before")).withColumn("position", F.row_number().over(order))
     d = d.withColumn("__covered", F.sum("share").over(order))
     reach = F.coalesce(F.min(F.when(F.col("__covered") >= part - 1e-12, F.col("position"))).over(everything), F.count("*").over(everything))

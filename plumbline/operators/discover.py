@@ -1,6 +1,7 @@
 """Discovery: candidate findings from cells, tested, corrected for the search, tiered and selected.
 
-Everything up to the ranked feed is one DataFrame plan over the cells of a grain; rows are cells, not data rows.
+Rows are cells, not data rows.  The families of tests read the same kept cells; what they find (test statistics, one row a
+test) is kept before p-values, q-values and tiers are worked out, so that each of those expressions is planned once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import tests
 from plumbline.operators.profile import Profile
+from plumbline.sources.store import keep
 
 
 @dataclass(frozen=True)
@@ -42,8 +44,12 @@ FIELDS = {
 }
 
 
+#: What a p-value is worked out from; see tests.p_value.
+PARTS = {"__t": "double", "__df": "double", "__times": "double", "__known": "double"}
+
+
 def _shape(df: DataFrame, **given: Column) -> DataFrame:
-    return df.select(*[(given[k] if k in given else F.lit(None)).cast(t).alias(k) for k, t in FIELDS.items()])
+    return df.select(*[(given[k] if k in given else F.lit(None)).cast(t).alias(k) for k, t in (FIELDS | PARTS).items() if k != "p"])
 
 
 def supported(cells: DataFrame, aggs: dict[str, str], grain: str, s: Settings) -> DataFrame:
@@ -62,19 +68,21 @@ def sibling_candidates(own: DataFrame, period: str, s: Settings) -> DataFrame:
     """Grubbs on the most extreme member of each (measure, dimension); too few members: a row with a reason, no p."""
     here = own.where(F.col("period") == period)
     w = Window.partitionBy("measure", "dim")
-    stat = here.withColumn("seen", F.count("*").over(w)).where("seen >= 2 AND dropped IS NULL")
-    stat = stat.withColumn("m", F.count("*").over(w)).withColumn("s", F.sum("val").over(w)).withColumn("q", F.sum(F.col("val") * F.col("val")).over(w)).withColumn("mean", F.avg("val").over(w)).withColumn("sd", F.stddev_samp("val").over(w))
-    top = stat.withColumn("far", F.row_number().over(w.orderBy(F.desc(F.abs(F.col("val") - F.col("mean"))), F.desc("val"), "value"))).where("far = 1")
-    g = F.abs(F.col("val") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd"))
+    placed = here.withColumn("shown", F.count("*").over(w)).withColumn("held", F.count(F.when(F.col("dropped").isNull(), 1)).over(w)).where("shown >= 2")
+    kept = placed.where("dropped IS NULL")
+    top = tests.extremes(kept.select("measure", "dim", "value", "val", "n", "share"), "val", ["measure", "dim"])
+    top = top.withColumnsRenamed({"seen": "m", "total": "s", "square": "q"})
     ok = (F.col("m") >= s.min_members) & (F.col("sd") > 0)
     others_mean, others_sd = tests.leave_one_out(F.col("m"), F.col("s"), F.col("q"), F.col("val"))
-    top = top.withColumn("g", F.when(ok, g)).withColumn("t", F.when(ok, tests.grubbs(F.col("m"), F.col("g"))))
+    top = top.withColumn("g", F.when(ok, F.col("g"))).withColumn("t", F.when(ok, tests.grubbs(F.col("m"), F.col("g"))))
     effect = F.when(ok & (F.col("m") >= 6), (F.col("val") - others_mean) / F.when(others_sd > 0, others_sd))
-    return _shape(
+    bare = placed.where("held = 0").groupBy("measure", "dim").agg(F.lit(0).alias("m"))
+    none = _shape(bare, kind=F.lit("sibling"), measure=F.col("measure"), dim=F.col("dim"), test=F.lit("grubbs-two-sided"), members=F.col("m"), reason=F.concat(F.lit("no member of "), F.col("dim"), F.lit(" clears the support floor")))
+    return none.unionByName(_shape(
         top, kind=F.lit("sibling"), measure=F.col("measure"), dim=F.col("dim"), value=F.when(ok, F.col("value")), val=F.when(ok, F.col("val")), n=F.when(ok, F.col("n")), share=F.when(ok, F.col("share")), test=F.lit("grubbs-two-sided"), statistic=F.col("g"),
-        p=F.col("t.p"), effect=effect, low_power=F.col("t.low_power"), degenerate=F.col("t.degenerate"), members=F.col("m"), direction=F.when(F.col("val") > F.col("mean"), "above").otherwise("below"), ceiling=F.col("t.ceiling"),
+        __t=F.col("t.t"), __df=F.col("t.df"), __times=F.col("t.times"), __known=F.col("t.known"), effect=effect, low_power=F.col("t.low_power"), degenerate=F.col("t.degenerate"), members=F.col("m"), direction=F.when(F.col("val") > F.col("mean"), "above").otherwise("below"), ceiling=F.col("t.ceiling"),
         reason=F.when(F.col("m") < s.min_members, F.concat(F.col("m").cast("string"), F.lit(" testable members of "), F.col("dim"), F.lit(f", the test needs {s.min_members}"))).when(~ok, "no variance among members"),
-    )
+    ))
 
 
 def temporal_candidates(own: DataFrame, period: str, s: Settings) -> DataFrame:
@@ -86,7 +94,7 @@ def temporal_candidates(own: DataFrame, period: str, s: Settings) -> DataFrame:
     hist = seen.withColumn("hn", F.count(F.when(before, 1)).over(w)).withColumn("hm", F.avg(F.when(before, F.col("val"))).over(w)).withColumn("hs", F.stddev_samp(F.when(before, F.col("val"))).over(w)).withColumn("prev", F.max_by("val", F.when(before, F.col("period"))).over(w))
     now = hist.where((F.col("back") == 1) & F.col("dropped").isNull() & (F.col("hn") >= s.min_history) & (F.col("hs") > 0)).withColumn("t", tests.last_point(F.col("val"), F.col("hn"), F.col("hm"), F.col("hs")))
     return _shape(
-        now, kind=F.lit("temporal"), measure=F.col("measure"), dim=F.col("dim"), value=F.col("value"), val=F.col("val"), n=F.col("n"), share=F.col("share"), test=F.lit("studentized-deviation"), statistic=F.col("t.t"), p=F.col("t.p"),
+        now, kind=F.lit("temporal"), measure=F.col("measure"), dim=F.col("dim"), value=F.col("value"), val=F.col("val"), n=F.col("n"), share=F.col("share"), test=F.lit("studentized-deviation"), statistic=F.col("t.t"), __t=F.col("t.t"), __df=F.col("t.df"),
         direction=F.when(F.col("val") > F.col("hm"), "above").otherwise("below"), hist_mean=F.col("hm"), history_n=F.col("hn"), pct_change=F.try_divide(F.col("val") - F.col("prev"), F.col("prev")),
     )
 
@@ -108,30 +116,39 @@ def persistence_candidates(own: DataFrame, period: str, s: Settings) -> DataFram
     if s.trim_persistence:
         long = long.where("p < 0.5")
     return _shape(
-        long, kind=F.lit("persistence"), measure=F.col("measure"), dim=F.col("dim"), value=F.col("value"), val=F.col("last.val"), n=F.col("last.n"), share=F.col("last.share"), test=F.lit("binomial-persistence"), statistic=F.col("hits") / F.col("observed"), p=F.col("p"),
+        long, kind=F.lit("persistence"), measure=F.col("measure"), dim=F.col("dim"), value=F.col("value"), val=F.col("last.val"), n=F.col("last.n"), share=F.col("last.share"), test=F.lit("binomial-persistence"), statistic=F.col("hits") / F.col("observed"), __known=F.col("p"),
         hits=F.col("hits"), periods=F.col("observed"), members=F.col("members"), expected=F.col("observed") / F.col("members"), extreme=F.col("extreme"), direction=F.when(F.col("extreme") == "top", "above").otherwise("below"),
     )
 
 
+def against_rest(cells: DataFrame) -> DataFrame:
+    """Two-way cells with k, the cells of their measure, pair and period, whole, the sum of them, and t, the Welch test of
+    each against all other rows of its pair."""
+    w = Window.partitionBy("measure", "dim_a", "dim_b", "period")
+    c = cells.withColumn("k", F.count("*").over(w)).withColumn("whole_n", F.sum("n").over(w)).withColumn("whole", F.sum("sum").over(w)).withColumn("whole_sq", F.sum("sum_sq").over(w))
+    return c.withColumn("t", tests.welch(F.col("n"), F.col("sum"), F.col("sum_sq"), F.col("whole_n") - F.col("n"), F.col("whole") - F.col("sum"), F.col("whole_sq") - F.col("sum_sq")))
+
+
 def cross_candidates(cells: DataFrame, aggs: dict[str, str], grain: str, period: str, s: Settings) -> DataFrame:
     """Welch test of each two-way cell's mean against all other rows of its pair and period."""
     own = cells.where((F.col("grain") == grain) & (F.col("period") == period) & F.col("dim_b").isNotNull() & (F.col("dim_a") != F.col("measure")) & (F.col("dim_b") != F.col("measure")) & F.col("measure").isin(list(aggs)))
-    w = Window.partitionBy("measure", "dim_a", "dim_b")
-    own = own.withColumn("k", F.count("*").over(w)).withColumn("N", F.sum("n").over(w)).withColumn("S", F.sum("sum").over(w)).withColumn("Q", F.sum("sum_sq").over(w)).where((F.col("k") >= 4) & (F.col("n") >= s.min_rows))
-    own = own.withColumn("t", tests.welch(F.col("n"), F.col("sum"), F.col("sum_sq"), F.col("N") - F.col("n"), F.col("S") - F.col("sum"), F.col("Q") - F.col("sum_sq"))).where("t IS NOT NULL")
+    own = against_rest(own).where((F.col("k") >= 4) & (F.col("n") >= s.min_rows) & F.col("t").isNotNull())
     return _shape(
-        own, kind=F.lit("cross"), measure=F.col("measure"), dim=F.col("dim_a"), value=F.col("val_a"), dim_b=F.col("dim_b"), value_b=F.col("val_b"), val=F.col("t.mean1"), rest_mean=F.col("t.mean2"), n=F.col("n"), share=F.coalesce(F.try_divide("sum", "S"), F.lit(0.0)),
-        test=F.lit("welch-t"), statistic=F.col("t.t"), p=F.col("t.p"), effect=F.col("t.effect"), direction=F.when(F.col("t.mean1") > F.col("t.mean2"), "above").otherwise("below"),
+        own, kind=F.lit("cross"), measure=F.col("measure"), dim=F.col("dim_a"), value=F.col("val_a"), dim_b=F.col("dim_b"), value_b=F.col("val_b"), val=F.col("t.mean1"), rest_mean=F.col("t.mean2"), n=F.col("n"), share=F.coalesce(F.try_divide("sum", "whole"), F.lit(0.0)),
+        test=F.lit("welch-t"), statistic=F.col("t.t"), __t=F.col("t.t"), __df=F.col("t.df"), effect=F.col("t.effect"), direction=F.when(F.col("t.mean1") > F.col("t.mean2"), "above").otherwise("below"),
     )
 
 
 def candidates(cells: DataFrame, aggs: dict[str, str], grain: str, period: str, s: Settings | None = None) -> DataFrame:
-    """All candidate rows, tested and untestable, with q and `significant`."""
+    """All candidate rows, tested and untestable, with p, q and `significant`.  `cells` is best a kept table: each family of
+    tests reads it."""
     s = s or Settings()
     own = supported(cells, aggs, grain, s)
-    found = sibling_candidates(own, period, s).unionByName(temporal_candidates(own, period, s)).unionByName(persistence_candidates(own, period, s)).unionByName(cross_candidates(cells, aggs, grain, period, s))
+    found = keep(sibling_candidates(own, period, s).unionByName(temporal_candidates(own, period, s)).unionByName(persistence_candidates(own, period, s)).unionByName(cross_candidates(cells, aggs, grain, period, s)))
+    p = F.when(F.col("__known").isNotNull() | F.col("__t").isNotNull(), tests.p_value(F.col("__t"), F.col("__df"), F.col("__times"), F.col("__known")))
+    tested = found.withColumn("p", p).select(*FIELDS)
     ties = ("kind", "measure", "dim", "value", "dim_b", "value_b", "extreme")
-    return tests.benjamini_hochberg(found, ties=ties).withColumn("significant", F.col("q") <= s.q_limit)
+    return tests.benjamini_hochberg(tested, ties=ties).withColumn("significant", F.col("q") <= s.q_limit)
 
 
 def with_tier(found: DataFrame, s: Settings) -> DataFrame:
@@ -159,12 +176,13 @@ RANK = {"high": 0, "medium": 1, "low": 2}
 
 
 def ranked_feed(found: DataFrame, s: Settings) -> DataFrame:
-    """Deduplicated findings with tier, strength and their place in the feed."""
-    pool = found.where((F.col("q") <= max(s.q_limit, s.low_ceiling)) & F.col("p").isNotNull())
+    """Deduplicated findings, tested or descriptive, with tier, strength and their place in the feed."""
+    # a row without p is either descriptive, and shown, or untestable with its reason, which belongs to the audit
+    pool = found.where((F.col("q") <= max(s.q_limit, s.low_ceiling)) | (F.col("p").isNull() & F.col("reason").isNull()))
     fed = with_tier(deduplicate(pool), s)
     zero = lambda c: F.abs(F.coalesce(c, F.lit(0.0)))
     fed = fed.withColumn("strength", zero("effect") * 2 + zero("share") + zero("statistic") * 0.05)
-    place = F.row_number().over(Window.orderBy(F.when(F.col("tier") == "high", 0).when(F.col("tier") == "medium", 1).otherwise(2), F.desc("strength"), "q", "value", "measure", "dim", "dim_b", "value_b"))
+    place = F.row_number().over(Window.orderBy(F.when(F.col("tier") == "high", 0).when(F.col("tier") == "medium", 1).otherwise(2), F.desc("strength"), F.coalesce("q", F.lit(1.0)), "value", "measure", "dim", "dim_b", "value_b"))
     return fed.withColumn("place", place)
 
 

@@ -89,22 +89,92 @@ def numeric(column: Column) -> Column:
     return F.when(s.rlike(NUMBER) & (F.abs(x) < float("inf")), x)
 
 
+#: Relative error of the first count of distinct values, of the percentile sketch, and the values that an exact quantile sorts at once.
+DISTINCT_ERROR, SKETCH, SORTED = 0.02, 10_000, 100_000
+
+
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact type-7 quantiles without sorting or holding the column: a sketch brackets the two rows that each needs, and
+    one more pass counts what lies below and groups what lies inside.  A bracket that is still wide is narrowed again.
+
+    Null and NaN take no part; nothing left: nulls.
+    """
+    x = F.col(column).cast("double")
+    rows = df.select(x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
+    n = rows.count()
+    if not n:
+        return [None] * len(shares)
+    ranks = sorted({r for p in shares for r in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))})
+    found: dict[int, float] = {}
+    open_ = [(float("-inf"), float("inf"), 0, n, ranks)]  # (low, high, rows below low, rows inside, ranks wanted)
+    while open_:
+        below, inside = [], []
+        for low, high, start, count, wanted in open_:
+            part = rows.where((F.col("x") >= low) & (F.col("x") <= high))
+            if count > SORTED:
+                edges = sorted({max(0.0, (w - start) / count - 2 / SKETCH) for w in wanted} | {min(1.0, (w - start) / count + 2 / SKETCH) for w in wanted})
+                at = part.agg(F.percentile_approx("x", [float(e) for e in edges], SKETCH)).first()[0]
+                spans = sorted({(at[edges.index(max(0.0, (w - start) / count - 2 / SKETCH))], at[edges.index(min(1.0, (w - start) / count + 2 / SKETCH))]) for w in wanted})
+            else:
+                spans = [(low, high)]
+            inside += spans
+        inside = sorted(set(inside))
+        c = rows.agg(*[F.count(F.when(F.col("x") < a, 1)) for a, _ in inside], *[F.count(F.when((F.col("x") >= a) & (F.col("x") <= b), 1)) for a, b in inside]).first()
+        for i, (a, b) in enumerate(inside):
+            start, count = c[i], c[len(inside) + i]
+            wanted = [r for r in ranks if r not in found and start <= r < start + count]
+            if not wanted:
+                continue
+            if a == b:
+                found |= dict.fromkeys(wanted, a)
+            elif count > SORTED and (a, b) not in [(o[0], o[1]) for o in open_]:
+                below.append((a, b, start, count, wanted))
+            else:  # different values with their counts: at most SORTED, or a bracket of few values that no sketch can split
+                at = start
+                for r in rows.where((F.col("x") >= a) & (F.col("x") <= b)).groupBy("x").count().orderBy("x").toLocalIterator():
+                    found |= {w: r["x"] for w in wanted if at <= w < at + r["count"]}
+                    at += r["count"]
+                    if at > wanted[-1]:
+                        break
+        open_ = below
+    out = []
+    for p in shares:
+        k = int(p * (n - 1))
+        low, high = found[k], found[min(n - 1, k + 1)]
+        out.append(low + (p * (n - 1) - k) * (high - low))
+    return out
+
+
+def dispersion(mean: float | None, sd: float | None, low: float | None) -> float | None:
+    """(variance + mean squared) / mean of values that are never negative."""
+    return (sd**2 + mean**2) / mean if low is not None and sd is not None and low >= 0 and mean > 0 else None
+
+
 def column_statistics(df: DataFrame) -> list[dict]:
-    """One dict a column, from a single pass over all columns."""
+    """One dict a column, from a single pass over all columns and one for each column whose distinct values need a close count.
+
+    `unique` is exact where a role can hang on it (near the cardinality cutoff or near one value a row), else within
+    DISTINCT_ERROR; the pass holds sketches only.  Percentiles come from a sketch of SKETCH points; quantiles() is exact.
+    """
     aggs = [F.count("*").alias("rows")]
     kinds = {c: df.schema[c].dataType.simpleString() for c in df.columns}
     usable = [c for c in df.columns if not kinds[c].startswith(("array", "map", "struct", "binary"))]
+    text = lambda c: F.nullif(F.col(f"`{c}`").cast("string"), F.lit(""))
     for i, c in enumerate(usable):
-        s = F.nullif(F.col(f"`{c}`").cast("string"), F.lit(""))
+        s = text(c)
         x, d = numeric(F.col(f"`{c}`")), day_of(F.col(f"`{c}`"), kinds[c])
         aggs += [a.alias(f"{k}_{i}") for k, a in {
-            "non_null": F.count(s), "unique": F.count_distinct(s), "length": F.avg(F.length(s)), "numbers": F.count(x), "whole": F.bool_and(x == F.floor(x)), "positive": F.bool_and(x >= 0),
-            "mean": F.avg(x), "sd": F.stddev_samp(x), "low": F.min(x), "high": F.max(x), "q": F.percentile(x, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))),
-            "dates": F.count(d), "months": F.count_distinct(F.year(d) * 12 + F.month(d)), "first": F.min(d), "last": F.max(d),
+            "non_null": F.count(s), "unique": F.approx_count_distinct(s, DISTINCT_ERROR), "length": F.avg(F.length(s)), "numbers": F.count(x), "whole": F.bool_and(x == F.floor(x)), "positive": F.bool_and(x >= 0),
+            "mean": F.avg(x), "sd": F.stddev_samp(x), "low": F.min(x), "high": F.max(x), "q": F.percentile_approx(x, [0.05, 0.5, 0.95], SKETCH),
+            "dates": F.count(d), "months": F.approx_count_distinct(F.year(d) * 12 + F.month(d), DISTINCT_ERROR), "first": F.min(d), "last": F.max(d),
         }.items()]
     row = df.agg(*aggs).first()
     names = ("non_null", "unique", "length", "numbers", "whole", "positive", "mean", "sd", "low", "high", "q", "dates", "months", "first", "last")
-    return [{"name": c, "rows": row["rows"], **{k: row[f"{k}_{i}"] for k in names}} for i, c in enumerate(usable)]
+    out = [{"name": c, "rows": row["rows"], **{k: row[f"{k}_{i}"] for k in names}} for i, c in enumerate(usable)]
+    for s in out:
+        if s["unique"] <= 2 * CARDINALITY_CUTOFF or s["unique"] >= (ID_RATIO - 0.2) * s["rows"]:
+            s["unique"] = df.select(text(s["name"]).alias("v")).where("v IS NOT NULL").distinct().count()
+    return out
 
 
 def time_score(s: dict) -> float | None:
@@ -117,8 +187,7 @@ def time_score(s: dict) -> float | None:
 
 def _measure(s: dict, dual: bool) -> Measure:
     agg, reason = classify_aggregation(s["name"], s["low"], s["high"], bool(s["whole"]))
-    spread = (s["sd"] ** 2 + s["mean"] ** 2) / s["mean"] if s["low"] >= 0 and s["mean"] > 0 else None
-    return Measure(s["name"], agg, reason, s["mean"], s["sd"], s["low"], s["high"], *s["q"], bool(s["whole"] and s["positive"]), s["numbers"], spread, dual)
+    return Measure(s["name"], agg, reason, s["mean"], s["sd"], s["low"], s["high"], *s["q"], bool(s["whole"] and s["positive"]), s["numbers"], dispersion(s["mean"], s["sd"], s["low"]), dual)
 
 
 def profile(df: DataFrame, roles: dict[str, str] | None = None) -> Profile:

@@ -1,11 +1,15 @@
-"""The six analyses over a cell table; each collects a small result and returns a card."""
+"""The six analyses over a cell table.
+
+What an analysis computes is a DataFrame over cells (deepdive_members, drill_moves, drill_dimensions, correlations); a card
+collects that small result and says it in a sentence.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import stats
+from plumbline.functions import stats, tests
 from plumbline.operators import decompose, discover, forecast, lookup
 from plumbline.operators.profile import Profile
 
@@ -30,14 +34,78 @@ def scan(cells: DataFrame, p: Profile, intent: dict) -> dict:
     return {"analysis": "scan", "grain": grain, "period": period, "findings": named[:3], "audit": found["audit"], "summary": " ".join([found["audit"]["verdict"], *(r["why"] for r in named[:3])])}
 
 
+def deepdive_members(cells: DataFrame, dim: str, measure: str, grain: str, period: str, agg: str = "sum") -> DataFrame:
+    """(label, value, n, share, robust_z, basis, effect) of the members with enough rows; effect is the distance from all
+    others in their sds."""
+    rows = lookup.breakdown(cells, dim, measure, grain, period, agg).where(F.col("n") >= discover.Settings().min_rows).withColumn("__all", F.lit(0))
+    w = Window.partitionBy("__all")
+    d = tests.robust_z(rows, "value", ["__all"]).withColumn("__k", F.count("*").over(w)).withColumn("__s", F.sum("value").over(w)).withColumn("__q", F.sum(F.col("value") * F.col("value")).over(w))
+    mean, sd = tests.leave_one_out(F.col("__k"), F.col("__s"), F.col("__q"), F.col("value"))
+    effect = F.when((F.col("__k") > 2) & (sd > 0), (F.col("value") - mean) / sd)
+    return d.select("label", "value", "n", F.coalesce(F.try_divide("value", "__s"), F.lit(0.0)).alias("share"), "robust_z", "basis", effect.alias("effect"))
+
+
+def deepdive_extreme(members: DataFrame) -> DataFrame:
+    """The member farthest from the mean with its Grubbs test: (label, members, g, p, ceiling, low_power); no row if untestable."""
+    least = discover.Settings().min_members
+    top = tests.extremes(members.select("label", "value", F.lit(0).alias("__all")), "value", ["__all"]).where((F.col("seen") >= least) & (F.col("sd") > 0))
+    t = top.withColumn("t", tests.grubbs(F.col("seen"), F.col("g")))
+    p = tests.p_value(F.col("t.t"), F.col("t.df"), F.col("t.times"), F.col("t.known"))
+    return t.select("label", F.col("seen").alias("members"), "g", p.alias("p"), "t.ceiling", "t.low_power")
+
+
 def deepdive(cells: DataFrame, p: Profile, intent: dict) -> dict:
+    """Every member of a dimension, the extreme one tested."""
     grain, period, measure, dim = _frame(cells, p, intent)
-    rows = [r.asDict() for r in lookup.breakdown(cells, dim, measure, grain, period, p.agg_of(measure)).collect()]
-    kept = [r for r in rows if r["n"] >= discover.Settings().min_rows]
-    values = [r["value"] for r in kept]
-    z, basis = stats.robust_z(values) if values else ([], None)
-    members = sorted(({**r, "robust_z": a, "effect": stats.cohens_d(r["value"], values[:i] + values[i + 1 :])} for i, (r, a) in enumerate(zip(kept, z, strict=True))), key=lambda r: (-abs(r["robust_z"]), r["label"]))
-    return {"analysis": "deepdive", "measure": measure, "dimension": dim, "grain": grain, "period": period, "members": members, "basis": basis, "thin": len(rows) - len(kept), "summary": f"{len(kept)} members of {dim} carry {measure}; {len(rows) - len(kept)} have too few rows."}
+    shown = [r.asDict() for r in lookup.breakdown(cells, dim, measure, grain, period, p.agg_of(measure)).collect()]
+    found = deepdive_members(cells, dim, measure, grain, period, p.agg_of(measure))
+    members = sorted((r.asDict() for r in found.collect()), key=lambda r: (-abs(r["robust_z"]), r["label"]))
+    top = deepdive_extreme(found).first()
+    thin = len(shown) - len(members)
+    said = f" {top['label']} is the extreme one: Grubbs G {top['g']:.2f}, {stats.format_p(top['p'])}." if top else " Too few vary for a test."
+    return {
+        "analysis": "deepdive", "measure": measure, "dimension": dim, "grain": grain, "period": period, "members": members, "basis": members[0]["basis"] if members else None, "thin": thin,
+        "evidence": top and top.asDict(), "chart": chart(shown), "summary": f"{len(members)} members of {dim} carry {measure}; {thin} have too few rows.{said}",
+    }
+
+
+def chart(rows: list[dict]) -> dict:
+    """A pie for up to five members, else bars."""
+    return {"type": "pie" if len(rows) <= 5 else "bar", "rows": rows}
+
+
+TITLES = {"sibling": "lies {direction} its peers on", "temporal": "left its own history on", "persistence": "is steadily the {extreme} on", "cross": "averages {direction} the rest on"}
+
+
+def feed_cards(cells: DataFrame, p: Profile, grain: str, period: str, s: discover.Settings | None = None) -> dict:
+    """The feed as cards, each with a title, its class, the rows of its chart and the audit of the search.
+
+    The charts are the breakdowns of the measures and dimensions in the feed, read in one pass over the cells.
+    """
+    found = discover.discover(cells, p, grain, period, s)
+    named = {(r["measure"], r["dim"]) for r in found["feed"]}
+    own = cells.where((F.col("grain") == grain) & (F.col("period") == period) & F.col("dim_b").isNull() & F.col("dim_a").isin(sorted({d for _, d in named})) & F.col("measure").isin(sorted({m for m, _ in named})))
+    charts: dict[tuple, list] = {}
+    for r in own.select("measure", "dim_a", "val_a", "sum", "n").collect():  # the members of one period, at most the cardinality cutoff a dimension
+        charts.setdefault((r["measure"], r["dim_a"]), []).append({"label": r["val_a"], "value": r["sum"] / r["n"] if p.agg_of(r["measure"]) == "avg" else r["sum"], "n": r["n"]})
+    cards = []
+    for r in found["feed"]:
+        rows = sorted(charts.get((r["measure"], r["dim"]), []), key=lambda x: (-x["value"], x["label"]))
+        subject = f"{r['dim']} = {r['value']}" + (f" and {r['dim_b']} = {r['value_b']}" if r["kind"] == "cross" else "")
+        verb = TITLES[r["kind"]].format(direction=r["direction"], extreme="lowest" if r["extreme"] == "bottom" else "highest")
+        cards.append({"title": f"{subject} {verb} {r['measure']}", "class": r["class"], "tier": r["tier"], "measure": r["measure"], "dimension": r["dim"], "grain": grain, "period": period, "chart": {"type": "bar", "rows": rows} if r["kind"] == "cross" else chart(rows), "value": r["val"], "change": r["pct_change"], "summary": r["why"], "corroboration": r["corroboration"], "evidence": r})
+    return {"cards": cards, "audit": found["audit"], "tiers": found["tiers"], "grain": grain, "period": period}
+
+
+def evidence_tier(evidence: dict | None) -> str:
+    """What stands behind a number: tested and passed, tested and not passed, descriptive, or a plain lookup."""
+    if not evidence:
+        return "lookup"
+    if evidence.get("p") is None:
+        return "descriptive"
+    q = evidence.get("q")
+    passed = q <= discover.Settings().q_limit if q is not None else evidence["p"] <= 0.05
+    return ("limited power" if evidence.get("low_power") else "tested") if passed else "not significant"
 
 
 def explain(cells: DataFrame, p: Profile, intent: dict) -> dict:
@@ -55,60 +123,78 @@ def explain(cells: DataFrame, p: Profile, intent: dict) -> dict:
     return card | {"parts": rows, "summary": f"{measure} changed by {sum(r['delta'] for r in rows):,.2f}; {rows[0]['label']} moved most, {rows[0]['delta']:,.2f}." if rows else "No member in either period."}
 
 
+def drill_moves(cells: DataFrame, measure: str, grain: str) -> DataFrame:
+    """(period, before, value, previous, move): the change of the total against the period before, as a share of it."""
+    line = lookup.trend(cells, measure, grain, "sum", None)
+    w = Window.orderBy("period")  # periods of the total, one row each
+    d = line.withColumn("before", F.lag("period").over(w)).withColumn("previous", F.lag("value").over(w))
+    return d.where("previous <> 0").select("period", "before", "value", "previous", ((F.col("value") - F.col("previous")) / F.abs("previous")).alias("move"))
+
+
+def drill_dimensions(cells: DataFrame, dims: list[str], measure: str, grain: str, before: str, after: str) -> DataFrame:
+    """(dim, label, delta, share, position, cells_to_part) of all dimensions' members between two periods, from one read of
+    the cells: what each adds to the change, and how many carry 80 % of it."""
+    own = cells.where((F.col("grain") == grain) & (F.col("measure") == measure) & F.col("dim_b").isNull() & F.col("dim_a").isin(dims) & F.col("period").isin(before, after))
+    at = lambda p: F.coalesce(F.sum(F.when(F.col("period") == p, F.col("sum"))), F.lit(0.0))
+    return decompose.contribution(own.groupBy(F.col("dim_a").alias("dim"), F.col("val_a").alias("label")).agg(at(before).alias("before"), at(after).alias("after")), by=["dim"])
+
+
+def drill_inside(cells: DataFrame, dim: str, member: str, measure: str, grain: str, before: str, after: str) -> DataFrame:
+    """(dim_b, label_b, delta, n, share): how the change inside one member falls on the members of the other dimensions."""
+    two = cells.where((F.col("grain") == grain) & (F.col("measure") == measure) & F.col("dim_b").isNotNull() & F.col("period").isin(before, after) & (((F.col("dim_a") == dim) & (F.col("val_a") == member)) | ((F.col("dim_b") == dim) & (F.col("val_b") == member))))
+    first = F.col("dim_a") == dim
+    two = two.select(F.when(first, F.col("dim_b")).otherwise(F.col("dim_a")).alias("dim_b"), F.when(first, F.col("val_b")).otherwise(F.col("val_a")).alias("label_b"), "period", "sum", "n")
+    at = lambda p, c: F.coalesce(F.sum(F.when(F.col("period") == p, F.col(c))), F.lit(0))
+    d = two.groupBy("dim_b", "label_b").agg((at(after, "sum") - at(before, "sum")).alias("delta"), at(after, "n").alias("n"))
+    whole = Window.partitionBy("dim_b")
+    d = d.withColumn("members", F.count(F.when(F.col("n") > 0, 1)).over(whole)).withColumn("moved", F.sum("delta").over(whole)).where("members >= 3 AND moved <> 0")
+    return d.select("dim_b", "label_b", "delta", "n", F.abs(F.col("delta") / F.col("moved")).alias("share"))
+
+
 def drill(cells: DataFrame, p: Profile, intent: dict) -> dict:
     """The largest move of the total, and the dimension whose fewest members carry 80 % of it."""
     grain, _, measure, _ = _frame(cells, p, intent)
-    agg = p.agg_of(measure)
-    line = [r.asDict() for r in lookup.trend(cells, measure, grain, agg, None).collect()]
-    moves = [(abs(b["value"] - a["value"]) / abs(a["value"]), b["period"], a["period"]) for a, b in zip(line, line[1:], strict=False) if a["value"]]
-    if intent.get("period"):
-        moves = [m for m in moves if m[1] == intent["period"]]
-    if not moves:
+    if p.agg_of(measure) == "avg":
+        return {"analysis": "drill", "measure": measure, "grain": grain, "caveat": decompose.CAVEAT, "summary": f"{measure} is averaged; contributions do not add up. Ask to explain it for rate and mix."}
+    moves = drill_moves(cells, measure, grain)
+    moves = moves.where(F.col("period") == intent["period"]) if intent.get("period") else moves
+    top = moves.orderBy(F.desc(F.abs("move")), "period").first()
+    if top is None:
         return {"analysis": "drill", "measure": measure, "summary": "There is no earlier period to compare with."}
-    _, period, before = max(moves, key=lambda m: m[0])
+    period, before = top["period"], top["before"]
     card = {"analysis": "drill", "measure": measure, "grain": grain, "from": before, "to": period, "caveat": decompose.CAVEAT}
-    if agg == "avg":
-        return card | {"summary": f"{measure} is averaged; contributions do not add up. Ask to explain it for rate and mix."}
-    found = []
-    for dim in p.dim_names():
-        rows = [r.asDict() for r in decompose.contribution(lookup.period_pair(cells, dim, measure, grain, before, period)).orderBy("position").collect()]
-        if rows and rows[0]["cells_to_part"]:
-            found.append((rows[0]["cells_to_part"], dim, rows))
-    if not found:
+    parts = [r.asDict() for r in drill_dimensions(cells, p.dim_names(), measure, grain, before, period).orderBy("dim", "position").collect()]
+    few = min(((r["cells_to_part"], r["dim"]) for r in parts if r["cells_to_part"]), default=None)
+    if few is None:
         return card | {"summary": "The change is spread evenly over every dimension."}
-    few, dim, rows = min(found, key=lambda f: f[0])
+    dim = few[1]
+    rows = [r for r in parts if r["dim"] == dim]
     lead = rows[0]["label"]
-    inside = []
-    for other in p.dim_names():
-        if other == dim:
-            continue
-        now, was = (lookup.cross_breakdown(cells, dim, other, measure, grain, q).where(F.col("label_a") == lead).select("label_b", F.col("value").alias(n), F.col("n").alias(f"n_{n}")) for q, n in ((period, "after"), (before, "before")))
-        part = [r.asDict() for r in now.join(was, "label_b", "left").na.fill(0).collect()]
-        moved = sum(r["after"] - r["before"] for r in part)
-        if len(part) >= 3 and moved:
-            top = max(part, key=lambda r: abs(r["after"] - r["before"]))
-            if top["n_after"] >= discover.Settings().min_rows:
-                inside.append((abs((top["after"] - top["before"]) / moved), other, top["label_b"]))
-    best = max(inside, default=None)
-    return card | {"dimension": dim, "member": lead, "parts": rows, "members_to_80": few, "inside": best and {"dimension": best[1], "member": best[2], "share": best[0]}, "summary": f"{measure} moved most in {period}; {few} member(s) of {dim} carry 80 % of it, first {lead}." + (f" Within it, {best[1]} = {best[2]}." if best else "")}
+    best = drill_inside(cells, dim, lead, measure, grain, before, period).withColumn("__place", F.row_number().over(Window.partitionBy("dim_b").orderBy(F.desc(F.abs("delta")), "label_b"))).where((F.col("__place") == 1) & (F.col("n") >= discover.Settings().min_rows)).orderBy(F.desc("share"), "dim_b").first()
+    inside = best and {"dimension": best["dim_b"], "member": best["label_b"], "share": best["share"]}
+    return card | {"dimension": dim, "member": lead, "parts": rows, "members_to_80": few[0], "inside": inside, "summary": f"{measure} moved most in {period}; {few[0]} member(s) of {dim} carry 80 % of it, first {lead}." + (f" Within it, {inside['dimension']} = {inside['member']}." if inside else "")}
+
+
+def correlations(cells: DataFrame, dim: str, anchor: str, aggs: dict[str, str], grain: str, period: str) -> DataFrame:
+    """(measure, n, r, t, p, low, high, rho, derived, leverage) of every other measure with the anchor over a dimension's
+    members of enough rows, from one read of the cells."""
+    own = cells.where((F.col("grain") == grain) & (F.col("period") == period) & (F.col("dim_a") == dim) & F.col("dim_b").isNull() & F.col("measure").isin(list(aggs)))
+    averaged = [m for m, a in aggs.items() if a == "avg"]
+    own = own.select("measure", F.col("val_a").alias("label"), "n", F.when(F.col("measure").isin(averaged), F.col("sum") / F.col("n")).otherwise(F.col("sum")).alias("v"))
+    w = Window.partitionBy("label")
+    at = lambda c: F.max(F.when(F.col("measure") == anchor, F.col(c))).over(w)
+    pairs = own.withColumn("x", at("v")).withColumn("__n", at("n")).where((F.col("measure") != anchor) & (F.col("__n") >= discover.Settings().min_rows) & F.col("x").isNotNull())
+    ranked = pairs.withColumn("a", tests.average_rank("x", ["measure"])).withColumn("b", tests.average_rank("v", ["measure"]))
+    each = ranked.groupBy("measure").agg(F.count("*").alias("n"), F.corr("x", "v").alias("r"), F.corr("a", "b").alias("rho")).where((F.col("n") >= 3) & F.col("r").isNotNull() & ~F.isnan("r"))
+    c = each.withColumn("c", tests.correlation(F.col("n"), F.col("r")))
+    return c.select("measure", "n", "r", "c.t", "c.p", "c.low", "c.high", "rho", (F.abs("r") >= DERIVED).alias("derived"), (F.abs("r") - F.abs("rho") > LEVERAGE).alias("leverage"))
 
 
 def correlate(cells: DataFrame, p: Profile, intent: dict) -> dict:
+    """Which measures move with the one asked for, over the members of a dimension."""
     grain, period, anchor, dim = _frame(cells, p, intent)
-    rows = lookup.one_way(cells, dim, anchor, grain).where(F.col("period") == period)
-    own = cells.where((F.col("grain") == grain) & (F.col("period") == period) & (F.col("dim_a") == dim) & F.col("dim_b").isNull()).collect()
-    enough = {r["val_a"] for r in rows.where(F.col("n") >= discover.Settings().min_rows).collect()}
-    value = {(r["measure"], r["val_a"]): r["sum"] / r["n"] if p.agg_of(r["measure"]) == "avg" else r["sum"] for r in own}
-    out = []
-    for m in p.measure_names():
-        pairs = [(value[anchor, v], value[m, v]) for v in sorted(enough) if m != anchor and (m, v) in value]
-        r = stats.pearson(*zip(*pairs, strict=True)) if len(pairs) >= 3 else None
-        if r is None:
-            continue
-        rho, n = stats.spearman(*zip(*pairs, strict=True)), len(pairs)
-        t = r * ((n - 2) / (1 - r * r)) ** 0.5 if abs(r) < 1 else float("inf")
-        out.append({"measure": m, "n": n, "r": r, "p": stats.t_p(t, n - 2), "rho": rho, "derived": abs(r) >= DERIVED, "leverage": rho is not None and abs(r) - abs(rho) > LEVERAGE})
-    out.sort(key=lambda c: (-abs(c["r"]), c["measure"]))
+    rows = correlations(cells, dim, anchor, {m.name: m.agg for m in p.measures}, grain, period)
+    out = [r.asDict() for r in rows.orderBy(F.desc(F.abs("r")), "measure").collect()]
     return {"analysis": "correlate", "measure": anchor, "dimension": dim, "grain": grain, "period": period, "correlations": out, "summary": "; ".join(f"{c['measure']} r {c['r']:.2f}, {stats.format_p(c['p'])}" for c in out[:4]) or f"{anchor} cannot be correlated here."}
 
 

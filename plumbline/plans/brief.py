@@ -53,3 +53,13 @@ def build_brief(p: Profile, cells: DataFrame, fingerprint: dict | None = None) -
 def to_markdown(b: dict) -> str:
     lines = ["# Data brief", "", f"{b['rows']:,} rows on `{b['time']}`; brief `{b['hash'][:12]}`.", "", "## Measures", *(f"- `{m['name']}`: {m['agg']}, {m['why']}" for m in b["measures"]), "", "## Dimensions", *(f"- `{d['name']}`: {d['members']} members" for d in b["dimensions"])]
     return "\n".join([*lines, "", "## Beware", *(f"- {g['severity']}: {g['text']}" for g in b["gotchas"]), "", "## Works", *(f"- {w}" for w in b["works"]), "", "## Does not", *(f"- {w}" for w in b["limits"])])
+
+
+def passages(b: dict) -> list[dict]:
+    """A brief as passages to cite: (id, kind, text, subjects), subjects being the columns that a passage speaks of."""
+    columns = [x["name"] for x in b["measures"] + b["dimensions"]]
+    out = [{"id": f"gotcha:{i}", "kind": "gotcha", "text": g["text"]} for i, g in enumerate(b["gotchas"])]
+    out += [{"id": f"measure:{m['name']}", "kind": "measure", "text": f"{m['name']}: {m['agg']}, {m['why']}"} for m in b["measures"]]
+    out += [{"id": f"dimension:{d['name']}", "kind": "dimension", "text": f"{d['name']}: {d['members']} members"} for d in b["dimensions"]]
+    out += [{"id": f"limit:{i}", "kind": "limit", "text": t} for i, t in enumerate(b["limits"])]
+    return [x | {"subjects": [c for c in columns if c in x["text"]]} for x in out]

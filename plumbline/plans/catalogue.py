@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import special, tests
-from plumbline.functions.timeaxis import GRAINS, parse_day
+from plumbline.functions.timeaxis import GRAINS, parse_day, period_range
 from plumbline.operators import cells as cube
 from plumbline.operators import decompose, discover, forecast, lookup, profile
 from plumbline.sources import tables
@@ -42,6 +42,15 @@ def query(sql: str | None = None, on_sales: bool = True):
 
 
 def sales_cells(spark: SparkSession, sf_dir: str, dims=("r_name",), measures=("price",), pairs=(), grains=("month",)) -> DataFrame:
+    """The kept cells of these dimensions, measures, pairs and grains."""
+    one = F.col("dim_b").isNull() & (F.col("dim_a").isNull() | F.col("dim_a").isin(list(dims)))
+    for a, b in pairs:
+        one = one | ((F.col("dim_a") == min(a, b)) & (F.col("dim_b") == max(a, b)))
+    return tables.sales_cells(spark, sf_dir).where(F.col("grain").isin(list(grains)) & F.col("measure").isin(list(measures)) & one)
+
+
+def built_cells(spark: SparkSession, sf_dir: str, dims=("r_name",), measures=("price",), pairs=(), grains=("month",)) -> DataFrame:
+    """The same, computed from the rows."""
     return cube.build_cells(tables.sales(spark, sf_dir), "day", dims, measures, pairs, grains=grains)
 
 
@@ -182,7 +191,7 @@ def _cells_sql(grain: str) -> str:
 
 def _cells_query(grain: str):
     def run(spark, sf_dir):
-        out = sales_cells(spark, sf_dir, ("r_name", "l_returnflag"), grains=(grain,))
+        out = built_cells(spark, sf_dir, ("r_name", "l_returnflag"), grains=(grain,))
         return out.select("period", "dim_a", "val_a", "n", *money("sum", "min", "max"))
 
     run.__name__, run.__doc__ = f"cells_{grain}", f"Totals and one-way cells by {grain}."
@@ -196,7 +205,7 @@ for _g in GRAINS:
 @query(f" SELECT {M} AS period, n_name AS val_a, r_name AS val_b, count(*) AS n, round(sum(quantity), 2) AS sum, round(sum(quantity * quantity), 2) AS sum_sq FROM sales GROUP BY 1, 2, 3")
 def cells_pair(spark, sf_dir):
     """Two-way cells of nation and region by month."""
-    out = sales_cells(spark, sf_dir, ("n_name", "r_name"), ("quantity",), [("n_name", "r_name")])
+    out = built_cells(spark, sf_dir, ("n_name", "r_name"), ("quantity",), [("n_name", "r_name")])
     return out.where("dim_b IS NOT NULL").select("period", "val_a", "val_b", "n", *money("sum", "sum_sq"))
 
 
@@ -217,15 +226,15 @@ def profile_counts(spark, sf_dir):
 @query(" SELECT round(quantile_cont(price, CAST(0.05 AS DOUBLE)), 4) AS p05, round(quantile_cont(price, CAST(0.5 AS DOUBLE)), 4) AS p50, round(quantile_cont(price, CAST(0.95 AS DOUBLE)), 4) AS p95 FROM sales")
 def percentiles(spark, sf_dir):
     """Exact type-7 percentiles."""
-    q = tables.read(spark, sf_dir, "lineitem").agg(F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    return q.select(*[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+    q = profile.quantiles(tables.read(spark, sf_dir, "lineitem"), "l_extendedprice", (0.05, 0.5, 0.95))
+    return spark.createDataFrame([tuple(round(x, 4) for x in q)], "p05 double, p50 double, p95 double")
 
 
 @query(" SELECT round((var_samp(quantity) + avg(quantity) ** 2) / avg(quantity), 6) AS dispersion FROM sales")
 def dispersion_index(spark, sf_dir):
-    """(variance + mean squared) / mean of quantities."""
-    v = tables.read(spark, sf_dir, "lineitem").agg(F.var_samp("l_quantity").alias("v"), F.avg("l_quantity").alias("m"))
-    return v.select(F.round((F.col("v") + F.col("m") * F.col("m")) / F.col("m"), 6).alias("dispersion"))
+    """(variance + mean squared) / mean of quantities, as the profile holds it."""
+    s = profile.column_statistics(tables.read(spark, sf_dir, "lineitem").select("l_quantity"))[0]
+    return spark.createDataFrame([(round(profile.dispersion(s["mean"], s["sd"], s["low"]), 6),)], "dispersion double")
 
 
 NATION_SQL = f"b AS (SELECT n_name AS label, CAST(sum(quantity) AS DOUBLE) AS v, count(*) AS n FROM sales WHERE {M} = '{MONTH}' GROUP BY 1)"
@@ -238,10 +247,7 @@ def nations(spark, sf_dir) -> DataFrame:
 @query(f", {NATION_SQL}, c AS (SELECT median(v) AS med FROM b), d AS (SELECT 1.4826 * median(abs(v - med)) AS mad FROM b, c) SELECT label, round((v - med) / mad, 6) AS robust_z FROM b, c, d")
 def mad_robust_z(spark, sf_dir):
     """Deviation of each nation from the median in scaled MADs."""
-    w = Window.partitionBy(F.lit(0))
-    d = nations(spark, sf_dir).withColumn("med", F.median("v").over(w))
-    d = d.withColumn("mad", F.median(F.abs(F.col("v") - F.col("med"))).over(w) * 1.4826)
-    return d.select("label", F.round((F.col("v") - F.col("med")) / F.col("mad"), 6).alias("robust_z"))
+    return tests.robust_z(nations(spark, sf_dir).withColumn("o", F.lit(0)), "v", ["o"]).select("label", F.round("robust_z", 6).alias("robust_z"))
 
 
 @query(f", {NATION_SQL} SELECT label, n, round(abs(v) / sum(abs(v)) OVER (), 6) AS share, CASE WHEN n < 30 THEN 'low row count' WHEN abs(v) / sum(abs(v)) OVER () < 0.005 THEN 'negligible share' END AS dropped FROM b")
@@ -254,9 +260,8 @@ def support_filter(spark, sf_dir):
 @query(f", {NATION_SQL} SELECT count(*) AS members, round(max(abs(v - m)) / any_value(s), 8) AS g FROM b, (SELECT avg(v) AS m, stddev_samp(v) AS s FROM b)")
 def grubbs_g(spark, sf_dir):
     """Grubbs statistic of the most extreme nation."""
-    w = Window.partitionBy(F.lit(0))
-    d = nations(spark, sf_dir).select(F.abs(F.col("v") - F.avg("v").over(w)).alias("d"), F.stddev_samp("v").over(w).alias("s"))
-    return d.agg(F.count("*").alias("members"), F.round(F.max("d") / F.max("s"), 8).alias("g"))
+    top = tests.extremes(nations(spark, sf_dir).select("label", "v").withColumn("o", F.lit(0)), "v", ["o"])
+    return top.select(F.col("seen").alias("members"), F.round("g", 8).alias("g"))
 
 
 @query(f", {NATION_SQL}, t AS (SELECT count(*) AS k, sum(v) AS s, sum(v * v) AS q FROM b) SELECT label, round((v - (s - v) / (k - 1)) / sqrt((q - v * v - (s - v) * (s - v) / (k - 1)) / (k - 2)), 5) AS d FROM b, t")
@@ -273,12 +278,10 @@ x AS (SELECT r_name, l_returnflag, g.n AS n1, t.n - g.n AS n2, g.s / g.n AS m1,
 SELECT r_name AS value_b, l_returnflag AS value, round((m1 - m2) / sqrt(e1 + e2), 6) AS t, round((e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)), 3) AS df FROM x""")
 def welch_t(spark, sf_dir):
     """Welch statistic of each region and return flag against everything else, year 2000."""
-    c = cube.build_cells(tables.sales(spark, sf_dir), "day", ("r_name", "l_returnflag"), ("quantity",), [("r_name", "l_returnflag")], ("year",), ("year",)).where("dim_b IS NOT NULL AND period = '2000'")
-    w = Window.partitionBy(F.lit(0))
-    for a, b in (("N", "n"), ("S", "sum"), ("Q", "sum_sq")):
-        c = c.withColumn(a + "_", F.sum(b).over(w))
-    c = c.withColumn("x", tests.welch(F.col("n"), F.col("sum"), F.col("sum_sq"), F.col("N_") - F.col("n"), F.col("S_") - F.col("sum"), F.col("Q_") - F.col("sum_sq")))
-    return c.select(F.col("val_b").alias("value_b"), F.col("val_a").alias("value"), F.round("x.t", 6).alias("t"), F.round("x.df", 3).alias("df"))
+    days = (period_range("2000", "year")[0], period_range("2000", "year")[1])
+    c = cube.build_cells(tables.sales(spark, sf_dir, days), "day", ("r_name", "l_returnflag"), ("quantity",), [("r_name", "l_returnflag")], ("year",), ("year",))
+    c = discover.against_rest(c.where("dim_b IS NOT NULL AND period = '2000'"))
+    return c.select(F.col("val_b").alias("value_b"), F.col("val_a").alias("value"), F.round("t.t", 6).alias("t"), F.round("t.df", 3).alias("df"))
 
 
 @query(f""", p AS (SELECT n_name, {M} AS period, CAST(sum(quantity) AS DOUBLE) AS v FROM sales GROUP BY 1, 2), r AS (SELECT *, dense_rank() OVER (ORDER BY period DESC) AS back FROM p WHERE period <= '{MONTH}'),
@@ -309,7 +312,7 @@ def _persistence(spark, sf_dir) -> DataFrame:
 @query(f", {TOP_SQL}, k AS (SELECT value, hits, unnest(range(hits, 25)) AS i FROM h WHERE hits > 0) SELECT value, round(CASE WHEN any_value(hits) <= 24 / 5.0 THEN 1.0 ELSE sum(exp(lgamma(25) - lgamma(i + 1) - lgamma(25 - i) + i * ln(0.2) + (24 - i) * ln(0.8))) END, 8) AS p FROM k GROUP BY value")
 def binomial_tail(spark, sf_dir):
     """Exact probability of that persistence among five alike segments."""
-    return _persistence(spark, sf_dir).where("extreme = 'top'").select("value", F.round("p", 8).alias("p"))
+    return _persistence(spark, sf_dir).where("extreme = 'top'").select("value", F.round("__known", 8).alias("p"))
 
 
 @query(", p AS (SELECT n_nationkey AS id, ((n_nationkey * 37 + 11) % 101) / CAST(200 AS DOUBLE) AS p FROM nation), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS n FROM p) SELECT id, round(p, 6) AS p, round(least(1.0, min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS q FROM r")
@@ -323,9 +326,9 @@ VECTOR_SQL = f"v AS (SELECT n_name, sum(price) AS x, sum(quantity) AS y FROM sal
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
-    c = lookup.one_way(sales_cells(spark, sf_dir, ("n_name",), ("price", "quantity")), "n_name", "price", "month")
-    q = lookup.one_way(sales_cells(spark, sf_dir, ("n_name",), ("quantity",)), "n_name", "quantity", "month")
-    return c.where(F.col("period") == MONTH).select("val_a", F.col("sum").alias("x")).join(q.where(F.col("period") == MONTH).select("val_a", F.col("sum").alias("y")), "val_a")
+    c = sales_cells(spark, sf_dir, ("n_name",), ("price", "quantity")).where((F.col("period") == MONTH) & F.col("dim_a").isNotNull())
+    at = lambda m: F.max(F.when(F.col("measure") == m, F.col("sum")))
+    return c.groupBy("val_a").agg(at("price").alias("x"), at("quantity").alias("y"))
 
 
 @query(f", {VECTOR_SQL} SELECT count(*) AS n, round(corr(x, y), 8) AS r FROM v")
@@ -361,29 +364,3 @@ def t_pvalue(spark, sf_dir):
     """Two-sided p of Student's t over a grid of even degrees of freedom, where a closed form exists."""
     g = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in (2, 4, 6, 10, 30)])).alias("df"), F.sequence(F.lit(1), F.lit(12)).alias("s")).select("df", F.explode("s").alias("x")).select("df", (F.col("x") / 4.0).alias("t"))
     return g.select("df", "t", F.round(special.t_two_sided(F.col("t"), F.col("df")), 9).alias("p"))
-
-
-def _discovery_cells(spark, sf_dir) -> DataFrame:
-    return sales_cells(spark, sf_dir, ("r_name", "n_name", "c_mktsegment"), ("price", "discount"), [("c_mktsegment", "r_name")])
-
-
-@query()
-def discover_candidates(spark, sf_dir):
-    """Every tested cell of a month with p, q and tier."""
-    found = discover.candidates(_discovery_cells(spark, sf_dir), {"price": "sum", "discount": "avg"}, "month", MONTH)
-    return discover.with_tier(found, discover.Settings()).select("kind", "measure", "dim", "value", "dim_b", "value_b", "n", "statistic", "p", "q", "significant", "tier", "reason")
-
-
-@query()
-def discovery_feed(spark, sf_dir):
-    """The feed of a month: deduplicated, tiered, spread over measures."""
-    s = discover.Settings(low_ceiling=1.0)
-    found = discover.candidates(_discovery_cells(spark, sf_dir), {"price": "sum", "discount": "avg"}, "month", MONTH, s)
-    return discover.select_diverse(discover.ranked_feed(found, s), s).select("place", "kind", "measure", "dim", "value", "tier", "q", "corroboration")
-
-
-@query()
-def holt_forecast(spark, sf_dir):
-    """Three months ahead for each region, with a backtest."""
-    c = lookup.one_way(sales_cells(spark, sf_dir), "r_name", "price", "month").where(F.col("period") <= MONTH)
-    return forecast.forecast_series(c.select(F.col("val_a").alias("series"), "period", F.col("sum").alias("value")), 3)

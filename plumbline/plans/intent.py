@@ -49,27 +49,55 @@ def match_member(text: str, p: Profile) -> tuple[str, str] | None:
     return max(found, key=lambda f: len(f[1]), default=None)
 
 
+#: Analyses that need a dimension.
+DIVIDED = ("drill", "deepdive", "explain")
+
+
+def _resolve_measure(text: str, p: Profile) -> tuple[str | None, list[str]]:
+    """(measure, the options it was assumed from, if none was named)."""
+    names = p.measure_names()
+    named = match_column(text, names) or (re.search(MONEY_WORDS, text) and next((m for m in names if re.search(MONEY_COLUMNS, m, re.I)), None))
+    return (named, []) if named else (names[0], names if len(names) > 1 else []) if names else (None, [])
+
+
+def _resolve_dimension(text: str, p: Profile, analysis: str | None) -> tuple[str | None, list[str]]:
+    names = p.dim_names()
+    named = match_column(text, names) or (match_member(text, p) or (None,))[0]
+    if named or analysis not in DIVIDED or not names:
+        return named, []
+    return names[0], names if len(names) > 1 else []
+
+
+def _number(text: str, word: str, most: int, default: int) -> int:
+    found = re.search(rf"\b{word}\s+(\d{{1,2}})\b", text)
+    return min(most, int(found[1])) if found else default
+
+
 def parse_intent(question: str, p: Profile) -> dict:
+    """Each slot is resolved on its own from the text and the profile; slots that were assumed are listed as unresolved."""
     text = f" {question.lower().strip()} "
-    dims, measures, unresolved = p.dim_names(), p.measure_names(), []
-    measure = match_column(text, measures)
-    if not measure and re.search(MONEY_WORDS, text):
-        measure = next((m for m in measures if re.search(MONEY_COLUMNS, m, re.I)), None)
-    if not measure and measures:
-        measure = measures[0]
-        if len(measures) > 1:
-            unresolved.append({"field": "measure", "options": measures, "chose": measure})
-    dimension, hit = match_column(text, dims), match_member(text, p)
-    if hit and not dimension:
-        dimension = hit[0]
     analysis = _first(ANALYSES, text)
-    if analysis in ("drill", "deepdive", "explain") and not dimension and dims:
-        dimension = dims[0]
-        if len(dims) > 1:
-            unresolved.append({"field": "dimension", "options": dims, "chose": dimension})
-    top, ahead = re.search(r"\btop\s+(\d{1,2})\b", text), re.search(r"\bnext\s+(\d{1,2})\b", text)
+    slots = {"measure": _resolve_measure(text, p), "dimension": _resolve_dimension(text, p, analysis)}
+    measure, dimension = (slots[name][0] for name in slots)
+    hit = match_member(text, p)
+    plain = _first(SHAPES, text) or ("breakdown" if dimension else "trend")
     return {
-        "question": question, "analysis": analysis, "shape": "analysis" if analysis else _first(SHAPES, text) or ("breakdown" if dimension else "trend"), "measure": measure, "dimension": dimension,
-        "member": hit[1] if hit and hit[0] == dimension else None, "grain": _first(GRAIN_WORDS, text) or "month", "k": min(20, int(top[1])) if top else 5, "horizon": min(12, int(ahead[1])) if ahead else 3,
-        "ascending": bool(re.search(LOWEST_WORDS, text)), "period": None, "unresolved": unresolved,
+        "question": question, "analysis": analysis, "shape": "analysis" if analysis else plain, "measure": measure, "dimension": dimension, "member": hit[1] if hit and hit[0] == dimension else None,
+        "grain": _first(GRAIN_WORDS, text) or "month", "k": _number(text, "top", 20, 5), "horizon": _number(text, "next", 12, 3), "ascending": bool(re.search(LOWEST_WORDS, text)), "period": None,
+        "unresolved": [{"field": name, "options": options, "chose": chosen} for name, (chosen, options) in slots.items() if options],
     }
+
+
+def suggestions(p: Profile) -> list[dict]:
+    """Questions that the columns at hand can answer, one for each analysis and one lookup."""
+    measures, dims = p.measure_names(), p.dim_names()
+    if not measures:
+        return []
+    m = measures[0]
+    offers = [("Does anything stand out? Scan", "scan"), (f"Forecast {m} for the next 3 periods", "forecast")]
+    if dims:
+        offers += [(f"{m} by {dims[0]}", None), (f"Why did {m} drop?", "drill"), (f"Deep dive into {m} by {dims[0]}", "deepdive"), (f"Explain the change in {m}", "explain")]
+    if len(measures) > 1:
+        offers.append((f"What correlates with {m}?", "correlate"))
+    order = [None, *(name for name, _ in ANALYSES)]
+    return [{"text": text, "analysis": analysis} for text, analysis in sorted(offers, key=lambda o: order.index(o[1]))]

@@ -1,10 +1,10 @@
 import oracle
 import pytest
 
-from plumbline.plans import catalogue
+from plumbline.plans import evidence as catalogue
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["breakdown", "topk", "cross_cell", "contribution", "mix_rate_summary", "cells_week", "bh_qvalues", "date_shapes", "t_pvalue", "profile_counts"]
+QUICK = ["breakdown", "topk", "cross_cell", "contribution", "mix_rate_summary", "cells_week", "bh_qvalues", "date_shapes", "t_pvalue", "profile_counts", "discover_candidates", "discovery_subjects", "deepdive_members", "drill_dimensions", "drill_inside", "correlations", "holt_levels", "intents", "note_scores", "ledger_chain", "narration_guard", "column_roles", "delimited_text", "dropped_rows"]
 
 
 @pytest.fixture(scope="module")
@@ -22,3 +22,9 @@ def test_every_query_is_registered():
 
     assert set(catalogue.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_has_rows(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).where("p IS NOT NULL").count() > 20

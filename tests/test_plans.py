@@ -59,3 +59,65 @@ def test_brief(spark):
     p = profile(df)
     b = brief.build_brief(p, build_cells(df, p.time, p.dim_names(), p.measure_names()))
     assert any("too few" in g["text"] for g in b["gotchas"]) and "revenue" in brief.to_markdown(b)
+
+
+def test_payload_and_suggestions(spark):
+    from plumbline.plans import brief, intent
+
+    df = spark.createDataFrame([(f"2024-{1 + i % 9:02d}-01", "ab"[i % 2], float(i), float(i % 17)) for i in range(90)], "day string, side string, revenue double, units double")
+    p = profile(df)
+    b = brief.build_brief(p, build_cells(df, p.time, p.dim_names(), p.measure_names()))
+    got = narration.payload({"measure": "revenue", "summary": "revenue 5", "evidence": {"p": 0.01, "test": "t"}}, b, [{"id": 1, "text": "note"}])
+    assert any(x["kind"] == "measure" and x["subjects"] == ["revenue"] for x in brief.passages(b)) and got["finding"]["evidence"]["p"] == 0.01
+    assert {x["kind"] for x in got["passages"]} <= {"gotcha", "measure"} and 5.0 in got["allowed_numbers"] and len(got["notes"]) == 1
+    for s in intent.suggestions(p):
+        assert intent.parse_intent(s["text"], p)["analysis"] == s["analysis"], s
+
+
+def test_evidence_tiers():
+    tier = analyses.evidence_tier
+    assert [tier(e) for e in (None, {"p": None}, {"p": 0.01, "q": 0.02}, {"p": 0.01, "q": 0.02, "low_power": True}, {"p": 0.2, "q": 0.5})] == ["lookup", "descriptive", "tested", "limited power", "not significant"]
+
+
+def test_load(spark, tmp_path):
+    import pytest
+
+    from plumbline.plans import dataset
+
+    def write(name, lines):
+        (tmp_path / name).write_text("\n".join(lines))
+        return str(tmp_path / name)
+
+    rows = [f"2024-{1 + i % 12:02d}-{1 + i % 28:02d},{'NSEW'[i % 4]},{'xyz'[i % 3]},{100 + i * 7 % 53}.5" for i in range(600)]
+    good = dataset.load(spark, write("a.csv", ["day,side,kind,revenue", *rows, "never,N,x,1.0"]))
+    assert good.profile.time == "day" and good.profile.dim_names() == ["kind", "side"] and any("1 row(s)" in w for w in good.warnings)
+    assert good.cells.where("dim_a IS NULL AND grain = 'year'").first()["n"] == 600
+    cards = analyses.feed_cards(good.cells, good.profile, "month", "2024-06")
+    assert cards["audit"]["tests"] >= 0 and all(c["chart"]["rows"] for c in cards["cards"])
+    assert "only the first 50" in dataset.load(spark, write("a.csv", ["day,side,kind,revenue", *rows]), row_limit=50).warnings[0]
+    for name, lines, message in (("b.csv", ["a,b"], "no rows"), ("c.csv", ["a,b", "x,1", "y,2"], "No date"), ("d.csv", ["day,b", "2024-01-01,x", "2024-01-02,y"], "No measure"), ("e.pdf", ["a"], "no delimited text")):
+        with pytest.raises(ValueError, match=message):
+            dataset.load(spark, write(name, lines))
+
+
+def test_planted_and_flat_data(spark):
+    """A planted effect is found; of twenty measures of pure noise, each searched on its own, few show a finding."""
+    import numpy as np
+
+    from plumbline.functions.stats import benjamini_hochberg
+    from plumbline.operators import discover
+    from plumbline.sources.store import keep
+
+    rng = np.random.default_rng(42)
+    rows = []
+    for i in range(7000):
+        month, region, segment = 1 + i % 20, "ABCDEFGH"[rng.integers(8)], "xyz"[rng.integers(3)]
+        planted = 130.0 if region == "C" and month == 20 else 100.0
+        rows.append((f"{2022 + (month - 1) // 12}-{(month - 1) % 12 + 1:02d}-{1 + i % 28:02d}", region, segment, float(planted + rng.normal(0, 20)), *[float(x) for x in rng.gamma(4, 25, 20)]))
+    names = [f"m{k}" for k in range(20)]
+    df = spark.createDataFrame(rows, "day string, region string, segment string, planted double, " + ", ".join(f"{n} double" for n in names))
+    cells = keep(build_cells(df, "day", ["region", "segment"], ["planted", *names], [("region", "segment")]), by="grain")
+    found = discover.candidates(cells, {"planted": "avg"} | dict.fromkeys(names, "avg"), "month", "2023-08").select("kind", "measure", "dim", "value", "p", "q").collect()
+    assert any(r.measure == "planted" and r.value == "C" and r.q is not None and r.q <= 0.1 for r in found)
+    flat = sum(min(benjamini_hochberg([r.p for r in found if r.measure == n and r.p is not None]), default=1) <= 0.1 for n in names)
+    assert flat <= 6
