@@ -131,18 +131,28 @@ def crc_fold(doc_id, modulus: int):
 def draw(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], max_total: int, fold: tuple[int, int] | None = None) -> dict[int, list]:
     """Texts of at most most[value] documents for each label value, the first by hash of the id: rows (h, doc_id, t).
 
-    Ids are drawn first, over narrow columns; only the drawn ids (bounded by `most`) are broadcast to fetch texts, so no
-    text but theirs is shuffled.  Texts are whole: a label is drawn until its texts hold `max_total` characters, and the text that
-    reaches the bound is the last.  `fold` = (modulus, remainder that is left out).  Null labels and null texts are not drawn.
+    Ids are drawn first, over narrow columns: a label with many rows is thinned by its hash to little more than it may give
+    before its rows are ranked, so no label meets in one task.  Only the drawn ids (bounded by `most`) are broadcast to fetch
+    texts, so no text but theirs is shuffled.  Texts are whole: a label is drawn until its texts hold `max_total` characters,
+    and the text that reaches the bound is the last.  `fold` = (modulus, remainder that is left out).  Null labels, null texts
+    and rows without id are not drawn.
     """
     ids = docs.where("text IS NOT NULL").select("doc_id").distinct()
     pairs = ids.join(labels.where(F.col(label).isin(list(most))).select("doc_id", F.col(label).alias("__y")).distinct(), "doc_id")
     if fold:
         pairs = pairs.where(crc_fold("doc_id", fold[0]) != fold[1])
-    picked = None
-    for value, limit in most.items():
-        part = pairs.where(F.col("__y") == value).select(F.xxhash64("doc_id").alias("h"), "doc_id", "__y").orderBy("h", "doc_id").limit(limit)
-        picked = part if picked is None else picked.unionByName(part)
+    held_rows = {r["__y"]: r["count"] for r in pairs.groupBy("__y").count().collect()}  # at most one row a value of `most`
+    if not held_rows:
+        return {value: [] for value in most}
+    reach = None
+    for value, n in held_rows.items():
+        share = min(1.0, (most[value] + 10 * most[value] ** 0.5 + 50) / n)
+        reach = F.when(F.col("__y") == value, share) if reach is None else reach.when(F.col("__y") == value, share)
+    limit = None
+    for value in held_rows:
+        limit = F.when(F.col("__y") == value, most[value]) if limit is None else limit.when(F.col("__y") == value, most[value])
+    thinned = pairs.select(F.xxhash64("doc_id").alias("h"), "doc_id", "__y").where(F.col("h") / float(1 << 64) + 0.5 <= reach)
+    picked = thinned.withColumn("__place", F.row_number().over(Window.partitionBy("__y").orderBy("h", "doc_id"))).where(F.col("__place") <= limit).drop("__place")
     before = Window.partitionBy("__y").orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
     held = docs.where("text IS NOT NULL").select("doc_id", F.col("text").alias("t")).join(F.broadcast(picked), "doc_id")
     rows = held.withColumn("__before", F.sum(F.length("t")).over(before)).where(F.coalesce("__before", F.lit(0)) < max_total).drop("__before").collect()
