@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import draw, texts
+from plumbline.llm.common import crc_fold, draw, texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -166,10 +166,16 @@ def fit(texts_by_language: dict[str, list[str]], epochs: int = 10, batch: int =
     return net
 
 
-def train(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), max_docs: int = 400, max_total: int = 30_000_000) -> Network:
-    """Fit on at most `max_docs` whole documents of each language (fewer once they hold `max_total` characters), leaving out the fold (modulus, remainder)."""
+def train(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), max_docs: int = 400, max_total: int = 30_000_000, max_languages: int = 200) -> Network:
+    """Fit on at most `max_docs` whole documents of each language (fewer once they hold `max_total` characters).
+
+    Nothing of the fold (modulus, remainder) is read, neither text nor language.  The `max_languages` languages of most
+    documents are learned (ties by name).  Null languages, null texts and rows without id are left out.
+    """
     named = docs.where("lang IS NOT NULL")
-    languages = [r["lang"] for r in named.select("lang").distinct().orderBy("lang").collect()]
+    if fold:
+        named = named.where(crc_fold("doc_id", fold[0]) != fold[1])
+    languages = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     if not languages:
         return fit({})
     drawn = draw(docs, named.select("doc_id", "lang"), "lang", dict.fromkeys(languages, max_docs), max_total, fold)
@@ -177,7 +183,12 @@ def train(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), max_docs: int
 
 
 def identify(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns plus lang_pred and score.  Null text, or text without a letter: `und` with score 0."""
+    """`keep` columns plus lang_pred and score, one row for each row of `docs`.
+
+    Null text, or text without a letter: `und` with score 0.  A text of any length is read whole, in windows.  Ties of
+    probability go to the language that is first by name.  Repeated rows are answered each; an empty table gives no rows;
+    other columns take no part.
+    """
     source = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
 
