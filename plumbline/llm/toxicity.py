@@ -3,8 +3,7 @@
 A written token is the output of a noisy channel over a clean word: letters are swapped for look-alikes, drawn out, or
 held apart by separators or spaces.  Tokens that show such noise become a lattice of clean letters, decoded by Viterbi
 search under a character trigram model; other tokens pass unchanged.  The restored words are then scored by a lexicon of
-words and word beginnings learned from
-labelled documents; the evidence of a document is the sum of their log likelihood ratios, turned to a probability.
+words and word beginnings learned from labelled documents; the evidence of a document is the sum of their log likelihood ratios, turned to a probability.
 
 Both models are fitted on a bounded sample of labelled rows (`max_toxic`, `max_clean` documents, drawn by hash of the id).
 A word counts once for each different left neighbour, so near copies of one document do not make a word look frequent.
@@ -169,12 +168,12 @@ class Model:
         words = raw.decode("utf-8", "replace").split()
         total = 0.0
         known = self._known
-        for w in set(words):
+        for w, n in Counter(words).items():
             q = known.get(w)
             if q is None:
                 q = self.token(w)
             if q:
-                total += q * words.count(w)
+                total += q * n
         size = np.fromiter(map(len, words), np.int32, len(words))
         short = np.flatnonzero(size == 1)
         if len(short) > 2:
@@ -277,7 +276,12 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 5, max_toxic: i
 
 
 def assess(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
-    """`keep` columns plus score and predicted.  Null or empty text gets the score of a text without a hit."""
+    """`keep` columns plus score and predicted, one row for each row of `docs`.
+
+    Null or empty text gets the score of a text without a hit.  A text of any length is read whole; its evidence is capped
+    where the probability no longer moves.  A score equal to the threshold counts as toxic.  Repeated rows are scored each;
+    an empty table gives no rows; other columns take no part.
+    """
     source = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
 
@@ -290,7 +294,8 @@ def assess(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
 
 
 def filter_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` that score below the threshold, all columns kept."""
+    """The rows of `docs` that score below the threshold, all columns kept; null and empty texts, repeated rows and an empty
+    table as in assess()."""
 
     def run(batches):
         for b in batches:
