@@ -164,7 +164,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def assess(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """`keep` columns plus the counts, base_failed, quality_p and kept.
 
-    Null or empty text: all counts zero, so base_failed.  Columns of `docs` other than `keep` and text take no part.
+    Null or empty text: all counts zero, so base_failed.  A text of any length is read whole.  A probability equal to the
+    threshold passes.  Repeated rows are judged each; an empty table gives no rows; columns of `docs` other than `keep` and
+    text take no part.
     """
     source = docs.select(*keep, F.col("text").alias("__text"))
     fields = ", ".join(f"{c} long" for c in COUNTS)
@@ -187,7 +189,8 @@ def assess(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
 
 
 def filter_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that pass, all columns kept."""
+    """The rows of `docs` that pass, all columns kept: null and empty texts do not, a text of any length is read whole, a
+    probability equal to the threshold passes, repeated rows are judged each, an empty table stays empty."""
     cols = docs.columns
     at = cols.index("text")
 

@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import ann, html_extract, langid, packing, ppm, quality, sentencepiece_codec, sharding, simhash, toxicity
 from plumbline.llm.common import crc_fold, table
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether a document is of the fold that is not learned from; one without id is neither learned from nor held out."""
+    return F.coalesce(crc_fold("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded, and decoded again; digests of both."""
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -26,14 +31,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text; learned where crc32(doc_id) modulo 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.train(docs, fold=(4, 2))).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, langid.train(docs, fold=(4, 2))).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels are read only where crc32(doc_id) modulo 5 is not 0."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold=5)
-    return toxicity.assess(docs, model).select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity.assess(docs, model).select("doc_id", held_out(5, 0), "score", "predicted")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
