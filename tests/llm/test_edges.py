@@ -199,3 +199,81 @@ def test_thinned_links_have_the_same_components(spark):
     assert {x: c for x, c in want.items() if x in set(thin_u.tolist()) | set(thin_v.tolist())} == parts(thin_u, thin_v)
     edges = spark.createDataFrame([(int(a), int(b), "x", 1) for a, b in zip(u, v, strict=True)] + [(None, 5, "x", 1)], "u long, v long, label string, node int")
     assert {r.node: r.component for r in connected_components(edges).collect()} == want
+
+
+def test_recall_with_the_parameters_of_the_query(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(2500, 64)), rng.normal(size=(20, 64)).repeat(50, 0) + 0.3 * rng.normal(size=(1000, 64)), np.ones((300, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, k=10, every=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    right = 0
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(len(x)), d))[:10]
+        assert all(score == pytest.approx(d[v]) for v, score in got[q]) and len(got[q]) == 10
+        right += len(set(best) & {v for v, _ in got[q]})
+    assert right >= 0.95 * 10 * len(got) and len(got) == 38
+
+
+def test_packing_equals_brute_force(spark):
+    """Ids by the library, laid on one line in the order of the pieces: checksums, places and lengths."""
+    from zlib import crc32
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["Alpha", "beta!", "it's", "12", "éa", "x" * 9]) for _ in range(rng.choice([0, 1, 30, 400]))) for _ in range(60)] + [None, ""]
+    lib = Tokenizer.from_file(path)
+    ids = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), path, max_tokens=128).collect()
+    at = 0
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert (r.sequence_id, r.offset) == divmod(at, 128) and r.doc_tokens == len(ids[r.doc_id]) and len(piece) == r.length
+        assert r.ids_crc32 == crc32(np.array(piece, "<u4").tobytes())
+        at += r.length
+    assert at == sum(map(len, ids.values()))
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert all(sorted(v)[0][0] == 0 and sum(n for _, n in v) == len(ids[d]) for d, v in by_doc.items()) and set(by_doc) == set(ids)
+
+
+def test_learned_operators_read_no_held_out_label(spark):
+    """Labels and languages of the fold that is left out may say anything."""
+    from zlib import crc32
+
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice(["th", "er", "ing"] if i % 2 else ["ñ", "que", "ión"]) for _ in range(3)) for _ in range(40)), "ab"[i % 2] if crc32(str(i).encode()) % 4 != 2 else f"lie{i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(docs, fold=(4, 2))
+    assert net.languages == ["a", "b"]
+    found = langid.identify(docs, net).collect()
+    assert sum(r.lang_pred == "ab"[r.doc_id % 2] for r in found) >= 115
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    """The query's columns from the model's own numbers, gram by gram."""
+    from zlib import crc32
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=quality.SIZE).astype(np.float32), rng.normal(size=quality.SIZE).astype(np.float32), 2.0, 0.1)
+    texts = [" ".join(random.Random(i).choice(["alpha", "beta#", "γ", "d"]) + str(random.Random(i * 7 + k).randrange(300)) for k in range(40 + i)) for i in range(40)]
+    rows = quality.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        words = raw.split()
+        grams = [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % (1 << 32)) >> (32 - quality.BITS) for i in range(len(raw) - 2)]
+        z = sum(float(model.words[crc32(w) & (quality.SIZE - 1)]) for w in words) / len(words) + sum(float(model.chars[g]) for g in grams) / len(grams)
+        p = 1 / (1 + np.exp(-(2.0 * z + 0.1)))
+        assert r.quality_p == pytest.approx(p, abs=1e-5) and r.kept == (not r.base_failed and p >= quality.THRESHOLD)
+        assert r.base_failed == (len(words) < 50 or 100 * r.n_repeat_words > 50 * len(words))
