@@ -33,7 +33,7 @@ ORDER = 5
 END, BEFORE, BITS = 256, 257, 9
 SYMBOLS = 257
 BLOCK_BYTES = 16 << 20
-_PART = 1 << 21
+_PART = 1 << 20
 _EMPTY = np.int64(-1)
 
 
@@ -86,8 +86,12 @@ class Table:
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(which, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+    """Different keys, ascending, with the sums of their counts."""
+    keys, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def _by_block(batches, begin, add, end):
@@ -163,9 +167,11 @@ def block_grams(blocks: DataFrame) -> DataFrame:
         def end(block):
             squeeze(True), squeeze(False)
             keys, n = _merge(counted)
+            counted.clear()
             for at in range(0, len(keys), 100_000):
                 part = keys[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), block)), pa.array(n[at : at + 100_000])], names=["key", "block", "n"])
+            pa.default_memory_pool().release_unused()
 
         yield from _by_block(batches, begin, add, end)
 
@@ -202,10 +208,10 @@ def trie(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def probabilities(grams: DataFrame, entries: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(key, n) -> (key, value): log10 of the probability of each gram's last symbol after the others."""
-    full = F.log10("n") - F.log10(F.col("total") + F.col("seen"))
+    """(key, n) -> (key, a, b): the probability of each gram's last symbol after the others, as its logarithm to base 10 in a
+    where b is 0, and else as the fraction a / b; counts take less room than logarithms."""
     longest = contexts.where(F.col("k") == ORDER).select("context", "total", "seen")
-    known = grams.where("n > 0").withColumn("context", F.shiftright("key", BITS)).join(longest, "context").select("key", full.alias("value"))
+    known = grams.where("n > 0").withColumn("context", F.shiftright("key", BITS)).join(longest, "context").select("key", F.col("n").cast("double").alias("a"), (F.col("total") + F.col("seen")).cast("double").alias("b"))
 
     new = cut(grams.where("n = 0").select("key"))
     rows = None
@@ -232,7 +238,7 @@ def probabilities(grams: DataFrame, entries: DataFrame, contexts: DataFrame) ->
         if k:  # what context k leaves of the next shorter one; a context that leaves nothing passes on at no cost
             value += F.when((F.col("top") >= k) & (F.col("found") == k - 1), F.log10(col("n", k - 1)) - F.log10(mass)).when((F.col("top") >= k) & (F.col("found") < k - 1) & (mass > 0), F.log10(col("rest_seen", k) / mass)).otherwise(0.0)
     value += F.when(F.col("found") < 0, -F.log10(F.greatest(F.lit(1), SYMBOLS - F.coalesce(col("seen", 0), F.lit(0))))).otherwise(0.0)
-    return known.unionByName(wide.select("key", value.alias("value")))
+    return known.unionByName(wide.select("key", value.alias("a"), F.lit(0.0).alias("b")))
 
 
 def score_documents(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFrame:
@@ -277,19 +283,26 @@ def score_documents(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFram
     end_value = float(np.log10(ends + 1))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        # words first, then grams, so that only one of their lookups is held at a time
         of_word = right.column("word").is_valid()
-        said, told = right.filter(of_word), right.filter(pc.invert(of_word))
-        known = dict(zip(said.column("word").to_pylist(), np.log10(said.column("value").to_numpy() + 1.0).tolist(), strict=True))
-        place, value = Table(told.column("key").to_numpy().astype(np.int64)), told.column("value").to_numpy()
-        n, hits, base, total = [], [], [], []
+        part = right.select(["word", "a"]).filter(of_word)
+        known = dict(zip(part.column("word").to_pylist(), np.log10(part.column("a").to_numpy() + 1.0).tolist(), strict=True))
+        n, hits, base = [], [], []
         for raw in texts_of(left):
-            low = raw.lower()
-            found = low.split()
+            found = raw.lower().split()
             x = np.fromiter(map(known.__getitem__, found), np.float64, len(found))
             n.append(len(found) + 1)
             hits.append(int(np.count_nonzero(x)) + bool(ends))
             base.append(float(x.sum()) + end_value - (len(found) + 1) * unit)
-            total.append(float(sum(value[place.find(keys)].sum() for keys in gram_keys(low))))
+        del known, part
+        part = right.select(["key", "a", "b"]).filter(pc.invert(of_word))
+        place = Table(part.column("key").to_numpy().astype(np.int64))
+        a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
+        value = np.where(b > 0, np.log10(np.where(b > 0, a, 1.0)) - np.log10(np.where(b > 0, b, 1.0)), a)
+        del part, a, b
+        total = [float(sum(value[place.find(keys)].sum() for keys in gram_keys(raw.lower()))) for raw in texts_of(left)]
+        del place, value
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(hits, pa.int64()), "train_tokens": pa.array([tokens] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
 
     def texts_of(t: pa.Table):
@@ -298,7 +311,7 @@ def score_documents(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFram
                 yield raw.as_py() or b""
 
     none = lambda kind: F.lit(None).cast(kind)
-    replies = words.select("block", "word").join(counts, "word").select("block", "word", none("long").alias("key"), F.col("c").cast("double").alias("value")).unionByName(
-        asked.select("block", "key").join(values, "key").select("block", none("binary").alias("word"), "key", "value")
+    replies = words.select("block", "word").join(counts, "word").select("block", "word", none("long").alias("key"), F.col("c").cast("double").alias("a"), F.lit(0.0).alias("b")).unionByName(
+        asked.select("block", "key").join(values, "key").select("block", none("binary").alias("word"), "key", "a", "b")
     )
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
