@@ -44,26 +44,33 @@ def build_cells(rows: DataFrame, time: str, dims: Sequence[str], measures: Seque
     base = base.where(F.col("day").isNotNull() & F.coalesce(*[F.col(f"m_{i}") for i in range(len(measures))]).isNotNull())
     where = {d: i for i, d in enumerate(dims)}
     coarse = [g for g in pair_grains if pairs]
+    start = lambda g: F.col("day") if g == "day" else F.trunc("day", g)  # noqa: E731  the first day of a period stands for it
     for g in coarse:
-        base = base.withColumn(f"p_{g}", period(F.col("day"), g))
+        base = base.withColumn(f"p_{g}", start(g))
     sets = [["day"]] + [["day", f"d_{i}"] for i in range(len(dims))] + [[f"p_{g}", f"d_{where[a]}", f"d_{where[b]}"] for g in coarse for a, b in (tuple(sorted(p)) for p in pairs)]
     keys = ["day", *[f"p_{g}" for g in coarse], *[f"d_{i}" for i in range(len(dims))]]
+    parts = ("n", "sum", "sum_sq", "min", "max")
     aggs = []
     for i in range(len(measures)):
         m = F.col(f"m_{i}")
-        aggs.append(F.struct(F.count(m).alias("n"), F.sum(m).alias("sum"), F.sum(m * m).alias("sum_sq"), F.min(m).alias("min"), F.max(m).alias("max")).alias(f"a_{i}"))
+        aggs += [x.alias(f"{k}_{i}") for k, x in zip(parts, (F.count(m), F.sum(m), F.sum(m * m), F.min(m), F.max(m)), strict=True)]
     grouped = base.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(k) for k in keys]).agg(*aggs, *[F.grouping(k).alias(f"g_{k}") for k in keys])
     # which dimensions a row is grouped by, first and second in name order
     used = F.array(*[F.when(F.col(f"g_d_{where[d]}") == 0, F.struct(F.lit(d).alias("dim"), F.col(f"d_{where[d]}").alias("val"))) for d in sorted(dims)]) if dims else F.array().cast("array<struct<dim:string,val:string>>")
     flat = grouped.withColumn("used", F.filter(used, lambda u: u.isNotNull())).where(~F.exists("used", lambda u: u["val"].isNull()))
-    long = flat.select(
-        "day", *[f"p_{g}" for g in coarse], F.get("used", F.lit(0)).alias("a"), F.get("used", F.lit(1)).alias("b"),
-        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"a_{i}").alias("c")) for i, m in enumerate(measures)])).alias("x"),
-    ).select("day", *[f"p_{g}" for g in coarse], F.col("a.dim").alias("dim_a"), F.col("a.val").alias("val_a"), F.col("b.dim").alias("dim_b"), F.col("b.val").alias("val_b"), "x.measure", "x.c.*").where("n > 0")
-    own = F.array(*[F.struct(F.lit(g).alias("grain"), period(F.col("day"), g).alias("period")) for g in grains])
-    paired = F.array(*[F.struct(F.lit(g).alias("grain"), F.col(f"p_{g}").alias("period")) for g in coarse]) if coarse else own
-    places = F.filter(F.when(F.col("dim_b").isNull(), own).otherwise(paired), lambda g: g["period"].isNotNull())
-    return merge(long.withColumn("g", F.explode(places)).select("g.grain", "g.period", *KEYS[2:], "n", "sum", "sum_sq", "min", "max"))
+    flat = flat.withColumn("a", F.get("used", F.lit(0))).withColumn("b", F.get("used", F.lit(1)))
+    own = F.array(*[F.struct(F.lit(g).alias("grain"), start(g).alias("start")) for g in grains])
+    paired = F.array(*[F.struct(F.lit(g).alias("grain"), F.col(f"p_{g}").alias("start")) for g in coarse]) if coarse else own
+    places = F.filter(F.when(F.col("b").isNull(), own).otherwise(paired), lambda g: g["start"].isNotNull())
+    placed = flat.withColumn("g", F.explode(places)).select("g.grain", "g.start", F.col("a.dim").alias("dim_a"), F.col("a.val").alias("val_a"), F.col("b.dim").alias("dim_b"), F.col("b.val").alias("val_b"), *[f"{k}_{i}" for i in range(len(measures)) for k in parts])
+    # all measures of a cell are merged side by side; names of periods and measures are put on at the end
+    total = {"n": F.sum, "sum": F.sum, "sum_sq": F.sum, "min": F.min, "max": F.max}
+    merged = placed.groupBy("grain", "start", *KEYS[2:-1]).agg(*[total[k](f"{k}_{i}").alias(f"{k}_{i}") for i in range(len(measures)) for k in parts])
+    named = F.lit(None).cast("string")
+    for g in grains if not coarse else sorted({*grains, *coarse}, key=GRAINS.index):
+        named = F.when(F.col("grain") == g, period(F.col("start"), g)).otherwise(named)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), *[F.col(f"{k}_{i}").alias(k) for k in parts]) for i, m in enumerate(measures)]))
+    return merged.select("grain", named.alias("period"), *KEYS[2:-1], each.alias("x")).select(*KEYS[:-1], "x.*").where("n > 0")
 
 
 def dropped_rows(rows: DataFrame, time: str, measures: Sequence[str]) -> DataFrame:
