@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import special, tests
 from plumbline.functions.timeaxis import GRAINS, parse_day, period_range
 from plumbline.operators import cells as cube
-from plumbline.operators import decompose, discover, forecast, lookup, profile
+from plumbline.operators import decompose, discover, lookup, profile
 from plumbline.sources import tables
 
 MONTH, BEFORE = "2001-10", "2001-09"
