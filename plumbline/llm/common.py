@@ -44,16 +44,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 _written: list[tuple[weakref.ref, str]] = []
-_tables: list[tuple[weakref.ref, str]] = []
+_tables: list[tuple[weakref.ref, str, str]] = []
 
 
 @atexit.register
 def _sweep() -> None:
-    for ref, what in [*_written, *_tables]:
+    for ref, what in [*_written, *((ref, path) for ref, _, path in _tables)]:
         spark = ref()
         try:
             if spark is not None and spark.sparkContext._jsc is not None:
-                _remove(spark, what) if "/" in what else spark.sql(f"DROP TABLE IF EXISTS {what}")
+                _remove(spark, what)
         except Exception:  # the JVM may have gone before the interpreter
             return
 
@@ -73,23 +73,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_by(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """Like cut(), as a table of the warehouse in `parts` buckets of `key`: grouping by the key and joining on it need no
-    further shuffle of these rows.  Buckets are sorted, so that equal keys lie together and take little room."""
+    """Like cut(), as a table in `parts` buckets of `key`, its files in the shared folder: grouping by the key and joining on
+    it need no further shuffle of these rows.  Buckets are sorted, so that equal keys lie together and take little room."""
     spark = df.sparkSession
     name = f"plumbline_{uuid.uuid4().hex}"
-    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("compression", "zstd").saveAsTable(name)
-    _tables.append((weakref.ref(spark), name))
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    _tables.append((weakref.ref(spark), name, path))
     return spark.table(name)
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that cut() or cut_by() wrote and that nothing reads any more."""
     files = df.inputFiles()[:1]
-    for ref, name in _tables:
-        if files and f"/{name}/" in files[0]:
-            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-            _tables.remove((ref, name))
-            return
+    for entry in _tables:
+        if files and f"/{entry[1]}/" in files[0]:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {entry[1]}")
+            _tables.remove(entry)
+            break
     for path in files:
         _remove(df.sparkSession, path.rsplit("/", 1)[0])
 

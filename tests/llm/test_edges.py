@@ -277,3 +277,18 @@ def test_quality_verdict_equals_brute_force(spark):
         p = 1 / (1 + np.exp(-(2.0 * z + 0.1)))
         assert r.quality_p == pytest.approx(p, abs=1e-5) and r.kept == (not r.base_failed and p >= quality.THRESHOLD)
         assert r.base_failed == (len(words) < 50 or 100 * r.n_repeat_words > 50 * len(words))
+
+
+def test_bucketed_tables_lie_in_the_shared_folder(spark):
+    """Whatever op8 keeps in buckets lies in the folder that all share, needs no further shuffle, and is deleted once it is read."""
+    from pathlib import Path
+
+    from plumbline.llm.common import cut_by, forget, shared_dir
+
+    held = cut_by(spark.range(100).withColumnRenamed("id", "key"), "key", 4)
+    files = [f.removeprefix("file:").replace("///", "/") for f in held.inputFiles()]
+    assert files and all(f.startswith(shared_dir(spark)) for f in files)
+    counted = held.groupBy("key").count()
+    assert counted.count() == 100 and "Exchange hashpartitioning(key" not in counted._jdf.queryExecution().executedPlan().toString()
+    forget(held)
+    assert not any(Path(f).exists() for f in files)
