@@ -35,13 +35,26 @@ def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame that keep() gave and that nothing reads any more."""
+    files = df.inputFiles()
+    for entry in [e for e in _kept if any(f"{e[1].rstrip('/').rsplit('/', 1)[-1]}/" in f for f in files[:1])]:
+        remove(df.sparkSession, entry[1])
+        _kept.remove(entry)
+
+
 @atexit.register
 def _sweep() -> None:
     for ref, path in _kept:
         spark = ref()
         try:
             if spark is not None and spark.sparkContext._jsc is not None:
-                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                remove(spark, path)
         except Exception:  # the JVM may have gone before the interpreter
             return
