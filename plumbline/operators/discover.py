@@ -175,13 +175,21 @@ def deduplicate(found: DataFrame) -> DataFrame:
 RANK = {"high": 0, "medium": 1, "low": 2}
 
 
+def survivors(found: DataFrame, s: Settings) -> DataFrame:
+    """Every finding that passes correction, with tier and strength: what an effect is worth, not how small its p is."""
+    return _with_strength(with_tier(found.where("significant"), s))
+
+
+def _with_strength(fed: DataFrame) -> DataFrame:
+    zero = lambda c: F.abs(F.coalesce(c, F.lit(0.0)))
+    return fed.withColumn("strength", zero("effect") * 2 + zero("share") + zero("statistic") * 0.05)
+
+
 def ranked_feed(found: DataFrame, s: Settings) -> DataFrame:
     """Deduplicated findings, tested or descriptive, with tier, strength and their place in the feed."""
     # a row without p is either descriptive, and shown, or untestable with its reason, which belongs to the audit
     pool = found.where((F.col("q") <= max(s.q_limit, s.low_ceiling)) | (F.col("p").isNull() & F.col("reason").isNull()))
-    fed = with_tier(deduplicate(pool), s)
-    zero = lambda c: F.abs(F.coalesce(c, F.lit(0.0)))
-    fed = fed.withColumn("strength", zero("effect") * 2 + zero("share") + zero("statistic") * 0.05)
+    fed = _with_strength(with_tier(deduplicate(pool), s))
     place = F.row_number().over(Window.orderBy(F.when(F.col("tier") == "high", 0).when(F.col("tier") == "medium", 1).otherwise(2), F.desc("strength"), F.coalesce("q", F.lit(1.0)), "value", "measure", "dim", "dim_b", "value_b"))
     return fed.withColumn("place", place)
 
@@ -218,6 +226,11 @@ def select_diverse(fed: DataFrame, s: Settings) -> DataFrame:
     return fed.join(chosen.select("place"), "place").orderBy(tier, F.desc(F.abs(F.coalesce("effect", F.lit(0.0)))), "q", "place")
 
 
+def audit(found: DataFrame) -> DataFrame:
+    """One row: tests, survived and untestable candidates of a search."""
+    return found.agg(F.count("p").alias("tests"), F.count(F.when(F.col("significant"), 1)).alias("survived"), F.count(F.when(F.col("p").isNull(), 1)).alias("untestable"))
+
+
 def sentence(r: dict) -> str:
     """What a finding says, from its own numbers."""
     where = f"{r['dim']} = {r['value']}"
@@ -243,21 +256,23 @@ def classify(kind: str, dim: str | None) -> str:
     return "spatial" if dim and _PLACE.search(dim) else "behavioral"
 
 
-def discover(cells: DataFrame, p: Profile, grain: str, period: str, s: Settings | None = None) -> dict:
-    """feed (dicts, with sentence), survivors and an audit of the search."""
+def discover(cells: DataFrame, p: Profile, grain: str, period: str, s: Settings | None = None, measure: str | None = None) -> dict:
+    """feed (dicts, with sentence), the strongest survivors (of one measure, if given) and an audit of the search."""
     s = s or Settings()
     found = candidates(cells, {m.name: m.agg for m in p.measures}, grain, period, s).persist()
     try:
         fed = ranked_feed(found, s).persist()
         feed = [r.asDict(recursive=True) for r in select_diverse(fed, s).collect()]
-        counts = found.agg(F.count("p").alias("tests"), F.sum(F.col("significant").cast("int")).alias("survived"), F.sum(F.col("p").isNull().cast("int")).alias("untestable")).first()
+        passed = survivors(found if measure is None else found.where(F.col("measure") == measure), s)
+        best = [r.asDict(recursive=True) for r in passed.orderBy(F.desc("strength"), "q", "measure", "dim", "value", "dim_b", "value_b", "kind").limit(s.max_feed).collect()]
+        counts = audit(found).first()
         reasons = [r["reason"] for r in found.where("reason IS NOT NULL").select("reason").distinct().orderBy("reason").limit(8).collect()]
         fed.unpersist()
     finally:
         found.unpersist()
-    for r in feed:
+    for r in feed + best:
         r["why"], r["class"] = sentence(r), classify(r["kind"], r["dim"])
     tiers = {t: sum(r["tier"] == t for r in feed) for t in RANK}
     n, kept = counts["tests"], counts["survived"] or 0
     verdict = f"{kept} of {n} tested cells pass correction at q <= {s.q_limit:g}; {len(feed)} shown." if kept else f"{n} cells tested, none passes correction at q <= {s.q_limit:g}: the data look flat."
-    return {"grain": grain, "period": period, "feed": feed, "tiers": tiers, "audit": {"tests": n, "survived": kept, "untestable": counts["untestable"] or 0, "reasons": reasons, "q_limit": s.q_limit, "min_rows": s.min_rows, "min_share": s.min_share, "verdict": verdict}}
+    return {"grain": grain, "period": period, "feed": feed, "survivors": best, "tiers": tiers, "audit": {"tests": n, "survived": kept, "untestable": counts["untestable"] or 0, "reasons": reasons, "q_limit": s.q_limit, "min_rows": s.min_rows, "min_share": s.min_share, "verdict": verdict}}

@@ -14,27 +14,37 @@ GRID = np.linspace(0.02, 0.98, 21)
 LEAST_PERIODS, ADVISED_PERIODS = 8, 12
 
 
-def fit(series: np.ndarray) -> dict | None:
-    """Level and trend after the last value, the two smoothing weights of least squared error, and the error's sd.
+def _smooth(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level, trend and squared errors so far after every value, for all weights of the grid side by side: (values, weights).
 
-    The first two values start level and trend.  All weights of the grid run side by side.  None below four values.
+    The first two values start level and trend.  One run serves every beginning of the series.
     """
+    alpha, beta = (g.ravel() for g in np.meshgrid(GRID, GRID, indexing="ij"))
+    level, trend, sse = (np.zeros((len(x), len(alpha))) for _ in range(3))
+    level[0], trend[0] = x[0], x[1] - x[0]
+    for i in range(1, len(x)):
+        ahead = level[i - 1] + trend[i - 1]
+        level[i] = alpha * x[i] + (1 - alpha) * ahead
+        trend[i] = beta * (level[i] - level[i - 1]) + (1 - beta) * trend[i - 1]
+        sse[i] = sse[i - 1] + (x[i] - ahead) ** 2
+    return level, trend, sse
+
+
+def _best(sse: np.ndarray) -> int:
+    """The first weights whose error is not beaten by more than rounding."""
+    return int(np.flatnonzero(sse <= sse.min() + 1e-12)[0])
+
+
+def fit(series: np.ndarray) -> dict | None:
+    """Level and trend after the last value, the two smoothing weights of least squared error, and the error's sd.
+    None below four values."""
     x = np.asarray(series, float)
     if len(x) < 4:
         return None
-    alpha, beta = (g.ravel() for g in np.meshgrid(GRID, GRID, indexing="ij"))
-    level, trend = np.full(len(alpha), x[0]), np.full(len(alpha), x[1] - x[0])
-    errors = np.empty((len(x) - 1, len(alpha)))
-    for i, v in enumerate(x[1:]):
-        ahead = level + trend
-        errors[i] = v - ahead
-        new = alpha * v + (1 - alpha) * ahead
-        trend = beta * (new - level) + (1 - beta) * trend
-        level = new
-    sse = (errors**2).sum(0)
-    # the first of the grid whose error is not beaten by more than rounding
-    best = int(np.flatnonzero(sse <= sse.min() + 1e-12)[0])
-    return {"alpha": float(alpha[best]), "beta": float(beta[best]), "level": float(level[best]), "trend": float(trend[best]), "sigma": float(errors[:, best].std(ddof=1)), "n": len(x)}
+    level, trend, sse = _smooth(x)
+    best = _best(sse[-1])
+    errors = x[1:] - level[:-1, best] - trend[:-1, best]
+    return {"alpha": float(GRID[best // len(GRID)]), "beta": float(GRID[best % len(GRID)]), "level": float(level[-1, best]), "trend": float(trend[-1, best]), "sigma": float(errors.std(ddof=1)), "n": len(x)}
 
 
 def forecast(model: dict, horizon: int, confidence: float = 0.8) -> list[dict]:
@@ -54,7 +64,11 @@ def backtest(series: np.ndarray, least: int = 6) -> dict | None:
     x = np.asarray(series, float)
     if len(x) < least + 2:
         return None
-    errors = [(abs(forecast(m, 1)[0]["value"] - x[i]), abs(x[i - 1] - x[i])) for i in range(least, len(x)) if (m := fit(x[:i]))]
+    level, trend, sse = _smooth(x)
+    errors = []
+    for i in range(max(4, least), len(x)):
+        best = _best(sse[i - 1])  # fitted to the values before i alone
+        errors.append((abs(level[i - 1, best] + trend[i - 1, best] - x[i]), abs(x[i - 1] - x[i])))
     if not errors or not sum(e[1] for e in errors):
         return None
     model, naive = (float(np.mean([e[k] for e in errors])) for k in (0, 1))

@@ -28,10 +28,11 @@ def _previous(cells: DataFrame, grain: str, period: str) -> str | None:
 
 
 def scan(cells: DataFrame, p: Profile, intent: dict) -> dict:
+    """What passes correction, the strongest first; of the measure that was asked for, if one was named."""
     grain, period, measure, _ = _frame(cells, p, intent)
-    found = discover.discover(cells, p, grain, period)
-    named = [r for r in found["feed"] if not intent.get("explicit") or r["measure"] == measure]
-    return {"analysis": "scan", "grain": grain, "period": period, "findings": named[:3], "audit": found["audit"], "summary": " ".join([found["audit"]["verdict"], *(r["why"] for r in named[:3])])}
+    found = discover.discover(cells, p, grain, period, measure=measure if intent.get("explicit") else None)
+    top = found["survivors"][:3]
+    return {"analysis": "scan", "grain": grain, "period": period, "findings": top, "audit": found["audit"], "summary": " ".join([found["audit"]["verdict"], *(r["why"] for r in top)])}
 
 
 def deepdive_members(cells: DataFrame, dim: str, measure: str, grain: str, period: str, agg: str = "sum") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import special, tests
+from plumbline.functions import tests
 from plumbline.functions.timeaxis import GRAINS, parse_day, period_range
 from plumbline.operators import cells as cube
 from plumbline.operators import decompose, discover, lookup, profile
@@ -315,10 +315,14 @@ def binomial_tail(spark, sf_dir):
     return _persistence(spark, sf_dir).where("extreme = 'top'").select("value", F.round("__known", 8).alias("p"))
 
 
-@query(", p AS (SELECT n_nationkey AS id, ((n_nationkey * 37 + 11) % 101) / CAST(200 AS DOUBLE) AS p FROM nation), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS n FROM p) SELECT id, round(p, 6) AS p, round(least(1.0, min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS q FROM r")
+@query(f""", v AS (SELECT n_name, {M} AS period, CAST(sum(price) AS DOUBLE) AS x FROM sales GROUP BY 1, 2), h AS (SELECT n_name, x FROM v WHERE period = '{MONTH}'),
+p AS (SELECT n_name AS id, count(*) FILTER (WHERE v.x >= h.x) / CAST(count(*) AS DOUBLE) AS p FROM v JOIN h USING (n_name) GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS n FROM p)
+SELECT id, round(p, 6) AS p, round(least(1.0, min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS q FROM r""")
 def bh_qvalues(spark, sf_dir):
-    """Benjamini-Hochberg q-values of made-up p-values."""
-    p = tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (((F.col("n_nationkey") * 37 + 11) % 101) / 200.0).alias("p"))
+    """Benjamini-Hochberg over nations: how high the month ranks among all months of each."""
+    v = sales_cells(spark, sf_dir, ("n_name",)).where("dim_a = 'n_name'").select(F.col("val_a").alias("id"), "period", "sum")
+    here = F.max(F.when(F.col("period") == MONTH, F.col("sum"))).over(Window.partitionBy("id"))
+    p = v.withColumn("here", here).where("here IS NOT NULL").groupBy("id").agg((F.count(F.when(F.col("sum") >= F.col("here"), 1)) / F.count("*")).alias("p"))
     return tests.benjamini_hochberg(p, ties=("id",)).select("id", F.round("p", 6).alias("p"), F.round("q", 8).alias("q"))
 
 
@@ -357,10 +361,3 @@ def events_by_day(spark, sf_dir):
     """Day cells of the events by type."""
     c = cube.build_cells(tables.events(spark, sf_dir), "day", ("event_type",), ["value"], grains=("day",))
     return c.where("dim_a IS NOT NULL").select("period", F.col("val_a").alias("label"), "n", F.round("sum", 2).alias("value"))
-
-
-@query("WITH d AS (SELECT k AS df FROM (SELECT unnest([2, 4, 6, 10, 30]) AS k)), g AS (SELECT df, x / 4.0 AS t FROM d, range(1, 13) r(x)), s AS (SELECT df, t, cos(atan(t / sqrt(df))) AS c, sin(atan(t / sqrt(df))) AS n FROM g), f AS (SELECT df, t, c, n, unnest(range(0, df // 2)) AS j FROM s) SELECT df, t, round(1 - any_value(n) * sum(exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4.0)) * c ** (2 * j)), 9) AS p FROM f GROUP BY df, t", on_sales=False)
-def t_pvalue(spark, sf_dir):
-    """Two-sided p of Student's t over a grid of even degrees of freedom, where a closed form exists."""
-    g = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in (2, 4, 6, 10, 30)])).alias("df"), F.sequence(F.lit(1), F.lit(12)).alias("s")).select("df", F.explode("s").alias("x")).select("df", (F.col("x") / 4.0).alias("t"))
-    return g.select("df", "t", F.round(special.t_two_sided(F.col("t"), F.col("df")), 9).alias("p"))

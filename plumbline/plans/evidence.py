@@ -6,17 +6,19 @@ fraction of the library.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from plumbline.functions import special, stats, tests
+from plumbline.functions import special, tests
 from plumbline.functions.timeaxis import period_range
 from plumbline.operators import cells as cube
 from plumbline.operators import discover, forecast, lookup, profile
-from plumbline.plans import analyses, intent, ledger, narration, notes
+from plumbline.plans import analyses, intent, ledger
 from plumbline.plans.catalogue import BEFORE, KEY_SQL, MONTH, NATION_SQL, ORACLE_SQL, QUERIES, M, money, query, sales_cells
 from plumbline.sources import tables
-from plumbline.sources.delimited import clean_headers, read_delimited
-from plumbline.sources.store import shared_dir
+from plumbline.sources.delimited import read_delimited
+from plumbline.sources.store import keep, remove, shared_dir
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -41,19 +43,28 @@ def t_sql(t: str, df: str) -> str:
 # ---------------------------------------------------------------- statistics
 
 
-@query(f"WITH g AS (SELECT df, x / 4.0 AS t FROM (SELECT unnest([1, 3, 5, 17, 58, 4.5, 211.25]) AS df), range(1, 16) r(x)) SELECT CAST(df AS DOUBLE) AS df, CAST(t AS DOUBLE) AS t, round({t_sql('t', 'df')}, 8) AS p, round(1 - ({t_sql('t', 'df')}) / 2, 8) AS cdf FROM g", on_sales=False)
+_WELCH_SQL = f""", g AS (SELECT {M} AS period, r_name, l_returnflag, count(*) AS n, sum(quantity) AS s, sum(quantity * quantity) AS q FROM sales GROUP BY 1, 2, 3), u AS (SELECT *, sum(n) OVER w - n AS n2, sum(s) OVER w - s AS s2, sum(q) OVER w - q AS q2 FROM g WINDOW w AS (PARTITION BY period)),
+e AS (SELECT *, (q - s * s / n) / (n - 1) / n AS e1, (q2 - s2 * s2 / n2) / (n2 - 1) / n2 AS e2 FROM u WHERE n >= 10 AND n2 >= 10), x AS (SELECT period, r_name, l_returnflag, (s / n - s2 / n2) / sqrt(e1 + e2) AS t, (e1 + e2) * (e1 + e2) / (e1 * e1 / (n - 1) + e2 * e2 / (n2 - 1)) AS df FROM e WHERE e1 + e2 > 0)"""
+
+
+def _welch(spark, sf_dir):
+    """t and df of each region and return flag against the rest, every month."""
+    pairs = sales_cells(spark, sf_dir, ("r_name", "l_returnflag"), ("quantity",), [("r_name", "l_returnflag")]).where("dim_b IS NOT NULL")
+    own = discover.against_rest(pairs).where("n >= 10 AND whole_n - n >= 10 AND t.t IS NOT NULL")
+    return own.select("period", F.col("val_b").alias("r_name"), F.col("val_a").alias("l_returnflag"), F.col("t.t").alias("t"), F.col("t.df").alias("df"))
+
+
+@query(_WELCH_SQL + f" SELECT period, r_name, l_returnflag, round({t_sql('t', 'df')}, 7) AS p, round(CASE WHEN t > 0 THEN 1 - ({t_sql('t', 'df')}) / 2 ELSE ({t_sql('t', 'df')}) / 2 END, 7) AS cdf FROM x")
 def t_distribution(spark, sf_dir):
-    """p and distribution of Student's t for odd and fractional degrees of freedom."""
-    g = spark.range(1).select(F.explode(F.array(*[F.lit(float(k)) for k in (1, 3, 5, 17, 58, 4.5, 211.25)])).alias("df"), F.sequence(F.lit(1), F.lit(15)).alias("s")).select("df", F.explode("s").alias("x")).select("df", (F.col("x") / 4.0).alias("t"))
-    return g.select("df", "t", F.round(special.t_two_sided(F.col("t"), F.col("df")), 8).alias("p"), F.round(special.t_cdf(F.col("t"), F.col("df")), 8).alias("cdf"))
+    """p and distribution of Student's t at the Welch statistic of every pair and month."""
+    return _welch(spark, sf_dir).select("period", "r_name", "l_returnflag", F.round(special.t_two_sided(F.col("t"), F.col("df")), 7).alias("p"), F.round(special.t_cdf(F.col("t"), F.col("df")), 7).alias("cdf"))
 
 
-@query("""WITH g AS (SELECT unnest([0.51, 0.6, 0.75, 0.9, 0.975, 0.995]) AS p), f AS (SELECT CAST(p AS DOUBLE) AS p, 4.0 * p * (1 - p) AS a FROM g)
-SELECT 1 AS df, p, round(tan(pi() * (p - 0.5)), 6) AS t FROM f UNION ALL SELECT 2, p, round((2 * p - 1) * sqrt(2 / a), 6) FROM f UNION ALL SELECT 4, p, round(2 * sqrt(cos(acos(sqrt(a)) / 3) / sqrt(a) - 1), 6) FROM f""", on_sales=False)
+@query(_WELCH_SQL + f" SELECT period, r_name, l_returnflag, round(t, 4) AS t FROM x WHERE ({t_sql('t', 'df')}) > 1e-6")
 def t_quantiles(spark, sf_dir):
-    """Quantiles of Student's t where a closed form exists."""
-    g = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in (1, 2, 4)])).alias("df"), F.array(*[F.lit(p) for p in (0.51, 0.6, 0.75, 0.9, 0.975, 0.995)]).alias("ps")).select("df", F.explode("ps").alias("p"))
-    return g.select("df", "p", F.round(special.t_quantile(F.col("p"), F.col("df")), 6).alias("t"))
+    """The quantile at the distribution of t is t again."""
+    own = _welch(spark, sf_dir).where(special.t_two_sided(F.col("t"), F.col("df")) > 1e-6)
+    return own.select("period", "r_name", "l_returnflag", F.round(special.t_quantile(special.t_cdf(F.col("t"), F.col("df")), F.col("df")), 4).alias("t"))
 
 
 @query(f""", n AS (SELECT r_name, n_name, CAST(sum(quantity) AS DOUBLE) AS v FROM sales WHERE {M} = '{MONTH}' GROUP BY 1, 2), g AS (SELECT r_name AS label, count(*) AS n, avg(v) AS m, stddev_samp(v) AS s FROM n GROUP BY 1)
@@ -65,12 +76,14 @@ def mean_intervals(spark, sf_dir):
     return g.withColumn("i", tests.mean_interval(F.col("n"), F.col("m"), F.col("s"))).select("label", "n", *[F.round(f"i.{c}", 4).alias(c) for c in ("mean", "low", "high")])
 
 
-@query("""WITH z AS (SELECT x / 4.0 AS z FROM range(-12, 13) r(x)), d AS (SELECT CAST(z AS DOUBLE) AS z, 0.5 + z / 6000.0 * list_sum(list_transform(range(2001), lambda k: CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (z * k / 2000.0) ** 2) / sqrt(2 * pi()))) AS c FROM z)
-SELECT z, round(c, 5) AS cdf, round(2 * least(c, 1 - c), 5) AS p FROM d""", on_sales=False)
+@query(f""", v AS (SELECT n_name, {M} AS period, CAST(sum(quantity) AS DOUBLE) AS v FROM sales GROUP BY 1, 2), m AS (SELECT *, median(v) OVER (PARTITION BY period) AS med FROM v), d AS (SELECT *, 1.4826 * median(abs(v - med)) OVER (PARTITION BY period) AS mad FROM m), z AS (SELECT n_name, period, (v - med) / mad AS z FROM d WHERE mad > 0),
+c AS (SELECT *, 0.5 + z / 6000.0 * list_sum(list_transform(range(2001), lambda k: CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (z * k / 2000.0) ** 2) / sqrt(2 * pi()))) AS c FROM z WHERE abs(z) < 6) SELECT n_name, period, round(c, 2) AS cdf, round(2 * least(c, 1 - c), 2) AS p FROM c""")
 def normal_distribution(spark, sf_dir):
-    """Distribution and two-sided p of the normal, against Simpson's rule."""
-    z = spark.range(-12, 13).select((F.col("id") / 4.0).alias("z"))
-    return z.select("z", F.round(special.normal_cdf(F.col("z")), 5).alias("cdf"), F.round(special.normal_two_sided(F.col("z")), 5).alias("p"))
+    """Distribution and two-sided p of the normal at the robust z of every nation and month, against Simpson's rule; to two
+    digits, as the library's error function is exact to seven and no rounding of many values may hang on that."""
+    own = sales_cells(spark, sf_dir, ("n_name",), ("quantity",)).where("dim_a = 'n_name'").select(F.col("val_a").alias("n_name"), "period", F.col("sum").alias("v"))
+    z = tests.robust_z(own, "v", ["period"]).where("basis = 'mad' AND abs(robust_z) < 6")
+    return z.select("n_name", "period", F.round(special.normal_cdf(F.col("robust_z")), 2).alias("cdf"), F.round(special.normal_two_sided(F.col("robust_z")), 2).alias("p"))
 
 
 # ---------------------------------------------------------------- profile and sources
@@ -104,15 +117,6 @@ def column_roles(spark, sf_dir):
     return spark.createDataFrame(rows, "tab string, name string, role string, members long, agg string")
 
 
-_NAMES = [("margin_pct", 0.0, 0.5, False), ("conversion rate", 0.0, 400.0, True), ("conversion rate", 0.0, 99.5, False), ("lead_time", 1.0, 90.0, True), ("units", 0.0, 900.0, True), ("revenue", 0.0, 1e6, False), ("weight", 0.0, 1.0, False), ("flag", 0.0, 1.0, True), ("growth%", -250.0, 300.0, False), ("days open", 0.0, 30.0, True)]
-
-
-@query(f"SELECT name, low, high, whole, {_AGG_SQL} AS agg FROM (VALUES {', '.join(f'({text(n)}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), {w})' for n, a, b, w in _NAMES)}) v(name, low, high, whole)", on_sales=False)
-def aggregation_rules(spark, sf_dir):
-    """Sum or average, by name and range."""
-    return spark.createDataFrame([(*r, profile.classify_aggregation(*r)[0]) for r in _NAMES], "name string, low double, high double, whole boolean, agg string")
-
-
 @query(" UNION ALL ".join(f"SELECT '{t}' AS tab, round(count({c}) / CAST(count(*) AS DOUBLE) * 1000 + least(count(DISTINCT year({c}) * 12 + month({c})), 60) + least(date_diff('day', CAST(min({c}) AS DATE), CAST(max({c}) AS DATE)) / 365.0, 10), 6) AS score FROM {t}" for t, c in (("orders", "o_orderdate"), ("events", "ts"), ("lineitem", "l_shipdate"))), on_sales=False)
 def time_scores(spark, sf_dir):
     """How well three columns serve as time axis: coverage, months, span."""
@@ -120,22 +124,28 @@ def time_scores(spark, sf_dir):
     return spark.createDataFrame(found, "tab string, score double")
 
 
-_HEADERS = ["id", "name", "", "id", " name ", None, "id"]
-
-
-@query(f"WITH h AS (SELECT i, coalesce(nullif(trim(raw), ''), 'column_' || i) AS base FROM (VALUES {', '.join(f'({i + 1}, ' + ('NULL' if h is None else text(h)) + ')' for i, h in enumerate(_HEADERS))}) v(i, raw)), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY i) AS k FROM h) SELECT CAST(i AS INTEGER) AS i, base || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS name FROM k", on_sales=False)
-def header_names(spark, sf_dir):
-    """Blank and repeated header names made different."""
-    return spark.createDataFrame(list(enumerate(clean_headers(_HEADERS), 1)), "i int, name string")
-
-
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || ', \"' || lower(n_name) || '\"; x' AS n_name, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_regionkey AS VARCHAR) END AS n_regionkey FROM nation", on_sales=False)
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(source, '') AS source, nullif(replace(text, chr(13), ''), '') AS text, 'a; \"b\"' || chr(10) || lang AS lang FROM documents", on_sales=False)
 def delimited_text(spark, sf_dir):
-    """Nations written as text with semicolons, quotes and blanks, and read back by the delimiter that is found."""
-    n = tables.read(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(', "'), F.lower("n_name"), F.lit('"; x')).alias("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).alias("n_regionkey"))
-    path = f"{shared_dir(spark)}/plumbline-nations-{spark.sparkContext.applicationId}"
-    n.coalesce(1).write.mode("overwrite").options(header=True, sep=";", quote='"', escape='"').csv(path)
-    return read_delimited(spark, path)
+    """Documents written as text with semicolons, quotes and line breaks, and read back by the delimiter that is found."""
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", "source", F.replace("text", F.lit("\r"), F.lit("")).alias("text"), F.concat(F.lit('a; "b"\n'), "lang").alias("lang"))
+    path = f"{shared_dir(spark)}/plumbline-documents-{uuid.uuid4().hex}"
+    d.write.options(header=True, sep=";", quote='"', escape='"').csv(path)
+    found = keep(read_delimited(spark, path))
+    remove(spark, path)
+    return found
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS tab, count(*) AS \"rows\", true AS same_elsewhere, true AS differs_by_a_cell FROM {t}" for t in ("customer", "orders", "events")), on_sales=False)
+def fingerprints(spark, sf_dir):
+    """The hash of a table's content is the same wherever its rows lie, and another if one cell is."""
+    found = []
+    for name, key, cell in (("customer", "c_custkey", "c_acctbal"), ("orders", "o_orderkey", "o_totalprice"), ("events", "event_id", "value")):
+        t = tables.read(spark, sf_dir, name)
+        first = t.agg(F.min(key)).first()[0]
+        other = t.withColumn(cell, F.when(F.col(key) == first, F.coalesce(F.col(cell), F.lit(0)) + 1).otherwise(F.col(cell)))
+        a, b, c = (ledger.fingerprint(x, profile.Profile(0, None)) for x in (t, t.repartition(7, cell), other))
+        found.append((name, a["rows"], a == b, a["content"] != c["content"]))
+    return spark.createDataFrame(found, "tab string, rows long, same_elsewhere boolean, differs_by_a_cell boolean")
 
 
 @query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey, o_totalprice FROM orders) SELECT count(*) AS "rows", count(*) FILTER (WHERE o_orderkey % 7 = 0) AS no_date, count(*) FILTER (WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0) AS no_measure FROM d""", on_sales=False)
@@ -220,12 +230,28 @@ def discovery_subjects(spark, sf_dir):
     return fed.select("kind", "measure", "dim", "value", "dim_b", "value_b", "tier", F.round("q", 6).alias("q"), F.size("corroboration").cast("long").alias("corroborated"), F.round("strength", 5).alias("strength"))
 
 
-@query()
+@query(_DISCOVERY_SQL + """ SELECT kind, measure, dim, value, dim_b, value_b, tier, round(q, 6) AS q, round(abs(coalesce(effect, 0)) * 2 + abs(share) + abs(statistic) * 0.05, 5) AS strength FROM tier WHERE q <= 0.1""")
+def scan_findings(spark, sf_dir):
+    """Scan: all that passes correction, with tier and strength."""
+    return discover.survivors(_found(spark, sf_dir), _SETTINGS).select("kind", "measure", "dim", "value", "dim_b", "value_b", "tier", F.round("q", 6).alias("q"), F.round("strength", 5).alias("strength"))
+
+
+@query(_DISCOVERY_SQL + f""", sub AS (SELECT *, row_number() OVER (PARTITION BY measure, dim, value, dim_b, value_b ORDER BY q, CASE kind WHEN 'sibling' THEN 0 WHEN 'temporal' THEN 1 WHEN 'persistence' THEN 2 ELSE 3 END, extreme) AS k, count(*) OVER (PARTITION BY measure, dim, value, dim_b, value_b) - 1 AS others FROM tier WHERE q <= {_SETTINGS.low_ceiling}),
+fed AS (SELECT *, row_number() OVER (ORDER BY CASE tier WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, abs(coalesce(effect, 0)) * 2 + abs(share) + abs(statistic) * 0.05 DESC, q, value, measure, dim, dim_b, value_b) AS place FROM sub WHERE k = 1),
+queue AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY place) AS i, min(place) OVER (PARTITION BY measure) AS lead, concat_ws('|', dim, dim_b) AS pair, CASE WHEN kind = 'cross' THEN [dim || '|' || value, dim_b || '|' || value_b] ELSE [dim || '|' || value] END AS own FROM fed),
+pick AS (WITH RECURSIVE g AS (SELECT DISTINCT measure, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS pairs, CAST([] AS VARCHAR[]) AS members, CAST(0 AS BIGINT) AS kept, false AS took, CAST(0 AS BIGINT) AS place FROM queue
+ UNION ALL SELECT measure, i, CASE WHEN ok THEN list_append(pairs, pair) ELSE pairs END, CASE WHEN ok THEN list_concat(members, own) ELSE members END, kept + CAST(ok AS BIGINT), ok, place FROM (SELECT g.measure, q.i, g.pairs, g.members, g.kept, q.pair, q.own, q.place, g.kept < {_SETTINGS.max_feed} AND len(list_filter(g.pairs, lambda x: x = q.pair)) < {_SETTINGS.max_per_pair} AND list_bool_and(list_transform(q.own, lambda o: len(list_filter(g.members, lambda x: x = o)) < {_SETTINGS.max_per_value})) AS ok FROM g JOIN queue q ON q.measure = g.measure AND q.i = g.i + 1)) SELECT place, kept FROM g WHERE took),
+turns AS (SELECT queue.*, row_number() OVER (ORDER BY kept, lead) AS turn FROM queue JOIN pick USING (place)) SELECT kind, measure, dim, value, dim_b, value_b, tier, round(q, 6) AS q, others AS corroborated FROM turns WHERE turn <= {_SETTINGS.max_feed}""")
 def discovery_feed(spark, sf_dir):
-    """The feed of a month: deduplicated, tiered, spread over measures."""
-    s = discover.Settings(low_ceiling=1.0)
-    found = discover.candidates(tables.sales_cells(spark, sf_dir), tables.SALES_MEASURES, "month", MONTH, s)
-    return discover.select_diverse(discover.ranked_feed(found, s), s).select("place", "kind", "measure", "dim", "value", "tier", "q", "corroboration")
+    """The feed of a month: deduplicated, tiered, spread over measures within caps."""
+    fed = discover.select_diverse(discover.ranked_feed(_found(spark, sf_dir), _SETTINGS), _SETTINGS)
+    return fed.select("kind", "measure", "dim", "value", "dim_b", "value_b", "tier", F.round("q", 6).alias("q"), F.size("corroboration").cast("long").alias("corroborated"))
+
+
+@query(_DISCOVERY_SQL + " SELECT count(p) AS tests, count(*) FILTER (WHERE q <= 0.1) AS survived, count(*) FILTER (WHERE p IS NULL) AS untestable FROM tier")
+def discovery_audit(spark, sf_dir):
+    """How many tests a search runs, how many pass, and how many cannot be tested."""
+    return discover.audit(_found(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- the six analyses
@@ -299,87 +325,46 @@ def holt_levels(spark, sf_dir):
     return forecast.forecast_series(c.select(F.col("val_a").alias("series"), "period", F.col("sum").alias("value")), 3).select("series", "step", F.round("value", 1).alias("value"))
 
 
-@query()
+_HOLT_SQL = f""", s AS (SELECT r_name AS series, {M} AS period, sum(price) AS x, row_number() OVER (PARTITION BY r_name ORDER BY {M}) AS i, count(*) OVER (PARTITION BY r_name) AS n FROM sales WHERE {M} <= '{MONTH}' GROUP BY 1, 2),
+w AS (SELECT a.k AS ka, b.k AS kb, 0.02 + 0.048 * a.k AS alpha, 0.02 + 0.048 * b.k AS beta FROM range(21) a(k), range(21) b(k)), nn AS (SELECT series, max(n) AS n FROM s GROUP BY 1),
+fx AS (WITH RECURSIVE f AS (SELECT series, ka, kb, alpha, beta, CAST(1 AS BIGINT) AS i, s1.x AS level, s2.x - s1.x AS trend, CAST(0 AS DOUBLE) AS sse, CAST(0 AS DOUBLE) AS se FROM (SELECT series, x FROM s WHERE i = 1) s1 JOIN (SELECT series, x FROM s WHERE i = 2) s2 USING (series), w
+ UNION ALL SELECT f.series, ka, kb, alpha, beta, s.i, alpha * s.x + (1 - alpha) * (level + trend), beta * (alpha * s.x + (1 - alpha) * (level + trend) - level) + (1 - beta) * trend, sse + (s.x - level - trend) * (s.x - level - trend), se + (s.x - level - trend) FROM f JOIN s ON s.series = f.series AND s.i = f.i + 1) SELECT * FROM f),
+best AS (SELECT * FROM fx QUALIFY row_number() OVER (PARTITION BY series, i ORDER BY sse, ka, kb) = 1),
+fin AS (SELECT best.*, n, sqrt((sse - se * se / (n - 1)) / (n - 2)) AS sigma FROM best JOIN nn USING (series) WHERE i = n AND n >= 8),
+bt AS (SELECT b.series, count(*) AS folds, avg(abs(b.level + b.trend - a.x)) / avg(abs(o.x - a.x)) AS ratio FROM best b JOIN nn USING (series) JOIN s a ON a.series = b.series AND a.i = b.i + 1 JOIN s o ON o.series = b.series AND o.i = b.i WHERE b.i >= greatest(6, nn.n // 2) GROUP BY 1),
+tq AS (WITH RECURSIVE r AS (SELECT DISTINCT CAST(greatest(2, n - 2) AS DOUBLE) AS df, CAST(0 AS DOUBLE) AS lo, CAST(20 AS DOUBLE) AS hi, 0 AS k FROM nn UNION ALL SELECT df, CASE WHEN p > 0.2 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN p > 0.2 THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM (SELECT *, {t_sql("((lo + hi) / 2)", "df")} AS p FROM r WHERE k < 60)) SELECT df, (lo + hi) / 2 AS t FROM r WHERE k = 60)"""
+
+
+@query(_HOLT_SQL + """, o AS (SELECT fin.*, step, t * sigma * sqrt(list_sum(list_transform(range(step), lambda k: (1 + k * alpha * beta) ** 2))) AS half, ratio, folds FROM fin JOIN bt USING (series) JOIN tq ON df = greatest(2, n - 2), range(1, 4) r(step))
+SELECT series, CAST(step AS INTEGER) AS step, round(level + step * trend, 1) AS value, round(level + step * trend - half, 1) AS low, round(level + step * trend + half, 1) AS high, round(ratio, 6) AS naive_ratio, folds FROM o""")
 def holt_forecast(spark, sf_dir):
-    """Three months ahead for each region, with interval and backtest."""
+    """Three months ahead for each region, with interval, and the error of one-step forecasts against that of the last value."""
     c = lookup.one_way(sales_cells(spark, sf_dir), "r_name", "price", "month").where(F.col("period") <= MONTH)
-    return forecast.forecast_series(c.select(F.col("val_a").alias("series"), "period", F.col("sum").alias("value")), 3)
+    f = forecast.forecast_series(c.select(F.col("val_a").alias("series"), "period", F.col("sum").alias("value")), 3)
+    return f.select("series", "step", *[F.round(x, 1).alias(x) for x in ("value", "low", "high")], F.round("naive_ratio", 6).alias("naive_ratio"), F.col("folds").cast("long").alias("folds"))
 
 
-# ---------------------------------------------------------------- questions, notes, ledger, narration
+# ---------------------------------------------------------------- questions
 
-_QUESTIONS = ["Scan for anything unusual", "Why did price drop in ASIA?", "top 7 nations by quantity", "forecast the next 5 quarters", "what moves together with discount?", "explain the change by region yearly", "weekly trend of price", "deep dive into every member", "bottom 3 regions per day", "total price overall", "price by r name"]
 _INTENT_CASES = {
     name: "CASE " + " ".join(f"WHEN regexp_matches(q, {text(pattern)}) THEN {text(label)}" for label, pattern in table) + f" {rest} END"
     for name, table, rest in (("analysis", intent.ANALYSES, ""), ("grain", intent.GRAIN_WORDS, "ELSE 'month'"), ("shape", intent.SHAPES, ""))
 }
+_ASKED = ("Scan {} for anything unusual", "Why did price drop in {}?", "top 7 by quantity, {}", "forecast the next 5 quarters of {}", "what moves together with discount in {}?", "explain the change in {} yearly", "weekly trend of price, {}", "deep dive into every member of {}", "bottom 3 of {} per day", "total price overall in {}")
 
 
-@query(f"""WITH q AS (SELECT question, ' ' || lower(question) || ' ' AS q FROM (VALUES {", ".join(f"({text(q)})" for q in _QUESTIONS)}) v(question))
-SELECT question, {_INTENT_CASES["analysis"]} AS analysis, {_INTENT_CASES["grain"]} AS grain, least(20, coalesce(try_cast(nullif(regexp_extract(q, '\\btop\\s+(\\d{{1,2}})\\b', 1), '') AS INTEGER), 5)) AS k, least(12, coalesce(try_cast(nullif(regexp_extract(q, '\\bnext\\s+(\\d{{1,2}})\\b', 1), '') AS INTEGER), 3)) AS horizon,
-regexp_matches(q, '\\b(bottom|worst|lowest)\\b') AS ascending, CASE WHEN q LIKE '%discount%' THEN 'discount' WHEN q LIKE '%price%' THEN 'price' WHEN q LIKE '%quantity%' THEN 'quantity' ELSE 'discount' END AS measure, CASE WHEN q LIKE '%asia%' THEN 'ASIA' END AS member FROM q""", on_sales=False)
+@query(f"""WITH t AS (SELECT c_custkey AS id, [{", ".join(text(q) for q in _ASKED)}][c_custkey % {len(_ASKED)} + 1] AS template, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), a AS (SELECT id, r_name, replace(template, '{{}}', r_name) AS question FROM t), q AS (SELECT *, ' ' || lower(question) || ' ' AS q FROM a)
+SELECT id, {_INTENT_CASES["analysis"]} AS analysis, {_INTENT_CASES["grain"]} AS grain, least(20, coalesce(try_cast(nullif(regexp_extract(q, '\\btop\\s+(\\d{{1,2}})\\b', 1), '') AS INTEGER), 5)) AS k, least(12, coalesce(try_cast(nullif(regexp_extract(q, '\\bnext\\s+(\\d{{1,2}})\\b', 1), '') AS INTEGER), 3)) AS horizon,
+regexp_matches(q, '\\b(bottom|worst|lowest)\\b') AS ascending, CASE WHEN q LIKE '%discount%' THEN 'discount' WHEN q LIKE '%price%' THEN 'price' WHEN q LIKE '%quantity%' THEN 'quantity' ELSE 'discount' END AS measure, q LIKE '%discount%' OR q LIKE '%price%' OR q LIKE '%quantity%' AS explicit, r_name AS member FROM q""", on_sales=False)
 def intents(spark, sf_dir):
-    """Questions read as analysis, grain, number, horizon, direction, measure and member."""
-    p = profile.Profile(0, "day", dims=[(d, 5) for d in sorted(tables.SALES_DIMS)], measures=[profile.Measure(m, a, "", 0, 0, 0, 0, 0, 0, 0, False, 0) for m, a in sorted(tables.SALES_MEASURES.items())], members={"r_name": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]})
-    rows = [(q, *(i[c] for c in ("analysis", "grain", "k", "horizon", "ascending", "measure", "member"))) for q in _QUESTIONS for i in [intent.parse_intent(q, p)]]
-    return spark.createDataFrame(rows, "question string, analysis string, grain string, k int, horizon int, ascending boolean, measure string, member string")
-
-
-_NOTES = "# Incidents\n- 2001-10-05: warehouse fire in ASIA\n- September 2001 strike at the ports\n- 2001-12-03 new tariff\n- 1999-01-01 an old matter\n- ASIA is the largest region\n\nPrices of Q4 2001 were revised in EUROPE and ASIA.\n"
-_SPANS = [(0, "2001-10-05", "2001-10-05", 1), (1, "2001-09-01", "2001-09-30", 0), (2, "2001-12-03", "2001-12-03", 0), (3, "1999-01-01", "1999-01-01", 0), (4, None, None, 1), (5, "2001-10-01", "2001-12-31", 1)]
-
-
-@query(f"""WITH n AS (SELECT id, CAST(a AS DATE) AS a, CAST(b AS DATE) AS b, subjects FROM (VALUES {", ".join(f"({i}, {text(a) if a else 'NULL'}, {text(b) if b else 'NULL'}, {s})" for i, a, b, s in _SPANS)}) v(id, a, b, subjects)), p AS (SELECT DATE '2001-10-01' AS s, DATE '2001-10-31' AS e),
-m AS (SELECT id, subjects, CASE WHEN a IS NULL THEN 0 WHEN a <= e AND s <= b THEN 100 WHEN a <= s - 1 AND s - 31 <= b THEN 70 WHEN a <= e + 45 AND s - 45 <= b THEN 25 END AS aligned FROM n, p) SELECT id, aligned + subjects * 40 AS score FROM m WHERE aligned IS NOT NULL AND aligned + subjects * 40 >= 20 ORDER BY score DESC, id LIMIT 4""", on_sales=False)
-def note_scores(spark, sf_dir):
-    """Notes matched to a month by the spans of their dates and by subject."""
-    return notes.retrieve(notes.index_notes(spark, _NOTES, ["ASIA", "EUROPE"]), "2001-10", "month", ["ASIA"]).select("id", "score")
-
-
-_ASKED = [{"question": "why", "period": "2001-10"}, {"question": "scan", "limit": 0.1}, {"question": "forecast", "horizon": 3}]
-_STEPS = ["{\"period\":\"2001-10\",\"question\":\"why\"}", "{\"limit\":0.1,\"question\":\"scan\"}", "{\"horizon\":3,\"question\":\"forecast\"}"]
-
-
-def _record_sql(i: int, previous: str) -> str:
-    """SQL of the hash of record i, `previous` being SQL of the JSON of the hash before."""
-    parts = [text('{"asked":'), f"a{i}", text(',"identity":"'), f"sha256(a{i})", text('","previous":'), previous, text(f',"result":{{"n":{i}}},"time":"t"}}')]
-    return f"sha256({' || '.join(parts)}) AS h{i}"
-
-
-_CHAIN_SQL = "WITH a AS (SELECT " + ", ".join(f"{text(s)} AS a{i}" for i, s in enumerate(_STEPS)) + f"), h0 AS (SELECT *, {_record_sql(0, text('null'))} FROM a)"
-for _i in (1, 2):
-    _quote = text('"')
-    _CHAIN_SQL += f", h{_i} AS (SELECT *, {_record_sql(_i, f'{_quote} || h{_i - 1} || {_quote}')} FROM h{_i - 1})"
-
-
-@query(_CHAIN_SQL + " UNION ALL ".join(f" SELECT CAST({i} AS INTEGER) AS place, sha256(a{i}) AS identity, h{i} AS hash, 0 AS faults FROM h2" for i in range(3)), on_sales=False)
-def ledger_chain(spark, sf_dir):
-    """Hash-chained records: canonical JSON, identity, chain, faults."""
-    journal: list[dict] = []
-    for i, asked in enumerate(_ASKED):
-        journal = ledger.append(journal, asked, {"n": i}, clock=lambda: "t")
-    faults = ledger.verify_journal(journal, journal[-1]["hash"])
-    return spark.createDataFrame([(i, r["identity"], r["hash"], sum(f[0] == i for f in faults)) for i, r in enumerate(journal)], "place int, identity string, hash string, faults int")
-
-
-_CLAIMS = [("West fell 12.4 to 1204300", [1204300.0, 12.4]), ("West fell 12 to 1,200,000", [1204300.0, 12.4]), ("West lost 47000", [1204300.0, 12.4]), ("a third, 0.33, of 900", [33.0, 905.0]), ("seven of 8 and 13", [100.0])]
-
-
-@query(f"""WITH c AS (SELECT claim, allowed FROM (VALUES {", ".join(f"({text(t)}, {[float(i) for i in range(13)] + a})" for t, a in _CLAIMS)}) v(claim, allowed)), n AS (SELECT claim, allowed, CAST(replace(unnest(regexp_extract_all(claim, '[0-9][0-9,]*\\.?[0-9]*')), ',', '') AS DOUBLE) AS v FROM c)
-SELECT claim, count(*) AS numbers, count(*) FILTER (WHERE len(list_filter(allowed, lambda a: abs(v - a) <= 0.02 * a OR abs(v - a / 100) <= 0.02 * a / 100 OR abs(v - a * 100) <= 0.02 * a * 100 OR v = round(a) OR v = round(a / 100) OR v = round(a * 100))) = 0) AS without_evidence FROM n GROUP BY 1""", on_sales=False)
-def narration_guard(spark, sf_dir):
-    """Numbers of a text, and those that the evidence lacks."""
-    rows = [(t, len(narration.extract_numbers(t)), len(narration.verify(t, narration.allowed_numbers(a)))) for t, a in _CLAIMS]
-    return spark.createDataFrame(rows, "claim string, numbers long, without_evidence long")
-
-
-_P = [0.5, 0.0314, 0.00052, 2e-9]
-
-
-@query(f"SELECT p, CASE WHEN p < 1e-6 THEN 'p < 1e-6' WHEN p < 1e-3 THEN 'p = ' || printf('%.1e', p) ELSE 'p = ' || printf('%.3f', p) END AS shown FROM (SELECT CAST(unnest({_P}) AS DOUBLE) AS p)", on_sales=False)
-def p_formats(spark, sf_dir):
-    """p-values as they are shown."""
-    return spark.createDataFrame([(p, stats.format_p(p)) for p in _P], "p double, shown string")
+    """A question of every customer about its region, read as analysis, grain, number, horizon, direction, measure and member."""
+    region = tables.read(spark, sf_dir, "nation").join(tables.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    asked = tables.read(spark, sf_dir, "customer").join(region, F.col("c_nationkey") == F.col("n_nationkey"))
+    template = F.get(F.array(*[F.lit(q) for q in _ASKED]), F.pmod("c_custkey", F.lit(len(_ASKED))).cast("int"))
+    questions = asked.select(F.col("c_custkey").alias("id"), F.replace(template, F.lit("{}"), F.col("r_name")).alias("question"))
+    members = sorted(r["r_name"] for r in tables.read(spark, sf_dir, "region").select("r_name").collect())
+    p = profile.Profile(0, "day", dims=[(d, 5) for d in sorted(tables.SALES_DIMS)], measures=[profile.Measure(m, a, "", 0, 0, 0, 0, 0, 0, 0, False, 0) for m, a in sorted(tables.SALES_MEASURES.items())], members={"r_name": members})
+    return intent.read_questions(questions, p).select("id", "analysis", "grain", "k", "horizon", "ascending", "measure", "explicit", "member")
 
 
 @query(f", c AS (SELECT {M} AS p, n_name, count(*) AS n FROM sales GROUP BY 1, 2) SELECT round(avg(CASE WHEN n < 30 THEN 1.0 ELSE 0.0 END), 6) AS thin, count(*) AS cells FROM c")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from plumbline.operators.profile import Profile
 
 # The words that name an analysis, a grain or a shape; the first that matches decides.
@@ -53,10 +56,20 @@ def match_member(text: str, p: Profile) -> tuple[str, str] | None:
 DIVIDED = ("drill", "deepdive", "explain")
 
 
+def measure_named(text: str, p: Profile) -> bool:
+    """Whether a text names a measure, by its column or by a word for money, and not merely leaves one to be assumed."""
+    return _named_measure(text, p) is not None
+
+
+def _named_measure(text: str, p: Profile) -> str | None:
+    names = p.measure_names()
+    return match_column(text, names) or (next((m for m in names if re.search(MONEY_COLUMNS, m, re.I)), None) if re.search(MONEY_WORDS, text) else None)
+
+
 def _resolve_measure(text: str, p: Profile) -> tuple[str | None, list[str]]:
     """(measure, the options it was assumed from, if none was named)."""
     names = p.measure_names()
-    named = match_column(text, names) or (re.search(MONEY_WORDS, text) and next((m for m in names if re.search(MONEY_COLUMNS, m, re.I)), None))
+    named = _named_measure(text, p)
     return (named, []) if named else (names[0], names if len(names) > 1 else []) if names else (None, [])
 
 
@@ -82,12 +95,25 @@ def parse_intent(question: str, p: Profile) -> dict:
     hit = match_member(text, p)
     plain = _first(SHAPES, text) or ("breakdown" if dimension else "trend")
     return {
-        "question": question, "analysis": analysis, "shape": "analysis" if analysis else plain, "measure": measure, "dimension": dimension, "member": hit[1] if hit and hit[0] == dimension else None,
+        "question": question, "analysis": analysis, "shape": "analysis" if analysis else plain, "measure": measure, "explicit": measure is not None and measure_named(text, p), "dimension": dimension, "member": hit[1] if hit and hit[0] == dimension else None,
         "grain": _first(GRAIN_WORDS, text) or "month", "k": _number(text, "top", 20, 5), "horizon": _number(text, "next", 12, 3), "ascending": bool(re.search(LOWEST_WORDS, text)), "period": None,
         "unresolved": [{"field": name, "options": options, "chose": chosen} for name, (chosen, options) in slots.items() if options],
     }
 
 
+def read_questions(questions: DataFrame, p: Profile) -> DataFrame:
+    """(id, question) -> id and the slots of each question; the profile, which is small, goes with the tasks."""
+    slots = {"analysis": pa.string(), "shape": pa.string(), "measure": pa.string(), "explicit": pa.bool_(), "dimension": pa.string(), "member": pa.string(), "grain": pa.string(), "k": pa.int32(), "horizon": pa.int32(), "ascending": pa.bool_()}
+    sql = {pa.string(): "string", pa.bool_(): "boolean", pa.int32(): "int"}
+
+    def run(batches):
+        for b in batches:
+            read = [parse_intent(q or "", p) for q in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[name] for r in read], kind) for name, kind in slots.items()]], names=["id", *slots])
+
+    return questions.select("id", "question").mapInArrow(run, f"id {questions.schema['id'].dataType.simpleString()}, " + ", ".join(f"{name} {sql[kind]}" for name, kind in slots.items()))
+
+
 def suggestions(p: Profile) -> list[dict]:
     """Questions that the columns at hand can answer, one for each analysis and one lookup."""
     measures, dims = p.measure_names(), p.dim_names()

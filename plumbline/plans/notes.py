@@ -1,48 +1,18 @@
-"""Context notes: chunks of a text with dates and subjects, matched to a period by an interval join."""
+"""Context notes: chunks of texts with dates and subjects, matched to periods by an interval join."""
 
 from __future__ import annotations
 
 import re
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.textdates import date_spans
 from plumbline.functions.timeaxis import period_range
+from plumbline.operators.joins import dated_matches, mentions
 
-# Scores of a note, by how its dates meet the period, and their floors and caps.
-IN_PERIOD, PRIOR, NEAR, NEAR_DAYS = 100, 70, 25, 45
+# Scores of a note for subjects and terms, with caps and the floor.
 PER_SUBJECT, SUBJECT_CAP, PER_TERM, TERM_CAP, LEAST, LIMIT = 40, 80, 3, 15, 20, 4
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_NAMED = rf"\b({'|'.join(MONTHS)})[a-z]*\.?\s+(\d{{4}})\b"
-
-
-def extract_dates(text: str) -> list[tuple[date, date]]:
-    """Spans that a text names: ISO days, d/m/y, year-month, month names with a year, quarters; longer forms first."""
-    spans: list[tuple[date, date]] = []
-    rest = text
-
-    def take(pattern: str, read) -> None:
-        nonlocal rest
-        for m in re.finditer(pattern, rest, re.I):
-            try:
-                span = read(m)
-            except ValueError:
-                continue
-            if span not in spans:
-                spans.append(span)
-        rest = re.sub(pattern, " ", rest, flags=re.I)
-
-    take(r"\b(\d{4})-(\d{2})-(\d{2})\b", lambda m: (date(int(m[1]), int(m[2]), int(m[3])),) * 2)
-    take(r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b", lambda m: (date(int(m[3]), int(m[2]), int(m[1])),) * 2)
-    take(rf"\b(\d{{1,2}})\s+({'|'.join(MONTHS)})[a-z]*\.?\s+(\d{{4}})\b", lambda m: (date(int(m[3]), MONTHS.index(m[2].lower()) + 1, int(m[1])),) * 2)
-    take(r"\bq([1-4])\s*[- ]?\s*(\d{4})\b", lambda m: period_range(f"{m[2]}-Q{m[1]}", "quarter"))
-    take(r"\b(\d{4})\s*-?\s*q([1-4])\b", lambda m: period_range(f"{m[1]}-Q{m[2]}", "quarter"))
-    take(r"\b(\d{4})-(\d{2})\b", lambda m: period_range(m[0], "month"))
-    take(_NAMED, lambda m: period_range(f"{m[2]}-{MONTHS.index(m[1].lower()) + 1:02d}", "month"))
-    return spans
-
-
 def chunk(text: str) -> list[dict]:
     """Bullets and paragraphs, each under its last heading."""
     out, heading, held = [], "", []
@@ -68,25 +38,26 @@ def chunk(text: str) -> list[dict]:
 
 def index_notes(spark: SparkSession, text: str, subjects: list[str] = ()) -> DataFrame:
     """(id, heading, text, dates, subjects, terms) of a document's chunks; a document is read whole, so it is small."""
-    rows = []
-    for i, c in enumerate(chunk(text)):
-        whole = f"{c['heading']} {c['text']}"
-        own = [s for s in subjects if re.search(rf"\b{re.escape(s.lower())}\b", whole.lower())]
-        rows.append((i, c["heading"], c["text"], extract_dates(whole), own, sorted(set(re.findall(r"[a-z0-9]{3,}", whole.lower())))))
-    return spark.createDataFrame(rows, "id int, heading string, text string, dates array<struct<start:date,end:date>>, subjects array<string>, terms array<string>")
+    rows = [(i, c["heading"], c["text"]) for i, c in enumerate(chunk(text))]
+    return index_chunks(spark.createDataFrame(rows, "id int, heading string, text string"), spark.createDataFrame([(s,) for s in subjects], "name string"))
+
+
+def index_chunks(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, heading, text) and (name) -> chunks with their dates, the names they mention and their terms."""
+    whole = F.concat_ws(" ", "heading", "text")
+    named = mentions(chunks.select("id", whole.alias("text")), names).groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("subjects"))
+    terms = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit("[a-z0-9]{3,}"), F.lit(0))))
+    out = chunks.select("id", "heading", "text", date_spans(whole).alias("dates"), terms.alias("terms")).join(named, "id", "left")
+    return out.select("id", "heading", "text", "dates", F.coalesce("subjects", F.array().cast("array<string>")).alias("subjects"), "terms")
 
 
 def retrieve(notes: DataFrame, period: str, grain: str, subjects: list[str] = (), question: str = "", limit: int = LIMIT) -> DataFrame:
     """The best notes for a period, with score and why.  A note whose dates all lie elsewhere is rejected."""
     start, end = period_range(period, grain)
-    length = (end - start).days + 1
-    lit = lambda d, k=0: F.date_add(F.lit(d), k)
-    meets = lambda a, b: F.exists("dates", lambda x: (x["start"] <= b) & (a <= x["end"]))
-    when = F.when(meets(lit(start), lit(end)), IN_PERIOD).when(meets(lit(start, -length), lit(start, -1)), PRIOR).when(meets(lit(start, -NEAR_DAYS), lit(end, NEAR_DAYS)), NEAR)
     asked = F.array(*[F.lit(s) for s in subjects]).cast("array<string>")
     words = F.array(*[F.lit(w) for w in sorted(set(re.findall(r"[a-z0-9]{3,}", question.lower())))]).cast("array<string>")
-    aligned = F.coalesce(when, F.when(F.size("dates") == 0, 0))
-    scored = notes.withColumn("aligned", aligned).where("aligned IS NOT NULL")
+    when = dated_matches(notes.sparkSession.createDataFrame([(start, end)], "start date, end date"), notes).select("id", F.col("score").alias("near"))
+    scored = notes.join(when, "id", "left").withColumn("aligned", F.coalesce("near", F.when(F.size("dates") == 0, 0))).where("aligned IS NOT NULL").drop("near")
     score = F.col("aligned") + F.least(F.lit(SUBJECT_CAP), F.size(F.array_intersect("subjects", asked)) * PER_SUBJECT) + F.least(F.lit(TERM_CAP), F.size(F.array_intersect("terms", words)) * PER_TERM)
     return scored.withColumn("score", score).where(F.col("score") >= LEAST).orderBy(F.desc("score"), "id").limit(limit)
 

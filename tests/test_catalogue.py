@@ -1,10 +1,13 @@
+import fixed_cases
 import oracle
 import pytest
 
 from plumbline.plans import evidence as catalogue
+from plumbline.plans import meeting
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["breakdown", "topk", "cross_cell", "contribution", "mix_rate_summary", "cells_week", "bh_qvalues", "date_shapes", "t_pvalue", "profile_counts", "discover_candidates", "discovery_subjects", "deepdive_members", "drill_dimensions", "drill_inside", "correlations", "holt_levels", "intents", "note_scores", "ledger_chain", "narration_guard", "column_roles", "delimited_text", "dropped_rows"]
+QUICK = ["breakdown", "topk", "cross_cell", "contribution", "mix_rate_summary", "cells_week", "bh_qvalues", "date_shapes", "profile_counts", "discover_candidates", "discovery_subjects", "discovery_feed", "scan_findings", "deepdive_members", "drill_dimensions", "drill_inside", "correlations", "holt_forecast", "intents", "t_distribution", "column_roles", "delimited_text", "dropped_rows", "fingerprints"]
+MEETING = ["text_dates", "period_notes", "subject_mentions", "document_numbers", "narration_numbers", "journal_chain", "journal_faults", "journal_tree", "streamed_cells", "sketch_errors", "cube_sets"]
 
 
 @pytest.fixture(scope="module")
@@ -12,15 +15,26 @@ def con():
     return oracle.tables(SF)
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", QUICK + MEETING)
 def test_query_equals_its_sql(spark, con, name):
-    assert oracle.differ(catalogue.QUERIES[name](spark, SF), con, catalogue.ORACLE_SQL[name]) is None
+    assert oracle.differ(meeting.QUERIES[name](spark, SF), con, meeting.ORACLE_SQL[name]) is None
+
+
+@pytest.mark.parametrize("name", list(fixed_cases.CASES))
+def test_fixed_case_equals_its_sql(spark, con, name):
+    run, sql = fixed_cases.CASES[name]
+    assert oracle.differ(run(spark, SF), con, sql) is None
+
+
+def test_every_query_reads_a_table(spark):
+    from_tables = {n for n in meeting.QUERIES if n in meeting.ORACLE_SQL and "FROM" in meeting.ORACLE_SQL[n].upper()}
+    assert from_tables == set(meeting.ORACLE_SQL) and set(meeting.QUERIES) - set(meeting.ORACLE_SQL) == {"cube_parents"}
 
 
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
-    assert set(catalogue.QUERIES) <= set(entry.queries())
+    assert set(meeting.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

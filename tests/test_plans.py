@@ -42,11 +42,10 @@ def test_narration_guard():
 
 
 def test_notes(spark):
-    from datetime import date
 
     from plumbline.plans import notes
 
-    assert notes.extract_dates("on 2024-03-05, in Q3 2024 and March 2023") == [(date(2024, 3, 5),) * 2, (date(2024, 7, 1), date(2024, 9, 30)), (date(2023, 3, 1), date(2023, 3, 31))]
+    assert notes.chunk("# A\n- x\n\ntext")[1]["heading"] == "A"
     text = "# Incidents\n- 2024-03-05: warehouse fire in West\n- February 2024 strike\n- 2019-01-01 old\n- West is large\n"
     hits = notes.retrieve(notes.index_notes(spark, text, ["West"]), "2024-03", "month", ["West"]).collect()
     assert [h["id"] for h in hits] == [0, 1, 3]
@@ -121,3 +120,34 @@ def test_planted_and_flat_data(spark):
     assert any(r.measure == "planted" and r.value == "C" and r.q is not None and r.q <= 0.1 for r in found)
     flat = sum(min(benjamini_hochberg([r.p for r in found if r.measure == n and r.p is not None]), default=1) <= 0.1 for n in names)
     assert flat <= 6
+
+
+def test_scan_keeps_to_survivors_and_to_the_measure_asked_for(spark):
+    from plumbline.operators import discover
+    from plumbline.sources.store import keep
+
+    rows = [(f"{2022 + m // 12}-{m % 12 + 1:02d}-{1 + i % 28:02d}", f"R{i % 8}", (900.0 if m == 19 and i % 8 == 3 else 100.0) + i * 7 % 13, float(50 + i * 11 % 17) + (400 if m == 19 and i % 8 == 5 else 0)) for m in range(20) for i in range(400)]
+    df = spark.createDataFrame(rows, "day string, region string, price double, units double")
+    p = profile(df, {"price": "measure", "units": "measure"})
+    cells = keep(build_cells(df, p.time, p.dim_names(), p.measure_names()), by="grain")
+    asked, open_ = (intent.parse_intent(q, p) for q in ("scan price", "does anything stand out? scan"))
+    assert asked["explicit"] and not open_["explicit"] and open_["measure"] and intent.parse_intent("scan the revenue", p)["explicit"]
+    cards = [analyses.run(cells, p, {**i, "period": "2023-08"}) for i in (asked, open_)]
+    assert cards[0]["findings"] and {r["measure"] for r in cards[0]["findings"]} == {"price"}
+    assert cards[0]["findings"][0]["value"] == "R3"
+    limit = discover.Settings().q_limit
+    assert all(r["q"] is not None and r["q"] <= limit for c in cards for r in c["findings"])
+    strengths = [r["strength"] for r in cards[1]["findings"]]
+    assert strengths == sorted(strengths, reverse=True)
+
+
+def test_backtest_equals_a_fit_for_every_fold():
+    import numpy as np
+
+    from plumbline.operators import forecast
+
+    x = np.cumsum(np.random.default_rng(5).normal(3, 20, 40)) + 500
+    got = forecast.backtest(x, 12)
+    folds = [(abs(forecast.forecast(forecast.fit(x[:i]), 1)[0]["value"] - x[i]), abs(x[i - 1] - x[i])) for i in range(12, 40)]
+    mae, naive = (float(np.mean([f[k] for f in folds])) for k in (0, 1))
+    assert got["folds"] == 28 and abs(got["mae"] - mae) < 1e-9 and abs(got["naive_ratio"] - mae / naive) < 1e-12
