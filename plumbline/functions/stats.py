@@ -51,6 +51,34 @@ def t_p(t: float, df: float) -> float:
     return 0.0 if not math.isfinite(t) else incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided p of Student's t for many (t, df) at once, NaN without degrees of freedom: the continued fraction of the
+    incomplete beta function in even and odd steps, until no value moves any more."""
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    out = np.where(df > 0, np.where(t == 0, 1.0, 0.0), np.nan)
+    use = (df > 0) & np.isfinite(t) & (t != 0)
+    square, n = t[use] ** 2, df[use]
+    far = n / (n + square) < (n / 2 + 1) / (n / 2 + 2.5)
+    a, b = np.where(far, n / 2, 0.5), np.where(far, 0.5, n / 2)
+    x, y = np.where(far, n / (n + square), square / (n + square)), np.where(far, square / (n + square), n / (n + square))
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    if len(n):
+        front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(x) + b * np.log(y)) / a
+        guard = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+        high, low, value = np.ones_like(x), 1 / guard(1 - (a + b) * x / (a + 1)), 1 / guard(1 - (a + b) * x / (a + 1))
+        for m in range(1, 400):
+            step = np.ones_like(x)
+            for d in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                low, high = 1 / guard(1 + d * low), guard(1 + d / high)
+                step *= low * high
+            value *= step
+            if np.abs(step - 1).max() < 1e-14:
+                break
+        part = np.minimum(1.0, front * value)
+        out[use] = np.where(far, part, 1 - part)
+    return out
+
+
 def t_cdf(t: float, df: float) -> float:
     return 1 - t_p(t, df) / 2 if t > 0 else t_p(t, df) / 2
 

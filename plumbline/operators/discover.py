@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import tests
+from plumbline.functions import hypotheses as tests
+from plumbline.functions import stats
 from plumbline.operators.profile import Profile
 from plumbline.sources.store import keep
 
@@ -139,14 +140,21 @@ def cross_candidates(cells: DataFrame, aggs: dict[str, str], grain: str, period:
     )
 
 
+@F.pandas_udf("double")
+def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+    p = stats.t_two_sided(t.to_numpy(float), df.to_numpy(float))
+    return pd.Series(p).where(~pd.isna(df.reset_index(drop=True)), None)
+
+
 def candidates(cells: DataFrame, aggs: dict[str, str], grain: str, period: str, s: Settings | None = None) -> DataFrame:
     """All candidate rows, tested and untestable, with p, q and `significant`.  `cells` is best a kept table: each family of
     tests reads it."""
     s = s or Settings()
     own = supported(cells, aggs, grain, s)
     found = keep(sibling_candidates(own, period, s).unionByName(temporal_candidates(own, period, s)).unionByName(persistence_candidates(own, period, s)).unionByName(cross_candidates(cells, aggs, grain, period, s)))
-    p = F.when(F.col("__known").isNotNull() | F.col("__t").isNotNull(), tests.p_value(F.col("__t"), F.col("__df"), F.col("__times"), F.col("__known")))
-    tested = found.withColumn("p", p).select(*FIELDS)
+    # one batch of numbers for all tests; as an expression the continued fraction would be folded row by row
+    own = F.when(F.col("__t").isNotNull(), F.least(F.lit(1.0), F.coalesce("__times", F.lit(1.0)) * _t_two_sided("__t", "__df")))
+    tested = found.withColumn("p", F.coalesce("__known", own)).select(*FIELDS)
     ties = ("kind", "measure", "dim", "value", "dim_b", "value_b", "extreme")
     return tests.benjamini_hochberg(tested, ties=ties).withColumn("significant", F.col("q") <= s.q_limit)
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import stats, tests
+from plumbline.functions import hypotheses as tests
+from plumbline.functions import stats
 from plumbline.operators import decompose, discover, forecast, lookup
 from plumbline.operators.profile import Profile
 

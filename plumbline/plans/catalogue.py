@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import tests
+from plumbline.functions import hypotheses as tests
 from plumbline.functions.timeaxis import GRAINS, parse_day, period_range
 from plumbline.operators import cells as cube
 from plumbline.operators import decompose, discover, lookup, profile

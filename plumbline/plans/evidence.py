@@ -10,7 +10,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import special, tests
+from plumbline.functions import hypotheses as tests
+from plumbline.functions import special
 from plumbline.functions.timeaxis import period_range
 from plumbline.operators import cells as cube
 from plumbline.operators import discover, forecast, lookup, profile

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import special, stats, tests
+from plumbline.functions import hypotheses as tests
+from plumbline.functions import special, stats
 from plumbline.functions.timeaxis import parse_day, period, period_range
 from plumbline.operators import forecast
 from plumbline.operators.cells import select_pairs
