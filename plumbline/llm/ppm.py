@@ -17,7 +17,7 @@ frequent it is.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,28 +109,67 @@ def _by_block(batches, begin, add, end):
         yield from end(block)
 
 
+def split_words(low: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts, and the number of the text that each is in.  They stay in one Arrow array, as a Python object
+    for each would take several times the room of the texts."""
+    lists = pc.ascii_split_whitespace(pa.array(low, pa.binary()).view(pa.string()))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    which = np.repeat(np.arange(len(low)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return flat.filter(real).view(pa.binary()), which[real.to_numpy(zero_copy_only=False)]
+
+
+def in_parts(texts_: Iterable[bytes], size: int = 4 << 20) -> Iterator[list[bytes]]:
+    """Texts in runs of about `size` bytes; a longer text is a run of its own."""
+    held, total = [], 0
+    for t in texts_:
+        if held and total + len(t) > size:
+            yield held
+            held, total = [], 0
+        held.append(t)
+        total += len(t)
+    if held:
+        yield held
+
+
 def block_words(blocks: DataFrame) -> DataFrame:
     """(word, block, n) for each different word of each block, n its count in training texts."""
 
     def run(batches):
-        words: Counter = Counter()
-        held_words: set[bytes] = set()
+        counted: list[pa.Table] = []
+        buffers: dict[bool, list[bytes]] = {True: [], False: []}
+        sizes = {True: 0, False: 0}
+
+        def merge() -> pa.Table:
+            whole = pa.concat_tables(counted).group_by("word").aggregate([("n", "sum")])
+            return pa.table({"word": whole.column("word"), "n": whole.column("n_sum")})
+
+        def squeeze(held):
+            if buffers[held]:
+                found = pc.value_counts(split_words(buffers[held])[0])
+                n = found.field("counts")
+                counted.append(pa.table({"word": found.field("values"), "n": pa.array(np.zeros(len(n), np.int64)) if held else n}))
+                buffers[held], sizes[held] = [], 0
+                if len(counted) > 3:
+                    counted[:] = [merge()]
 
         def begin():
-            words.clear(), held_words.clear()
+            counted.clear()
 
         def add(held, low):
-            if held:
-                held_words.update(low.split())
-            else:
-                words.update(low.split())
+            held = bool(held)
+            buffers[held].append(low)
+            sizes[held] += len(low)
+            if sizes[held] > 4 * _PART:
+                squeeze(held)
 
         def end(block):
-            names = list(words) + [w for w in held_words if w not in words]
-            counts = list(words.values()) + [0] * (len(names) - len(words))
-            for at in range(0, len(names), 100_000):
-                part = names[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), block)), pa.array(counts[at : at + 100_000], pa.int64())], names=["word", "block", "n"])
+            squeeze(True), squeeze(False)
+            if counted:
+                for part in merge().to_batches(max_chunksize=100_000):
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(part.num_rows, block)), part.column(1)], names=["word", "block", "n"])
+            counted.clear()
+            pa.default_memory_pool().release_unused()
 
         yield from _by_block(batches, begin, add, end)
 
@@ -286,15 +325,16 @@ def score_documents(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFram
         # words first, then grams, so that only one of their lookups is held at a time
         of_word = right.column("word").is_valid()
         part = right.select(["word", "a"]).filter(of_word)
-        known = dict(zip(part.column("word").to_pylist(), np.log10(part.column("a").to_numpy() + 1.0).tolist(), strict=True))
+        names, worth = part.column("word").combine_chunks(), np.log10(part.column("a").to_numpy() + 1.0)
         n, hits, base = [], [], []
-        for raw in texts_of(left):
-            found = raw.lower().split()
-            x = np.fromiter(map(known.__getitem__, found), np.float64, len(found))
-            n.append(len(found) + 1)
-            hits.append(int(np.count_nonzero(x)) + bool(ends))
-            base.append(float(x.sum()) + end_value - (len(found) + 1) * unit)
-        del known, part
+        for some in in_parts(raw.lower() for raw in texts_of(left)):
+            found, which = split_words(some)
+            x = worth[pc.index_in(found, value_set=names).to_numpy(zero_copy_only=False)] if len(found) else np.zeros(0)
+            count = np.bincount(which, minlength=len(some)) + 1
+            n += count.tolist()
+            hits += (np.bincount(which, weights=x != 0, minlength=len(some)).astype(np.int64) + bool(ends)).tolist()
+            base += (np.bincount(which, weights=x, minlength=len(some)) + end_value - count * unit).tolist()
+        del names, worth, part
         part = right.select(["key", "a", "b"]).filter(pc.invert(of_word))
         place = Table(part.column("key").to_numpy().astype(np.int64))
         a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
