@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from plumbline.functions import hypotheses as tests
 from plumbline.functions import stats
@@ -140,7 +141,7 @@ def cross_candidates(cells: DataFrame, aggs: dict[str, str], grain: str, period:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     p = stats.t_two_sided(t.to_numpy(float), df.to_numpy(float))
     return pd.Series(p).where(~pd.isna(df.reset_index(drop=True)), None)
