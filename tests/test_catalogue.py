@@ -42,3 +42,11 @@ def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).where("p IS NOT NULL").count() > 20
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=Path(__file__).parent.parent, check=True, timeout=120)
