@@ -9,7 +9,8 @@ The trie is a table: (order, context and symbol, count), with one row a context
 whole training corpus.  It is never gathered: documents lie in blocks of bounded bytes, each block asks once for each of
 its different grams (context and symbol), joins find the probability of every different gram of the corpus once, and the
 answers go back to the blocks.  What is asked is kept in buckets of the gram (or word), so counting and answering shuffle it
-once.  The score of a document is the sum over its grams.
+once.  Texts and answers travel to their block packed: one compressed row holds many.  The score of a document is the sum over
+its grams.
 
 The unigram base works alike: a block asks once for each of its words.  A gram or word occurs at most once a block, however
 frequent it is.
@@ -22,6 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,6 +219,85 @@ def block_grams(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "held", "text").mapInArrow(run, "key long, block long, n long")
 
 
+def squeeze_numbers(columns: list[np.ndarray]) -> bytes:
+    """Columns of 64-bit numbers as one compressed string; equal bytes of neighbouring numbers lie side by side."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), 1)
+
+
+def unsqueeze_numbers(packed: bytes, kinds: list[type]) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(len(kinds), 8, -1)
+    return [np.ascontiguousarray(c.T).view(kind).ravel() for c, kind in zip(raw, kinds, strict=True)]
+
+
+def squeeze_words(words: pa.Array) -> bytes:
+    return zstandard.compress(b"\n".join(words.to_pylist()), 1)
+
+
+def unsqueeze_words(packed: bytes) -> pa.Array:
+    """A word never holds white space, so that it can part them."""
+    return split_words([zstandard.decompress(packed)])[0]
+
+
+def pack_texts(blocks: DataFrame) -> DataFrame:
+    """(block, rows): runs of rows of one block as compressed Arrow, to be read by `unpack_texts`."""
+
+    def run(batches):
+        for b in batches:
+            block = b.column(0).to_numpy()
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            for at, end in zip(starts, [*starts[1:], len(block)], strict=True):
+                part, out = b.slice(at, end - at).select(["doc_id", "held", "text"]), pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([block[at]], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+    return blocks.select("block", "doc_id", "held", "text").mapInArrow(run, "block long, rows binary")
+
+
+def unpack_texts(packed: pa.Table) -> Iterator[pa.RecordBatch]:
+    for rows in packed.column("rows"):
+        yield from pa.ipc.open_stream(rows.as_buffer())
+
+
+def pack_replies(replies: DataFrame, of_words: bool, size: int) -> DataFrame:
+    """(block, of_words, names, worth) of rows (block, word, c) or (block, key, a, b): what one task answers to one block, in
+    stretches of `size` rows of the task.  Few answers make a short row, so it takes no more room however many blocks there are."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            block = t.column("block").to_numpy()
+            order = np.argsort(block, kind="stable") if of_words else np.lexsort((t.column("key").to_numpy(), block))
+            t, block = t.take(pa.array(order)), block[order]
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            rest = [t.column(c).to_numpy() for c in (("c",) if of_words else ("key", "a", "b"))]
+            names, worth = [], []
+            for at, end in zip(starts, [*starts[1:], len(block)], strict=True):
+                if of_words:
+                    names.append(squeeze_words(t.column("word").slice(at, end - at)))
+                    worth.append(squeeze_numbers([rest[0][at:end]]))
+                else:
+                    names.append(squeeze_numbers([np.diff(rest[0][at:end], prepend=0)]))
+                    worth.append(squeeze_numbers([rest[1][at:end], rest[2][at:end]]))
+            return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array([of_words] * len(starts)), pa.array(names, pa.binary()), pa.array(worth, pa.binary())], names=["block", "of_words", "names", "worth"])
+
+        rows = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= size:
+                yield flush()
+                rows = 0
+        if held:
+            yield flush()
+
+    return replies.mapInArrow(run, "block long, of_words boolean, names binary, worth binary")
+
+
 def _last(key: str | Column, symbols: int) -> Column:
     """The last so many symbols of a gram."""
     return (F.col(key) if isinstance(key, str) else key).bitwiseAND(F.lit((1 << (BITS * symbols)) - 1))
@@ -323,35 +404,37 @@ def score_documents(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFram
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         # words first, then grams, so that only one of their lookups is held at a time
-        of_word = right.column("word").is_valid()
-        part = right.select(["word", "a"]).filter(of_word)
-        names, worth = part.column("word").combine_chunks(), np.log10(part.column("a").to_numpy() + 1.0)
-        n, hits, base = [], [], []
-        for some in in_parts(raw.lower() for raw in texts_of(left)):
-            found, which = split_words(some)
-            x = worth[pc.index_in(found, value_set=names).to_numpy(zero_copy_only=False)] if len(found) else np.zeros(0)
-            count = np.bincount(which, minlength=len(some)) + 1
-            n += count.tolist()
-            hits += (np.bincount(which, weights=x != 0, minlength=len(some)).astype(np.int64) + bool(ends)).tolist()
-            base += (np.bincount(which, weights=x, minlength=len(some)) + end_value - count * unit).tolist()
-        del names, worth, part
-        part = right.select(["key", "a", "b"]).filter(pc.invert(of_word))
-        place = Table(part.column("key").to_numpy().astype(np.int64))
-        a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
-        value = np.where(b > 0, np.log10(np.where(b > 0, a, 1.0)) - np.log10(np.where(b > 0, b, 1.0)), a)
-        del part, a, b
-        total = [float(sum(value[place.find(keys)].sum() for keys in gram_keys(raw.lower()))) for raw in texts_of(left)]
+        replies = {held: right.filter(pc.equal(right.column("of_words"), held)) for held in (True, False)}
+        del right
+        names = pa.concat_arrays([pa.array([], pa.binary()), *(unsqueeze_words(x.as_py()) for x in replies[True].column("names"))])
+        worth = np.log10(np.concatenate([np.zeros(0), *(unsqueeze_numbers(x.as_py(), [np.int64])[0] for x in replies[True].column("worth"))]) + 1.0)
+        ids, held, n, hits, base = [], [], [], [], []
+        for rows in unpack_texts(left):
+            ids.append(rows.column(0))
+            held.append(rows.column(1))
+            for some in in_parts(raw.lower() for raw in texts(rows)):
+                found, which = split_words(some)
+                x = worth[pc.index_in(found, value_set=names).to_numpy(zero_copy_only=False)] if len(found) else np.zeros(0)
+                count = np.bincount(which, minlength=len(some)) + 1
+                n += count.tolist()
+                hits += (np.bincount(which, weights=x != 0, minlength=len(some)).astype(np.int64) + bool(ends)).tolist()
+                base += (np.bincount(which, weights=x, minlength=len(some)) + end_value - count * unit).tolist()
+        del names, worth
+        keys = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unsqueeze_numbers(x.as_py(), [np.int64])[0]) for x in replies[False].column("names"))])
+        value = np.zeros(len(keys))
+        at = 0
+        for x in replies[False].column("worth"):
+            a, b = unsqueeze_numbers(x.as_py(), [np.float64, np.float64])
+            value[at : at + len(a)] = np.where(b > 0, np.log10(np.where(b > 0, a, 1.0)) - np.log10(np.where(b > 0, b, 1.0)), a)
+            at += len(a)
+        place = Table(keys)
+        del keys, replies
+        total = [float(sum(value[place.find(k)].sum() for k in gram_keys(raw.lower()))) for rows in unpack_texts(left) for raw in texts(rows)]
         del place, value
         pa.default_memory_pool().release_unused()
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(hits, pa.int64()), "train_tokens": pa.array([tokens] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
-
-    def texts_of(t: pa.Table):
-        for col in t.column("text").cast(pa.large_binary()).chunks:
-            for raw in col:
-                yield raw.as_py() or b""
+        return pa.table({"doc_id": pa.chunked_array(ids), "held_out": pa.chunked_array(held), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(hits, pa.int64()), "train_tokens": pa.array([tokens] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
 
-    none = lambda kind: F.lit(None).cast(kind)
-    replies = words.select("block", "word").join(counts, "word").select("block", "word", none("long").alias("key"), F.col("c").cast("double").alias("a"), F.lit(0.0).alias("b")).unionByName(
-        asked.select("block", "key").join(values, "key").select("block", none("binary").alias("word"), "key", "a", "b")
+    replies = pack_replies(words.join(counts, "word").select("block", "word", "c"), True, 1 << 18).unionByName(
+        pack_replies(asked.join(values, "key").select("block", "key", "a", "b"), False, 1 << 20)
     )
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return pack_texts(blocks).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
