@@ -6,7 +6,6 @@ test) is kept before p-values, q-values and tiers are worked out, so that each o
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -255,14 +254,17 @@ def sentence(r: dict) -> str:
     return f"{where} with {r['dim_b']} = {r['value_b']} averages {r['val']:,.2f} on {r['measure']} against {r['rest_mean']:,.2f} elsewhere (Welch t {r['statistic']:.2f}, {r['n']:,} rows)."
 
 
-_PLACE = re.compile(r"region|city|state|country|geo|location|zone|area|territory|district|market", re.I)
+PLACES = "region|city|state|country|geo|location|zone|area|territory|district|market"
 
 
-def classify(kind: str, dim: str | None) -> str:
-    """temporal, interaction, spatial or behavioral."""
-    if kind in ("temporal", "cross"):
-        return "temporal" if kind == "temporal" else "interaction"
-    return "spatial" if dim and _PLACE.search(dim) else "behavioral"
+def titled(found: DataFrame) -> DataFrame:
+    """Adds title, what a finding is in one line, and class: temporal, interaction, spatial or behavioral."""
+    kind = F.col("kind")
+    subject = F.concat(F.col("dim"), F.lit(" = "), F.col("value"), F.when(kind == "cross", F.concat(F.lit(" and "), F.col("dim_b"), F.lit(" = "), F.col("value_b"))).otherwise(""))
+    verb = F.when(kind == "sibling", F.concat(F.lit("lies "), F.col("direction"), F.lit(" its peers on"))).when(kind == "temporal", "left its own history on")
+    verb = verb.when(kind == "persistence", F.concat(F.lit("is steadily the "), F.when(F.col("extreme") == "bottom", "lowest").otherwise("highest"), F.lit(" on"))).otherwise(F.concat(F.lit("averages "), F.col("direction"), F.lit(" the rest on")))
+    what = F.when(kind == "temporal", "temporal").when(kind == "cross", "interaction").when(F.col("dim").rlike(f"(?i){PLACES}"), "spatial").otherwise("behavioral")
+    return found.withColumn("title", F.concat_ws(" ", subject, verb, "measure")).withColumn("class", what)
 
 
 def discover(cells: DataFrame, p: Profile, grain: str, period: str, s: Settings | None = None, measure: str | None = None) -> dict:
@@ -271,16 +273,16 @@ def discover(cells: DataFrame, p: Profile, grain: str, period: str, s: Settings
     found = candidates(cells, {m.name: m.agg for m in p.measures}, grain, period, s).persist()
     try:
         fed = ranked_feed(found, s).persist()
-        feed = [r.asDict(recursive=True) for r in select_diverse(fed, s).collect()]
+        feed = [r.asDict(recursive=True) for r in titled(select_diverse(fed, s)).collect()]
         passed = survivors(found if measure is None else found.where(F.col("measure") == measure), s)
-        best = [r.asDict(recursive=True) for r in passed.orderBy(F.desc("strength"), "q", "measure", "dim", "value", "dim_b", "value_b", "kind").limit(s.max_feed).collect()]
+        best = [r.asDict(recursive=True) for r in titled(passed).orderBy(F.desc("strength"), "q", "measure", "dim", "value", "dim_b", "value_b", "kind").limit(s.max_feed).collect()]
         counts = audit(found).first()
         reasons = [r["reason"] for r in found.where("reason IS NOT NULL").select("reason").distinct().orderBy("reason").limit(8).collect()]
         fed.unpersist()
     finally:
         found.unpersist()
     for r in feed + best:
-        r["why"], r["class"] = sentence(r), classify(r["kind"], r["dim"])
+        r["why"] = sentence(r)
     tiers = {t: sum(r["tier"] == t for r in feed) for t in RANK}
     n, kept = counts["tests"], counts["survived"] or 0
     verdict = f"{kept} of {n} tested cells pass correction at q <= {s.q_limit:g}; {len(feed)} shown." if kept else f"{n} cells tested, none passes correction at q <= {s.q_limit:g}: the data look flat."

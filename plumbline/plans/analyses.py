@@ -76,7 +76,19 @@ def chart(rows: list[dict]) -> dict:
     return {"type": "pie" if len(rows) <= 5 else "bar", "rows": rows}
 
 
-TITLES = {"sibling": "lies {direction} its peers on", "temporal": "left its own history on", "persistence": "is steadily the {extreme} on", "cross": "averages {direction} the rest on"}
+def chart_rows(cells: DataFrame, aggs: dict[str, str], grain: str, period: str) -> DataFrame:
+    """(measure, dim, bars): the members of each dimension in a period, the largest first; at most the cardinality cutoff of them."""
+    averaged = F.col("measure").isin([m for m, a in aggs.items() if a == "avg"])
+    own = cells.where((F.col("grain") == grain) & (F.col("period") == period) & F.col("dim_a").isNotNull() & F.col("dim_b").isNull())
+    bar = F.struct((-F.when(averaged, F.col("sum") / F.col("n")).otherwise(F.col("sum"))).alias("below"), F.col("val_a").alias("label"), F.col("n"))
+    bars = F.transform(F.sort_array(F.collect_list(bar)), lambda b: F.struct(b["label"].alias("label"), (-b["below"]).alias("value"), b["n"].alias("n")))
+    return own.groupBy("measure", F.col("dim_a").alias("dim")).agg(bars.alias("bars"))
+
+
+def card_rows(feed: DataFrame, cells: DataFrame, aggs: dict[str, str], grain: str, period: str) -> DataFrame:
+    """The feed with title, class, chart (pie of up to five members, else bars; bars for two-way findings) and bars."""
+    shown = discover.titled(feed).join(chart_rows(cells, aggs, grain, period), ["measure", "dim"], "left")
+    return shown.withColumn("chart", F.when((F.col("kind") == "cross") | (F.size("bars") > 5), "bar").otherwise("pie"))
 
 
 def feed_cards(cells: DataFrame, p: Profile, grain: str, period: str, s: discover.Settings | None = None) -> dict:
@@ -86,16 +98,12 @@ def feed_cards(cells: DataFrame, p: Profile, grain: str, period: str, s: discove
     """
     found = discover.discover(cells, p, grain, period, s)
     named = {(r["measure"], r["dim"]) for r in found["feed"]}
-    own = cells.where((F.col("grain") == grain) & (F.col("period") == period) & F.col("dim_b").isNull() & F.col("dim_a").isin(sorted({d for _, d in named})) & F.col("measure").isin(sorted({m for m, _ in named})))
-    charts: dict[tuple, list] = {}
-    for r in own.select("measure", "dim_a", "val_a", "sum", "n").collect():  # the members of one period, at most the cardinality cutoff a dimension
-        charts.setdefault((r["measure"], r["dim_a"]), []).append({"label": r["val_a"], "value": r["sum"] / r["n"] if p.agg_of(r["measure"]) == "avg" else r["sum"], "n": r["n"]})
+    own = cells.where(F.col("dim_a").isin(sorted({d for _, d in named})) & F.col("measure").isin(sorted({m for m, _ in named})))
+    charts = {(r["measure"], r["dim"]): [b.asDict() for b in r["bars"]] for r in chart_rows(own, {m.name: m.agg for m in p.measures}, grain, period).collect()}
     cards = []
     for r in found["feed"]:
-        rows = sorted(charts.get((r["measure"], r["dim"]), []), key=lambda x: (-x["value"], x["label"]))
-        subject = f"{r['dim']} = {r['value']}" + (f" and {r['dim_b']} = {r['value_b']}" if r["kind"] == "cross" else "")
-        verb = TITLES[r["kind"]].format(direction=r["direction"], extreme="lowest" if r["extreme"] == "bottom" else "highest")
-        cards.append({"title": f"{subject} {verb} {r['measure']}", "class": r["class"], "tier": r["tier"], "measure": r["measure"], "dimension": r["dim"], "grain": grain, "period": period, "chart": {"type": "bar", "rows": rows} if r["kind"] == "cross" else chart(rows), "value": r["val"], "change": r["pct_change"], "summary": r["why"], "corroboration": r["corroboration"], "evidence": r})
+        rows = charts.get((r["measure"], r["dim"]), [])
+        cards.append({"title": r["title"], "class": r["class"], "tier": r["tier"], "measure": r["measure"], "dimension": r["dim"], "grain": grain, "period": period, "chart": {"type": "bar", "rows": rows} if r["kind"] == "cross" else chart(rows), "value": r["val"], "change": r["pct_change"], "summary": r["why"], "corroboration": r["corroboration"], "evidence": r})
     return {"cards": cards, "audit": found["audit"], "tiers": found["tiers"], "grain": grain, "period": period}
 
 

@@ -15,7 +15,7 @@ from plumbline.functions import special
 from plumbline.functions.timeaxis import period_range
 from plumbline.operators import cells as cube
 from plumbline.operators import discover, forecast, lookup, profile
-from plumbline.plans import analyses, intent, ledger
+from plumbline.plans import analyses, brief, intent, ledger
 from plumbline.plans.catalogue import BEFORE, KEY_SQL, MONTH, NATION_SQL, ORACLE_SQL, QUERIES, M, money, query, sales_cells
 from plumbline.sources import tables
 from plumbline.sources.delimited import read_delimited
@@ -237,24 +237,68 @@ def scan_findings(spark, sf_dir):
     return discover.survivors(_found(spark, sf_dir), _SETTINGS).select("kind", "measure", "dim", "value", "dim_b", "value_b", "tier", F.round("q", 6).alias("q"), F.round("strength", 5).alias("strength"))
 
 
-@query(_DISCOVERY_SQL + f""", sub AS (SELECT *, row_number() OVER (PARTITION BY measure, dim, value, dim_b, value_b ORDER BY q, CASE kind WHEN 'sibling' THEN 0 WHEN 'temporal' THEN 1 WHEN 'persistence' THEN 2 ELSE 3 END, extreme) AS k, count(*) OVER (PARTITION BY measure, dim, value, dim_b, value_b) - 1 AS others FROM tier WHERE q <= {_SETTINGS.low_ceiling}),
+_FEED_SQL = _DISCOVERY_SQL + f""", sub AS (SELECT *, row_number() OVER (PARTITION BY measure, dim, value, dim_b, value_b ORDER BY q, CASE kind WHEN 'sibling' THEN 0 WHEN 'temporal' THEN 1 WHEN 'persistence' THEN 2 ELSE 3 END, extreme) AS k, count(*) OVER (PARTITION BY measure, dim, value, dim_b, value_b) - 1 AS others FROM tier WHERE q <= {_SETTINGS.low_ceiling}),
 fed AS (SELECT *, row_number() OVER (ORDER BY CASE tier WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, abs(coalesce(effect, 0)) * 2 + abs(share) + abs(statistic) * 0.05 DESC, q, value, measure, dim, dim_b, value_b) AS place FROM sub WHERE k = 1),
 queue AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY place) AS i, min(place) OVER (PARTITION BY measure) AS lead, concat_ws('|', dim, dim_b) AS pair, CASE WHEN kind = 'cross' THEN [dim || '|' || value, dim_b || '|' || value_b] ELSE [dim || '|' || value] END AS own FROM fed),
 pick AS (WITH RECURSIVE g AS (SELECT DISTINCT measure, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS pairs, CAST([] AS VARCHAR[]) AS members, CAST(0 AS BIGINT) AS kept, false AS took, CAST(0 AS BIGINT) AS place FROM queue
  UNION ALL SELECT measure, i, CASE WHEN ok THEN list_append(pairs, pair) ELSE pairs END, CASE WHEN ok THEN list_concat(members, own) ELSE members END, kept + CAST(ok AS BIGINT), ok, place FROM (SELECT g.measure, q.i, g.pairs, g.members, g.kept, q.pair, q.own, q.place, g.kept < {_SETTINGS.max_feed} AND len(list_filter(g.pairs, lambda x: x = q.pair)) < {_SETTINGS.max_per_pair} AND list_bool_and(list_transform(q.own, lambda o: len(list_filter(g.members, lambda x: x = o)) < {_SETTINGS.max_per_value})) AS ok FROM g JOIN queue q ON q.measure = g.measure AND q.i = g.i + 1)) SELECT place, kept FROM g WHERE took),
-turns AS (SELECT queue.*, row_number() OVER (ORDER BY kept, lead) AS turn FROM queue JOIN pick USING (place)) SELECT kind, measure, dim, value, dim_b, value_b, tier, round(q, 6) AS q, others AS corroborated FROM turns WHERE turn <= {_SETTINGS.max_feed}""")
+turns AS (SELECT queue.*, row_number() OVER (ORDER BY kept, lead) AS turn FROM queue JOIN pick USING (place))"""
+
+
+@query(_FEED_SQL + f""" SELECT kind, measure, dim, value, dim_b, value_b, tier, round(q, 6) AS q, others AS corroborated FROM turns WHERE turn <= {_SETTINGS.max_feed}""")
 def discovery_feed(spark, sf_dir):
     """The feed of a month: deduplicated, tiered, spread over measures within caps."""
     fed = discover.select_diverse(discover.ranked_feed(_found(spark, sf_dir), _SETTINGS), _SETTINGS)
     return fed.select("kind", "measure", "dim", "value", "dim_b", "value_b", "tier", F.round("q", 6).alias("q"), F.size("corroboration").cast("long").alias("corroborated"))
 
 
+_CHART_SQL = f"""bars AS (SELECT m.measure AS measure, d.dim AS dim, count(*) AS bars, max_by(d.value, m.val) AS first_bar, round(max(m.val), 2) AS first_value FROM (SELECT d, unnest([{{'measure': 'price', 'val': sum(price)}}, {{'measure': 'quantity', 'val': sum(quantity)}}, {{'measure': 'discount', 'val': avg(discount)}}]) AS m FROM long WHERE period = '{MONTH}' GROUP BY d) GROUP BY 1, 2)"""
+
+
+@query(_FEED_SQL + f""", {_CHART_SQL},
+say AS (SELECT *, CASE WHEN coalesce(CASE WHEN kind = 'cross' THEN statistic ELSE effect END, 1) > 0 THEN 'above' ELSE 'below' END AS side FROM turns LEFT JOIN bars USING (measure, dim) WHERE turn <= {_SETTINGS.max_feed})
+SELECT dim || ' = ' || value || CASE WHEN kind = 'cross' THEN ' and ' || dim_b || ' = ' || value_b ELSE '' END || ' ' || CASE kind WHEN 'sibling' THEN 'lies ' || side || ' its peers on' WHEN 'temporal' THEN 'left its own history on' WHEN 'persistence' THEN 'is steadily the ' || CASE extreme WHEN 'bottom' THEN 'lowest' ELSE 'highest' END || ' on' ELSE 'averages ' || side || ' the rest on' END || ' ' || measure AS title,
+CASE WHEN kind = 'temporal' THEN 'temporal' WHEN kind = 'cross' THEN 'interaction' WHEN regexp_matches(dim, {text(discover.PLACES)}, 'i') THEN 'spatial' ELSE 'behavioral' END AS class, tier, CASE WHEN kind = 'cross' OR bars > 5 THEN 'bar' ELSE 'pie' END AS chart, bars, first_bar, first_value FROM say""")
+def feed_cards(spark, sf_dir):
+    """The feed of a month as cards: title, class, tier, and the chart with its first bar."""
+    fed = discover.select_diverse(discover.ranked_feed(_found(spark, sf_dir), _SETTINGS), _SETTINGS)
+    cards = analyses.card_rows(fed, tables.sales_cells(spark, sf_dir), tables.SALES_MEASURES, "month", MONTH)
+    return cards.select("title", "class", "tier", "chart", F.size("bars").cast("long").alias("bars"), F.col("bars")[0]["label"].alias("first_bar"), F.round(F.col("bars")[0]["value"], 2).alias("first_value"))
+
+
 @query(_DISCOVERY_SQL + " SELECT count(p) AS tests, count(*) FILTER (WHERE q <= 0.1) AS survived, count(*) FILTER (WHERE p IS NULL) AS untestable FROM tier")
 def discovery_audit(spark, sf_dir):
     """How many tests a search runs, how many pass, and how many cannot be tested."""
     return discover.audit(_found(spark, sf_dir))
 
 
+_CONDITION_DIMS = sorted([*tables.SALES_DIMS, "discount"])
+_CONDITION_SQL = f"""f AS (SELECT s.*, o_orderdate AS order_day, c_name AS customer FROM (SELECT *, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS price, l_quantity AS quantity, l_discount AS discount FROM lineitem) s JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+k AS (SELECT {", ".join(f"count(DISTINCT {d}) AS {d}" for d in _CONDITION_DIMS)} FROM sales), kd AS (UNPIVOT k ON COLUMNS(*) INTO NAME dim VALUE members),
+one AS (SELECT d.dim AS dim, d.value AS value, count(*) AS n FROM (SELECT unnest([{", ".join(f"{{'dim': '{d}', 'value': {d}}}" for d in tables.SALES_DIMS)}]) AS d FROM sales WHERE {M} = '{MONTH}') GROUP BY 1, 2)"""
+
+
+@query(f""", {_CONDITION_SQL} SELECT 'high' AS severity, 'rejected-time-axis' AS id, 'order_day' AS subject, CAST(NULL AS BIGINT) AS n FROM f HAVING count(order_day) >= 0.8 * count(*)
+UNION ALL SELECT 'high', 'no-sum', 'discount', NULL FROM sales HAVING min(discount) >= -1 AND max(discount) <= 1 AND bool_or(discount <> floor(discount))
+UNION ALL SELECT 'medium', 'dual-role', 'discount', NULL FROM k WHERE discount BETWEEN 3 AND 12
+UNION ALL SELECT 'medium', 'small-dimension', dim, members FROM kd WHERE members < {_SETTINGS.min_members} UNION ALL SELECT 'medium', 'excluded-dimension', 'customer', NULL FROM f HAVING count(DISTINCT customer) > 50
+UNION ALL SELECT 'medium', 'skipped-pairs', NULL, count(*) FROM kd a JOIN kd b ON a.dim < b.dim WHERE a.members * b.members > 60 HAVING count(*) > 0
+UNION ALL SELECT 'medium', 'short-history', 'month', count(DISTINCT {M}) FROM sales HAVING count(DISTINCT {M}) < 12
+{" ".join(f"UNION ALL SELECT 'low', 'spread', '{m}', NULL FROM sales HAVING min({m}) >= 0 AND var_samp({m}) + avg({m}) * avg({m}) > 3 * avg({m}) * avg({m})" for m in tables.SALES_MEASURES)}
+UNION ALL SELECT 'low', 'thin', dim, count(*) FILTER (WHERE n < {_SETTINGS.min_rows}) AS t FROM one GROUP BY dim HAVING t > 0 AND t < count(*)""")
+def data_conditions(spark, sf_dir):
+    """What misleads in order lines with the order's date and the customer's name beside the dimensions of sales."""
+    orders = tables.read(spark, sf_dir, "orders").join(tables.read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    nation = tables.read(spark, sf_dir, "nation").join(tables.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = tables.read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = lines.select(F.col("l_shipdate").cast("date").alias("day"), F.col("o_orderdate").alias("order_day"), F.col("c_name").alias("customer"), *tables.SALES_DIMS, F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
+    p = profile.profile(rows, {"day": "time", "price": "measure", "quantity": "measure"})
+    pairs = len(p.dims) * (len(p.dims) - 1) // 2 - len(cube.select_pairs(dict(p.dims), pair_cells=60))
+    found = brief.conditions(p, tables.sales_cells(spark, sf_dir), period=MONTH, pairs_skipped=pairs)
+    # the number of members of a dimension far above the cutoff is approximate
+    return found.withColumn("n", F.when(F.col("id") != "excluded-dimension", F.col("n")))
+
+
 # ---------------------------------------------------------------- the six analyses
 
 

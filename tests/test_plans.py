@@ -60,6 +60,20 @@ def test_brief(spark):
     assert any("too few" in g["text"] for g in b["gotchas"]) and "revenue" in brief.to_markdown(b)
 
 
+def test_conditions_that_the_tables_do_not_show(spark):
+    from plumbline.plans import brief
+
+    df = spark.createDataFrame([(f"2024-{1 + i % 9:02d}-01", "ab"[i % 10 == 0], float(i) if i % 3 else None) for i in range(90)], "day string, side string, revenue double")
+    p = profile(df)
+    cells = build_cells(df, p.time, p.dim_names(), p.measure_names())
+    found = {(r["severity"], r["id"], r["subject"], r["n"]) for r in brief.conditions(p, cells, unparsed=4, truncated_at=90, pairs_skipped=2, min_rows=3, period="2024-01").collect()}
+    assert found >= {("high", "unparsed-dates", "day", 4), ("high", "truncated", None, 90), ("medium", "skipped-pairs", None, 2), ("medium", "nulls", "revenue", 30), ("medium", "short-history", "month", 6), ("medium", "small-dimension", "side", 2)}
+    said = brief.gotchas(p, cells, unparsed=4, truncated_at=90)
+    assert [g["severity"] for g in said] == sorted((g["severity"] for g in said), key=brief.SEVERITY.get) and "4 rows" in said[1]["text"]
+    empty = cells.where("false")
+    assert all(r["id"] != "thin" for r in brief.conditions(p, empty).collect())
+
+
 def test_payload_and_suggestions(spark):
     from plumbline.plans import brief, intent
 
