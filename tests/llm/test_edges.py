@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import ann, html_extract, langid, packing, ppm, quality, sharding, simhash, toxicity
@@ -292,3 +294,23 @@ def test_bucketed_tables_lie_in_the_shared_folder(spark):
     assert counted.count() == 100 and "Exchange hashpartitioning(key" not in counted._jdf.queryExecution().executedPlan().toString()
     forget(held)
     assert not any(Path(f).exists() for f in files)
+
+
+def test_packed_answers_and_texts_come_back_whole(spark):
+    """Numbers, words and rows are the same after packing: negative and large numbers, bytes that are no UTF-8, no rows at all."""
+    numbers = [np.array([0, 5, -3, 2**62], np.int64), np.array([0.0, -1.5, 1e300, 2.0])]
+    got = ppm.unsqueeze_numbers(ppm.squeeze_numbers(numbers), [np.int64, np.float64])
+    assert all((a == b).all() for a, b in zip(numbers, got, strict=True))
+    assert [len(x) for x in ppm.unsqueeze_numbers(ppm.squeeze_numbers([np.zeros(0)] * 2), [np.float64, np.float64])] == [0, 0]
+    words = pa.array([b"a", "é中".encode(), b"\xff\xfe", b"x" * 70_000], pa.binary())
+    assert ppm.unsqueeze_words(ppm.squeeze_words(words)).to_pylist() == words.to_pylist()
+
+    rows = [(b, f"w{i}".encode(), i) for i in range(50) for b in (1 << 32, 7)]
+    packed = ppm.pack_replies(spark.createDataFrame(rows, "block long, word binary, c long").coalesce(2), True, 16).collect()
+    back = [(r["block"], w, int(c)) for r in packed for w, c in zip(ppm.unsqueeze_words(bytes(r["names"])).to_pylist(), ppm.unsqueeze_numbers(bytes(r["worth"]), [np.int64])[0], strict=True)]
+    assert sorted(back) == sorted(rows) and len(packed) < len(rows)
+
+    texts = [(1, 1, True, "ab"), (1, 2, False, None), (2, 3, False, ""), (1, None, False, "ä" * 5000)]
+    docs = spark.createDataFrame(texts, "block long, doc_id long, held boolean, text string").coalesce(1)
+    back = [(r["block"], *(x[c] for c in ("doc_id", "held", "text"))) for r in ppm.pack_texts(docs).collect() for b in ppm.unpack_texts(pa.table({"rows": [bytes(r["rows"])]})) for x in b.to_pylist()]
+    assert back == texts and ppm.pack_texts(docs.where("false")).count() == 0
