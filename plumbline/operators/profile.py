@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.timeaxis import day_of
+from plumbline.sources.store import keep, release
 
 # Thresholds and name patterns of the role rules.
 CARDINALITY_CUTOFF, ID_RATIO, NUMERIC_UNIQUE, TEXT_LENGTH = 50, 0.85, 12, 60
@@ -37,6 +38,8 @@ class Measure:
     non_null: int
     dispersion: float | None = None
     dual_role: bool = False
+    #: Whether p05, p50 and p95 are exact (type 7) or from a sketch.
+    exact: bool = False
 
 
 @dataclass(frozen=True)
@@ -249,3 +252,17 @@ def with_aggregation(p: Profile, measure: str, agg: str) -> Profile:
     if agg not in ("sum", "avg"):
         raise ValueError(f"agg is sum or avg, not {agg!r}")
     return replace(p, measures=[replace(m, agg=agg, reason="chosen by the user") if m.name == measure else m for m in p.measures])
+
+
+def with_exact_percentiles(p: Profile, df: DataFrame) -> Profile:
+    """The same profile with exact type-7 percentiles of its measures, in place of those of the sketch.
+
+    The measures are kept once as numbers; each is then narrowed over the kept columns alone.  Text that is no finite number takes
+    no part, as in the profile.
+    """
+    if not p.measures:
+        return p
+    kept = keep(df.select(*[numeric(F.col(f"`{m.name}`")).alias(f"m_{i}") for i, m in enumerate(p.measures)]))
+    found = [quantiles(kept, f"m_{i}", (0.05, 0.5, 0.95)) for i in range(len(p.measures))]
+    release(kept)
+    return replace(p, measures=[replace(m, p05=a, p50=b, p95=c, exact=True) for m, (a, b, c) in zip(p.measures, found, strict=True)])

@@ -118,6 +118,15 @@ def column_roles(spark, sf_dir):
     return spark.createDataFrame(rows, "tab string, name string, role string, members long, agg string")
 
 
+@query(" UNION ALL ".join(f"SELECT '{m}' AS measure, round(quantile_cont({c}, 0.05), 6) AS p05, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.95), 6) AS p95 FROM {t}" for t, m, c in (("lineitem", "price", "l_extendedprice"), ("lineitem", "quantity", "l_quantity"), ("orders", "total", "o_totalprice"))), on_sales=False)
+def profile_percentiles(spark, sf_dir):
+    """Exact percentiles of measures, as a profile holds them once they are asked for."""
+    lines = tables.read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("day"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
+    totals = tables.read(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("day"), F.col("o_totalprice").alias("total"))
+    measures = [m for df in (lines, totals) for m in profile.with_exact_percentiles(profile.profile(df, {c: "measure" for c in df.columns[1:]}), df).measures]
+    return spark.createDataFrame([(m.name, *(round(x, 6) for x in (m.p05, m.p50, m.p95))) for m in measures], "measure string, p05 double, p50 double, p95 double")
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS tab, round(count({c}) / CAST(count(*) AS DOUBLE) * 1000 + least(count(DISTINCT year({c}) * 12 + month({c})), 60) + least(date_diff('day', CAST(min({c}) AS DATE), CAST(max({c}) AS DATE)) / 365.0, 10), 6) AS score FROM {t}" for t, c in (("orders", "o_orderdate"), ("events", "ts"), ("lineitem", "l_shipdate"))), on_sales=False)
 def time_scores(spark, sf_dir):
     """How well three columns serve as time axis: coverage, months, span."""

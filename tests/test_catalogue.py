@@ -6,7 +6,7 @@ from plumbline.plans import evidence as catalogue
 from plumbline.plans import meeting
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["breakdown", "topk", "cross_cell", "contribution", "mix_rate_summary", "cells_week", "bh_qvalues", "date_shapes", "profile_counts", "discover_candidates", "discovery_subjects", "discovery_feed", "feed_cards", "data_conditions", "scan_findings", "deepdive_members", "drill_dimensions", "drill_inside", "correlations", "holt_forecast", "intents", "t_distribution", "column_roles", "delimited_text", "dropped_rows", "fingerprints"]
+QUICK = ["breakdown", "topk", "cross_cell", "contribution", "mix_rate_summary", "cells_week", "bh_qvalues", "date_shapes", "profile_counts", "discover_candidates", "discovery_subjects", "discovery_feed", "feed_cards", "data_conditions", "profile_percentiles", "scan_findings", "deepdive_members", "drill_dimensions", "drill_inside", "correlations", "holt_forecast", "intents", "t_distribution", "column_roles", "delimited_text", "dropped_rows", "fingerprints"]
 MEETING = ["text_dates", "period_notes", "subject_mentions", "document_numbers", "narration_numbers", "journal_chain", "journal_faults", "journal_tree", "streamed_cells", "sketch_errors", "cube_sets"]
 
 
