@@ -23,6 +23,9 @@ KEYS = ("grain", "period", "dim_a", "val_a", "dim_b", "val_b", "measure")
 PAIR_CELLS, TOTAL_CELLS, PAIR_PERIODS = 400, 2_500_000, 36
 BYTES_PER_CELL = 120
 PARTS = ("n", "sum", "sum_sq", "min", "max")
+#: Rows that a task is taken to aggregate before the shuffle, and the price of a shuffled cell in rows read: a root pays for
+#: its cells once a task, so sets are merged only while their cells stay few beside the rows of a task.
+TASK_ROWS, SHUFFLED = 400_000, 20
 
 
 def select_pairs(cardinality: dict[str, int], pair_cells: int = PAIR_CELLS, total_cells: int = TOTAL_CELLS) -> list[tuple[str, str]]:
@@ -56,6 +59,9 @@ class Sizes:
             self._bounds[dims] = min(known, bound) if known is not None else bound
         return self._bounds[dims]
 
+    def tasks(self) -> int:
+        return max(1, -(-self.rows // TASK_ROWS))
+
     def cells(self, grain: str, dims: frozenset) -> int:
         return min(self.rows, self.periods[grain] * self.combinations(dims))
 
@@ -69,14 +75,18 @@ class Root:
     serves: tuple[frozenset, ...]
     cells: int
 
-    def cost(self, rows: int) -> int:
-        """Rows read to compute it and what it serves; a root that serves but itself costs its own scan only."""
-        return rows + (0 if self.serves == (self.dims,) else self.cells * len(self.serves))
+    def shuffled(self, rows: int, tasks: int) -> int:
+        """Cells that further tasks than one send on after adding up their own rows."""
+        return min(rows, (tasks - 1) * self.cells)
+
+    def cost(self, rows: int, tasks: int = 1) -> int:
+        """Rows read to compute it and what it serves, and what its tasks shuffle; a root that serves but itself is added up no further."""
+        return rows + SHUFFLED * self.shuffled(rows, tasks) + (0 if self.serves == (self.dims,) else self.cells * len(self.serves))
 
 
-def plan_roots(sizes: Sizes, wanted: Iterable[tuple[str, frozenset]]) -> list[Root]:
+def plan_roots(sizes: Sizes, wanted: Iterable[tuple[str, frozenset]], tasks: int = 1) -> list[Root]:
     """Roots for the wanted (grain, dimensions), by smallest parents: every set starts as its own root, and the two roots whose
-    union saves most rows read are merged, until nothing is saved.  Ties go by name."""
+    union saves most over so many tasks (see Root.cost) are merged, until nothing is saved.  Ties go by name."""
     roots = [Root(g, d, (d,), sizes.cells(g, d)) for g, d in sorted(set(wanted), key=lambda w: (w[0], sorted(w[1])))]
     while True:
         best = None
@@ -84,7 +94,7 @@ def plan_roots(sizes: Sizes, wanted: Iterable[tuple[str, frozenset]]) -> list[Ro
             if a.grain != b.grain:
                 continue
             both = Root(a.grain, a.dims | b.dims, a.serves + b.serves, sizes.cells(a.grain, a.dims | b.dims))
-            saved = a.cost(sizes.rows) + b.cost(sizes.rows) - both.cost(sizes.rows)
+            saved = a.cost(sizes.rows, tasks) + b.cost(sizes.rows, tasks) - both.cost(sizes.rows, tasks)
             if saved > 0 and (best is None or saved > best[0]):
                 best = (saved, a, b, both)
         if best is None:
@@ -146,7 +156,7 @@ def build_cells(rows: DataFrame, time: str, dims: Sequence[str], measures: Seque
     dims, wanted = list(dims), wanted_sets(dims, pairs, pair_grains)
     if len(wanted) > 2 and sizes is None:
         sizes = measure_sizes(rows, time, dims, measures, pair_grains)
-    roots = plan_roots(sizes, wanted) if sizes else [Root("day", frozenset(dims), tuple(d for _, d in wanted), 0)]
+    roots = plan_roots(sizes, wanted, sizes.tasks()) if sizes else [Root("day", frozenset(dims), tuple(d for _, d in wanted), 0)]
     base = _typed(rows, time, dims, measures)
     made = _finest(pair_grains) if pairs else []
     for g in made:

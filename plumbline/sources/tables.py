@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.cells import build_cells, select_pairs
-from plumbline.sources.store import keep
+from plumbline.sources.store import keep, release
 
 SALES_DIMS = ("r_name", "n_name", "c_mktsegment", "o_orderpriority", "l_returnflag")
 SALES_MEASURES = {"price": "sum", "quantity": "sum", "discount": "avg"}
@@ -45,10 +45,11 @@ def sales_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        rows = sales(spark, sf_dir)
+        rows = keep(sales(spark, sf_dir))  # joined once: the members, the sizes of the plan and the cells are three passes
         members = rows.agg(*[F.approx_count_distinct(d, 0.01).alias(d) for d in SALES_DIMS]).first().asDict()
         cells = build_cells(rows, "day", SALES_DIMS, list(SALES_MEASURES), select_pairs(members))
         _stored[key] = keep(cells.repartition("grain", "dim_a"), by="grain")
+        release(rows)
     return _stored[key]
 
 

@@ -141,6 +141,19 @@ def test_roots_of_the_lattice():
     assert len(cells.plan_roots(cells.Sizes(100, {"day": 1000, "month": 36}, pairs), wanted)) >= 4  # nothing is smaller than the rows
 
 
+def test_roots_of_many_tasks_stay_small():
+    one = {"r": 5, "n": 25, "s": 5, "p": 5, "f": 3}
+    members = {frozenset(d): one[d] for d in one} | {frozenset((a, b)): one[a] * one[b] for a in one for b in one if a < b} | {frozenset("nr"): 25}
+    wanted = cells.wanted_sets(list(one), [(a, b) for a in one for b in one if a < b], ("month",))
+    share = []
+    for rows in (36 * 10**6, 216 * 10**6):
+        sizes = cells.Sizes(rows, {"day": 2500, "month": 84}, members)
+        roots = cells.plan_roots(sizes, wanted, sizes.tasks())
+        assert {(r.grain, d) for r in roots for d in r.serves} == set(wanted)
+        share.append(sum(r.shuffled(rows, sizes.tasks()) for r in roots) / rows)
+    assert max(share) < 0.5 and share[1] < 1.05 * share[0]  # cells shuffled for each row do not grow with the rows
+
+
 def test_cells_do_not_hang_on_the_plan(spark):
     rng = random.Random(1)
     rows = [(date(2024, 1 + rng.randrange(12), 1 + rng.randrange(28)), rng.choice(["x", "y", None]), rng.choice("pqr"), rng.choice(["m", None]), float(rng.randrange(50)) if rng.random() < 0.9 else None) for _ in range(400)]
