@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 8
+#: A side of at most so many rows (periods of a calendar, names of members) is sent to every task, so that the other side is
+#: not shuffled; a larger one is joined by its buckets.
+FEW = 100_000
 # Scores of a note, by how its dates meet a period.
 IN_PERIOD, PRIOR, NEAR = 100, 70, 25
 #: Tolerance of a number, and the width of its buckets in logarithms.
@@ -55,17 +58,31 @@ def dated_matches(periods: DataFrame, notes: DataFrame, salts: int = SALTS) -> D
     length (PRIOR), or within twice its length before or once after (NEAR); the best of a note's dates counts.
 
     periods: start, end and names; notes: id and dates array<struct<start, end>>.
+    A note without a whole date meets nothing; rows of one id are one note.  A note meets each period in one of the months that
+    both touch, with all its dates beside it, so pairs of notes and periods are not shuffled.
     """
     length = F.date_diff("end", "start") + 1
-    names = periods.columns
-    reach = periods.select(F.struct(*names).alias("period"), F.date_add("start", -length * 2).alias("start"), F.date_add("end", length).alias("end"))
-    spans = notes.select("id", F.explode("dates").alias("d")).select("id", "d.start", "d.end")
-    near = overlapping(spans, reach, salts)
-    meets = lambda a, b: (F.col("start") <= b) & (a <= F.col("end"))
-    p = F.col("r_period")
-    size = F.date_diff(p["end"], p["start"]) + 1
-    score = F.when(meets(p["start"], p["end"]), IN_PERIOD).when(meets(F.date_add(p["start"], -size), F.date_add(p["start"], -1)), PRIOR).otherwise(NEAR)
-    return near.groupBy("r_period", "id").agg(F.max(score).alias("score")).select("r_period.*", "id", "score")
+    reach = periods.select(F.struct(*periods.columns).alias("p"), F.date_add("start", -length * 2).alias("from"), F.date_add("end", length).alias("to"))
+    b = reach.where(F.col("from") <= F.col("to")).withColumn("__month", F.explode(_months(F.col("from"), F.col("to"))))
+    # explode() would work out the dates once more, to leave out empty ones before it
+    spans = notes.select("id", F.explode_outer("dates").alias("d")).where("d.start <= d.end")
+    held = spans.groupBy("id").agg(F.collect_set(F.struct("d.start", "d.end")).alias("dates"), F.min("d.start").alias("first"), F.max("d.end").alias("last"))
+    months = F.array_distinct(F.flatten(F.transform("dates", lambda d: _months(d["start"], d["end"]))))
+    a = held.withColumn("__month", F.explode(months))
+    if periods.count() <= FEW:
+        met = a.join(F.broadcast(b), "__month")
+    else:
+        met = _dealt(a, salts).join(_repeated(b, salts), ["__month", "__salt"])
+    met = met.where((F.col("first") <= F.col("to")) & (F.col("from") <= F.col("last")))
+    p, size = F.col("p"), F.date_diff("p.end", "p.start") + 1
+    whole = lambda x, y: (F.col("first") <= y) & (x <= F.col("last"))
+    some = lambda x, y: F.when(F.size("dates") == 1, whole(x, y)).otherwise(F.exists("dates", lambda d: (d["start"] <= y) & (x <= d["end"])))
+    month = lambda start: F.year(later := F.greatest(start, F.col("from"))) * 12 + F.month(later)
+    in_reach = F.filter("dates", lambda d: (d["start"] <= F.col("to")) & (F.col("from") <= d["end"]))
+    # the least of the months in which a date and the period's reach begin to meet
+    own = F.when(F.size("dates") == 1, month(F.col("first"))).otherwise(F.array_min(F.transform(in_reach, lambda d: month(d["start"]))))
+    score = F.when(some(p["start"], p["end"]), IN_PERIOD).when(some(F.date_add(p["start"], -size), F.date_add(p["start"], -1)), PRIOR).otherwise(NEAR)
+    return met.where(F.col("__month") == own).select("p.*", "id", score.alias("score"))
 
 
 def units(text: Column) -> Column:
@@ -91,8 +108,10 @@ def mentions(texts: DataFrame, names: DataFrame, salts: int = SALTS) -> DataFram
     words = F.filter(F.sequence(F.lit(1), last), lambda i: F.element_at("u", i).rlike("^[a-z0-9_]"))
     grams = lambda n: F.transform(F.filter(words, lambda i: i + (n - 1) <= last), lambda i: F.array_join(F.slice("u", i, n), ""))
     every = F.array_distinct(F.concat(*[grams(n) for n in sizes]))
-    found = _dealt(cut.where(last > 0).select("id", F.explode(every).alias("gram")), salts)
-    return found.join(_repeated(asked.select("gram", "name"), salts), ["gram", "__salt"]).select("id", "name")
+    found = cut.select("id", F.explode_outer(F.when(last > 0, every)).alias("gram"))
+    if asked.count() <= FEW:
+        return found.join(F.broadcast(asked.select("gram", "name")), "gram").select("id", "name")
+    return _dealt(found, salts).join(_repeated(asked.select("gram", "name"), salts), ["gram", "__salt"]).select("id", "name")
 
 
 def _bucket(x: Column) -> Column:

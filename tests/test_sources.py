@@ -2,7 +2,7 @@
 
 import csv
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +80,33 @@ def test_names_are_found_from_word_to_word(spark):
     assert joins.mentions(texts, names.limit(0)).collect() == []
 
 
+def test_matches_and_mentions_shuffle_no_pairs(spark, monkeypatch):
+    rng, day = random.Random(5), date(2024, 1, 1)
+    spans = [(day + timedelta(i := rng.randrange(400)), day + timedelta(i + rng.choice((0, 0, 6, 30, 95, -3)))) for _ in range(90)]
+    rows = [(i, [rng.choice(spans) for _ in range(rng.choice((0, 1, 1, 3)))]) for i in range(60)] + [(7, [spans[0]]), (8, None)]
+    periods = [(f"p{i}", *spans[i]) for i in range(20)]
+    notes = spark.createDataFrame(rows, "id int, dates array<struct<start: date, end: date>>")
+    asked = spark.createDataFrame(periods, "name string, start date, end date")
+    want = {}
+    for i, dates in rows:
+        for a, b in dates or []:
+            for name, s, e in periods:
+                n = (e - s).days + 1
+                if n <= 0 or a > b or a > e + timedelta(n) or b < s - timedelta(2 * n):
+                    continue
+                score = 100 if a <= e and s <= b else 70 if a <= s - timedelta(1) and s - timedelta(n) <= b else 25
+                want[name, i] = max(score, want.get((name, i), 0))
+    got = lambda: sorted((r["name"], r["id"], r["score"]) for r in joins.dated_matches(asked, notes).collect())
+    assert got() == sorted((*k, v) for k, v in want.items())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [r_period" not in plan(joins.dated_matches(asked, notes)) and "rightHint=(strategy=broadcast)" in plan(joins.dated_matches(asked, notes))
+    texts, names = spark.createDataFrame([(1, "from New York today")], "id int, text string"), spark.createDataFrame([("New York",)], "name string")
+    assert "strategy=broadcast" in plan(joins.mentions(texts, names))
+    monkeypatch.setattr(joins, "FEW", 0)
+    assert got() == sorted((*k, v) for k, v in want.items())
+    assert [tuple(r) for r in joins.mentions(texts, names).collect()] == [(1, "New York")]
+
+
 def test_numbers_without_evidence_equal_all_pairs(spark):
     rng = random.Random(9)
     number = lambda: rng.choice([0.0, 1.0, -1.0]) * 10 ** rng.uniform(-3, 6)
