@@ -21,48 +21,41 @@ YEARS = (1991, 2199)
 SPAN = "struct<start:date,end:date>"
 
 
-def _day(y: Column, m: Column, d: Column) -> Column:
-    """The day, null if there is none such or its year is out of range."""
-    real = F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
-    return F.when(y.between(*YEARS), real)
-
-
 def _digits(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 1).try_cast("int")
 
 
-def _span(first: Column, last: Column) -> Column:
-    return F.when(first.isNotNull() & last.isNotNull(), F.struct(first.alias("start"), last.alias("end")))
+def _fields(year: Column, month: Column, day: Column, months: Column) -> Column:
+    """The first day of a span by its numbers, and how many months it lasts; none: that day alone."""
+    return F.struct(year.alias("y"), month.alias("m"), day.alias("d"), months.alias("months"))
 
 
 def _of_day(raw: Column) -> Column:
     """2024-3-5, 2024/03/05 and 2024.03.05 year first; 5/3/2024 day first, unless its second field can only be a day."""
-    iso = raw.rlike(r"^\d{4}")
-    a, b = _digits(raw, r"^(\d{1,2})[-/]"), _digits(raw, r"^\d{1,2}[-/](\d{1,2})")
-    flip = (a <= 12) & (b > 12)
-    by_day = _day(_digits(raw, r"(\d{4})$"), F.when(flip, a).otherwise(b), F.when(flip, b).otherwise(a))
-    day = F.when(iso, _day(_digits(raw, r"^(\d{4})"), _digits(raw, r"^\d{4}[-/.](\d{1,2})"), _digits(raw, r"(\d{1,2})$"))).otherwise(by_day)
-    return _span(day, day)
+    return F.transform(F.transform(raw, lambda r: F.split(r, "[-/.]").cast("array<int>")), _of_three)
+
+
+def _of_three(p: Column) -> Column:
+    a, b, c = p[0], p[1], p[2]
+    iso, flip = a > 99, (a <= 12) & (b > 12)
+    return _fields(F.when(iso, a).otherwise(c), F.when(iso | ~flip, b).otherwise(a), F.when(iso, c).when(flip, b).otherwise(a), F.lit(0))
 
 
 def _of_month(raw: Column) -> Column:
-    first = _day(_digits(raw, r"^(\d{4})"), _digits(raw, r"(\d{1,2})$"), F.lit(1))
-    return _span(first, F.last_day(first))
+    return F.transform(raw, lambda r: _fields(_digits(r, r"^(\d{4})"), _digits(r, r"(\d{1,2})$"), F.lit(1), F.lit(1)))
 
 
 def _of_name(raw: Column) -> Column:
     """14 September 2025 and Sept. 14th, 2025 are days; September 2025 is a month."""
-    word = F.lower(F.regexp_extract(raw, r"([A-Za-z]+)", 1))
-    month = F.element_at(F.create_map(*[F.lit(x) for w, m in MONTH_WORDS.items() for x in (w, m)]), word)
-    before, after = _digits(raw, r"^(\d{1,2})\s"), _digits(raw, r"[A-Za-z.]\s+(\d{1,2})(?:st|nd|rd|th|ST|ND|RD|TH)?,?\s")
-    day = F.coalesce(before, after)
-    first = _day(_digits(raw, r"(\d{4})$"), month, F.coalesce(day, F.lit(1)))
-    return _span(first, F.when(day.isNull(), F.last_day(first)).otherwise(first))
+    names = F.create_map(*[F.lit(x) for w, m in MONTH_WORDS.items() for x in (w, m)])
+    before, after = r"^(\d{1,2})\s", r"[A-Za-z.]\s+(\d{1,2})(?:st|nd|rd|th|ST|ND|RD|TH)?,?\s"
+    month = lambda r: F.element_at(names, F.lower(F.regexp_extract(r, r"([A-Za-z]+)", 1)))
+    read = F.transform(raw, lambda r: _fields(_digits(r, r"(\d{4})$"), month(r), F.coalesce(_digits(r, before), _digits(r, after)), F.lit(0)))
+    return F.transform(read, lambda f: _fields(f["y"], f["m"], F.coalesce(f["d"], F.lit(1)), F.when(f["d"].isNull(), 1).otherwise(0)))
 
 
 def _of_quarter(raw: Column) -> Column:
-    first = _day(_digits(raw, r"(\d{4})"), _digits(raw, r"(?i)q([1-4])") * 3 - 2, F.lit(1))
-    return _span(first, F.last_day(F.add_months(first, 2)))
+    return F.transform(raw, lambda r: _fields(_digits(r, r"(\d{4})"), _digits(r, r"(?i)q([1-4])") * 3 - 2, F.lit(1), F.lit(3)))
 
 
 SHAPES = ((DAY_SHAPE, _of_day), (MONTH_SHAPE, _of_month), (NAMED_SHAPE, _of_name), (QUARTER_SHAPE, _of_quarter))
@@ -71,10 +64,17 @@ SHAPES = ((DAY_SHAPE, _of_day), (MONTH_SHAPE, _of_month), (NAMED_SHAPE, _of_name
 def date_spans(text: Column) -> Column:
     """array<struct<start, end>> of the days, months and quarters a text names: each once, by start.  A null text has none.
 
-    A month inside a full date is not read again: its shape does not match there.  31 February is no date.
+    A month inside a full date is not read again: its shape does not match there.  31 February is no date.  Each step is
+    an array of its own, so no pattern and no date is worked out twice.
     """
-    found = [F.transform(F.regexp_extract_all(text, F.lit(shape), F.lit(0)), read) for shape, read in SHAPES]
-    return F.coalesce(F.array_sort(F.array_distinct(F.filter(F.concat(*found), lambda s: s.isNotNull()))), F.array().cast(f"array<{SPAN}>"))
+    fields = F.concat(*[read(F.regexp_extract_all(text, F.lit(shape), F.lit(0))) for shape, read in SHAPES])
+    # numbers that make a month, then a day of it
+    month = F.filter(fields, lambda f: f["y"].between(*YEARS) & f["m"].between(1, 12))
+    real = F.filter(month, lambda f: f["d"].between(1, F.dayofmonth(F.last_day(F.make_date(f["y"], f["m"], F.lit(1))))))
+    first = F.transform(real, lambda f: F.struct(F.make_date(f["y"], f["m"], f["d"]).alias("start"), f["months"].alias("months")))
+    last = lambda f: F.when(f["months"] == 0, f["start"]).otherwise(F.last_day(F.add_months(f["start"], F.greatest(f["months"] - 1, F.lit(0)))))
+    spans = F.transform(first, lambda f: F.struct(f["start"].alias("start"), last(f).alias("end")))
+    return F.coalesce(F.sort_array(F.array_distinct(spans)), F.array().cast(f"array<{SPAN}>"))
 
 
 def numbers(text: Column) -> Column:

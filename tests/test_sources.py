@@ -204,3 +204,12 @@ def test_sketches_merge_up_the_grains(spark):
     for r in year:
         users = 700 if r.dim is None else 700
         assert abs(r.members - users) <= sketches.DISTINCT_ERROR * users and abs(r.quantiles[1] - 2500) < 5000 * 2 * sketches.RANK_ERROR
+
+
+def test_dates_of_notes_are_read_once(spark):
+    from plumbline.plans import meeting
+
+    plan = meeting.text_dates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 4  # one for each shape: not once more for leaving out notes without a date
+    odd = spark.createDataFrame([("on 31/12/2024, 13/12/2024 and 12/13/2024", 2), ("2024-02-30 and 0/5/2024 or 2024.13.01", 0), ("Feb 29th, 2023; Sept. 3rd, 2024; May 2024", 2), ("Q4 2200, 2025 Q1, 1990-05", 1), (None, 0)], "text string, n int")
+    assert all(r["n"] == len(r["d"]) for r in odd.select("n", date_spans(F.col("text")).alias("d")).collect())
