@@ -19,7 +19,7 @@ forest of the links it finds, never all pairs, and the forests are joined by con
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -219,51 +219,71 @@ def deduplicate(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame
     return _first_rows(rows, near_duplicates(rows, "__row", "text", words, distance))
 
 
-#: Wide fingerprints: PRINTS words of 64 bits, read as bands of 16 bits.  Two texts at five-word Jaccard 0.8 differ in
-#: about 15 % of the bits, so they agree on a given band with chance 0.07 and on at least one of the 64 with 0.99.
-PRINTS = 16
-BANDS = PRINTS * 4
+#: Wide fingerprints: PRINTS words of 64 bits or more, mapped to the bit counts of their segments.  Two texts at five-word
+#: Jaccard 0.8 differ in about 15 % of the bits, so a segment keeps its count with chance 0.734; random ones with SEGMENT_AGREE.
+PRINTS, MOST_PRINTS, NEAR_AGREE, MISS = 16, 64, 0.734, 0.007
+#: Random rows that a row may meet over all cells; from here on cells are made of more segments, and of more words.
+MEET = 1 << 16
 #: Most differing bits of the first two words (128 bits) of a candidate; 19 are expected at Jaccard 0.8, deviation 4.
 CHECK_BITS = 36
 BLOCK_ROWS = 4096
 GROUP_ROWS = 2048
-_MIX = np.random.default_rng(64).integers(0, 1 << 64, PRINTS, dtype=np.uint64)[:, None]
-
-
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """PRINTS fingerprints of the shingles, each from the hashes mixed anew; no hash: zeros."""
-    counts = np.zeros((PRINTS, 64), np.int64)
+_MIX = np.random.default_rng(64).integers(0, 1 << 64, MOST_PRINTS, dtype=np.uint64)[:, None]
+
+
+def cell_plan(rows: int) -> tuple[int, int]:
+    """(segments of a cell, words of a fingerprint): the least cells over which a row meets MEET random rows at most, and the
+    words that make enough of them for a pair at Jaccard 0.8 to share none with chance MISS only."""
+    for width in range(8, 14):
+        cells = ceil(log(MISS) / log(1 - NEAR_AGREE**width))
+        prints = max(PRINTS, ceil(cells * width / SEGMENTS))
+        if prints > MOST_PRINTS:
+            break
+        found = width, prints
+        if rows * (prints * SEGMENTS // width) * SEGMENT_AGREE**width <= MEET:
+            break
+    return found
+
+
+def wide_fingerprint(hashes: np.ndarray, prints: int = PRINTS) -> np.ndarray:
+    """`prints` fingerprints of the shingles, each from the hashes mixed anew; no hash: zeros."""
+    counts = np.zeros((prints, 64), np.int64)
     for at in range(0, len(hashes), 2048):
-        x = hashes[None, at : at + 2048] ^ _MIX
+        x = hashes[None, at : at + 2048] ^ _MIX[:prints]
         x = x * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(32)
-        bits = np.unpackbits(x.view(np.uint8).reshape(PRINTS, -1, 8), axis=2, bitorder="little")
+        bits = np.unpackbits(x.view(np.uint8).reshape(prints, -1, 8), axis=2, bitorder="little")
         counts += bits.sum(1, dtype=np.uint16)
     return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def wide_fingerprints(rows: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
-    """__row, copy (digest of the lower-cased words, the same for copies only) and prints (the wide fingerprint)."""
+def wide_fingerprints(rows: DataFrame, words: int = 5, seed: int = 42, size: int = PRINTS) -> DataFrame:
+    """__row, copy (digest of the lower-cased words, the same for copies only) and prints (the wide fingerprint of `size` words)."""
 
     def run(batches):
         for b in batches:
             raw = texts(b)
             copies = [xxhash.xxh3_128_digest(b" ".join(t.lower().split()), seed) for t in raw]
-            prints = [wide_fingerprint(shingle_hashes(t, words, seed)).tobytes() for t in raw]
+            prints = [wide_fingerprint(shingle_hashes(t, words, seed), size).tobytes() for t in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copies, pa.binary()), pa.array(prints, pa.binary())], names=["__row", "copy", "prints"])
 
     return rows.select("__row", "text").mapInArrow(run, "__row long, copy binary, prints binary")
 
 
 def near_in_block(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (positions) of the pairs with at most CHECK_BITS differing bits of the words a and b."""
+    """A spanning forest (positions) of the pairs with at most CHECK_BITS differing bits of the words a and b.
+
+    The Manhattan distance of the segment counts comes first, and bits are compared where it lets a pair through.
+    """
     n, step = len(a), max(1, (1 << 20) // max(1, len(a)))
     degree = np.zeros(n, np.int64)
+    ca, cb = segment_counts(a), segment_counts(b)
     for i in range(0, n, step):
-        bits = np.bitwise_count(a[i : i + step, None] ^ a) + np.bitwise_count(b[i : i + step, None] ^ b)
-        degree[i : i + step] = (bits <= CHECK_BITS).sum(1) - 1
+        x, y = np.nonzero(np.bitwise_count(ca[i : i + step, None] ^ ca) + np.bitwise_count(cb[i : i + step, None] ^ cb) <= CHECK_BITS)
+        near = np.bitwise_count(a[i + x] ^ a[y]) + np.bitwise_count(b[i + x] ^ b[y]) <= CHECK_BITS
+        degree[i : i + step] = np.bincount(x[near], minlength=min(step, n - i)) - 1
     left = np.flatnonzero(degree)
     us, vs = [], []
     while len(left):
@@ -303,17 +323,27 @@ def _groups(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def candidate_forest(distinct: DataFrame) -> DataFrame:
-    """(node, prints) -> (u, v) links, whose components are those of all pairs that share a band and pass CHECK_BITS."""
+def count_cells(prints: np.ndarray, width: int) -> np.ndarray:
+    """Cells of fingerprints (rows of words): each is the counts of `width` segments, with the number of the cell before them."""
+    counts = segment_counts(prints)
+    cells = counts.shape[1] * SEGMENTS // width
+    bits = np.unpackbits(counts.view(np.uint8), axis=1, bitorder="little")[:, : cells * 2 * width].reshape(-1, cells, 2 * width)
+    return bits @ (1 << np.arange(2 * width, dtype=np.int64)) + (np.arange(cells, dtype=np.int64) << (2 * width))
+
+
+def candidate_forest(distinct: DataFrame, width: int = 8) -> DataFrame:
+    """(node, prints) -> (u, v) links, whose components are those of all pairs that share a cell of segment counts and pass
+    CHECK_BITS, by Manhattan distance of their counts and then by their bits."""
 
     def place(batches):
-        base = (np.arange(BANDS, dtype=np.int64) << 16)[None]
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 b = big.slice(at, 1024)
-                x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, PRINTS)
-                key = base + np.ascontiguousarray(x).view("<u2").astype(np.int64)
-                wide = lambda v: pa.array(np.repeat(v, BANDS).astype(np.int64))
+                if not b.num_rows:
+                    continue
+                x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(b.num_rows, -1)
+                key = count_cells(x, width)
+                wide = lambda v: pa.array(np.repeat(v, key.shape[1]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.ravel()), wide(b.column(0).to_numpy()), wide(x[:, 0].view(np.int64)), wide(x[:, 1].view(np.int64))], names=["cell", "node", "a", "b"]
                 )
@@ -340,12 +370,14 @@ def candidate_forest(distinct: DataFrame) -> DataFrame:
         starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows)]))
         size = ends - starts
         node, a, b = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (3, 4, 5))
+        ca, cb = segment_counts(a), segment_counts(b)
         stop = np.where(np.repeat(size <= 16, size), np.repeat(ends, size), 0)
         us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for s in range(1, 16):
             i = np.flatnonzero(np.arange(len(rows)) + s < stop)
             if not len(i):
                 break
+            i = i[np.bitwise_count(ca[i] ^ ca[i + s]) + np.bitwise_count(cb[i] ^ cb[i + s]) <= CHECK_BITS]
             i = i[np.bitwise_count(a[i] ^ a[i + s]) + np.bitwise_count(b[i] ^ b[i + s]) <= CHECK_BITS]
             us.append(rows[i, 3])
             vs.append(rows[i + s, 3])
@@ -401,12 +433,13 @@ def jaccard_forest(sets: list[np.ndarray], least: float) -> tuple[list[int], lis
 def verified_copies(rows: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
     """__row, component_id for each row (__row, text): groups linked by pairs at Jaccard `least` or more of their shingles.
 
-    Candidates come from wide fingerprints; each candidate component is then linked by exact Jaccard of its texts' shingle
+    Candidates come from cells of segment counts of wide fingerprints; each candidate component is then linked by exact Jaccard of its texts' shingle
     sets, so a fingerprint alone never makes a link.  Null or wordless texts are copies of each other.
     """
-    prints = cut(wide_fingerprints(rows, words, seed))
+    width, size = cell_plan(rows.count())
+    prints = cut(wide_fingerprints(rows, words, seed, size))
     distinct = cut(prints.groupBy("copy").agg(F.min_by(F.struct("__row", "prints"), "__row").alias("least")).select("copy", F.col("least.__row").alias("node"), F.col("least.prints").alias("prints")))
-    groups = connected_components(candidate_forest(distinct))
+    groups = connected_components(candidate_forest(distinct, width))
     members = cut(rows.select(F.col("__row").alias("node"), "text").join(groups, "node").select("component", "node", "text"))
     forget(groups)
 

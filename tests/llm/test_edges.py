@@ -314,3 +314,24 @@ def test_packed_answers_and_texts_come_back_whole(spark):
     docs = spark.createDataFrame(texts, "block long, doc_id long, held boolean, text string").coalesce(1)
     back = [(r["block"], *(x[c] for c in ("doc_id", "held", "text"))) for r in ppm.pack_texts(docs).collect() for b in ppm.unpack_texts(pa.table({"rows": [bytes(r["rows"])]})) for x in b.to_pylist()]
     assert back == texts and ppm.pack_texts(docs.where("false")).count() == 0
+
+
+def test_cells_of_counts_find_near_copies_at_any_size(spark):
+    rng = np.random.default_rng(9)
+    # 300 pairs that share eight of nine hashes: Jaccard 0.8, each with 270 shingles
+    sets = []
+    for _ in range(300):
+        own = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+        sets += [own[:270], own[30:]]
+    for rows in (10_000, 10**7):
+        width, size = simhash.cell_plan(rows)
+        prints = np.array([simhash.wide_fingerprint(x, size) for x in sets])
+        keys = simhash.count_cells(prints, width)
+        assert (keys[::2] == keys[1::2]).any(1).mean() > 0.97
+        # a cell is the counts of its segments: swapping the two bits of a segment moves none
+        low = np.uint64(0x5555555555555555)
+        assert (simhash.count_cells(((prints & low) << np.uint64(1)) | ((prints >> np.uint64(1)) & low), width) == keys).all()
+        assert rows * keys.shape[1] * simhash.SEGMENT_AGREE**width <= simhash.MEET
+    df = spark.createDataFrame([(i, simhash.wide_fingerprint(x).tobytes()) for i, x in enumerate(sets)], "node long, prints binary")
+    linked = {(r["component"], r["node"]) for r in simhash.connected_components(simhash.candidate_forest(df)).collect()}
+    assert sum((2 * i, 2 * i + 1) in linked for i in range(300)) > 285
