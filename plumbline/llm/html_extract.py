@@ -1,21 +1,25 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page becomes blocks of text.  What lies in page furniture (menus, headers, footers, forms, adverts, comments and so on,
-by element or by class, id or role) is left out at once.  Blocks inside an article or main element are the text of a page
-that has one.  For a page without such an element, each block is a line that may be template: pages are ordered by URL
-path within each host, the page is aligned with its nearest pages of other content (up to NEAREST on each side, copies
-and near copies passed over) by longest common subsequence of lines, and lines shared with at least half of them are
-deleted.
-
-Lines inside an article are not deleted by differencing: sentences that recur in the articles of neighbouring pages are
-text of the article (see the README for figures).
+A page becomes lines, each of them in furniture (menus, headers, footers, forms, adverts, comments and so on, by element or by
+class, id or role), outside of it, or in an article or main element.  Every page is differenced first: pages are ordered by
+URL path within each host, the page is aligned with its nearest pages of other content (up to NEAREST on each side, copies
+and near copies passed over) by longest common subsequence of all lines.  Template is what at least half of them share; at
+the head and tail of an article only what all of them share and what every page around holds too, SURE at least: sentences
+that recur in the articles of some neighbours are text of the article (see the README for figures).
+
+Structure settles what differencing leaves: of a page with an article or main element its lines are the text, of other
+pages the lines outside furniture.
+
+Differencing works on hashes of lines; pages whose text it changes are few beside all pages, or else met by a join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter, deque
+from math import isqrt
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -39,6 +43,12 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Where a line of a page lies; of a page with a line in an article these are its text, else those outside furniture.
+FURNISHED, OUTSIDE, ARTICLE = 0, 1, 2
+#: Pages of other content within REACH that must all hold the first or last lines of an article before these are template.
+SURE = 8
+#: Changed pages that are sent to every task; more of them are joined by a shuffle.
+FEW = 100_000
 #: Pages of other content on each side that a page is aligned with, the rows looked through for them, and the share of
 #: characters from which a page counts as a near copy.
 NEAREST, REACH, NEAR_COPY = 2, 8, 0.8
@@ -122,24 +132,24 @@ def _tags(page: str):
     yield "".join(parts), False, "", "", False
 
 
-def blocks(page: str) -> tuple[bool, list[str]]:
-    """(has a main element, its blocks) or else (False, all blocks outside furniture).  Time grows with the page's length."""
+def page_lines(page: str) -> list[tuple[str, int]]:
+    """(text, where it lies) of every line of a page, in its order.  Time grows with the page's length."""
     stack: list[tuple[str, bool, bool]] = []  # (element, inside furniture, inside main)
     places: dict[str, list[int]] = {}  # where each element is open
     mains: list[int] = []
-    main: list[str] = []
-    other: list[str] = []
+    found: list[tuple[str, int]] = []
     held: list[str] = []
-    seen_main = False
+    aside: list[str] = []  # of furniture
 
     def inside() -> tuple[bool, bool]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
     def close_block() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
-        if text:
-            (main if inside()[1] else other).append(text)
+        for parts, where in ((held, ARTICLE if inside()[1] else OUTSIDE), (aside, FURNISHED)):
+            text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+            parts.clear()
+            if text:
+                found.append((text, where))
 
     def push(name: str, hidden: bool, is_main: bool) -> None:
         places.setdefault(name, []).append(len(stack))
@@ -154,8 +164,8 @@ def blocks(page: str) -> tuple[bool, list[str]]:
             mains.pop()
 
     for before, ends, name, attributes, own in _tags(page):
-        if before and not inside()[0]:
-            held.append(before)
+        if before:
+            (aside if inside()[0] else held).append(before)
         if not name:
             continue
         if ends:
@@ -188,59 +198,124 @@ def blocks(page: str) -> tuple[bool, list[str]]:
                 while stack and stack[-1][1]:
                     pop()
                 hidden = False
-            is_main, seen_main = True, True
+            is_main = True
         hidden = hidden or furniture and name not in ("html", "body", "article", "main") or name in FURNITURE or (name == "header" and not is_main)
         if not own:
             push(name, hidden, is_main)
     close_block()
-    return (True, main) if seen_main and main else (False, other)
+    return found
 
 
-def shared_lines(a: list[str], b: list[str]) -> np.ndarray:
-    """Which lines of a lie on a longest common subsequence with b (bit-parallel rows, then a walk back)."""
-    where: dict[str, int] = {}
+def chosen(where: list[int]) -> int:
+    """Which lines of a page structure takes for its text."""
+    return ARTICLE if ARTICLE in where else OUTSIDE
+
+
+def blocks(page: str) -> tuple[bool, list[str]]:
+    """(has a main element, its blocks) or else (False, all blocks outside furniture)."""
+    found = page_lines(page)
+    own = chosen([where for _, where in found])
+    return own == ARTICLE, [text for text, where in found if where == own]
+
+
+def shared_lines(a: list, b: list) -> np.ndarray:
+    """Which lines of a lie on a longest common subsequence with b (bit-parallel rows, then a walk back).
+
+    Of the rows every so many are held, and those between are worked out again on the way back, so that memory grows with
+    the length of b and the root of that of a.
+    """
+    where: dict = {}
     for j, line in enumerate(b):
         where[line] = where.get(line, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    rows, s = [full], full
-    for line in a:
-        u = s & where.get(line, 0)
-        s = ((s + u) | (s - u)) & full
-        rows.append(s)
+    full, step = (1 << len(b)) - 1, isqrt(len(a)) + 1
+
+    def below(s: int, first: int, end: int):
+        """The rows after s, which is that before line `first` of a."""
+        for line in a[first:end]:
+            u = s & where.get(line, 0)
+            s = ((s + u) | (s - u)) & full
+            yield s
+
+    marks = [full]
+    for at in range(0, len(a), step):
+        s = marks[-1]
+        for s in below(s, at, at + step):  # noqa: B007
+            pass
+        marks.append(s)
     common = np.zeros(len(a), bool)
+    rows: list[int] = []
+    begin = len(a) + 1  # rows[k] is that after begin + k lines of a
 
     def length(i: int, j: int) -> int:
-        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+        nonlocal begin, rows
+        if i < begin:
+            begin = i // step * step
+            rows = [marks[i // step], *below(marks[i // step], begin, begin + step)]
+        return j - (rows[i - begin] & ((1 << j) - 1)).bit_count()
 
     i, j = len(a), len(b)
     while i and j:
         if a[i - 1] == b[j - 1]:
             common[i - 1] = True
             i, j = i - 1, j - 1
-        elif length(i - 1, j) >= length(i, j - 1):
+            continue
+        # the row of i - 1 may lie before the held ones, that of i then still does
+        upper = length(i, j - 1)
+        if length(i - 1, j) >= upper:
             i -= 1
         else:
             j -= 1
     return common
 
 
-def near_copy(a: list[str], b: list[str]) -> bool:
+Line = tuple  # (what it says or the hash of it, its characters, where it lies)
+
+
+def near_copy(a: list[Line], b: list[Line]) -> bool:
     """Whether NEAR_COPY of the characters of both pages are in lines that they share."""
-    shared = sum(len(x) * n for x, n in (Counter(a) & Counter(b)).items())
-    return shared >= NEAR_COPY * max(sum(map(len, a)), sum(map(len, b)))
+    shared = sum(x[1] * n for x, n in (Counter(a) & Counter(b)).items())
+    return shared >= NEAR_COPY * max(sum(x[1] for x in a), sum(x[1] for x in b))
 
 
-def difference(lines: list[str], before: list[list[str]], after: list[list[str]]) -> list[str]:
-    """Lines not shared with at least half of the nearest other pages; before and after are given nearest first.
+def text_of(page: list[Line]) -> list[Line]:
+    """The lines of a page that structure takes for its text."""
+    own = chosen([x[2] for x in page])
+    return [x for x in page if x[2] == own]
 
-    Copies and near copies are passed over, since they share the text itself.
+
+def template(page: list[Line], before: list[list[Line]], after: list[list[Line]]) -> list[bool]:
+    """Which lines of a page are template; before and after are the nearest pages, nearest first.
+
+    Lines of all kinds are aligned.  Copies and near copies are passed over, since they share the text itself.
     """
-    near = [[other for other in side if not near_copy(lines, other)][:NEAREST] for side in (before, after)]
-    found = near[0] + near[1]
-    if not found:
-        return lines
-    support = np.sum([shared_lines(lines, other) for other in found], axis=0)
-    return [x for x, n in zip(lines, support, strict=True) if n < max(1, len(found) // 2)]
+    own = text_of(page)
+    near = [[other for other in side if not near_copy(own, text_of(other))] for side in (before, after)]
+    votes, found = np.zeros(len(page), int), near[0][:NEAREST] + near[1][:NEAREST]
+    said = [x[0] for x in page]
+    for other in found:
+        theirs = [x[0] for x in other]
+        both = set(said) & set(theirs)
+        at = [i for i, x in enumerate(said) if x in both]
+        votes[at] += shared_lines([said[i] for i in at], [x for x in theirs if x in both])
+    gone = [bool(found) and n >= max(1, len(found) // 2) for n in votes]
+    article = [i for i, x in enumerate(page) if x[2] == ARTICLE]
+    for i in article:
+        gone[i] = False
+    if len(near[0]) + len(near[1]) >= SURE:
+        held = set(said).intersection(*[{x[0] for x in other} for side in near for other in side])
+        for run in (article, article[::-1]):
+            for i in run:
+                if votes[i] < len(found) or said[i] not in held:
+                    break
+                gone[i] = True
+    return gone
+
+
+def difference(lines: list[str], before: list[list[str]], after: list[list[str]]) -> list[str]:
+    """Lines not shared with at least half of the nearest other pages; before and after are given nearest first."""
+    typed = lambda page: [(x, len(x), OUTSIDE) for x in page]
+    gone = template(typed(lines), [typed(x) for x in before], [typed(x) for x in after])
+    return [x for x, out in zip(lines, gone, strict=True) if not out]
 
 
 def _address(url: str | None) -> tuple[str, str]:
@@ -253,29 +328,36 @@ def _address(url: str | None) -> tuple[str, str]:
     return host, re.sub(r"\d+", lambda m: m[0].zfill(20), u.path)
 
 
+def _digest(said: str, size: int) -> bytes:
+    return hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=size).digest()
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row.
 
     Null or empty html: empty text.  A null or odd URL belongs to the empty host.  Repeated ids and URLs stay repeated rows;
-    equal pages next to each other count as one.  Ties of URLs go by place in the table.  Empty table: no rows.  Columns other than page_id, url and html take no part.
+    equal pages next to each other count as one.  Ties of URLs go by a hash of their lines.  Empty table: no rows.  Columns other than page_id, url and html take no part.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def parse(batches):
-        part, n = TaskContext.get().partitionId() << 36, 0
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
-                found = [blocks(h or "") for h in b.column(2).to_pylist()]
+                found = [page_lines(h or "") for h in b.column(2).to_pylist()]
                 places = [_address(u) for u in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(part + n, part + n + len(found))), b.column(0), b.column(1), pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.string()), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.list_(pa.string()))],
-                    names=["row", "page_id", "url", "host", "path", "main", "lines"],
-                )
-                n += len(found)
-
-    parsed = cut(pages.select("page_id", "url", "html").mapInArrow(parse, f"row long, page_id {kind}, url string, host string, path string, main boolean, lines array<string>"))
-    done = parsed.where("main").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
+                said = [np.frombuffer(b"".join(_digest(text, 8) for text, _ in page), np.int64) for page in found]
+                where = [bytes(w for _, w in page) for page in found]
+                # pages of one address with the same lines in the same places are one page
+                key = [hashlib.blake2b(b"\0".join([_digest(host, 16), _digest(path, 16), w, x.tobytes()]), digest_size=16).digest() for (host, path), w, x in zip(places, where, said, strict=True)]
+                own = [chosen(list(w)) for w in where]
+                texts = [[text for text, w in page if w == o] for page, o in zip(found, own, strict=True)]
+                columns = [pa.array(key, pa.binary()), *[pa.array([p[i] for p in places], pa.string()) for i in (0, 1)], pa.array(said, pa.list_(pa.int64())), pa.array([[len(text) for text, _ in page] for page in found], pa.list_(pa.int32())), pa.array(where, pa.binary()), pa.array(texts, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["page_id", "url", "key", "host", "path", "said", "sizes", "places", "lines"])
+
+    digest = ["key", "host", "path", "said", "sizes", "places"]
+    kinds = "key binary, host string, path string, said array<long>, sizes array<int>, places binary"
+    parsed = cut(pages.select("page_id", "url", "html").mapInArrow(parse, f"page_id {kind}, url string, {kinds}, lines array<string>"))
 
     def number(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -283,10 +365,10 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part)), pa.array(np.arange(n, n + b.num_rows)), *b.columns], names=["part", "pos", *b.schema.names])
             n += b.num_rows
 
-    # pages without a main element, in URL order; partitions are ranges, so a large host spreads over many
-    order = ["host", "path", "row"]
-    rest = parsed.where("NOT main").select("host", "path", "row", "page_id", "url", "lines")
-    ranged = cut(rest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, f"part long, pos long, host string, path string, row long, page_id {kind}, url string, lines array<string>"))
+    # hashes of every page in URL order; partitions are ranges, so a large host spreads over many
+    order = ["host", "path", "key"]
+    once = parsed.select(*digest).dropDuplicates(["key"])
+    ranged = cut(once.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, f"part long, pos long, {kinds}"))
     # the rows before a partition's first and after its last come from the partitions next to it
     ends = ranged.groupBy("part").agg(F.max("pos").alias("last"))
     steps = sorted((r["part"], r["last"] + 1) for r in ends.collect())  # one row a partition
@@ -311,28 +393,30 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def compare(batches):
         """Rows in URL order; a run of rows with equal lines is one page, and is settled once REACH others follow it."""
-        runs: deque[tuple[tuple, list[str], list[tuple]]] = deque()  # ((part, host), lines, rows of this partition)
+        runs: deque[tuple[tuple, list[Line], list[bytes]]] = deque()  # ((part, host), lines, rows of this partition)
         begun = 0  # runs before this one are settled
 
         def settle(i: int) -> list[tuple]:
-            place, lines, rows = runs[i]
+            place, page, rows = runs[i]
             if not rows:
                 return []
             before = [r[1] for r in reversed(list(runs)[max(0, i - REACH) : i]) if r[0] == place]
             after = [r[1] for r in list(runs)[i + 1 : i + 1 + REACH] if r[0] == place]
-            text = "\n".join(difference(lines, before, after))
-            return [(*r, text) for r in rows]
+            own = chosen([x[2] for x in page])
+            gone = [out for out, x in zip(template(page, before, after), page, strict=True) if x[2] == own]
+            return [(key, gone) for key in rows] if any(gone) else []
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 3
+            cols = list(zip(*rows, strict=True)) or [()] * 2
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, result, strict=True)], schema=result)
 
         for b in batches:
             out: list[tuple] = []
-            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "host", "lines", "page_id", "url", "own")]
-            for part, host, lines, page_id, url, own in zip(*cols, strict=True):
-                if not (runs and runs[-1][0] == (part, host) and runs[-1][1] == lines):
-                    runs.append(((part, host), lines, []))
+            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "host", "said", "sizes", "places", "key", "own")]
+            for part, host, said, sizes, places, key, own in zip(*cols, strict=True):
+                page = list(zip(said, sizes, places, strict=True))
+                if not (runs and runs[-1][0] == (part, host) and runs[-1][1] == page):
+                    runs.append(((part, host), page, []))
                     while begun < len(runs) - 1 - REACH:
                         out += settle(begun)
                         begun += 1
@@ -340,10 +424,12 @@ def extract(pages: DataFrame) -> DataFrame:
                         runs.popleft()
                         begun -= 1
                 if own:
-                    runs[-1][2].append((page_id, url))
+                    runs[-1][2].append(key)
             yield batch(out)
         yield batch([row for i in range(begun, len(runs)) for row in settle(i)])
 
-    result = pa.schema([("page_id", pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    compared = full.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(compare, f"page_id {kind}, url string, text string")
-    return done.unionByName(compared).withColumn("n_chars", F.length("text").cast("long"))
+    result = pa.schema([("key", pa.binary()), ("gone", pa.list_(pa.bool_()))])
+    changed = cut(full.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(compare, "key binary, gone array<boolean>"))
+    met = parsed.select("page_id", "url", "key", "lines").join(F.broadcast(changed) if changed.count() <= FEW else changed, "key", "left")
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.element_at("gone", i + 1)))
+    return met.select("page_id", "url", F.array_join(left, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

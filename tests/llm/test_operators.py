@@ -288,6 +288,41 @@ def test_copies_do_not_hide_the_template(spark):
     assert {r.text for r in html_extract.extract(df).collect()} == {f"the text of page {x} in full" for x in ["a", *range(60, 70)]}
 
 
+def test_pages_with_article_are_differenced_too(spark):
+    """Lines that every page around holds at the head or tail of its article are template, by differencing alone; sentences
+    that recur within articles or on some pages, and copies, stay."""
+    page = lambda x, y: f"<body><nav><p>Menu</p></nav><article><p>Print this</p><p>{x}</p><p>It rained.</p><p>{y}</p><p>Read more</p></article></body>"
+    rows = [(i, f"http://h.example/{i:03}", page(f"the text of page {i} in full", "Sunny." if i % 2 else f"end {i}")) for i in range(30)]
+    rows += [(100 + i, "http://copies.example/a", page("a copy", "end")) for i in range(40)] + [(200, "http://h.example/007", rows[7][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(df).collect()}
+    want = {i: f"the text of page {i} in full\nIt rained.\n{'Sunny.' if i % 2 else f'end {i}'}" for i in range(30)}
+    want |= {100 + i: "Print this\na copy\nIt rained.\nend\nRead more" for i in range(40)} | {200: want[7]}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+    joined, html_extract.FEW = html_extract.FEW, -1
+    try:
+        assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+    finally:
+        html_extract.FEW = joined
+
+
+def test_furniture_is_differenced_before_structure_decides():
+    pages = [html_extract.page_lines(f"<nav><p>Home</p><p>n{i}</p></nav><article><p>text {i}</p></article>") for i in range(3)]
+    typed = [[(text, len(text), where) for text, where in p] for p in pages]
+    assert html_extract.template(typed[0], [], typed[1:]) == [True, False, False]
+
+
+def test_shared_lines_of_long_pages_hold_few_rows():
+    import tracemalloc
+
+    a, b = [i % 977 for i in range(12_000)], [i * 7 % 977 for i in range(12_000)]
+    tracemalloc.start()
+    shared = html_extract.shared_lines(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert shared.any() and peak < 6e6
+
+
 def test_pages_without_article_lose_shared_lines(spark):
     page = lambda x: f"<body><p>Site</p><p>{x}</p><p>Imprint</p></body>"
     rows = [(i, f"http://h.example/{i}", page(f"text {i}")) for i in range(6)] + [(9, None, None)]
