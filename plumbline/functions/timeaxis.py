@@ -16,6 +16,8 @@ ISO_SHAPES = (
     (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2})?", "yyyy-MM-dd"),
     (r"^\d{4}\.\d{2}\.\d{2}$", "yyyy.MM.dd"),
 )
+#: What all shapes begin with.
+BEGINNING = r"^\s*\d{1,4}[-/.]"
 NUMERIC_SHAPE = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$"
 NAMED_SHAPE = r"^(\d{1,2})[-/]([A-Za-z]{3})[-/](\d{2,4})$"
 

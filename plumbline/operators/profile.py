@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.timeaxis import day_of
+from plumbline.functions.timeaxis import BEGINNING, day_of
 from plumbline.sources.store import keep, release
 
 # Thresholds and name patterns of the role rules.
@@ -85,8 +85,15 @@ def classify_aggregation(name: str, low: float | None, high: float | None, whole
     return "sum", "additive unless told otherwise"
 
 
-def numeric(column: Column) -> Column:
-    """Finite number of a cell, else null."""
+#: Types whose values are numbers, or are not, without a look at their text; a float has the digits of its text.
+NUMBER_TYPES, OTHER_TYPES = ("tinyint", "smallint", "int", "bigint", "double", "decimal"), ("boolean", "date", "timestamp")
+
+
+def numeric(column: Column, kind: str = "string") -> Column:
+    """Finite number of a cell of Spark type `kind`, else null."""
+    if kind.startswith(NUMBER_TYPES):
+        x = column.cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
     s = column.cast("string")
     x = s.try_cast("double")
     return F.when(s.rlike(NUMBER) & (F.abs(x) < float("inf")), x)
@@ -153,33 +160,65 @@ def dispersion(mean: float | None, sd: float | None, low: float | None) -> float
     return (sd**2 + mean**2) / mean if low is not None and sd is not None and low >= 0 and mean > 0 else None
 
 
+def _dates(d: Column) -> dict[str, Column]:
+    return {"dates": F.count(d), "months": F.approx_count_distinct(F.year(d) * 12 + F.month(d), DISTINCT_ERROR), "first": F.min(d), "last": F.max(d)}
+
+
 def column_statistics(df: DataFrame) -> list[dict]:
-    """One dict a column, from a single pass over all columns and one for each column whose distinct values need a close count.
+    """One dict a column, from at most four passes over the rows, whatever the number of columns.
 
-    `unique` is exact where a role can hang on it (near the cardinality cutoff or near one value a row), else within
-    DISTINCT_ERROR; the pass holds sketches only.  Percentiles come from a sketch of SKETCH points; quantiles() is exact.
+    The first holds sketches only.  Text is read for dates in a pass of its own, and only in columns where DATE_SHARE of the
+    values begin like a date; of others no dates are counted.  `unique` is exact where a role can hang on it: columns near the cardinality cutoff are
+    counted by their `values`, which come with it, those near one value a row by a shuffle of all of them; others are within
+    DISTINCT_ERROR.  Percentiles come from a sketch of SKETCH points; quantiles() is exact.  What cannot be in a type is not
+    looked for: no date in a number, no number in a date, and a length only in text.
     """
-    aggs = [F.count("*").alias("rows")]
     kinds = {c: df.schema[c].dataType.simpleString() for c in df.columns}
     usable = [c for c in df.columns if not kinds[c].startswith(("array", "map", "struct", "binary"))]
     text = lambda c: F.nullif(F.col(f"`{c}`").cast("string"), F.lit(""))
+    read, aggs = [], [F.count("*").alias("rows")]
     for i, c in enumerate(usable):
-        s = text(c)
-        x, d = numeric(F.col(f"`{c}`")), day_of(F.col(f"`{c}`"), kinds[c])
-        aggs += [a.alias(f"{k}_{i}") for k, a in {
-            "non_null": F.count(s), "unique": F.approx_count_distinct(s, DISTINCT_ERROR), "length": F.avg(F.length(s)), "numbers": F.count(x), "whole": F.bool_and(x == F.floor(x)), "positive": F.bool_and(x >= 0),
-            "mean": F.avg(x), "sd": F.stddev_samp(x), "low": F.min(x), "high": F.max(x), "q": F.percentile_approx(x, [0.05, 0.5, 0.95], SKETCH),
-            "dates": F.count(d), "months": F.approx_count_distinct(F.year(d) * 12 + F.month(d), DISTINCT_ERROR), "first": F.min(d), "last": F.max(d),
-        }.items()]
-    row = df.agg(*aggs).first()
+        own, typed = F.col(f"`{c}`"), kinds[c].startswith(NUMBER_TYPES + OTHER_TYPES)
+        s, x = F.col(f"s_{i}"), F.col(f"x_{i}")
+        read.append((own if typed else text(c)).alias(f"s_{i}"))
+        found = {"non_null": F.count(s), "unique": F.approx_count_distinct(s, DISTINCT_ERROR)}
+        if not typed:
+            found |= {"length": F.avg(F.length(s)), "likely": F.count(F.when(s.rlike(BEGINNING), 1))}
+        if not kinds[c].startswith(OTHER_TYPES):
+            read.append(numeric(own, kinds[c]).alias(f"x_{i}"))
+            found |= {"numbers": F.count(x), "whole": F.bool_and(x == F.floor(x)), "positive": F.bool_and(x >= 0), "mean": F.avg(x), "sd": F.stddev_samp(x), "low": F.min(x), "high": F.max(x), "q": F.percentile_approx(x, [0.05, 0.5, 0.95], SKETCH)}
+        if kinds[c].startswith(("date", "timestamp")):
+            read.append(day_of(own, kinds[c]).alias(f"d_{i}"))
+            found |= _dates(F.col(f"d_{i}"))
+        aggs += [a.alias(f"{k}_{i}") for k, a in found.items()]
+    # each value is read once, beside the aggregates
+    row = df.select(*read).agg(*aggs).first().asDict()
+    dated = [i for i in range(len(usable)) if row.get(f"likely_{i}") and row[f"likely_{i}"] >= DATE_SHARE * row[f"non_null_{i}"]]
+    if dated:
+        days = df.select(*[day_of(F.col(f"`{usable[i]}`"), "string").alias(f"d_{i}") for i in dated])
+        row |= days.agg(*[a.alias(f"{k}_{i}") for i in dated for k, a in _dates(F.col(f"d_{i}")).items()]).first().asDict()
     names = ("non_null", "unique", "length", "numbers", "whole", "positive", "mean", "sd", "low", "high", "q", "dates", "months", "first", "last")
-    out = [{"name": c, "rows": row["rows"], **{k: row[f"{k}_{i}"] for k in names}} for i, c in enumerate(usable)]
-    for s in out:
-        if s["unique"] <= 2 * CARDINALITY_CUTOFF or s["unique"] >= (ID_RATIO - 0.2) * s["rows"]:
-            s["unique"] = df.select(text(s["name"]).alias("v")).where("v IS NOT NULL").distinct().count()
+    none = {"length": 0.0, "numbers": 0, "dates": 0, "months": 0}
+    out = [{"name": c, "rows": row["rows"], **{k: row.get(f"{k}_{i}", none.get(k)) for k in names}, "values": None} for i, c in enumerate(usable)]
+    few = [s for s in out if s["unique"] <= 2 * CARDINALITY_CUTOFF]
+    many = [s for s in out if s not in few and s["unique"] >= (ID_RATIO - 0.2) * s["rows"]]
+    if few:
+        for s, values in zip(few, members_of(df, [s["name"] for s in few]), strict=True):
+            s["values"], s["unique"] = values, len(values)
+    if many:
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(s["name"]).alias("v")) for i, s in enumerate(many)]))
+        counted = df.select(cells.alias("c")).select("c.*").where("v IS NOT NULL").distinct().groupBy("i").count().collect()  # one row a column
+        for r in counted:
+            many[r["i"]]["unique"] = r["count"]
     return out
 
 
+def members_of(df: DataFrame, columns: list[str]) -> list[list[str]]:
+    """The sorted different values of columns of few values, in one pass."""
+    row = df.agg(*[F.sort_array(F.collect_set(F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")))).alias(f"v_{i}") for i, c in enumerate(columns)]).first()
+    return list(row)
+
+
 def time_score(s: dict) -> float | None:
     """Coverage first, then months and span; None if too few values are dates."""
     if not s["non_null"] or s["dates"] / s["non_null"] < DATE_SHARE:
@@ -233,10 +272,10 @@ def profile(df: DataFrame, roles: dict[str, str] | None = None) -> Profile:
             excluded.append((name, unique))
     dims.sort()
     # at most CARDINALITY_CUTOFF members each, unless a caller fixed the role
-    members = {}
-    if dims:
-        row = df.agg(*[F.sort_array(F.collect_set(F.nullif(F.col(f"`{d}`").cast("string"), F.lit("")))).alias(f"v_{i}") for i, (d, k) in enumerate(dims)]).first()
-        members = {d: row[f"v_{i}"] for i, (d, _) in enumerate(dims)}
+    members = {d: next(s["values"] for s in stats if s["name"] == d) for d, _ in dims}
+    unread = [d for d, _ in dims if members[d] is None]
+    if unread:
+        members |= dict(zip(unread, members_of(df, unread), strict=True))
     nulls = {s["name"]: 1 - s["non_null"] / s["rows"] if s["rows"] else 0.0 for s in stats}
     return Profile(stats[0]["rows"] if stats else 0, time, [(t, "lower score than the chosen time axis") for _, t in times if t != time], dims, sorted(measures, key=lambda m: m.name), sorted(excluded), ids, texts, members, nulls)
 
@@ -262,7 +301,7 @@ def with_exact_percentiles(p: Profile, df: DataFrame) -> Profile:
     """
     if not p.measures:
         return p
-    kept = keep(df.select(*[numeric(F.col(f"`{m.name}`")).alias(f"m_{i}") for i, m in enumerate(p.measures)]))
+    kept = keep(df.select(*[numeric(F.col(f"`{m.name}`"), df.schema[m.name].dataType.simpleString()).alias(f"m_{i}") for i, m in enumerate(p.measures)]))
     found = [quantiles(kept, f"m_{i}", (0.05, 0.5, 0.95)) for i in range(len(p.measures))]
     release(kept)
     return replace(p, measures=[replace(m, p05=a, p50=b, p95=c, exact=True) for m, (a, b, c) in zip(p.measures, found, strict=True)])

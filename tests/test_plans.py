@@ -165,3 +165,22 @@ def test_backtest_equals_a_fit_for_every_fold():
     folds = [(abs(forecast.forecast(forecast.fit(x[:i]), 1)[0]["value"] - x[i]), abs(x[i - 1] - x[i])) for i in range(12, 40)]
     mae, naive = (float(np.mean([f[k] for f in folds])) for k in (0, 1))
     assert got["folds"] == 28 and abs(got["mae"] - mae) < 1e-9 and abs(got["naive_ratio"] - mae / naive) < 1e-12
+
+
+def test_statistics_take_few_passes_whatever_the_columns(spark):
+    from plumbline.operators.profile import column_statistics
+
+    n, read = 400, spark.sparkContext.accumulator(0)
+    columns = [f"'{'ab'}' || (id % {k + 2}) AS c{k}" for k in range(9)] + ["'k' || id AS k1", "id AS k2", "id / 7D AS k3", "CAST(id % 5 AS float) / 10 AS f", "date_format(date_add(DATE'2024-01-01', CAST(id AS int)), 'd/M/yyyy') AS said", "CASE WHEN id % 2 = 0 THEN 'x' ELSE '1-2' END AS part", "CAST(NULL AS double) AS empty"]
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    base = spark.range(n).selectExpr(*columns)
+    found = {s["name"]: s for s in column_statistics(base.mapInArrow(count, base.schema))}
+    assert read.value <= 4 * n
+    assert [found[f"c{k}"]["unique"] for k in range(9)] == [k + 2 for k in range(9)] and found["c1"]["values"] == ["ab0", "ab1", "ab2"]
+    assert [found[k]["unique"] for k in ("k1", "k2", "k3", "f")] == [n, n, n, 5] and found["f"]["high"] == 0.4
+    assert (found["said"]["dates"], found["said"]["first"].isoformat(), found["part"]["dates"], found["empty"]["non_null"], found["k2"]["numbers"]) == (n, "2024-01-01", 0, 0, n)
