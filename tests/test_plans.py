@@ -184,3 +184,13 @@ def test_statistics_take_few_passes_whatever_the_columns(spark):
     assert [found[f"c{k}"]["unique"] for k in range(9)] == [k + 2 for k in range(9)] and found["c1"]["values"] == ["ab0", "ab1", "ab2"]
     assert [found[k]["unique"] for k in ("k1", "k2", "k3", "f")] == [n, n, n, 5] and found["f"]["high"] == 0.4
     assert (found["said"]["dates"], found["said"]["first"].isoformat(), found["part"]["dates"], found["empty"]["non_null"], found["k2"]["numbers"]) == (n, "2024-01-01", 0, 0, n)
+
+
+def test_questions_are_dealt_and_each_different_one_is_read_once(spark, tmp_path):
+    p = profile(spark.createDataFrame([(f"2024-{1 + i % 9:02d}-01", "ab"[i % 2], float(i)) for i in range(90)], "day string, side string, revenue double"))
+    asked = ["why did revenue drop", None, "top 7 by side", ""]
+    got = intent.read_questions(spark.createDataFrame([(i, asked[i % 4]) for i in range(3000)], "id long, question string").coalesce(1), p)
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    rows = got.collect()
+    want = [intent.parse_intent(q or "", p) for q in asked]
+    assert len(rows) == 3000 and all(r[k] == want[r.id % 4][k] for r in rows for k in r.asDict() if k != "id")
