@@ -19,7 +19,7 @@ from plumbline.plans import analyses, brief, intent, ledger
 from plumbline.plans.catalogue import BEFORE, KEY_SQL, MONTH, NATION_SQL, ORACLE_SQL, QUERIES, M, money, query, sales_cells
 from plumbline.sources import tables
 from plumbline.sources.delimited import read_delimited
-from plumbline.sources.store import keep, remove, shared_dir
+from plumbline.sources.store import keep, release, remove, shared_dir
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -300,8 +300,10 @@ def data_conditions(spark, sf_dir):
     orders = tables.read(spark, sf_dir, "orders").join(tables.read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     nation = tables.read(spark, sf_dir, "nation").join(tables.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     lines = tables.read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = lines.select(F.col("l_shipdate").cast("date").alias("day"), F.col("o_orderdate").alias("order_day"), F.col("c_name").alias("customer"), *tables.SALES_DIMS, F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
+    # joined once: the statistics are several passes
+    rows = keep(lines.select(F.col("l_shipdate").cast("date").alias("day"), F.col("o_orderdate").alias("order_day"), F.col("c_name").alias("customer"), *tables.SALES_DIMS, F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount")))
     p = profile.profile(rows, {"day": "time", "price": "measure", "quantity": "measure"})
+    release(rows)
     pairs = len(p.dims) * (len(p.dims) - 1) // 2 - len(cube.select_pairs(dict(p.dims), pair_cells=60))
     found = brief.conditions(p, tables.sales_cells(spark, sf_dir), period=MONTH, pairs_skipped=pairs)
     # the number of members of a dimension far above the cutoff is approximate

@@ -50,3 +50,16 @@ def test_entry_imports_without_a_session():
     from pathlib import Path
 
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=Path(__file__).parent.parent, check=True, timeout=120)
+
+
+def test_conditions_are_read_from_rows_that_are_joined_once(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def see(rows, roles):
+        raise Seen(rows.inputFiles())
+
+    monkeypatch.setattr(catalogue.profile, "profile", see)
+    with pytest.raises(Seen) as e:
+        catalogue.data_conditions(spark, SF)
+    assert e.value.args[0] and all("plumbline-kept-" in f for f in e.value.args[0])
