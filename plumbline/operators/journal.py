@@ -69,11 +69,13 @@ def faults(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """
     own = records.withColumn("__own", record_hash(F.col("body"), F.col("previous")))
     content = own.where(~F.col("hash").eqNullSafe(F.col("__own"))).select("journal", "place", F.lit("content").alias("fault"))
-    # of a repeated place, any of its records may be the one meant
-    before = records.groupBy("journal", (F.col("place") + 1).alias("place")).agg(F.collect_set("hash").alias("__hashes"))
-    linked = records.join(before, ["journal", "place"], "left")
-    sound = F.when(F.col("place") == 0, F.col("previous").isNull()).otherwise(F.coalesce(F.array_contains("__hashes", F.col("previous")), F.lit(False)))
-    chain = linked.where(~sound).select("journal", "place", F.lit("chain").alias("fault"))
+    # of a repeated place, any of its records may be the one meant; an equi-join of three keys, so that nothing is collected
+    before = records.select("journal", (F.col("place") + 1).alias("place"), F.col("hash").alias("previous"))
+    first = (F.col("place") == 0) & F.col("previous").isNull()
+    claims = records.select("journal", "place", "previous").where(~F.coalesce(first, F.lit(False)))
+    followed = claims.where("place <> 0 AND previous IS NOT NULL").join(before, ["journal", "place", "previous"], "left_anti")
+    unfounded = claims.where("place IS NULL OR place = 0 OR previous IS NULL")
+    chain = followed.unionByName(unfounded).select("journal", "place", F.lit("chain").alias("fault"))
     repeated = records.groupBy("journal", "place").count().where("count > 1").select("journal", "place", F.lit("repeated").alias("fault"))
     found = content.unionByName(chain).unionByName(repeated)
     if heads is not None:

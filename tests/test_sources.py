@@ -213,3 +213,14 @@ def test_dates_of_notes_are_read_once(spark):
     assert plan.count("regexp_extract_all") == 4  # one for each shape: not once more for leaving out notes without a date
     odd = spark.createDataFrame([("on 31/12/2024, 13/12/2024 and 12/13/2024", 2), ("2024-02-30 and 0/5/2024 or 2024.13.01", 0), ("Feb 29th, 2023; Sept. 3rd, 2024; May 2024", 2), ("Q4 2200, 2025 Q1, 1990-05", 1), (None, 0)], "text string, n int")
     assert all(r["n"] == len(r["d"]) for r in odd.select("n", date_spans(F.col("text")).alias("d")).collect())
+
+
+def test_faults_of_repeated_and_odd_places_need_no_collected_sets(spark, capsys):
+    rows = [("a", 0, "{}", None), ("a", 1, "{}", "h0"), ("a", 1, "{1}", "h0"), ("a", 2, "{}", "h1b"), ("a", 3, "{}", None), ("b", 0, "{}", "x"), (None, 1, "{}", "h0"), ("b", None, "{}", "h0")]
+    hashes = ["h0", "h1", "h1b", "h2", "h3", "g0", "n1", "n2"]
+    df = spark.createDataFrame([(*r, h) for r, h in zip(rows, hashes, strict=True)], "journal string, place long, body string, previous string, hash string")
+    found = journal.faults(df)
+    got = sorted(((r.journal, r.place) for r in found.where("fault = 'chain'").collect()), key=str)
+    assert got == sorted([("a", 3), ("b", 0), (None, 1), ("b", None)], key=str)
+    found.explain()
+    assert "collect_set" not in capsys.readouterr().out
