@@ -81,10 +81,11 @@ def numbers(text: Column) -> Column:
     """array<double> of the numbers of a text, in its order: 1,234.5  -12%  3.4e-5  $1.2M; a percent sign does not scale, K, M
     and B do.  A null text has none."""
 
-    def value(raw: Column) -> Column:
-        s = F.regexp_replace(raw, r"[$,\s]", "")
+    def value(s: Column) -> Column:
         scale = F.when(s.endswith("K"), 1e3).when(s.endswith("M"), 1e6).when(s.endswith("B"), 1e9).otherwise(1.0)
         return F.regexp_replace(s, r"[%KMB]$", "").try_cast("double") * scale
 
-    found = F.transform(F.regexp_extract_all(text, F.lit(NUMBER_SHAPE), F.lit(0)), value)
+    # an array of its own, so that no number is stripped twice
+    plain = F.transform(F.regexp_extract_all(text, F.lit(NUMBER_SHAPE), F.lit(0)), lambda raw: F.regexp_replace(raw, r"[$,\s]", ""))
+    found = F.transform(plain, value)
     return F.coalesce(F.filter(found, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))), F.array().cast("array<double>"))

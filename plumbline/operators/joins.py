@@ -135,11 +135,12 @@ def evidence_summary(evidence: DataFrame, by: tuple[str, ...] = ()) -> DataFrame
     return real.select(*by, a.alias("value"), F.explode(keys).alias("key")).groupBy(*by, "key").agg(F.min("value").alias("least"), F.max("value").alias("most"))
 
 
-def without_evidence(claims: DataFrame, evidence: DataFrame, by: tuple[str, ...] = (), id_col: str = "id") -> DataFrame:
-    """The rows of claims (`id_col`, value, `by`) whose value no row of evidence (value, `by`) supports.
+def with_support(claims: DataFrame, evidence: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """claims (`value`, `by` and others, no two rows alike) with `supported`: whether some row of evidence (value, `by`) bears the value.
 
     A value is supported if it, a hundredth or a hundred times it, lies within TOLERANCE of a value in evidence, or rounds to
-    the same whole number as one of at least 1; zero supports only what is below 1e-9.  Claims need different ids.
+    the same whole number as one of at least 1; zero supports only what is below 1e-9.  Claims are read once.  The summary of
+    evidence without `by` is bounded and sent to every task, so what claims look up is not shuffled.
     """
     held = evidence_summary(evidence, by)
     v = F.col("value")
@@ -154,11 +155,17 @@ def without_evidence(claims: DataFrame, evidence: DataFrame, by: tuple[str, ...]
         none = F.when(size < 1e-9, F.array(row("zero", F.lit(0), F.lit(0))))
         return F.concat(*[F.coalesce(x, F.array().cast(f"array<struct<key:struct<kind:string,sign:int,bucket:bigint>,low:double,high:double>>")) for x in (near, alike, none)])
 
-    asked = claims.select(id_col, *by, F.explode(F.array_distinct(F.concat(wanted(v), wanted(v / 100), wanted(v * 100)))).alias("w")).select(id_col, *by, "w.*")
+    # a claim that looks up nothing, as one without a value, stays
+    asked = claims.select(*claims.columns, F.explode_outer(F.concat(wanted(v), wanted(v / 100), wanted(v * 100))).alias("w")).select(*claims.columns, "w.*")
     # of a bucket inside the interval every value will do; at its ends the extreme ones decide
-    inside = F.when(F.col("key.kind") != "size", True).when(F.col("key.sign") > 0, (F.col("most") >= F.col("low")) & (F.col("least") <= F.col("high"))).otherwise((F.col("least") <= -F.col("low")) & (F.col("most") >= -F.col("high")))
-    supported = asked.join(held, [*by, "key"]).where(inside).select(id_col).distinct()
-    return claims.join(supported, id_col, "left_anti")
+    inside = F.when(F.col("key.kind") != "size", F.col("least").isNotNull()).when(F.col("key.sign") > 0, (F.col("most") >= F.col("low")) & (F.col("least") <= F.col("high"))).otherwise((F.col("least") <= -F.col("low")) & (F.col("most") >= -F.col("high")))
+    met = asked.join(held if by else F.broadcast(held), [*by, "key"], "left")
+    return met.groupBy(*claims.columns).agg(F.bool_or(F.coalesce(inside, F.lit(False))).alias("supported"))
+
+
+def without_evidence(claims: DataFrame, evidence: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of claims that no row of evidence supports (see with_support).  Claims need different ids."""
+    return with_support(claims, evidence, by).where("NOT supported").drop("supported")
 
 
 assert math.log((1 + TOLERANCE) / (1 - TOLERANCE)) > WIDTH  # both ends of an interval never lie in one bucket

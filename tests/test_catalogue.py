@@ -63,3 +63,15 @@ def test_conditions_are_read_from_rows_that_are_joined_once(spark, monkeypatch):
     with pytest.raises(Seen) as e:
         catalogue.data_conditions(spark, SF)
     assert e.value.args[0] and all("plumbline-kept-" in f for f in e.value.args[0])
+
+
+def test_numbers_of_documents_are_read_once(spark, monkeypatch):
+    monkeypatch.setattr(meeting.tables, "sales_cells", lambda *_: pytest.fail("cells of all dimensions and pairs"))
+    plan = meeting.document_numbers(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id#") == 1 and plan.count("regexp_extract_all(") == 1
+
+
+def test_numbers_of_repeated_ids_are_all_counted(spark):
+    texts = spark.createDataFrame([(1, [100.0, 7.0, 7.0]), (1, [100.0, 7.0, 7.0]), (2, []), (3, [102.0])], "id int, numbers array<double>")
+    got = meeting._checked(texts, spark.createDataFrame([(100.0,)], "value double"))
+    assert sorted(map(tuple, got.collect())) == [(1, 6, 4), (3, 1, 0)]
