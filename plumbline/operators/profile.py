@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection, Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.timeaxis import BEGINNING, day_of
-from plumbline.sources.store import keep, release
 
 # Thresholds and name patterns of the role rules.
 CARDINALITY_CUTOFF, ID_RATIO, NUMERIC_UNIQUE, TEXT_LENGTH = 50, 0.85, 12, 60
@@ -40,6 +41,8 @@ class Measure:
     dual_role: bool = False
     #: Whether p05, p50 and p95 are exact (type 7) or from a sketch.
     exact: bool = False
+    #: What the sketch says that the percentiles lie between.
+    brackets: tuple[tuple[float, float], ...] = field(default=(), compare=False, repr=False)
 
 
 @dataclass(frozen=True)
@@ -103,56 +106,104 @@ def numeric(column: Column, kind: str = "string") -> Column:
 DISTINCT_ERROR, SKETCH, SORTED = 0.02, 10_000, 100_000
 
 
+#: The shares of a profile's percentiles.
+PERCENTILES = (0.05, 0.5, 0.95)
+
+
+def _edges(shares: Iterable[float]) -> list[float]:
+    """Below and above each share by twice the error of a sketch; the values there bracket it."""
+    return [float(e) for p in shares for e in (max(0.0, p - 2 / SKETCH), min(1.0, p + 2 / SKETCH))]
+
+
+def _brackets(at: list[float] | None) -> list[tuple[float, float]]:
+    return sorted(set(zip(at[::2], at[1::2], strict=True))) if at else []
+
+
 def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
-    """Exact type-7 quantiles without sorting or holding the column: a sketch brackets the two rows that each needs, and
-    one more pass counts what lies below and groups what lies inside.  A bracket that is still wide is narrowed again.
+    """Exact type-7 quantiles of one column, as quantiles_of() finds them."""
+    return quantiles_of(df, [column], shares)[0]
+
 
-    Null and NaN take no part; nothing left: nulls.
+def quantiles_of(df: DataFrame, columns: Sequence[str], shares: tuple[float, ...], brackets: dict[str, Sequence[tuple[float, float]]] | None = None) -> list[list[float | None]]:
+    """Exact type-7 quantiles of columns side by side, without sorting or holding a column: a sketch brackets the two rows that
+    each needs, one more pass counts what lies below and inside, and one groups what lies inside.  A bracket that is still
+    wide is narrowed again.  Each pass serves all columns.
+
+    `brackets` of a column, from a sketch that is there already, save the first pass; they decide nothing of what comes
+    out, as rows outside of them are looked for anew.  Null and NaN take no part; nothing left: nulls.
     """
-    x = F.col(column).cast("double")
-    rows = df.select(x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
-    n = rows.count()
-    if not n:
-        return [None] * len(shares)
-    ranks = sorted({r for p in shares for r in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))})
-    found: dict[int, float] = {}
-    open_ = [(float("-inf"), float("inf"), 0, n, ranks)]  # (low, high, rows below low, rows inside, ranks wanted)
+    x = [F.col(f"x_{i}") for i in range(len(columns))]
+    rows = df.select(*[F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"x_{i}") for i, c in enumerate(columns)])
+    inside, whole = lambda i, a, b: (x[i] >= a) & (x[i] <= b), (float("-inf"), float("inf"))
+
+    def within(asked: list[tuple]) -> Column:
+        """Whether a row lies in any of the brackets."""
+        return reduce(lambda p, q: p | q, [inside(i, a, b) for i, a, b, *_ in asked])
+
+    def sketched(asked: list[tuple[int, float, float, list[float]]]) -> list[list[tuple[float, float]]]:
+        """Brackets, in values, of shares of what lies in each (column, low, high)."""
+        if not asked:
+            return []
+        at = rows.where(within(asked)).agg(*[F.percentile_approx(F.when(inside(i, a, b), x[i]), _edges(e), SKETCH) for i, a, b, e in asked])
+        return [_brackets(found) for found in at.first()]
+
+    def counted(asked: list[tuple[int, float, float]]) -> list[tuple[int, int]]:
+        """Rows below and rows inside of each (column, low, high)."""
+        c = rows.agg(*[F.count(F.when(k, 1)) for i, a, b in asked for k in (x[i] < a, inside(i, a, b))]).first() if asked else []
+        return list(zip(c[::2], c[1::2], strict=True))
+
+    known = {i: list(brackets[c]) for i, c in enumerate(columns) if brackets and brackets.get(c)}
+    unknown = [i for i in range(len(columns)) if i not in known]
+    known |= dict(zip(unknown, sketched([(i, *whole, list(shares)) for i in unknown]), strict=True))
+    asked = [(i, a, b) for i in range(len(columns)) for a, b in (whole, *known[i])]
+    sizes = dict(zip(asked, counted(asked), strict=True))
+    n = [sizes[(i, *whole)][1] for i in range(len(columns))]
+    ranks = [sorted({r for p in shares for r in (int(p * (k - 1)), min(k - 1, int(p * (k - 1)) + 1))}) if k else [] for k in n]
+    found: list[dict[int, float]] = [{} for _ in columns]
+    # (column, low, high, rows below low, rows inside, ranks wanted) with brackets inside; those to be grouped by value
+    open_, first = [((i, *whole, 0, n[i], ranks[i]), known[i]) for i in range(len(columns))], True
+    grouped: list[tuple[int, float, float, int, list[int]]] = []
     while open_:
-        below, inside = [], []
-        for low, high, start, count, wanted in open_:
-            part = rows.where((F.col("x") >= low) & (F.col("x") <= high))
-            if count > SORTED:
-                edges = sorted({max(0.0, (w - start) / count - 2 / SKETCH) for w in wanted} | {min(1.0, (w - start) / count + 2 / SKETCH) for w in wanted})
-                at = part.agg(F.percentile_approx("x", [float(e) for e in edges], SKETCH)).first()[0]
-                spans = sorted({(at[edges.index(max(0.0, (w - start) / count - 2 / SKETCH))], at[edges.index(min(1.0, (w - start) / count + 2 / SKETCH))]) for w in wanted})
-            else:
-                spans = [(low, high)]
-            inside += spans
-        inside = sorted(set(inside))
-        c = rows.agg(*[F.count(F.when(F.col("x") < a, 1)) for a, _ in inside], *[F.count(F.when((F.col("x") >= a) & (F.col("x") <= b), 1)) for a, b in inside]).first()
-        for i, (a, b) in enumerate(inside):
-            start, count = c[i], c[len(inside) + i]
-            wanted = [r for r in ranks if r not in found and start <= r < start + count]
-            if not wanted:
-                continue
-            if a == b:
-                found |= dict.fromkeys(wanted, a)
-            elif count > SORTED and (a, b) not in [(o[0], o[1]) for o in open_]:
-                below.append((a, b, start, count, wanted))
-            else:  # different values with their counts: at most SORTED, or a bracket of few values that no sketch can split
-                at = start
-                for r in rows.where((F.col("x") >= a) & (F.col("x") <= b)).groupBy("x").count().orderBy("x").toLocalIterator():
-                    found |= {w: r["x"] for w in wanted if at <= w < at + r["count"]}
-                    at += r["count"]
-                    if at > wanted[-1]:
-                        break
-        open_ = below
-    out = []
-    for p in shares:
-        k = int(p * (n - 1))
-        low, high = found[k], found[min(n - 1, k + 1)]
-        out.append(low + (p * (n - 1) - k) * (high - low))
-    return out
+        narrowed = []
+        for (i, low, high, start, count, wanted), parts in open_:
+            rest = set(wanted)
+            for a, b in parts:
+                below, size = sizes[(i, a, b)]
+                here = sorted(r for r in rest if below <= r < below + size)
+                rest -= set(here)
+                if here and a == b:
+                    found[i] |= dict.fromkeys(here, a)
+                elif here and size > SORTED and (a, b) != (low, high):
+                    narrowed.append((i, a, b, below, size, here))
+                elif here:  # at most SORTED rows, or few values that no sketch can split
+                    grouped.append((i, a, b, below, here))
+            if rest and first and count > SORTED:  # the brackets did not hold
+                narrowed.append((i, low, high, start, count, sorted(rest)))
+            elif rest:
+                grouped.append((i, low, high, start, sorted(rest)))
+        parts = sketched([(i, a, b, [(w - start) / count for w in wanted]) for i, a, b, start, count, wanted in narrowed])
+        asked = sorted({(w[0], a, b) for w, inner in zip(narrowed, parts, strict=True) for a, b in inner})
+        sizes = dict(zip(asked, counted(asked), strict=True))
+        open_, first = list(zip(narrowed, parts, strict=True)), False
+    if grouped:
+        cells = F.array(*[F.when(inside(i, a, b), F.struct(F.lit(g).alias("g"), x[i].alias("x"))) for g, (i, a, b, *_) in enumerate(grouped)])
+        values = rows.where(within(grouped)).select(F.explode_outer(cells).alias("c")).where("c IS NOT NULL").select("c.*").groupBy("g", "x").count()
+        at = [start for _, _, _, start, _ in grouped]
+        for r in values.orderBy("g", "x").toLocalIterator():
+            i, wanted = grouped[r["g"]][0], grouped[r["g"]][-1]
+            found[i] |= {w: r["x"] for w in wanted if at[r["g"]] <= w < at[r["g"]] + r["count"]}
+            at[r["g"]] += r["count"]
+            if r["g"] == len(grouped) - 1 and at[-1] > wanted[-1]:
+                break
+
+    def quantile(i: int, p: float) -> float | None:
+        if not n[i]:
+            return None
+        k = int(p * (n[i] - 1))
+        low, high = found[i][k], found[i][min(n[i] - 1, k + 1)]
+        return low + (p * (n[i] - 1) - k) * (high - low)
+
+    return [[quantile(i, p) for p in shares] for i in range(len(columns))]
 
 
 def dispersion(mean: float | None, sd: float | None, low: float | None) -> float | None:
@@ -164,13 +215,13 @@ def _dates(d: Column) -> dict[str, Column]:
     return {"dates": F.count(d), "months": F.approx_count_distinct(F.year(d) * 12 + F.month(d), DISTINCT_ERROR), "first": F.min(d), "last": F.max(d)}
 
 
-def column_statistics(df: DataFrame) -> list[dict]:
+def column_statistics(df: DataFrame, settled: Collection[str] = ()) -> list[dict]:
     """One dict a column, from at most four passes over the rows, whatever the number of columns.
 
     The first holds sketches only.  Text is read for dates in a pass of its own, and only in columns where DATE_SHARE of the
     values begin like a date; of others no dates are counted.  `unique` is exact where a role can hang on it: columns near the cardinality cutoff are
     counted by their `values`, which come with it, those near one value a row by a shuffle of all of them; others are within
-    DISTINCT_ERROR.  Percentiles come from a sketch of SKETCH points; quantiles() is exact.  What cannot be in a type is not
+    DISTINCT_ERROR; `settled` columns, whose role needs no count, have none.  Percentiles come from a sketch of SKETCH points; quantiles() is exact.  What cannot be in a type is not
     looked for: no date in a number, no number in a date, and a length only in text.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in df.columns}
@@ -181,12 +232,12 @@ def column_statistics(df: DataFrame) -> list[dict]:
         own, typed = F.col(f"`{c}`"), kinds[c].startswith(NUMBER_TYPES + OTHER_TYPES)
         s, x = F.col(f"s_{i}"), F.col(f"x_{i}")
         read.append((own if typed else text(c)).alias(f"s_{i}"))
-        found = {"non_null": F.count(s), "unique": F.approx_count_distinct(s, DISTINCT_ERROR)}
+        found = {"non_null": F.count(s)} | ({} if c in settled else {"unique": F.approx_count_distinct(s, DISTINCT_ERROR)})
         if not typed:
             found |= {"length": F.avg(F.length(s)), "likely": F.count(F.when(s.rlike(BEGINNING), 1))}
         if not kinds[c].startswith(OTHER_TYPES):
             read.append(numeric(own, kinds[c]).alias(f"x_{i}"))
-            found |= {"numbers": F.count(x), "whole": F.bool_and(x == F.floor(x)), "positive": F.bool_and(x >= 0), "mean": F.avg(x), "sd": F.stddev_samp(x), "low": F.min(x), "high": F.max(x), "q": F.percentile_approx(x, [0.05, 0.5, 0.95], SKETCH)}
+            found |= {"numbers": F.count(x), "whole": F.bool_and(x == F.floor(x)), "positive": F.bool_and(x >= 0), "mean": F.avg(x), "sd": F.stddev_samp(x), "low": F.min(x), "high": F.max(x), "q": F.percentile_approx(x, [*PERCENTILES, *_edges(PERCENTILES)], SKETCH)}
         if kinds[c].startswith(("date", "timestamp")):
             read.append(day_of(own, kinds[c]).alias(f"d_{i}"))
             found |= _dates(F.col(f"d_{i}"))
@@ -200,8 +251,11 @@ def column_statistics(df: DataFrame) -> list[dict]:
     names = ("non_null", "unique", "length", "numbers", "whole", "positive", "mean", "sd", "low", "high", "q", "dates", "months", "first", "last")
     none = {"length": 0.0, "numbers": 0, "dates": 0, "months": 0}
     out = [{"name": c, "rows": row["rows"], **{k: row.get(f"{k}_{i}", none.get(k)) for k in names}, "values": None} for i, c in enumerate(usable)]
-    few = [s for s in out if s["unique"] <= 2 * CARDINALITY_CUTOFF]
-    many = [s for s in out if s not in few and s["unique"] >= (ID_RATIO - 0.2) * s["rows"]]
+    for s in out:
+        s["brackets"] = tuple(_brackets(s["q"] and s["q"][len(PERCENTILES) :]))
+        s["q"] = s["q"] and s["q"][: len(PERCENTILES)]
+    few = [s for s in out if s["name"] not in settled and s["unique"] <= 2 * CARDINALITY_CUTOFF]
+    many = [s for s in out if s["name"] not in settled and s not in few and s["unique"] >= (ID_RATIO - 0.2) * s["rows"]]
     if few:
         for s, values in zip(few, members_of(df, [s["name"] for s in few]), strict=True):
             s["values"], s["unique"] = values, len(values)
@@ -229,13 +283,13 @@ def time_score(s: dict) -> float | None:
 
 def _measure(s: dict, dual: bool) -> Measure:
     agg, reason = classify_aggregation(s["name"], s["low"], s["high"], bool(s["whole"]))
-    return Measure(s["name"], agg, reason, s["mean"], s["sd"], s["low"], s["high"], *s["q"], bool(s["whole"] and s["positive"]), s["numbers"], dispersion(s["mean"], s["sd"], s["low"]), dual)
+    return Measure(s["name"], agg, reason, s["mean"], s["sd"], s["low"], s["high"], *s["q"], bool(s["whole"] and s["positive"]), s["numbers"], dispersion(s["mean"], s["sd"], s["low"]), dual, brackets=s["brackets"])
 
 
 def profile(df: DataFrame, roles: dict[str, str] | None = None) -> Profile:
     """Infer roles; `roles` fixes columns to time, dimension, measure or ignore."""
     roles = roles or {}
-    stats = [s for s in column_statistics(df) if roles.get(s["name"]) != "ignore"]
+    stats = [s for s in column_statistics(df, [c for c, r in roles.items() if r in ("measure", "ignore")]) if roles.get(s["name"]) != "ignore"]
     times = sorted(((-score, s["name"]) for s in stats if roles.get(s["name"], "time") == "time" and (score := time_score(s)) is not None))
     fixed = next((c for c, r in roles.items() if r == "time"), None)
     time = fixed or (times[0][1] if times else None)
@@ -296,12 +350,11 @@ def with_aggregation(p: Profile, measure: str, agg: str) -> Profile:
 def with_exact_percentiles(p: Profile, df: DataFrame) -> Profile:
     """The same profile with exact type-7 percentiles of its measures, in place of those of the sketch.
 
-    The measures are kept once as numbers; each is then narrowed over the kept columns alone.  Text that is no finite number takes
-    no part, as in the profile.
+    The rows are read twice for all measures, as the profile's sketch brackets what is looked for, and twice more where a bracket
+    is wide; keep them before if they are dear to make.  Text that is no finite number takes no part, as in the profile.
     """
     if not p.measures:
         return p
-    kept = keep(df.select(*[numeric(F.col(f"`{m.name}`"), df.schema[m.name].dataType.simpleString()).alias(f"m_{i}") for i, m in enumerate(p.measures)]))
-    found = [quantiles(kept, f"m_{i}", (0.05, 0.5, 0.95)) for i in range(len(p.measures))]
-    release(kept)
+    numbers = df.select(*[numeric(F.col(f"`{m.name}`"), df.schema[m.name].dataType.simpleString()).alias(m.name) for m in p.measures])
+    found = quantiles_of(numbers, [m.name for m in p.measures], PERCENTILES, {m.name: m.brackets for m in p.measures})
     return replace(p, measures=[replace(m, p05=a, p50=b, p95=c, exact=True) for m, (a, b, c) in zip(p.measures, found, strict=True)])

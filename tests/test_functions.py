@@ -77,3 +77,28 @@ def test_trend_beats_naive_and_walk_does_not():
     f = forecast.forecast(forecast.fit(line), 3)
     assert f[0]["value"] == pytest.approx(1600, rel=0.05) and f[2]["high"] - f[2]["low"] > f[0]["high"] - f[0]["low"]
     assert forecast.fit([1, 2, 3]) is None
+
+
+def test_quantiles_of_columns_share_their_passes_and_hold_with_wrong_brackets(spark, monkeypatch):
+    from plumbline.operators import profile
+
+    rng, read = np.random.default_rng(4), spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(profile, "SORTED", 400)
+    monkeypatch.setattr(profile, "SKETCH", 100)
+    n, shares = 3000, profile.PERCENTILES
+    x = {"price": rng.normal(size=n), "units": rng.integers(0, 40, n).astype(float), "total": rng.exponential(size=n)}
+    want = [pytest.approx(np.quantile(v, shares).tolist()) for v in x.values()]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*x.values(), strict=True)], "price double, units double, total double")
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    seen = df.mapInArrow(count, df.schema)
+    found = profile.with_exact_percentiles(profile.profile(seen, dict.fromkeys(x, "measure")), seen)
+    assert read.value <= 3 * n
+    assert {m.name: [m.p05, m.p50, m.p95] for m in found.measures} == dict(zip(x, want, strict=True))
+    wrong = {"price": [(50.0, 60.0)], "units": [(3.0, 3.0)], "total": [(0.0, 1e9)]}
+    assert profile.quantiles_of(df, list(x), shares, wrong) == want
+    assert profile.quantiles_of(df.where("price > 100"), list(x), shares, wrong) == [[None] * 3] * 3
